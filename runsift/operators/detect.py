@@ -7,94 +7,81 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.text import fields, re2, trim
+from runsift.functions.sqltext import lit, trim
+from runsift.functions.text import FIELD_SEPARATOR, re2
 from runsift.operators.blocks import EXEC, LINE_NO
 from runsift.operators.families import BUILT_IN, FALLBACK, RuleFamily
 
 # Fixed value: shell separators between the parts of a command line.
 CHAIN_PATTERN = r"\s*(&&|;|\|\||\|)\s*"
 
-HIT = "struct<tool:string,family:string,argument:string>"
+PARTS = (
+    f"filter(transform(split(command_line, {lit(re2(CHAIN_PATTERN))}, -1), p -> {trim('p')}), "
+    "p -> p <> '')"
+)
 
 
-def chain_parts(command_line: Column) -> Column:
-    """Trimmed non-blank parts of a command chain, in order."""
-    parts = F.split(command_line, re2(CHAIN_PATTERN), -1)
-    return F.filter(F.transform(parts, trim), lambda p: p != "")
+def _tokens(part: str) -> str:
+    return f"filter(split({part}, {lit(FIELD_SEPARATOR)}), t -> t <> '')"
 
 
 def decompose_chain(executions: DataFrame) -> DataFrame:
-    return executions.select(
-        EXEC, F.posexplode(chain_parts(F.col("command_line"))).alias("part_no", "part")
-    )
+    """Trimmed non-blank parts of each command chain, in order."""
+    return executions.select(EXEC, F.posexplode(F.expr(PARTS)).alias("part_no", "part"))
 
 
 def tokenise_command(parts: DataFrame) -> DataFrame:
-    tokens = fields(F.col("part"))
-    return parts.select(
+    return parts.withColumn("_w", F.expr(_tokens("part"))).selectExpr(
         EXEC,
         "part_no",
-        F.try_element_at(tokens, F.lit(1)).alias("sub_command"),
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("sub_args"),
+        "get(_w, 0) AS sub_command",
+        "slice(_w, 2, greatest(size(_w) - 1, 0)) AS sub_args",
     )
 
 
-def _command_hit(part: Column, families: Sequence[RuleFamily]) -> Column:
-    tokens = fields(part)
-    sub = F.try_element_at(tokens, F.lit(1))
-    args = F.slice(tokens, 2, F.size(tokens))
-    first_arg = F.coalesce(F.try_element_at(args, F.lit(1)), F.lit(""))
-    out = F.lit(None).cast(HIT)
-    for family in reversed(families):
-        if family.by_command is None:
-            continue
-        hit = F.struct(
-            family.command_tool(sub).alias("tool"),
-            F.lit(family.name).alias("family"),
-            first_arg.alias("argument"),
-        )
-        out = F.when(family.by_command(sub, args), hit).otherwise(out)
-    return out
-
-
-def command_hit(command_line: Column, families: Sequence[RuleFamily] = BUILT_IN) -> Column:
-    """The hit of the last part of the chain that any family claims; null if none does.
+def command_hit(families: Sequence[RuleFamily] = BUILT_IN) -> Column:
+    """The hit of the last part of `command_line` that any family claims; null if none does.
 
     Row-local: no explode and no shuffle, however many parts a line has.
     """
-    hits = F.transform(chain_parts(command_line), lambda p: _command_hit(p, families))
-    return F.try_element_at(F.filter(hits, lambda h: h.isNotNull()), F.lit(-1))
+    words = f"transform({PARTS}, p -> {_tokens('p')})"
+    heads = (
+        f"transform({words}, w -> struct(get(w, 0) AS c, coalesce(get(w, 1), '') AS a1, "
+        "coalesce(get(w, 2), '') AS a2))"
+    )
+    rules = " ".join(
+        f"WHEN {f.by_command('x.c', 'x.a1', 'x.a2')} THEN struct({f.command_tool('x.c')} AS tool, "
+        f"{lit(f.name)} AS family, x.a1 AS argument)"
+        for f in families
+        if f.by_command is not None
+    )
+    hits = f"filter(transform({heads}, x -> CASE {rules} END), h -> h IS NOT NULL)"
+    return F.expr(f"try_element_at({hits}, -1)")
 
 
 def detect_by_command(
     executions: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
 ) -> DataFrame:
-    return executions.select(
-        EXEC, command_hit(F.col("command_line"), families).alias("_hit")
-    ).select(EXEC, "_hit.tool", "_hit.family", "_hit.argument")
+    hit = command_hit(families).alias("_hit")
+    return executions.select(EXEC, hit).select(EXEC, "_hit.tool", "_hit.family", "_hit.argument")
 
 
 def detect_by_content(samples: DataFrame, families: Sequence[RuleFamily] = BUILT_IN) -> DataFrame:
     """The family of lowest priority index that matches any sample; a keyword family is named
-    after its first matching line. `samples` holds at most ten lines per execution."""
-    line = F.col("line")
-    candidates = [
-        F.when(
-            family.by_content(line),
-            F.struct(
-                F.lit(k).alias("priority"),
-                F.col(LINE_NO).alias("line_no"),
-                family.content_tool(line).alias("tool"),
-                F.lit(family.name).alias("family"),
-            ),
-        )
-        for k, family in enumerate(families)
-        if family.by_content is not None
-    ]
-    # Within one line only the lowest priority can be the minimum of the execution.
+    after its first matching line. `samples` holds at most ten lines per execution.
+
+    Within one line only the first matching family can be the minimum of the execution.
+    """
+    rules = " ".join(
+        f"WHEN {f.by_content} THEN struct({k} AS priority, {LINE_NO} AS line_no, "
+        f"{f.content_tool()} AS tool, {lit(f.name)} AS family)"
+        for k, f in enumerate(families)
+        if f.by_content is not None
+    )
     return (
-        samples.select(EXEC, F.coalesce(*candidates).alias("_hit"))
-        .filter(F.col("_hit").isNotNull())
+        samples.withColumn("low", F.lower("line"))
+        .selectExpr(EXEC, f"CASE {rules} END AS _hit")
+        .filter("_hit IS NOT NULL")
         .groupBy(EXEC)
         .agg(F.min("_hit").alias("_hit"))
         .select(EXEC, "_hit.tool", "_hit.family")
@@ -105,17 +92,18 @@ def detect_tool(
     executions: DataFrame, samples: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
 ) -> DataFrame:
     """One row per execution: tool, family and the first argument of the matched sub-command."""
-    by_content = detect_by_content(samples, families).select(
-        EXEC, F.col("tool").alias("_tool"), F.col("family").alias("_family")
+    by_content = detect_by_content(samples, families).withColumnsRenamed(
+        {"tool": "_tool", "family": "_family"}
     )
+    last = lit(FALLBACK.name)
     return (
         detect_by_command(executions, families)
         .join(by_content, EXEC, "left")
-        .select(
+        .selectExpr(
             EXEC,
-            F.coalesce("tool", "_tool", F.lit(FALLBACK.name)).alias("tool"),
-            F.coalesce("family", "_family", F.lit(FALLBACK.name)).alias("family"),
-            F.coalesce("argument", F.lit("")).alias("argument"),
+            f"coalesce(tool, _tool, {last}) AS tool",
+            f"coalesce(family, _family, {last}) AS family",
+            "coalesce(argument, '') AS argument",
         )
     )
 

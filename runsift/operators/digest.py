@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.text import contains_any
+from runsift.functions.sqltext import has
 from runsift.operators.blocks import by_exec, EXEC
 from runsift.operators.reduce import IDX
 
@@ -16,26 +16,22 @@ KEY_WORDS = ("error", "fail", "success", "build", "test", "built", "artifact")
 BYTES_PER_MB = 1024 * 1024
 
 
+def is_key_event() -> str:
+    low = "lower(line)"
+    return f"({has(low, *KEY_WORDS)} AND NOT {has(low, *NOISE_WORDS)})"
+
+
 def key_events(rows: DataFrame, n: int = KEY_EVENTS) -> DataFrame:
     """The last n informative rows of each execution."""
-    low = F.lower("line")
     latest = by_exec().orderBy(F.col(IDX).desc())
     return (
-        rows.filter(contains_any(low, *KEY_WORDS) & ~contains_any(low, *NOISE_WORDS))
+        rows.filter(is_key_event())
         .withColumn("_rn", F.row_number().over(latest))
         .filter(F.col("_rn") <= n)
         .select(EXEC, IDX, "line")
     )
 
 
-def key_event_lists(rows: DataFrame) -> DataFrame:
-    return (
-        key_events(rows)
-        .groupBy(EXEC)
-        .agg(F.sort_array(F.collect_list(F.struct(IDX, "line"))).getField("line").alias("key_events"))
-    )
-
-
 def _line(label: str, value: Column, shown: Column, suffix: str = "") -> Column:
     return F.when(shown, F.concat(F.lit(label), value.cast("string"), F.lit(suffix)))
 

@@ -1,537 +1,102 @@
 """Rule families: one per tool whose log we understand.
 
-A family is data for the fold in `folds.py`, written as Column builders:
+A family is data for the fold in `folds.py`, written as SQL snippets:
 
-* `by_command(sub, args)` and `by_content(line)` tell whether it claims an execution;
-* `effects(line, low, argument)` says what one cleaned line does to the metrics (`low` is the
-  lower-cased line, `argument` the first argument of the sub-command);
-* `verdict(m)` turns the final metrics `m` into (is_failure, summary text).
+* `by_command(c, a1, a2)` and `by_content` (over `line`, `low`) tell whether it claims an
+  execution; c is the sub-command, a1 and a2 its first arguments;
+* `effects` says what one cleaned line does to the metrics, over `line`, `low` (its lower case)
+  and `argument` (the first argument of the sub-command);
+* `text` is the summary over the final metrics (tests, counters, `failure`, `tool`, `argument`,
+  `events` as their number), and `bad` a condition over them that also means failure.
 
 Effects are of three kinds: `add_*` (count the line), `set_*` (last value wins) and `fails`
-(True sets the status to failure, False back to success; the last setter wins).
+(true sets the status to failure, false back to success; the last setter wins). `event` and
+`event2` are texts to list; `event_cap` and `event2_cap` bound how many are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-from types import SimpleNamespace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from runsift.functions.text import (
-    contains_any,
+from runsift.functions.sqltext import (
+    any_of,
+    ends,
+    extract,
+    first_word,
     group,
     group_int,
+    has,
     leading_int,
-    matches,
-    re2,
-    startswith_any,
+    lit,
+    match,
+    starts,
     trim,
+    true_if,
+    when,
 )
 
-CHECK = "✓ "
-CROSS = "✗ "
-WARN = "⚠ "
-
-
-@dataclass(frozen=True)
-class Effects:
-    fails: Column | None = None
-    add_errors: Column | None = None
-    add_warnings: Column | None = None
-    add_passed: Column | None = None
-    add_failed: Column | None = None
-    set_errors: Column | None = None
-    set_warnings: Column | None = None
-    set_passed: Column | None = None
-    set_failed: Column | None = None
-    set_files: Column | None = None
-    set_modules: Column | None = None
-    set_bundle: Column | None = None
-    set_artifact: Column | None = None
-    set_duration: Column | None = None
-    mark: Column | None = None
-    event: Column | None = None
-    event2: Column | None = None
+CHECK, CROSS, WARN = "✓ ", "✗ ", "⚠ "
+RED = lit(CROSS)
+TRIMMED = trim("line")
 
 
 @dataclass(frozen=True)
 class RuleFamily:
     name: str
-    effects: Callable[[Column, Column, Column], Effects] | None
-    verdict: Callable[[SimpleNamespace], tuple[Column, Column]] | None
-    by_command: Callable[[Column, Column], Column] | None = None
-    by_content: Callable[[Column], Column] | None = None
+    effects: Mapping[str, str] = field(default_factory=dict)
+    text: str = "''"
+    bad: str = "false"
+    by_command: Callable[[str, str, str], str] | None = None
+    by_content: str | None = None
+    # A family with keywords names the tool after the first keyword found.
     command_keywords: tuple[str, ...] = ()
     content_keywords: tuple[str, ...] = ()
-    # Number of events after which an event of step 1 or 2 is no longer kept.
     event_cap: int | None = None
     event2_cap: int | None = None
 
-    def command_tool(self, sub: Column) -> Column:
-        return _first_keyword(sub, self.command_keywords, self.name)
-
-    def content_tool(self, line: Column) -> Column:
-        return _first_keyword(F.lower(line), self.content_keywords, self.name)
-
-
-def _first_keyword(text: Column, keywords: tuple[str, ...], default: str) -> Column:
-    out = F.lit(default)
-    for word in reversed(keywords):
-        out = F.when(text.contains(word), F.lit(word)).otherwise(out)
-    return out
-
-
-def _true(condition: Column) -> Column:
-    """True where the condition holds, else null: a setter that never clears."""
-    return F.when(condition, F.lit(True))
-
-
-def _when(condition: Column, *parts: Column | str) -> Column:
-    texts = [F.lit(p) if isinstance(p, str) else p for p in parts]
-    return F.when(condition, F.concat(*texts) if len(texts) > 1 else texts[0])
-
+    def command_tool(self, c: str) -> str:
+        return first_word(c, self.command_keywords) if self.command_keywords else lit(self.name)
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    def content_tool(self) -> str:
+        words = self.content_keywords
+        return first_word("low", words) if words else lit(self.name)
 
 
-def _arg(args: Column, index: int) -> Column:
-    return F.coalesce(F.try_element_at(args, F.lit(index)), F.lit(""))
+def _npm_script(c: str, a1: str, a2: str, *scripts: str) -> str:
+    names = ", ".join(lit(s) for s in scripts)
+    return f"({c} = 'npm' AND {a1} = 'run' AND {a2} IN ({names}))"
 
 
-def _by_failure(bad: str, good: str) -> Callable[[SimpleNamespace], tuple[Column, Column]]:
-    return lambda m: (m.failure, F.when(m.failure, F.lit(bad)).otherwise(F.lit(good)))
+def _by_failure(bad: str, good: str) -> str:
+    return f"if(failure, {lit(bad)}, {lit(good)})"
 
 
-def _by_tests(bad: tuple, good: tuple, neither: str):
+def _by_tests(bad: tuple[str, str], good: tuple[str, str], neither: str) -> str:
     """Failed tests first, then passed tests, then a neutral text."""
-
-    def verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-        text = (
-            F.when(m.failed > 0, _text(bad[0], m.failed, bad[1]))
-            .when(m.passed > 0, _text(good[0], m.passed, good[1]))
-            .otherwise(F.lit(neither))
-        )
-        return m.failure | (m.failed > 0), text
-
-    return verdict
-
-
-def _npm_script(sub: Column, args: Column, *scripts: str) -> Column:
-    return (sub == "npm") & (_arg(args, 1) == "run") & _arg(args, 2).isin(*scripts)
-
-
-def _vitest(line: Column, low: Column, arg: Column) -> Effects:
-    red = contains_any(line, "FAIL", "failed") & startswith_any(line, "FAIL ", CROSS)
-    failed = F.coalesce(
-        group_int(line, r"(\d+)\s+failing"), group_int(line, r"Tests\s+(\d+)\s+failed")
-    )
-    return Effects(
-        fails=_true(red | failed.isNotNull()),
-        set_files=group_int(line, r"Test Files\s+(\d+)\s+passed"),
-        set_passed=F.coalesce(
-            group_int(line, r"(\d+)\s+passing"), group_int(line, r"Tests\s+(\d+)\s+passed")
-        ),
-        set_failed=failed,
-        event=F.when(red, line),
-    )
-
-
-JEST_TOTALS = r"Tests:\s+(\d+) failed,\s+(\d+) passed,\s+(\d+) total"
-
-
-def _jest(line: Column, low: Column, arg: Column) -> Effects:
-    red = line.contains(" FAIL ")
-    failed = group_int(line, JEST_TOTALS, 1)
-    return Effects(
-        fails=_true(red | (failed > 0)),
-        set_failed=failed,
-        set_passed=group_int(line, JEST_TOTALS, 2),
-        event=_when(red, CROSS, trim(line)),
-    )
-
-
-PLAYWRIGHT_TOTALS = r"(\d+) passed.*\(.*\)\s+(\d+) failed"
-
-
-def _playwright(line: Column, low: Column, arg: Column) -> Effects:
-    red = line.contains(" Error: ")
-    return Effects(
-        fails=_true(red),
-        add_errors=red,
-        set_passed=group_int(line, PLAYWRIGHT_TOTALS, 1),
-        set_failed=group_int(line, PLAYWRIGHT_TOTALS, 2),
-        event=_when(red, CROSS, trim(line)),
-    )
-
-
-def _cypress(line: Column, low: Column, arg: Column) -> Effects:
-    red = contains_any(line, " (failed)", " ✖ ")
-    return Effects(
-        fails=_true(red),
-        add_failed=red,
-        add_passed=~red & contains_any(line, " (passed)", " ✔ "),
-        event=_when(red, CROSS, trim(line)),
-    )
-
-
-PYTEST_TOTALS = r"={2,}\s+(.*?)\s+in\s+([\d\.]+)s\s+={2,}"
-# The last comma-separated part that names the outcome, earlier outcomes excluded.
-PYTEST_PARTS = {
-    "passed": r"(?d)^(?:.*,)?([^,]*passed[^,]*)",
-    "failed": r"(?d)^(?:.*,)?((?:(?!passed)[^,])*failed(?:(?!passed)[^,])*)(?:,.*)?\z",
-    "warnings": (
-        r"(?d)^(?:.*,)?((?:(?!passed|failed)[^,])*warning(?:(?!passed|failed)[^,])*)(?:,.*)?\z"
-    ),
-}
-
-
-def _pytest(line: Column, low: Column, arg: Column) -> Effects:
-    section = contains_any(line, "FAILURES", "ERRORS")
-    detail = ~section & line.startswith("E   ")
-    totals = group(line, PYTEST_TOTALS, 1)
-
-    def outcome(name: str) -> Column:
-        java = PYTEST_PARTS[name]
-        part = trim(F.regexp_extract(totals, java, 1))
-        return F.when(totals.rlike(java), leading_int(F.regexp_extract(part, r"^[^\p{IsWhite_Space}]+", 0)))
-
-    failed = outcome("failed")
-    return Effects(
-        fails=_true(section | failed.isNotNull()),
-        add_errors=detail,
-        set_passed=outcome("passed"),
-        set_failed=failed,
-        set_warnings=outcome("warnings"),
-        set_duration=F.when(
-            totals.isNotNull(),
-            F.coalesce(group(line, PYTEST_TOTALS, 2).try_cast("double"), F.lit(0.0)),
-        ),
-        event=F.when(section, F.lit("Found failures/errors section")).when(detail, line),
-    )
-
-
-def _pytest_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    bad = (m.failed > 0) | (m.errors > 0)
-    text = (
-        F.when(bad, _text(CROSS + "Pytest failed: ", m.failed, " failed"))
-        .when(m.passed > 0, _text(CHECK + "Pytest passed: ", m.passed, " passed"))
-        .otherwise(F.lit("Pytest execution completed."))
-    )
-    return m.failure | bad, text
-
-
-def _go_test(line: Column, low: Column, arg: Column) -> Effects:
-    test_red = line.contains("--- FAIL:")
-    test_green = ~test_red & line.contains("--- PASS:")
-    tests = test_red | line.contains("--- PASS:")
-    suite_red = ~tests & line.startswith("FAIL\t")
-    suite_green = ~tests & ~suite_red & startswith_any(line, "ok\t", "PASS")
-    build = ~tests & ~suite_red & ~suite_green & contains_any(line, "build failed", "build errors")
-    return Effects(
-        fails=_true(test_red | suite_red | build),
-        add_failed=test_red,
-        add_passed=test_green,
-        add_errors=build,
-        event=F.when(test_red, line)
-        .when(suite_red, F.concat(F.lit("Test suite failed: "), trim(line)))
-        .when(suite_green, F.concat(F.lit("Test suite passed: "), trim(line)))
-        .when(build, F.concat(F.lit("Build error: "), line)),
-    )
-
-
-def _go_test_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    bad = m.failure | (m.failed > 0) | (m.errors > 0)
-    return bad, F.when(
-        bad, _text(CROSS + "Go Tests Failed. Passed: ", m.passed, ", Failed: ", m.failed)
-    ).otherwise(_text(CHECK + "Go Tests Passed. Passed: ", m.passed))
-
-
-FLUTTER_ALL = r"\+(\d+):\s*All tests passed!"
-FLUTTER_SOME = r"\+(\d+)\s*-(\d+):\s*Some tests failed"
-
-
-def _flutter_test(line: Column, low: Column, arg: Column) -> Effects:
-    red = contains_any(line, "EXCEPTION: ", "Exception: ")
-    every = group_int(line, FLUTTER_ALL)
-    failed = F.when(every.isNull(), group_int(line, FLUTTER_SOME, 2))
-    return Effects(
-        fails=_true(red | failed.isNotNull()),
-        set_passed=F.coalesce(every, group_int(line, FLUTTER_SOME, 1)),
-        set_failed=failed,
-        event=F.when(red, line),
-    )
-
-
-TSC_ERROR = r"(.*?)\((\d+),(\d+)\): error (TS\d+): (.*)"
-
-
-def _located(line: Column, pattern: str, otherwise: Column) -> Column:
-    return F.when(
-        matches(line, pattern),
-        F.concat(
-            F.lit(CROSS),
-            F.regexp_extract(line, re2(pattern), 1),
-            F.lit(":"),
-            F.regexp_extract(line, re2(pattern), 2),
-            F.lit(" - "),
-            F.regexp_extract(line, re2(pattern), 5),
-        ),
-    ).otherwise(F.concat(F.lit(CROSS), otherwise))
-
-
-def _typescript(line: Column, low: Column, arg: Column) -> Effects:
-    error = line.contains(": error TS")
-    return Effects(
-        fails=_true(error | (line.contains("Found") & line.contains("error"))),
-        add_errors=error,
-        event=F.when(error, _located(line, TSC_ERROR, line)),
-    )
-
-
-def _typescript_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    return m.failure, F.when(
-        m.errors > 0, F.concat(F.lit(CROSS + "Type checking failed: "), m.joined(" | "))
-    ).otherwise(F.lit(CHECK + "Type checking passed"))
-
-
-def _dart(line: Column, low: Column, arg: Column) -> Effects:
-    error, warning = line.startswith("error "), line.startswith("warning ")
-    return Effects(
-        fails=_true(error),
-        add_errors=error,
-        add_warnings=warning,
-        event=F.when(line.startswith("info ") | error | warning, line),
-    )
-
-
-def _dart_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    return m.failure, F.when(
-        m.errors > 0, F.lit(CROSS + "Dart analyze failed with error")
-    ).when(m.warnings > 0, F.lit(WARN + "Dart analyze found warnings")).otherwise(
-        F.lit(CHECK + "Dart analyze passed")
+    return (
+        f"CASE WHEN failed > 0 THEN concat({lit(bad[0])}, failed, {lit(bad[1])}) "
+        f"WHEN passed > 0 THEN concat({lit(good[0])}, passed, {lit(good[1])}) "
+        f"ELSE {lit(neither)} END"
     )
 
 
-def _vite(line: Column, low: Column, arg: Column) -> Effects:
-    sign = matches(line, r"(?i)(?:ERROR|FAILED|Build failed)")
-    error = sign & ~contains_any(low, "0 failed", "operation succeeded")
-    return Effects(
-        fails=_true(error),
-        add_errors=error,
-        add_warnings=~sign & low.contains("warn"),
-        set_modules=group_int(line, r".*?\s*(\d+)\s+modules\s+(?:transformed|compiled)"),
-        set_bundle=group(line, r"dist/.*?(\d+\.\d+\s*[KMG]B)"),
-        event=F.when(error, line),
+def _located(pattern: str, otherwise: str) -> str:
+    place = f"{extract('line', pattern, 1)}, ':', {extract('line', pattern, 2)}"
+    return (
+        f"CASE WHEN {match('line', pattern)} "
+        f"THEN concat({RED}, {place}, ' - ', {extract('line', pattern, 5)}) "
+        f"ELSE concat({RED}, {otherwise}) END"
     )
 
 
-def _vite_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    text = (
-        F.when(
-            m.bundle != "",
-            F.concat(
-                F.lit(CHECK + "Build completed. Output: "),
-                m.bundle,
-                F.when(m.failure, F.lit(" (with non-fatal errors detected)")).otherwise(F.lit("")),
-            ),
-        )
-        .when(m.modules > 0, _text(CHECK + "Build succeeded. ", m.modules, " modules compiled"))
-        .when(m.failure, F.lit(CROSS + "Vite build failed"))
-        .otherwise(F.lit(CHECK + "Operation succeeded"))
-    )
-    return m.failure, text
-
-
-def _build_tool(line: Column, low: Column, arg: Column) -> Effects:
-    error = contains_any(low, "error", "failed")
-    good = contains_any(low, "compiled successfully", "build successful")
-    return Effects(
-        fails=F.when(error, F.lit(True)).when(good, F.lit(False)),
-        add_errors=error,
-        event=_when(error, CROSS, trim(line)),
-    )
-
-
-def _eslint(line: Column, low: Column, arg: Column) -> Effects:
-    error = (line.contains(" error ") | trim(line).startswith("error ")) & ~matches(
-        line, r"0\s+errors?"
-    )
-    return Effects(
-        fails=_true(error),
-        add_errors=error,
-        add_warnings=~error & (line.contains(" warning ") | trim(line).startswith("warning ")),
-        event=F.when(error, line),
-    )
-
-
-def _eslint_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    def counted(mark: str, n: Column, noun: str) -> Column:
-        plural = F.when(n > 1, F.lit("s")).otherwise(F.lit(""))
-        return F.when(n > 0, _text(mark, n, f" {noun}", plural))
-
-    both = F.concat_ws("\n", counted(CROSS, m.errors, "error"), counted(WARN, m.warnings, "warning"))
-    return m.failure, F.when(both != "", both).otherwise(F.lit(CHECK + "No lint errors"))
-
-
-def _linter(line: Column, low: Column, arg: Column) -> Effects:
-    error = contains_any(low, "error", "failed")
-    return Effects(fails=_true(error), add_errors=error, event=_when(error, WARN, trim(line)))
-
-
-def _golangci(line: Column, low: Column, arg: Column) -> Effects:
-    error = line.contains(":") & contains_any(line, "errcheck", "unused", "staticcheck")
-    return Effects(fails=_true(error), add_errors=error, event=_when(error, WARN, trim(line)))
-
-
-def _flutter_build(line: Column, low: Column, arg: Column) -> Effects:
-    red = contains_any(line, "Exception: ", "Error:")
-    return Effects(
-        fails=_true(red),
-        set_artifact=group(line, r"Built\s+.*?\s+\((.*?)\)\."),
-        event=F.when(red, line),
-    )
-
-
-def _flutter_build_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    return m.failure, F.when(m.failure, F.lit(CROSS + "Flutter build failed")).when(
-        m.artifact != "",
-        F.concat(F.lit(CHECK + "Flutter build succeeded\nAPK size "), m.artifact),
-    ).otherwise(F.lit(CHECK + "Flutter build succeeded"))
-
-
-def _flutter_run(line: Column, low: Column, arg: Column) -> Effects:
-    red = ~contains_any(line, "Running with unset MSYS", "Launching") & contains_any(
-        line, "Error", "Exception"
-    )
-    return Effects(fails=_true(red), add_errors=red, event=_when(red, CROSS, trim(line)))
-
-
-def _gradle(line: Column, low: Column, arg: Column) -> Effects:
-    failed = line.startswith("FAILURE: Build failed") | line.contains("FAILED")
-    error = contains_any(line, "error:", "e: ")
-    task = group(line, r"^> Task :(.*)")
-    return Effects(
-        fails=_true(failed | error),
-        add_errors=error,
-        event=F.when(
-            contains_any(task, "compile", "assemble", "bundle"), F.concat(F.lit("⚙ "), task)
-        ),
-        event2=_when(error, CROSS, trim(line)),
-    )
-
-
-DOTNET_ERROR = r"(.*?)\((\d+),(\d+)\): error (CS\d+): (.*) \[(.*)\]"
-DOTNET_TOTALS = r"(\d+) Error\(s\).*?(\d+) Warning\(s\)"
-
-
-def _dotnet(line: Column, low: Column, arg: Column) -> Effects:
-    error = line.contains(": error CS")
-    return Effects(
-        fails=_true(error),
-        add_errors=error,
-        add_warnings=~error & line.contains(": warning CS"),
-        set_errors=group_int(line, DOTNET_TOTALS, 1),
-        set_warnings=group_int(line, DOTNET_TOTALS, 2),
-        event=F.when(error, _located(line, DOTNET_ERROR, trim(line))),
-    )
-
-
-def _dotnet_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    bad = m.errors > 0
-    return m.failure | bad, F.when(
-        bad, _text(CROSS + ".NET build failed with ", m.errors, " errors")
-    ).otherwise(F.lit(CHECK + ".NET operation successful"))
-
-
-def _db_migrate(line: Column, low: Column, arg: Column) -> Effects:
-    error = contains_any(low, "error", "failed")
-    done = ~error & contains_any(low, "migrated", "migration successfully")
-    running = ~error & ~done & contains_any(line, "Applying migration", "Running migration")
-    return Effects(
-        fails=F.when(error, F.lit(True)).when(done, F.lit(False)),
-        add_errors=error,
-        event=F.when(error, F.concat(F.lit(CROSS), trim(line)))
-        .when(done, F.concat(F.lit("☑ "), trim(line)))
-        .when(running, F.concat(F.lit("→ "), trim(line))),
-    )
-
-
-def _npm(line: Column, low: Column, arg: Column) -> Effects:
-    error = line.contains("ERR!") | low.contains("npm error")
-    failing = line.contains("failing")
-    return Effects(
-        fails=_true(error | failing),
-        add_errors=error,
-        add_warnings=~error & (line.contains("WARN") | low.contains("npm warn")),
-        add_failed=failing,
-        add_passed=~failing & line.contains("passing"),
-        mark=error & low.contains("missing script"),
-        event=F.when(error, line),
-    )
-
-
-def _npm_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    return m.failure, F.when(m.mark, F.lit(CROSS + "Missing script error")).when(
-        m.failure, F.lit(CROSS + "NPM execution failed")
-    ).otherwise(F.lit(CHECK + "NPM execution completed"))
-
-
-def _red_lines(*needles: str):
-    def effects(line: Column, low: Column, arg: Column) -> Effects:
-        red = contains_any(line, *needles)
-        return Effects(fails=_true(red), add_errors=red, event=_when(red, CROSS, trim(line)))
-
-    return effects
-
-
-CARGO_RESULT = (
-    r"test result: (ok|FAILED)\. (\d+) passed; (\d+) failed; (\d+) ignored; (\d+) measured; "
-    r"(\d+) filtered out; finished in ([\d\.]+)s"
-)
-
-
-def _cargo(line: Column, low: Column, arg: Column) -> Effects:
-    error = contains_any(line, "error:", "error[")
-    warning = ~error & line.contains("warning:")
-    result = F.when(line.startswith("test result:"), line)
-    outcome = group(result, CARGO_RESULT, 1)
-    return Effects(
-        fails=F.coalesce(outcome == "FAILED", _true(error)),
-        add_errors=error,
-        add_warnings=warning,
-        set_passed=group_int(result, CARGO_RESULT, 2),
-        set_failed=group_int(result, CARGO_RESULT, 3),
-        set_duration=F.when(
-            outcome.isNotNull(),
-            F.coalesce(group(result, CARGO_RESULT, 7).try_cast("double"), F.lit(0.0)),
-        ),
-        event=F.when(error | warning, line),
-    )
-
-
-def _git(line: Column, low: Column, arg: Column) -> Effects:
-    status = arg == "status"
-    modified = status & line.startswith("modified:")
-    diffstat = matches(
-        line, r"(\d+) files? changed, (\d+) insertions?\(\+\), (\d+) deletions?\(-\)"
-    )
-    return Effects(
-        add_warnings=modified,
-        event=F.when(modified, F.concat(F.lit("☑ "), line))
-        .when(status & line.startswith("new file:"), F.concat(F.lit("✚ "), line))
-        .when(status & line.contains("branch"), F.concat(F.lit("\uf418 "), line)),
-        event2=_when(diffstat, "⌛ ", line),
-    )
-
-
-def _git_verdict(m: SimpleNamespace) -> tuple[Column, Column]:
-    return m.failure, F.when(
-        m.events > 0, F.concat(F.lit("Git "), m.argument, F.lit(" summary: "), m.joined(", "))
-    ).otherwise(F.concat(F.lit("Git "), m.argument, F.lit(" execution finished.")))
+def _red_lines(condition: str, mark: str = CROSS) -> dict[str, str]:
+    """Lines that fail the run, count as errors and are listed."""
+    return {
+        "fails": true_if(condition),
+        "add_errors": condition,
+        "event": when(condition, lit(mark), TRIMMED),
+    }
 
 
 # Tool keywords in order of precedence.
@@ -540,193 +105,469 @@ BUNDLER_SIGNS = ("webpack", "rollup", "esbuild", "next.js", "nuxt", "compiled su
 FORMATTERS = ("prettier", "stylelint")
 MIGRATORS = ("prisma", "migrate", "sequelize", "drizzle", "alembic", "knex")
 
+_vitest_red = f"({has('line', 'FAIL', 'failed')} AND {starts('line', 'FAIL ', CROSS)})"
+_vitest_failed = (
+    f"coalesce({group_int('line', r'(\d+)\s+failing')}, "
+    f"{group_int('line', r'Tests\s+(\d+)\s+failed')})"
+)
 VITEST = RuleFamily(
     "vitest",
-    _vitest,
+    {
+        "fails": true_if(f"{_vitest_red} OR {_vitest_failed} IS NOT NULL"),
+        "set_files": group_int("line", r"Test Files\s+(\d+)\s+passed"),
+        "set_passed": (
+            f"coalesce({group_int('line', r'(\d+)\s+passing')}, "
+            f"{group_int('line', r'Tests\s+(\d+)\s+passed')})"
+        ),
+        "set_failed": _vitest_failed,
+        "event": when(_vitest_red, "line"),
+    },
     _by_tests((CROSS, " tests failed"), (CHECK, " tests passed"), "Test execution completed"),
-    lambda c, a: c.isin("vitest", "jest") | _npm_script(c, a, "test"),
-    lambda x: contains_any(x, "vitest", "Test Files", "PASS ", "FAIL "),
+    "failed > 0",
+    lambda c, a1, a2: any_of(f"{c} IN ('vitest', 'jest')", _npm_script(c, a1, a2, "test")),
+    has("line", "vitest", "Test Files", "PASS ", "FAIL "),
 )
+
+_jest_totals = r"Tests:\s+(\d+) failed,\s+(\d+) passed,\s+(\d+) total"
 JEST = RuleFamily(
     "jest",
-    _jest,
+    {
+        "fails": true_if(f"{has('line', ' FAIL ')} OR {group_int('line', _jest_totals)} > 0"),
+        "set_failed": group_int("line", _jest_totals, 1),
+        "set_passed": group_int("line", _jest_totals, 2),
+        "event": when(has("line", " FAIL "), RED, TRIMMED),
+    },
     _by_tests(
         (CROSS + "Jest failed: ", " failed"),
         (CHECK + "Jest passed: ", " passed"),
         "Jest execution completed.",
     ),
-    lambda c, a: c.endswith("jest"),
-    lambda x: contains_any(x, "jest", "FAIL", "PASS", "Test Suites:"),
+    "failed > 0",
+    lambda c, a1, a2: ends(c, "jest"),
+    has("line", "jest", "FAIL", "PASS", "Test Suites:"),
 )
+
+_playwright_totals = r"(\d+) passed.*\(.*\)\s+(\d+) failed"
 PLAYWRIGHT = RuleFamily(
     "playwright",
-    _playwright,
+    {
+        **_red_lines(has("line", " Error: ")),
+        "set_passed": group_int("line", _playwright_totals, 1),
+        "set_failed": group_int("line", _playwright_totals, 2),
+    },
     _by_tests(
         (CROSS + "Playwright failed: ", " failed"),
         (CHECK + "Playwright passed: ", " passed"),
         "Playwright execution completed.",
     ),
-    lambda c, a: c.contains("playwright"),
+    "failed > 0",
+    lambda c, a1, a2: has(c, "playwright"),
 )
+
+_cypress_red = has("line", " (failed)", " ✖ ")
 CYPRESS = RuleFamily(
     "cypress",
-    _cypress,
+    {
+        "fails": true_if(_cypress_red),
+        "add_failed": _cypress_red,
+        "add_passed": f"NOT {_cypress_red} AND {has('line', ' (passed)', ' ✔ ')}",
+        "event": when(_cypress_red, RED, TRIMMED),
+    },
     _by_tests(
         (CROSS + "Cypress failed: ", " failing"),
         (CHECK + "Cypress passed: ", " passing"),
         "Cypress execution completed",
     ),
-    lambda c, a: c.contains("cypress"),
-    lambda x: contains_any(x, "cypress", "Run Finished", "Tests Results:"),
+    "failed > 0",
+    lambda c, a1, a2: has(c, "cypress"),
+    has("line", "cypress", "Run Finished", "Tests Results:"),
 )
+
+_pytest_totals = r"={2,}\s+(.*?)\s+in\s+([\d\.]+)s\s+={2,}"
+_pytest_section = has("line", "FAILURES", "ERRORS")
+_pytest_detail = f"(NOT {_pytest_section} AND {starts('line', 'E   ')})"
+
+
+def _pytest_outcome(word: str, earlier: str) -> str:
+    """Leading number of the last comma-separated part that names `word` and no earlier one."""
+    part = f"(?:(?!{earlier})[^,])*" if earlier else "[^,]*"
+    pattern = rf"(?d)^(?:.*,)?({part}{word}{part})(?:,.*)?\z"
+    totals = extract("line", _pytest_totals, 1)
+    token = (
+        f"regexp_extract({trim(f'regexp_extract({totals}, {lit(pattern)}, 1)')}, "
+        f"{lit(r'^[^\p{IsWhite_Space}]+')}, 0)"
+    )
+    return f"CASE WHEN {totals} RLIKE {lit(pattern)} THEN {leading_int(token)} END"
+
+
+_pytest_failed = _pytest_outcome("failed", "passed")
 PYTEST = RuleFamily(
     "pytest",
-    _pytest,
-    _pytest_verdict,
-    lambda c, a: c.endswith("pytest")
-    | ((c == "python") & (_arg(a, 1) == "-m") & (_arg(a, 2) == "pytest")),
-    lambda x: contains_any(x, "test session starts", "pytest")
-    | (x.contains("===") & x.contains("passed in")),
+    {
+        "fails": true_if(f"{_pytest_section} OR {_pytest_failed} IS NOT NULL"),
+        "add_errors": _pytest_detail,
+        "set_passed": _pytest_outcome("passed", ""),
+        "set_failed": _pytest_failed,
+        "set_warnings": _pytest_outcome("warning", "passed|failed"),
+        "set_duration": when(
+            match("line", _pytest_totals),
+            f"coalesce(try_cast({extract('line', _pytest_totals, 2)} AS DOUBLE), 0D)",
+        ),
+        "event": (
+            f"CASE WHEN {_pytest_section} THEN 'Found failures/errors section' "
+            f"WHEN {_pytest_detail} THEN line END"
+        ),
+    },
+    f"CASE WHEN failed > 0 OR errors > 0 THEN concat({lit(CROSS + 'Pytest failed: ')}, failed, "
+    f"' failed') WHEN passed > 0 THEN concat({lit(CHECK + 'Pytest passed: ')}, passed, ' passed') "
+    "ELSE 'Pytest execution completed.' END",
+    "failed > 0 OR errors > 0",
+    lambda c, a1, a2: any_of(
+        ends(c, "pytest"), f"({c} = 'python' AND {a1} = '-m' AND {a2} = 'pytest')"
+    ),
+    any_of(
+        has("line", "test session starts", "pytest"),
+        f"({has('line', '===')} AND {has('line', 'passed in')})",
+    ),
+)
+
+# First hit wins.
+_go_kind = (
+    f"CASE WHEN {has('line', '--- FAIL:')} THEN 'red' WHEN {has('line', '--- PASS:')} THEN 'green' "
+    f"WHEN {starts('line', 'FAIL' + chr(9))} THEN 'red suite' "
+    f"WHEN {starts('line', 'ok' + chr(9), 'PASS')} THEN 'green suite' "
+    f"WHEN {has('line', 'build failed', 'build errors')} THEN 'build' END"
 )
 GO_TEST = RuleFamily(
     "go test",
-    _go_test,
-    _go_test_verdict,
-    lambda c, a: (c == "go") & (_arg(a, 1) == "test"),
-    lambda x: startswith_any(x, "--- PASS:", "--- FAIL:", "ok\t", "FAIL\t"),
+    {
+        "fails": true_if(f"({_go_kind}) IN ('red', 'red suite', 'build')"),
+        "add_failed": f"({_go_kind}) = 'red'",
+        "add_passed": f"({_go_kind}) = 'green'",
+        "add_errors": f"({_go_kind}) = 'build'",
+        "event": (
+            f"CASE {_go_kind} WHEN 'red' THEN line "
+            f"WHEN 'red suite' THEN concat('Test suite failed: ', {TRIMMED}) "
+            f"WHEN 'green suite' THEN concat('Test suite passed: ', {TRIMMED}) "
+            "WHEN 'build' THEN concat('Build error: ', line) END"
+        ),
+    },
+    f"if(failure, concat({lit(CROSS + 'Go Tests Failed. Passed: ')}, passed, ', Failed: ', failed), "
+    f"concat({lit(CHECK + 'Go Tests Passed. Passed: ')}, passed))",
+    "failed > 0 OR errors > 0",
+    lambda c, a1, a2: f"({c} = 'go' AND {a1} = 'test')",
+    starts("line", "--- PASS:", "--- FAIL:", "ok\t", "FAIL\t"),
+)
+
+_flutter_red = has("line", "EXCEPTION: ", "Exception: ")
+_flutter_all = r"\+(\d+):\s*All tests passed!"
+_flutter_some = r"\+(\d+)\s*-(\d+):\s*Some tests failed"
+_flutter_failed = when(
+    f"NOT {match('line', _flutter_all)}", group_int("line", _flutter_some, 2)
 )
 FLUTTER_TEST = RuleFamily(
     "flutter_test",
-    _flutter_test,
+    {
+        "fails": true_if(f"{_flutter_red} OR ({_flutter_failed}) IS NOT NULL"),
+        "set_passed": f"coalesce({group_int('line', _flutter_all)}, {group_int('line', _flutter_some)})",
+        "set_failed": _flutter_failed,
+        "event": when(_flutter_red, "line"),
+    },
     _by_tests((CROSS, " tests failed"), (CHECK, " tests passed"), "Flutter test completed"),
-    lambda c, a: (c == "flutter") & (_arg(a, 1) == "test"),
-    lambda x: contains_any(x, "All tests passed!", "Some tests failed")
-    | (x.contains("Shell:") & x.contains("test")),
+    "failed > 0",
+    lambda c, a1, a2: f"({c} = 'flutter' AND {a1} = 'test')",
+    any_of(
+        has("line", "All tests passed!", "Some tests failed"),
+        f"({has('line', 'Shell:')} AND {has('line', 'test')})",
+    ),
 )
+
+_tsc_error = has("line", ": error TS")
 TYPESCRIPT = RuleFamily(
-    "typescript", _typescript, _typescript_verdict, lambda c, a: c.endswith("tsc")
+    "typescript",
+    {
+        "fails": true_if(f"{_tsc_error} OR ({has('line', 'Found')} AND {has('line', 'error')})"),
+        "add_errors": _tsc_error,
+        "event": when(
+            _tsc_error, _located(r"(.*?)\((\d+),(\d+)\): error (TS\d+): (.*)", "line")
+        ),
+    },
+    f"if(errors > 0, concat({lit(CROSS + 'Type checking failed: ')}, {{events: | }}), "
+    f"{lit(CHECK + 'Type checking passed')})",
+    by_command=lambda c, a1, a2: ends(c, "tsc"),
 )
+
 DART = RuleFamily(
-    "dart", _dart, _dart_verdict, lambda c, a: (c == "dart") & (_arg(a, 1) == "analyze")
+    "dart",
+    {
+        "fails": true_if(starts("line", "error ")),
+        "add_errors": starts("line", "error "),
+        "add_warnings": starts("line", "warning "),
+        "event": when(starts("line", "info ", "error ", "warning "), "line"),
+    },
+    f"CASE WHEN errors > 0 THEN {lit(CROSS + 'Dart analyze failed with error')} "
+    f"WHEN warnings > 0 THEN {lit(WARN + 'Dart analyze found warnings')} "
+    f"ELSE {lit(CHECK + 'Dart analyze passed')} END",
+    by_command=lambda c, a1, a2: f"({c} = 'dart' AND {a1} = 'analyze')",
 )
+
+_vite_sign = match("line", r"(?i)(?:ERROR|FAILED|Build failed)")
+_vite_error = f"({_vite_sign} AND NOT {has('low', '0 failed', 'operation succeeded')})"
 VITE = RuleFamily(
     "vite",
-    _vite,
-    _vite_verdict,
-    lambda c, a: (c == "vite") | _npm_script(c, a, "build", "dev"),
-    lambda x: x.contains("[vite]") | F.lower(x).contains("vite v"),
+    {
+        "fails": true_if(_vite_error),
+        "add_errors": _vite_error,
+        "add_warnings": f"NOT {_vite_sign} AND {has('low', 'warn')}",
+        "set_modules": group_int("line", r".*?\s*(\d+)\s+modules\s+(?:transformed|compiled)"),
+        "set_bundle": group("line", r"dist/.*?(\d+\.\d+\s*[KMG]B)"),
+        "event": when(_vite_error, "line"),
+    },
+    f"CASE WHEN bundle <> '' THEN concat({lit(CHECK + 'Build completed. Output: ')}, bundle, "
+    "if(failure, ' (with non-fatal errors detected)', '')) "
+    f"WHEN modules > 0 THEN concat({lit(CHECK + 'Build succeeded. ')}, modules, ' modules compiled') "
+    f"WHEN failure THEN {lit(CROSS + 'Vite build failed')} "
+    f"ELSE {lit(CHECK + 'Operation succeeded')} END",
+    by_command=lambda c, a1, a2: any_of(
+        f"{c} = 'vite'", _npm_script(c, a1, a2, "build", "dev")
+    ),
+    by_content=any_of(has("line", "[vite]"), has("low", "vite v")),
     event_cap=5,
 )
+
+_low_error = has("low", "error", "failed")
 BUILD_TOOL = RuleFamily(
     "buildtool",
-    _build_tool,
-    lambda m: (
-        m.failure,
-        F.when(m.failure, F.concat(F.lit(CROSS), m.tool, F.lit(" build failed"))).otherwise(
-            F.concat(F.lit(CHECK), m.tool, F.lit(" build successful"))
+    {
+        **_red_lines(_low_error),
+        "fails": (
+            f"CASE WHEN {_low_error} THEN true "
+            f"WHEN {has('low', 'compiled successfully', 'build successful')} THEN false END"
         ),
-    ),
-    lambda c, a: contains_any(c, *BUNDLERS),
-    lambda x: contains_any(F.lower(x), *BUNDLER_SIGNS),
-    BUNDLERS,
-    BUNDLER_SIGNS,
+    },
+    f"if(failure, concat({RED}, tool, ' build failed'), concat({lit(CHECK)}, tool, ' build successful'))",
+    by_command=lambda c, a1, a2: has(c, *BUNDLERS),
+    by_content=has("low", *BUNDLER_SIGNS),
+    command_keywords=BUNDLERS,
+    content_keywords=BUNDLER_SIGNS,
     event_cap=5,
 )
+
+_eslint_error = (
+    f"(({has('line', ' error ')} OR {starts(TRIMMED, 'error ')}) AND NOT "
+    f"{match('line', r'0\s+errors?')})"
+)
+
+
+def _counted(mark: str, name: str, noun: str) -> str:
+    return when(f"{name} > 0", lit(mark), name, lit(f" {noun}"), f"if({name} > 1, 's', '')")
+
+
 ESLINT = RuleFamily(
     "eslint",
-    _eslint,
-    _eslint_verdict,
-    lambda c, a: (c == "eslint")
-    | ((c == "npm") & (_arg(a, 1) == "run") & _arg(a, 2).contains("lint")),
-    lambda x: x.contains("eslint") | (x.contains("error") & x.contains("warning") & x.contains(":")),
+    {
+        "fails": true_if(_eslint_error),
+        "add_errors": _eslint_error,
+        "add_warnings": (
+            f"NOT {_eslint_error} AND ({has('line', ' warning ')} OR {starts(TRIMMED, 'warning ')})"
+        ),
+        "event": when(_eslint_error, "line"),
+    },
+    f"if(errors > 0 OR warnings > 0, concat_ws('\\n', {_counted(CROSS, 'errors', 'error')}, "
+    f"{_counted(WARN, 'warnings', 'warning')}), {lit(CHECK + 'No lint errors')})",
+    by_command=lambda c, a1, a2: any_of(
+        f"{c} = 'eslint'", f"({c} = 'npm' AND {a1} = 'run' AND {has(a2, 'lint')})"
+    ),
+    by_content=any_of(
+        has("line", "eslint"),
+        f"({has('line', 'error')} AND {has('line', 'warning')} AND {has('line', ':')})",
+    ),
 )
+
 LINTER = RuleFamily(
     "linter",
-    _linter,
-    lambda m: (
-        m.failure,
-        F.when(m.errors > 0, F.concat(F.lit(CROSS), m.tool, F.lit(" found issues"))).otherwise(
-            F.concat(F.lit(CHECK), m.tool, F.lit(" passed"))
-        ),
-    ),
-    lambda c, a: contains_any(c, *FORMATTERS),
+    _red_lines(_low_error, WARN),
+    f"if(errors > 0, concat({RED}, tool, ' found issues'), concat({lit(CHECK)}, tool, ' passed'))",
+    by_command=lambda c, a1, a2: has(c, *FORMATTERS),
     command_keywords=FORMATTERS,
     event_cap=5,
 )
+
 GOLANGCI = RuleFamily(
     "golangci-lint",
-    _golangci,
-    lambda m: (
-        m.failure,
-        F.when(m.errors > 0, F.lit(CROSS + "golangci-lint found issues")).otherwise(
-            F.lit(CHECK + "golangci-lint passed")
-        ),
+    _red_lines(
+        f"({has('line', ':')} AND {has('line', 'errcheck', 'unused', 'staticcheck')})", WARN
     ),
-    lambda c, a: c.endswith("golangci-lint"),
+    f"if(errors > 0, {lit(CROSS + 'golangci-lint found issues')}, "
+    f"{lit(CHECK + 'golangci-lint passed')})",
+    by_command=lambda c, a1, a2: ends(c, "golangci-lint"),
     event_cap=5,
 )
+
 FLUTTER_BUILD = RuleFamily(
     "flutter_build",
-    _flutter_build,
-    _flutter_build_verdict,
-    lambda c, a: (c == "flutter") & (_arg(a, 1) == "build"),
+    {
+        "fails": true_if(has("line", "Exception: ", "Error:")),
+        "set_artifact": group("line", r"Built\s+.*?\s+\((.*?)\)\."),
+        "event": when(has("line", "Exception: ", "Error:"), "line"),
+    },
+    f"CASE WHEN failure THEN {lit(CROSS + 'Flutter build failed')} WHEN artifact <> '' "
+    f"THEN concat({lit(CHECK + 'Flutter build succeeded')}, '\\nAPK size ', artifact) "
+    f"ELSE {lit(CHECK + 'Flutter build succeeded')} END",
+    by_command=lambda c, a1, a2: f"({c} = 'flutter' AND {a1} = 'build')",
 )
+
 FLUTTER_RUN = RuleFamily(
     "flutter_run",
-    _flutter_run,
+    _red_lines(
+        f"(NOT {has('line', 'Running with unset MSYS', 'Launching')} AND "
+        f"{has('line', 'Error', 'Exception')})"
+    ),
     _by_failure(CROSS + "Flutter run failed", CHECK + "Flutter app is running"),
-    lambda c, a: (c == "flutter") & (_arg(a, 1) == "run"),
+    by_command=lambda c, a1, a2: f"({c} = 'flutter' AND {a1} = 'run')",
 )
+
+_gradle_error = has("line", "error:", "e: ")
+_gradle_task = extract("line", r"^> Task :(.*)")
 GRADLE = RuleFamily(
     "gradle",
-    _gradle,
+    {
+        "fails": true_if(
+            any_of(
+                starts("line", "FAILURE: Build failed"), has("line", "FAILED"), _gradle_error
+            )
+        ),
+        "add_errors": _gradle_error,
+        "event": when(has(_gradle_task, "compile", "assemble", "bundle"), lit("⚙ "), _gradle_task),
+        "event2": when(_gradle_error, RED, TRIMMED),
+    },
     _by_failure(CROSS + "Gradle build failed", CHECK + "Gradle build succeeded"),
-    lambda c, a: c.contains("gradle"),
+    by_command=lambda c, a1, a2: has(c, "gradle"),
     event2_cap=10,
 )
+
+_net_error = has("line", ": error CS")
+_net_totals = r"(\d+) Error\(s\).*?(\d+) Warning\(s\)"
 DOTNET = RuleFamily(
     "dotnet",
-    _dotnet,
-    _dotnet_verdict,
-    lambda c, a: contains_any(c, "dotnet", "msbuild") | c.endswith("nuget"),
+    {
+        "fails": true_if(_net_error),
+        "add_errors": _net_error,
+        "add_warnings": f"NOT {_net_error} AND {has('line', ': warning CS')}",
+        "set_errors": group_int("line", _net_totals, 1),
+        "set_warnings": group_int("line", _net_totals, 2),
+        "event": when(
+            _net_error,
+            _located(r"(.*?)\((\d+),(\d+)\): error (CS\d+): (.*) \[(.*)\]", TRIMMED),
+        ),
+    },
+    f"if(errors > 0, concat({lit(CROSS + '.NET build failed with ')}, errors, ' errors'), "
+    f"{lit(CHECK + '.NET operation successful')})",
+    "errors > 0",
+    lambda c, a1, a2: any_of(has(c, "dotnet", "msbuild"), ends(c, "nuget")),
 )
+
+_migrated = has("low", "migrated", "migration successfully")
 DB_MIGRATE = RuleFamily(
     "dbmigrate",
-    _db_migrate,
+    {
+        "fails": f"CASE WHEN {_low_error} THEN true WHEN {_migrated} THEN false END",
+        "add_errors": _low_error,
+        "event": (
+            f"CASE WHEN {_low_error} THEN concat({RED}, {TRIMMED}) "
+            f"WHEN {_migrated} THEN concat({lit('☑ ')}, {TRIMMED}) "
+            f"WHEN {has('line', 'Applying migration', 'Running migration')} "
+            f"THEN concat({lit('→ ')}, {TRIMMED}) END"
+        ),
+    },
     _by_failure(CROSS + "Migration failed", CHECK + "DB Migration finished"),
-    lambda c, a: contains_any(c, *MIGRATORS),
+    by_command=lambda c, a1, a2: has(c, *MIGRATORS),
     command_keywords=MIGRATORS,
 )
+
+_npm_error = any_of(has("line", "ERR!"), has("low", "npm error"))
 NPM = RuleFamily(
     "npm",
-    _npm,
-    _npm_verdict,
-    lambda c, a: c.endswith("npm"),
-    lambda x: F.lower(x).contains("npm error") | x.contains("npm ERR!"),
+    {
+        "fails": true_if(any_of(_npm_error, has("line", "failing"))),
+        "add_errors": _npm_error,
+        "add_warnings": (
+            f"NOT {_npm_error} AND {any_of(has('line', 'WARN'), has('low', 'npm warn'))}"
+        ),
+        "add_failed": has("line", "failing"),
+        "add_passed": f"NOT {has('line', 'failing')} AND {has('line', 'passing')}",
+        "mark": f"{_npm_error} AND {has('low', 'missing script')}",
+        "event": when(_npm_error, "line"),
+    },
+    f"CASE WHEN mark THEN {lit(CROSS + 'Missing script error')} "
+    f"WHEN failure THEN {lit(CROSS + 'NPM execution failed')} "
+    f"ELSE {lit(CHECK + 'NPM execution completed')} END",
+    by_command=lambda c, a1, a2: ends(c, "npm"),
+    by_content=any_of(has("low", "npm error"), has("line", "npm ERR!")),
 )
+
 PNPM = RuleFamily(
     "pnpm",
-    _red_lines("ERR_PNPM_", "ERROR"),
+    _red_lines(has("line", "ERR_PNPM_", "ERROR")),
     _by_failure(CROSS + "pnpm command failed", CHECK + "pnpm command successful"),
-    lambda c, a: c.endswith("pnpm"),
+    by_command=lambda c, a1, a2: ends(c, "pnpm"),
 )
+
 YARN = RuleFamily(
     "yarn",
-    _red_lines("error ", "ERROR"),
+    _red_lines(has("line", "error ", "ERROR")),
     _by_failure(CROSS + "yarn command failed", CHECK + "yarn command successful"),
-    lambda c, a: c.endswith("yarn"),
+    by_command=lambda c, a1, a2: ends(c, "yarn"),
+)
+
+_cargo_error = has("line", "error:", "error[")
+_cargo_totals = (
+    r"test result: (ok|FAILED)\. (\d+) passed; (\d+) failed; (\d+) ignored; (\d+) measured; "
+    r"(\d+) filtered out; finished in ([\d\.]+)s"
 )
+_cargo_done = f"({starts('line', 'test result:')} AND {match('line', _cargo_totals)})"
 CARGO = RuleFamily(
     "cargo",
-    _cargo,
-    lambda m: (m.failure, F.lit("Cargo command finished")),
-    lambda c, a: c.endswith("cargo"),
+    {
+        "fails": (
+            f"CASE WHEN {_cargo_done} THEN {extract('line', _cargo_totals, 1)} = 'FAILED' "
+            f"WHEN {_cargo_error} THEN true END"
+        ),
+        "add_errors": _cargo_error,
+        "add_warnings": f"NOT {_cargo_error} AND {has('line', 'warning:')}",
+        "set_passed": when(_cargo_done, group_int("line", _cargo_totals, 2)),
+        "set_failed": when(_cargo_done, group_int("line", _cargo_totals, 3)),
+        "set_duration": when(
+            _cargo_done,
+            f"coalesce(try_cast({extract('line', _cargo_totals, 7)} AS DOUBLE), 0D)",
+        ),
+        "event": when(any_of(_cargo_error, has("line", "warning:")), "line"),
+    },
+    lit("Cargo command finished"),
+    by_command=lambda c, a1, a2: ends(c, "cargo"),
 )
+
+_git_diffstat = r"(\d+) files? changed, (\d+) insertions?\(\+\), (\d+) deletions?\(-\)"
+_git_modified = f"(argument = 'status' AND {starts('line', 'modified:')})"
 GIT = RuleFamily(
-    "git", _git, _git_verdict, lambda c, a: c.endswith("git") | c.endswith("git.exe")
+    "git",
+    {
+        "add_warnings": _git_modified,
+        "event": (
+            f"CASE WHEN argument <> 'status' THEN NULL "
+            f"WHEN {_git_modified} THEN concat({lit('☑ ')}, line) "
+            f"WHEN {starts('line', 'new file:')} THEN concat({lit('✚ ')}, line) "
+            f"WHEN {has('line', 'branch')} THEN concat({lit(chr(0xF418) + ' ')}, line) END"
+        ),
+        "event2": when(match("line", _git_diffstat), lit("⌛ "), "line"),
+    },
+    "if(events > 0, concat('Git ', argument, ' summary: ', {events:, }), "
+    "concat('Git ', argument, ' execution finished.'))",
+    by_command=lambda c, a1, a2: ends(c, "git", "git.exe"),
 )
+
 # The last resort has no rules of its own: see `summarize.semantic_summary`.
-FALLBACK = RuleFamily("fallback", None, None)
+FALLBACK = RuleFamily("fallback")
 
 # Order is precedence.
 BUILT_IN: tuple[RuleFamily, ...] = (

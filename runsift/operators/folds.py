@@ -8,32 +8,39 @@ second step as one row per block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import fields as dataclass_fields
-from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsift.functions.text import flag
-from runsift.operators.blocks import BLOCK, by_exec, EXEC, LINE_NO, block_of, into_blocks
-from runsift.operators.families import BUILT_IN, Effects, RuleFamily
+from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of, by_exec, into_blocks
+from runsift.operators.families import BUILT_IN, RuleFamily
 
 # Events kept inside the summary row. Longer lists stay whole in the `tool_events` rows.
 INLINE_EVENTS = 1000
 
-TYPES = {
+ADDS = ("errors", "warnings", "passed", "failed")
+SETS = {
+    "errors": "bigint",
+    "warnings": "bigint",
+    "passed": "bigint",
+    "failed": "bigint",
+    "files": "bigint",
+    "modules": "bigint",
+    "duration": "double",
+    "bundle": "string",
+    "artifact": "string",
+}
+ZERO = {"bigint": "0L", "double": "0D", "string": "''"}
+EFFECTS = {
     "fails": "boolean",
     "mark": "boolean",
-    "set_bundle": "string",
-    "set_artifact": "string",
-    "set_duration": "double",
+    **{f"add_{n}": "boolean" for n in ADDS},
+    **{f"set_{n}": kind for n, kind in SETS.items()},
     "event": "string",
     "event2": "string",
 }
-ADDS = ("errors", "warnings", "passed", "failed")
-SETS = ("errors", "warnings", "passed", "failed", "files", "modules", "duration")
-TEXTS = ("bundle", "artifact")
 METRICS = {
     "tests_passed": "passed",
     "tests_failed": "failed",
@@ -47,184 +54,208 @@ METRICS = {
 }
 
 
-def _by_family(choices: list[tuple[str, Column]], kind: str) -> Column:
-    out = F.lit(None).cast(kind)
-    for name, value in reversed(choices):
-        out = F.when(F.col("family") == name, value).otherwise(out)
-    return out
+def _by_family(choices: dict[int, str], kind: str, total: int) -> str:
+    """The choice of the row's family; without a CASE when there is one family only."""
+    if not choices:
+        return f"CAST(NULL AS {kind})"
+    if total == 1:
+        return f"CAST(({choices[0]}) AS {kind})"
+    cases = " ".join(f"WHEN {ix} THEN ({sql})" for ix, sql in choices.items())
+    return f"CAST(CASE fam {cases} END AS {kind})"
+
+
+def family_index(families: Sequence[RuleFamily]) -> str:
+    cases = " ".join(f"WHEN '{f.name}' THEN {ix}" for ix, f in enumerate(families))
+    return f"CASE family {cases} ELSE -1 END AS fam"
 
 
 def line_effects(rows: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
-    """Effect columns of every line. `rows` carries line, family and argument."""
-    line, low, argument = F.col("line"), F.col("_low"), F.col("argument")
-    built = {f.name: f.effects(line, low, argument) for f in families}
-    caps = {f.name: (f.event_cap, f.event2_cap) for f in families}
+    """Effect columns of every line. `rows` carries line, fam (index of the family) and
+    argument."""
     columns = []
-    for spec in dataclass_fields(Effects):
-        name = spec.name
-        default = "boolean" if name.startswith("add_") else TYPES.get(name, "bigint")
-        choices = [
-            (family, getattr(effects, name))
-            for family, effects in built.items()
-            if getattr(effects, name) is not None
-        ]
-        columns.append(_by_family(choices, default).alias(name))
-    for step, name in enumerate(("cap", "cap2")):
-        choices = [(f, F.lit(c[step])) for f, c in caps.items() if c[step] is not None]
-        columns.append(_by_family(choices, "int").alias(name))
-    keep = [c for c in (EXEC, BLOCK, LINE_NO, "family") if c in rows.columns]
-    return rows.withColumn("_low", F.lower("line")).select(*keep, *columns)
-
-
-def _last(value: str, order: Column) -> Column:
-    return F.max_by(value, F.when(F.col(value).isNotNull(), order))
+    for name, kind in EFFECTS.items():
+        choices = {ix: f.effects[name] for ix, f in enumerate(families) if name in f.effects}
+        columns.append(f"{_by_family(choices, kind, len(families))} AS {name}")
+    for name, attribute in (("cap", "event_cap"), ("cap2", "event2_cap")):
+        caps = {ix: getattr(f, attribute) for ix, f in enumerate(families)}
+        known = {ix: str(c) for ix, c in caps.items() if c is not None}
+        columns.append(f"{_by_family(known, 'int', len(families))} AS {name}")
+    return rows.withColumn("low", F.lower("line")).selectExpr(
+        EXEC, BLOCK, LINE_NO, "octet_length(line) + 1 AS bytes", *columns
+    )
+
+
+def _last(value: str, order: str) -> str:
+    return f"max_by({value}, CASE WHEN {value} IS NOT NULL THEN {order} END) AS {value}"
 
 
 def fold_blocks(effects: DataFrame) -> DataFrame:
     """Block rows of the fold. A totals line resets the error and warning counters, so counts
     are taken after the last reset of the block, and the block remembers that it had one."""
     in_block = Window.partitionBy(EXEC, BLOCK)
-    reset = F.max(F.when(F.col("set_errors").isNotNull(), F.col(LINE_NO))).over(in_block)
-    live = F.col("_reset").isNull() | (F.col(LINE_NO) > F.col("_reset"))
-    open_events = flag(F.col("event").isNotNull() & F.col("cap").isNull()) + flag(
-        F.col("event2").isNotNull() & F.col("cap2").isNull()
-    )
+    live = f"(_reset IS NULL OR {LINE_NO} > _reset)"
+    listed = f"struct({LINE_NO}, event, cap, event2, cap2)"
+    has_event = "(event IS NOT NULL OR event2 IS NOT NULL)"
+    aggregates = [
+        "max(_reset IS NOT NULL) AS _had_reset",
+        *[f"count_if({live} AND add_{n}) AS add_{n}" for n in ADDS],
+        *[_last(f"set_{n}", LINE_NO) for n in SETS],
+        _last("fails", LINE_NO),
+        "max(mark) AS mark",
+        "sum(bytes) AS bytes",
+        "count_if(event IS NOT NULL AND cap IS NULL) + "
+        "count_if(event2 IS NOT NULL AND cap2 IS NULL) AS _open_events",
+        f"count_if({has_event}) AS _event_lines",
+        # Bounded by the block; sorted, so that the cut keeps the first lines.
+        f"slice(sort_array(collect_list(CASE WHEN {has_event} THEN {listed} END)), 1, "
+        f"{INLINE_EVENTS}) AS _list",
+    ]
     return (
-        effects.withColumn("_reset", reset)
-        .groupBy(EXEC, BLOCK)
-        .agg(
-            F.max(F.col("_reset").isNotNull()).alias("_had_reset"),
-            *[F.sum(flag(live & F.col(f"add_{n}"))).alias(f"add_{n}") for n in ADDS],
-            *[_last(f"set_{n}", F.col(LINE_NO)).alias(f"set_{n}") for n in SETS + TEXTS],
-            _last("fails", F.col(LINE_NO)).alias("fails"),
-            F.max("mark").alias("mark"),
-            F.sum(open_events).alias("_open_events"),
+        effects.withColumn(
+            "_reset", F.max(F.expr(f"CASE WHEN set_errors IS NOT NULL THEN {LINE_NO} END")).over(in_block)
         )
+        .groupBy(EXEC, BLOCK)
+        .agg(*[F.expr(a) for a in aggregates])
     )
 
 
 def combine_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per execution from its block rows."""
-    last_reset = F.max(F.when(F.col("_had_reset"), F.col(BLOCK))).over(by_exec())
-    live = F.col("_last_reset").isNull() | (F.col(BLOCK) >= F.col("_last_reset"))
+    """One row per execution from its block rows.
+
+    Event lists are taken from the first blocks only, up to the inline limit; the number of
+    event lines in earlier blocks tells which ones.
+    """
+    live = f"(_last_reset IS NULL OR {BLOCK} >= _last_reset)"
+    lists = f"CASE WHEN _before < {INLINE_EVENTS} AND _event_lines > 0 THEN struct({BLOCK}, _list) END"
+    aggregates = [
+        *[f"sum(CASE WHEN {live} THEN add_{n} ELSE 0 END) AS add_{n}" for n in ADDS],
+        *[_last(f"set_{n}", BLOCK) for n in SETS],
+        _last("fails", BLOCK),
+        "max(mark) AS mark",
+        "sum(bytes) AS bytes",
+        "sum(_open_events) AS _open_events",
+        f"slice(flatten(sort_array(collect_list({lists}))._list), 1, {INLINE_EVENTS}) AS _list",
+    ]
     return (
-        blocks.withColumn("_last_reset", last_reset)
-        .groupBy(EXEC)
-        .agg(
-            *[F.sum(F.when(live, F.col(f"add_{n}")).otherwise(0)).alias(f"add_{n}") for n in ADDS],
-            *[_last(f"set_{n}", F.col(BLOCK)).alias(f"set_{n}") for n in SETS + TEXTS],
-            _last("fails", F.col(BLOCK)).alias("fails"),
-            F.max("mark").alias("mark"),
-            F.sum("_open_events").alias("_open_events"),
+        blocks.withColumns(
+            {
+                "_last_reset": F.max(F.expr(f"CASE WHEN _had_reset THEN {BLOCK} END")).over(by_exec()),
+                "_before": F.expr(
+                    f"coalesce(sum(_event_lines) OVER (PARTITION BY {EXEC} ORDER BY {BLOCK} "
+                    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+                ),
+            }
         )
+        .groupBy(EXEC)
+        .agg(*[F.expr(a) for a in aggregates])
     )
 
 
 def event_rows(effects: DataFrame) -> DataFrame:
     """Candidate events (exec_id, line_no, step, event, cap), before the caps."""
-    both = F.array(
-        F.struct(F.lit(1).alias("step"), F.col("event").alias("event"), F.col("cap").alias("cap")),
-        F.struct(F.lit(2).alias("step"), F.col("event2").alias("event"), F.col("cap2").alias("cap")),
-    )
     return (
-        effects.filter(F.col("event").isNotNull() | F.col("event2").isNotNull())
-        .select(EXEC, LINE_NO, F.explode(both).alias("_e"))
-        .select(EXEC, LINE_NO, "_e.step", "_e.event", "_e.cap")
-        .filter(F.col("event").isNotNull())
+        effects.filter("event IS NOT NULL OR event2 IS NOT NULL")
+        .selectExpr(
+            EXEC,
+            LINE_NO,
+            "inline(array(struct(1 AS step, event AS event, cap AS cap), "
+            "struct(2 AS step, event2 AS event, cap2 AS cap)))",
+        )
+        .filter("event IS NOT NULL")
     )
 
 
-def _first_events(candidates: DataFrame, n: int) -> DataFrame:
-    """First n candidates of each execution; Spark cuts to n per task before the shuffle."""
-    order = by_exec().orderBy(LINE_NO, "step")
-    return candidates.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
-
-
 def tool_events(effects: DataFrame, families: Sequence[RuleFamily] = BUILT_IN) -> DataFrame:
     """All kept events as rows in (line_no, step) order, however many an execution has.
 
-    Uncapped events need no ranking. Capped ones only can be among the first `cap` candidates.
+    Uncapped events need no ranking. Capped ones only can be among the first `cap` candidates,
+    and Spark cuts to that many rows per task before the shuffle.
     """
     candidates = event_rows(effects)
     caps = [c for f in families for c in (f.event_cap, f.event2_cap) if c is not None]
-    kept = candidates.filter(F.col("cap").isNull())
+    kept = candidates.filter("cap IS NULL")
     if caps:
-        capped = _first_events(candidates, max(caps)).filter(F.col("_rn") <= F.col("cap"))
+        order = by_exec().orderBy(LINE_NO, "step")
+        capped = (
+            candidates.withColumn("_rn", F.row_number().over(order))
+            .filter(F.col("_rn") <= max(caps))
+            .filter("_rn <= cap")
+        )
         kept = kept.unionByName(capped.drop("_rn"))
     return kept.drop("cap")
 
 
-def event_lists(effects: DataFrame) -> DataFrame:
-    """The events of each execution as one bounded array."""
-    first = _first_events(event_rows(effects), INLINE_EVENTS).filter(
-        F.col("cap").isNull() | (F.col("_rn") <= F.col("cap"))
-    )
-    return first.groupBy(EXEC).agg(
-        F.sort_array(F.collect_list(F.struct(LINE_NO, "step", "event")))
-        .getField("event")
-        .alias("_events"),
-        F.count_if(F.col("cap").isNull()).alias("_open_listed"),
+def _joined_events(text: str) -> str:
+    """Fill `{events:<separator>}`. A list too long for one cell is counted here and stands
+    whole in `tool_events`."""
+    return re.sub(
+        r"\{events:(.*?)\}",
+        lambda m: f"if(events_overflow, concat(events, ' events'), array_join(_events, '{m[1]}'))",
+        text,
     )
 
 
 def verdicts(folded: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
-    """Status and text from the metrics. `folded` has one row per execution with tool, family,
+    """Status and text from the metrics. `folded` has one row per execution with tool, fam,
     argument and (maybe null) fold columns."""
-    no_events = F.array().cast("array<string>")
-    base = folded.select(
-        EXEC,
-        "tool",
-        "family",
-        "argument",
-        F.coalesce("fails", F.lit(False)).alias("failure"),
-        F.coalesce("mark", F.lit(False)).alias("mark"),
-        *[
-            (F.coalesce(f"set_{n}", F.lit(0)) + F.coalesce(f"add_{n}", F.lit(0))).alias(n)
-            for n in ADDS
-        ],
-        *[F.coalesce(f"set_{n}", F.lit(0)).alias(n) for n in ("files", "modules")],
-        F.coalesce("set_duration", F.lit(0.0)).alias("duration"),
-        *[F.coalesce(f"set_{n}", F.lit("")).alias(n) for n in TEXTS],
-        F.coalesce("_open_events", F.lit(0)).alias("events"),
-        (F.coalesce("_open_events", F.lit(0)) > F.coalesce("_open_listed", F.lit(0))).alias(
-            "events_overflow"
-        ),
-        F.coalesce("_events", no_events).alias("_events"),
+    pairs = (
+        "flatten(transform(_list, x -> array(struct(x.event AS event, x.cap AS cap), "
+        "struct(x.event2 AS event, x.cap2 AS cap))))"
     )
-
-    def joined(separator: str) -> Column:
-        # A list too long for one cell is counted here and whole in `tool_events`.
-        return F.when(
-            F.col("events_overflow"), F.concat(F.col("events").cast("string"), F.lit(" events"))
-        ).otherwise(F.array_join("_events", separator))
-
-    names = [*ADDS, "files", "modules", "bundle", "artifact", "failure", "mark", "events"]
-    m = SimpleNamespace(
-        **{n: F.col(n) for n in [*names, "tool", "argument"]},
-        joined=joined,
+    metrics = [
+        f"coalesce(set_{n}, {ZERO[kind]})" + (f" + coalesce(add_{n}, 0L)" if n in ADDS else "") + f" AS {n}"
+        for n, kind in SETS.items()
+    ]
+    base = (
+        folded.selectExpr(
+            EXEC,
+            "tool",
+            "fam",
+            "argument",
+            "coalesce(fails, false) AS failing",
+            "coalesce(mark, false) AS mark",
+            *metrics,
+            "coalesce(bytes, 0L) AS original_bytes",
+            "coalesce(_open_events, 0L) AS events",
+            f"filter({pairs}, x -> x.event IS NOT NULL) AS _listed",
+        )
+        .withColumn(
+            "_kept", F.expr("filter(_listed, (x, i) -> x.cap IS NULL OR i < x.cap)")
+        )
+        .withColumns(
+            {
+                "events_overflow": F.expr(
+                    "events > coalesce(size(filter(_kept, x -> x.cap IS NULL)), 0)"
+                ),
+                "_events": F.expr("coalesce(_kept.event, CAST(array() AS array<string>))"),
+            }
+        )
     )
-    built = [(f.name, f.verdict(m)) for f in families]
-    failure = _by_family([(n, v[0]) for n, v in built], "boolean")
-    text = _by_family([(n, v[1]) for n, v in built], "string")
-    return base.select(
+    total = len(families)
+    failure = _by_family({ix: f"failing OR {f.bad}" for ix, f in enumerate(families)}, "boolean", total)
+    text = _by_family({ix: _joined_events(f.text) for ix, f in enumerate(families)}, "string", total)
+    return base.withColumn("failure", F.expr(failure)).selectExpr(
         EXEC,
         "tool",
-        F.when(failure, F.lit("failure")).otherwise(F.lit("success")).alias("status"),
-        text.alias("summary"),
-        *[F.col(v).alias(k) for k, v in METRICS.items()],
-        F.when(~F.col("events_overflow"), F.col("_events")).alias("important_events"),
+        "if(failure, 'failure', 'success') AS status",
+        f"{text} AS summary",
+        *[f"{v} AS {k}" for k, v in METRICS.items()],
+        "if(events_overflow, NULL, _events) AS important_events",
         "events_overflow",
+        "original_bytes",
     )
 
 
-def attach_tools(cleaned: DataFrame, lines: DataFrame, tools: DataFrame) -> DataFrame:
+def attach_tools(
+    cleaned: DataFrame, lines: DataFrame, tools: DataFrame, families: Sequence[RuleFamily]
+) -> DataFrame:
     """Put the tool of the execution on its lines without moving the lines.
 
     Joining on exec_id would shuffle all text by execution; the tool is joined to the block
     keys instead (read from two columns of `lines`) and reaches the lines by (exec_id, block).
     """
     keys = lines.select(EXEC, block_of(F.col(LINE_NO)).alias(BLOCK)).distinct()
-    by_block = keys.join(tools.select(EXEC, "family", "argument"), EXEC)
+    by_block = keys.join(tools.selectExpr(EXEC, family_index(families), "argument"), EXEC)
     return cleaned.join(by_block, [EXEC, BLOCK])
 
 
@@ -232,23 +263,14 @@ def fold_effects(
     effects: DataFrame, executions: DataFrame, families: Sequence[RuleFamily]
 ) -> DataFrame:
     """Fold of prepared effects; `executions` gives exec_id, tool, family and argument."""
-    return verdicts(
-        executions.join(combine_blocks(fold_blocks(effects)), EXEC, "left").join(
-            event_lists(effects), EXEC, "left"
-        ),
-        families,
-    )
+    named = executions.selectExpr(EXEC, "tool", family_index(families), "argument")
+    return verdicts(named.join(combine_blocks(fold_blocks(effects)), EXEC, "left"), families)
 
 
 def fold_as(
     lines: DataFrame, family: RuleFamily, tool: str | None = None, argument: str = ""
 ) -> DataFrame:
     """Read every log as if `family` had produced it. `lines` are cleaned lines."""
-    columns = {
-        "tool": F.lit(tool or family.name),
-        "family": F.lit(family.name),
-        "argument": F.lit(argument),
-    }
+    columns = {"tool": F.lit(tool or family.name), "fam": F.lit(0), "argument": F.lit(argument)}
     effects = line_effects(into_blocks(lines).withColumns(columns), [family])
-    folded = combine_blocks(fold_blocks(effects)).withColumns(columns)
-    return verdicts(folded.join(event_lists(effects), EXEC, "left"), [family])
+    return verdicts(combine_blocks(fold_blocks(effects)).withColumns(columns), [family])

@@ -5,11 +5,12 @@ All inputs are reduced lines, so an execution has a bounded number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.text import re2, trim
-from runsift.operators.blocks import by_exec, EXEC
+from runsift.functions.sqltext import extract, lit, match, trim
+from runsift.operators.blocks import EXEC
+from runsift.operators.digest import KEY_EVENTS, is_key_event
 from runsift.operators.reduce import IDX
 
 # Fixed values, in order of precedence: priority, error type, pattern, text before the capture,
@@ -33,107 +34,98 @@ NEAR_BEFORE, NEAR_AFTER = 5, 4
 FILE_SALTS = 16
 
 
-def pattern_hit(line: Column) -> Column:
-    """First matching pattern in order as struct(priority, pattern_ix, error_type, cause).
+def pattern_hit(index: str = "idx") -> str:
+    """SQL of the first matching pattern of `line`, by precedence, as struct(priority, at,
+    pattern_ix, error_type, cause). Its order is that of the best cause of an execution:
+    priority, then earliest line.
 
     The patterns are listed by priority, so within a line the first is also the best.
     """
-    text = trim(line)
-    out = F.lit(None)
-    for ix, (priority, kind, pattern, before, after, trimmed) in reversed(
-        list(enumerate(ERROR_PATTERNS))
-    ):
-        java = re2(pattern)
-        captured = F.regexp_extract(text, java, 1)
-        cause = F.concat(F.lit(before), trim(captured) if trimmed else captured, F.lit(after))
-        hit = F.struct(
-            F.lit(priority).alias("priority"),
-            F.lit(ix).alias("pattern_ix"),
-            F.lit(kind).alias("error_type"),
-            cause.alias("cause"),
+    cases = []
+    for ix, (priority, kind, pattern, before, after, trimmed) in enumerate(ERROR_PATTERNS):
+        captured = extract("_text", pattern)
+        cause = trim(captured) if trimmed else captured
+        cases.append(
+            f"WHEN {match('_text', pattern)} THEN struct({priority} AS priority, {index} AS at, "
+            f"{ix} AS pattern_ix, {lit(kind)} AS error_type, "
+            f"concat({lit(before)}, {cause}, {lit(after)}) AS cause)"
         )
-        out = F.when(text.rlike(java), hit).otherwise(out)
-    return F.when(text.rlike(re2(ANY_SIGN)), out)
+    return f"CASE WHEN {match('_text', ANY_SIGN)} THEN CASE {' '.join(cases)} END END"
+
+
+def _with_hit(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(EXEC, IDX, "line", f"{trim('line')} AS _text").selectExpr(
+        EXEC, IDX, "line", f"{pattern_hit(IDX)} AS _hit"
+    )
 
 
 def match_error_patterns(rows: DataFrame) -> DataFrame:
     return (
-        rows.select(EXEC, IDX, pattern_hit(F.col("line")).alias("_hit"))
-        .filter(F.col("_hit").isNotNull())
+        _with_hit(rows)
+        .filter("_hit IS NOT NULL")
         .select(EXEC, IDX, "_hit.priority", "_hit.pattern_ix", "_hit.error_type", "_hit.cause")
     )
 
 
-def _best() -> Column:
-    return F.min(F.struct("priority", IDX, "pattern_ix", "error_type", "cause"))
-
-
 def root_cause(rows: DataFrame) -> DataFrame:
     """Best cause per execution: priority, then earliest line, then pattern order."""
     return (
-        match_error_patterns(rows)
+        _with_hit(rows)
         .groupBy(EXEC)
-        .agg(_best().alias("_b"))
-        .select(EXEC, f"_b.{IDX}", "_b.priority", "_b.error_type", F.col("_b.cause").alias("cause"))
+        .agg(F.min("_hit").alias("_best"))
+        .filter("_best IS NOT NULL")
+        .selectExpr(
+            EXEC, f"_best.at AS {IDX}", "_best.priority", "_best.error_type", "_best.cause AS cause"
+        )
     )
 
 
-def with_cause(rows: DataFrame) -> DataFrame:
-    """Reduced lines of executions that have a cause, each row knowing the cause and its index."""
-    hit = pattern_hit(F.col("line"))
+def _around(before: int, after: int) -> str:
+    first = f"greatest(_best.at - {before}, 0)"
     return (
-        rows.select(EXEC, IDX, "line", hit.alias("_hit"))
-        .withColumn(
-            "_best",
-            F.min(
-                F.when(
-                    F.col("_hit").isNotNull(),
-                    F.struct(
-                        F.col("_hit.priority").alias("priority"),
-                        F.col(IDX).alias("at"),
-                        F.col("_hit.pattern_ix").alias("pattern_ix"),
-                        F.col("_hit.error_type").alias("error_type"),
-                        F.col("_hit.cause").alias("cause"),
-                    ),
-                )
-            ).over(by_exec()),
-        )
-        .filter(F.col("_best").isNotNull())
-        .withColumn("_off", F.col(IDX) - F.col("_best.at"))
+        f"slice(_lines.line, CAST({first} AS INT) + 1, "
+        f"CAST(_best.at + {after} - {first} AS INT) + 1)"
     )
 
 
-def _near(off: Column, before: int, after: int) -> Column:
-    return off.between(-before, after)
-
-
-def cause_windows(rows: DataFrame) -> DataFrame:
-    """One row per execution with a cause: the cause, its context lines and the lines near it."""
-    off = F.col("_off")
-
-    def lines_within(before: int, after: int) -> Column:
-        picked = F.when(_near(off, before, after), F.struct(IDX, "line"))
-        return F.sort_array(F.collect_list(picked)).getField("line")
-
+def execution_facts(rows: DataFrame) -> DataFrame:
+    """One row per execution: its cause (null if none) with the lines around it, and its key
+    events. One aggregate: reduced rows are few per execution, so their list is bounded and
+    neighbours are slices of it."""
     return (
-        with_cause(rows)
-        .filter(_near(off, NEAR_BEFORE, NEAR_AFTER))
+        _with_hit(rows)
         .groupBy(EXEC)
         .agg(
-            F.first("_best").alias("_best"),
-            lines_within(CONTEXT_BEFORE, CONTEXT_AFTER).alias("context"),
-            lines_within(NEAR_BEFORE, NEAR_AFTER).alias("_near"),
+            F.min("_hit").alias("_best"),
+            F.expr(f"sort_array(collect_list(struct({IDX}, line))) AS _lines"),
+            F.expr(
+                f"sort_array(collect_list(CASE WHEN {is_key_event()} THEN struct({IDX}, line) END)) "
+                "AS _keys"
+            ),
+        )
+        .selectExpr(
+            EXEC,
+            "_best.at AS at",
+            "_best.error_type AS error_type",
+            "_best.cause AS cause",
+            f"CASE WHEN _best IS NOT NULL THEN {_around(CONTEXT_BEFORE, CONTEXT_AFTER)} END AS context",
+            f"CASE WHEN _best IS NOT NULL THEN {_around(NEAR_BEFORE, NEAR_AFTER)} END AS _near",
+            f"slice(_keys.line, greatest(size(_keys) - {KEY_EVENTS - 1}, 1), {KEY_EVENTS}) AS key_events",
         )
-        .select(EXEC, "_best.error_type", F.col("_best.cause").alias("cause"), "context", "_near")
     )
 
 
+def cause_windows(rows: DataFrame) -> DataFrame:
+    """Executions that have a cause: the cause, its context lines and the lines near it."""
+    return execution_facts(rows).filter("cause IS NOT NULL").drop("key_events")
+
+
 def error_context(rows: DataFrame) -> DataFrame:
     """The reduced lines around the cause, as rows."""
     return (
-        with_cause(rows)
-        .filter(_near(F.col("_off"), CONTEXT_BEFORE, CONTEXT_AFTER))
-        .select(EXEC, IDX, "line")
+        cause_windows(rows)
+        .select(EXEC, "at", F.posexplode("context").alias("_k", "line"))
+        .selectExpr(EXEC, f"greatest(at - {CONTEXT_BEFORE}, 0) + _k AS {IDX}", "line")
     )
 
 
@@ -146,33 +138,37 @@ def correlate_changes(windows: DataFrame, changed_files: DataFrame) -> DataFrame
     files = (
         changed_files.select(EXEC, "path")
         .distinct()
-        .withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(FILE_SALTS)).cast("int"))
+        .withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(path), {FILE_SALTS}) AS INT)"))
+    )
+    near = windows.filter("cause IS NOT NULL").selectExpr(
+        EXEC, "_near", f"explode(sequence(0, {FILE_SALTS - 1})) AS _salt"
     )
-    salts = F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))
-    near = windows.select(EXEC, F.array_join("_near", "\n").alias("_text"), F.explode(salts).alias("_salt"))
     return (
         files.join(near, [EXEC, "_salt"])
-        .filter(F.col("_text").contains(F.col("path")))
+        .filter("exists(_near, x -> contains(x, path))")
         .groupBy(EXEC)
         .agg(F.sort_array(F.collect_list("path")).alias("correlated_changes"))
     )
 
 
-def error_intel(rows: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """exec_id, root_cause (with the note on changed files), error_type, context,
-    correlated_changes."""
-    windows = cause_windows(rows)
+def with_changes(windows: DataFrame, changed_files: DataFrame) -> DataFrame:
+    """Add root_cause (the cause with the note on changed files) and correlated_changes."""
     changes = correlate_changes(windows, changed_files)
-    note = F.concat(
-        F.lit("\n\nNote: This error might be related to recent changes in: "),
-        F.array_join("correlated_changes", ", "),
+    note = (
+        "concat('\\n\\nNote: This error might be related to recent changes in: ', "
+        "array_join(correlated_changes, ', '))"
     )
-    return windows.join(changes, EXEC, "left").select(
-        EXEC,
-        F.concat("cause", F.coalesce(note, F.lit(""))).alias("root_cause"),
-        "error_type",
-        "context",
-        F.coalesce("correlated_changes", F.array().cast("array<string>")).alias(
-            "correlated_changes"
-        ),
+    return (
+        windows.join(changes, EXEC, "left")
+        .withColumn("root_cause", F.expr(f"concat(cause, coalesce({note}, ''))"))
+        .withColumn(
+            "correlated_changes",
+            F.expr("coalesce(correlated_changes, CAST(array() AS array<string>))"),
+        )
+        .drop("cause", "at", "_near")
     )
+
+
+def error_intel(rows: DataFrame, changed_files: DataFrame) -> DataFrame:
+    """exec_id, error_type, context, root_cause, correlated_changes."""
+    return with_changes(cause_windows(rows), changed_files)

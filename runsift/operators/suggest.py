@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.text import re2
+from runsift.functions.sqltext import lit, match, when
 from runsift.operators.blocks import EXEC
 from runsift.operators.families import SHIPPED, Extension
 
@@ -38,28 +38,27 @@ def extended_rules(
     return rules
 
 
-def rule_hits(cause: Column, error_type: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Array with the suggestion of each rule that applies, in rule order (repeats dropped).
+def rule_hits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """Array with the suggestion of each rule that applies to root_cause and error_type, in rule
+    order (repeats dropped).
 
     The rules are few and known when the plan is built: compiled into constant patterns they
     cost one row-local expression, and no join.
     """
-    low_cause, low_type = F.lower(cause), F.lower(error_type)
-    hits = [
-        F.when(
-            (F.lit(True) if kind == "" else low_type == kind) & low_cause.rlike(re2(pattern)),
-            F.lit(text),
-        )
-        for kind, pattern, text in rules
-    ]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    hits = []
+    for kind, pattern, text in rules:
+        applies = match("lower(root_cause)", pattern)
+        if kind:
+            applies = f"lower(error_type) = {lit(kind)} AND {applies}"
+        hits.append(when(applies, lit(text)))
+    return F.expr(f"array_distinct(filter(array({', '.join(hits)}), x -> x IS NOT NULL))")
 
 
 def suggest_fixes(intel: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """exec_id and its ordered suggestions; executions without any are left out."""
     return (
         intel.filter(F.col("root_cause") != "")
-        .select(EXEC, rule_hits(F.col("root_cause"), F.col("error_type"), rules).alias("suggestions"))
+        .select(EXEC, rule_hits(rules).alias("suggestions"))
         .filter(F.size("suggestions") > 0)
     )
 

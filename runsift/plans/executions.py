@@ -17,8 +17,6 @@ from runsift.operators.clean import clean_blocks, clean_lines, sample_head
 from runsift.operators.detect import as_pasted, detect_tool
 from runsift.operators.digest import (
     digest_text,
-    key_event_lists,
-    original_bytes,
     resource_usage,
     savings_percentage,
 )
@@ -31,7 +29,7 @@ from runsift.operators.folds import (
     tool_events,
 )
 from runsift.operators.reduce import compress_lines, optimize_bounded, reduce_lines
-from runsift.operators.rootcause import error_intel
+from runsift.operators.rootcause import execution_facts, with_changes
 from runsift.operators.suggest import RULES, Rule, rule_hits
 from runsift.operators.summarize import semantic_summary, summarize_rows, with_verdict
 from runsift.sources.logs import split_log_blob
@@ -75,7 +73,7 @@ def summarize_tools(
     """One summary per execution of `tools`: the fold of its family, or the generic summary of
     its compressed lines where the tool is unknown."""
     distinct = list({f.name: f for f in families}.values())
-    effects = line_effects(attach_tools(cleaned, lines, tools), distinct)
+    effects = line_effects(attach_tools(cleaned, lines, tools, distinct), distinct)
     folded = fold_effects(effects, tools, distinct)
     unknown = tools.filter(F.col("family") == FALLBACK.name).select(EXEC)
     zero = ["errors", "warnings", "_is_error", "_succeeded", "_completed", "_tested"]
@@ -114,7 +112,7 @@ def all_tool_events(
     distinct = list({f.name: f for f in families}.values())
     cleaned = clean_blocks(lines)
     tools = tools_of(executions, cleaned, families)
-    return tool_events(line_effects(attach_tools(cleaned, lines, tools), distinct), distinct)
+    return tool_events(line_effects(attach_tools(cleaned, lines, tools, distinct), distinct), distinct)
 
 
 def execution_summary(
@@ -134,13 +132,14 @@ def execution_summary(
     """
     spark = executions.sparkSession
     cleaned = stage(clean_blocks(lines))
-    compressed = stage(compress_lines(cleaned))
-    reduced = optimize_bounded(compressed)
+    # One exchange of the bounded rows for the generic summary and for the second reduction.
+    compressed = stage(compress_lines(cleaned).repartition(EXEC))
+    facts = execution_facts(optimize_bounded(compressed))
     tools = tools_of(executions, cleaned, families)
     summaries = summarize_tools(tools, lines, cleaned, compressed, families)
     if changed_files is None:
         changed_files = executions.select(EXEC, F.lit("").alias("path")).limit(0)
-    intel = error_intel(reduced, changed_files)
+    intel = with_changes(facts, changed_files)
     usage = (
         resource_usage(samples)
         if samples is not None
@@ -149,7 +148,7 @@ def execution_summary(
         )
     )
     elapsed = F.unix_micros(F.col("end_ts")) - F.unix_micros(F.col("start_ts"))
-    facts = executions.select(
+    runs = executions.select(
         EXEC,
         "cmd",
         "exit_code",
@@ -159,10 +158,8 @@ def execution_summary(
         (F.call_function("div", elapsed + 5000, F.lit(10000)) / F.lit(100.0)).alias("_wall"),
     )
     joined = (
-        facts.join(summaries, EXEC)
+        runs.join(summaries, EXEC)
         .join(intel, EXEC, "left")
-        .join(key_event_lists(reduced), EXEC, "left")
-        .join(original_bytes(cleaned), EXEC, "left")
         .join(usage, EXEC, "left")
     )
     failed = (F.col("exit_code") != 0) | (F.col("status") == "failure")
@@ -188,7 +185,7 @@ def execution_summary(
             explained,
             F.struct("root_cause", "error_type", "context", "correlated_changes"),
         ).alias("error_intel"),
-        F.when(explained, rule_hits(F.col("root_cause"), F.col("error_type"), rules)).alias(
+        F.when(explained, rule_hits(rules)).alias(
             "suggestions"
         ),
         artifact_path(F.col(EXEC)).alias("artifact_path"),
