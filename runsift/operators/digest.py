@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.sqltext import has
+from runsift.functions.sqltext import has, lit, when
 from runsift.operators.blocks import by_exec, EXEC
 from runsift.operators.reduce import IDX
 
@@ -32,45 +32,35 @@ def key_events(rows: DataFrame, n: int = KEY_EVENTS) -> DataFrame:
     )
 
 
-def _line(label: str, value: Column, shown: Column, suffix: str = "") -> Column:
-    return F.when(shown, F.concat(F.lit(label), value.cast("string"), F.lit(suffix)))
-
-
-def digest_text(
-    command: Column,
-    status: Column,
-    modules: Column,
-    passed: Column,
-    failed: Column,
-    bundle: Column,
-    artifact: Column,
-    duration: Column,
-    events: Column,
-) -> Column:
-    """The digest block. Absent lines are null and `concat_ws` skips them."""
-    facts = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Command: "), command),
-        F.concat(F.lit("Status: "), status),
-        _line("Modules compiled: ", modules, modules > 0),
-        _line("Tests passed: ", passed, passed > 0),
-        _line("Tests failed: ", failed, failed > 0),
-        _line("Bundle size: ", bundle, bundle != ""),
-        _line("Artifact size: ", artifact, artifact != ""),
-        _line("Duration: ", F.format_string("%.2f", duration), duration > 0, "s"),
+# Label, column, unit and condition of each fact in the digest.
+FACTS = (
+    ("Modules compiled: ", "modules_compiled", "", "modules_compiled > 0"),
+    ("Tests passed: ", "tests_passed", "", "tests_passed > 0"),
+    ("Tests failed: ", "tests_failed", "", "tests_failed > 0"),
+    ("Bundle size: ", "bundle_size", "", "bundle_size <> ''"),
+    ("Artifact size: ", "artifact_size", "", "artifact_size <> ''"),
+    ("Duration: ", "format_string('%.2f', duration_seconds)", "s", "duration_seconds > 0"),
+)
+
+
+def digest_text() -> str:
+    """SQL of the digest block over a summary row with its key_events. Absent facts are null,
+    and `concat_ws` skips them."""
+    facts = [when(shown, lit(label), value, lit(unit)) for label, value, unit, shown in FACTS]
+    listed = when(
+        "size(key_events) > 0 AND status <> 'success'",
+        lit("\nKey Events:\n- "),
+        "array_join(key_events, '\\n- ')",
     )
-    listed = F.when(
-        (F.size(events) > 0) & (status != "success"),
-        F.concat(F.lit("\n\nKey Events:\n- "), F.array_join(events, "\n- ")),
-    )
-    return F.concat(facts, F.coalesce(listed, F.lit("")))
+    head = "concat('Command: ', command), concat('Status: ', status)"
+    return f"concat_ws('\\n', {head}, {', '.join(facts)}, {listed})"
 
 
-def savings_percentage(original: Column, compressed: Column) -> Column:
-    return F.when(
-        original > 0,
-        F.greatest((original - compressed).cast("double") / original * 100.0, F.lit(0.0)),
-    ).otherwise(F.lit(0.0))
+def savings_percentage() -> str:
+    return (
+        "CASE WHEN original_bytes > 0 THEN greatest(CAST(original_bytes - compressed_bytes AS DOUBLE)"
+        " / original_bytes * 100D, 0D) ELSE 0D END"
+    )
 
 
 def original_bytes(cleaned: DataFrame) -> DataFrame:

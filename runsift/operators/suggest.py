@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift.functions.sqltext import lit, match, when
@@ -38,8 +38,8 @@ def extended_rules(
     return rules
 
 
-def rule_hits(rules: tuple[Rule, ...] = RULES) -> Column:
-    """Array with the suggestion of each rule that applies to root_cause and error_type, in rule
+def rule_hits(rules: tuple[Rule, ...] = RULES) -> str:
+    """SQL of an array with the suggestion of each rule that applies to root_cause and error_type, in rule
     order (repeats dropped).
 
     The rules are few and known when the plan is built: compiled into constant patterns they
@@ -51,14 +51,14 @@ def rule_hits(rules: tuple[Rule, ...] = RULES) -> Column:
         if kind:
             applies = f"lower(error_type) = {lit(kind)} AND {applies}"
         hits.append(when(applies, lit(text)))
-    return F.expr(f"array_distinct(filter(array({', '.join(hits)}), x -> x IS NOT NULL))")
+    return f"array_distinct(filter(array({', '.join(hits)}), x -> x IS NOT NULL))"
 
 
 def suggest_fixes(intel: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """exec_id and its ordered suggestions; executions without any are left out."""
     return (
         intel.filter(F.col("root_cause") != "")
-        .select(EXEC, rule_hits(rules).alias("suggestions"))
+        .selectExpr(EXEC, f"{rule_hits(rules)} AS suggestions")
         .filter(F.size("suggestions") > 0)
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift.operators.blocks import EXEC
@@ -32,6 +32,7 @@ from runsift.operators.reduce import compress_lines, optimize_bounded, reduce_li
 from runsift.operators.rootcause import execution_facts, with_changes
 from runsift.operators.suggest import RULES, Rule, rule_hits
 from runsift.operators.summarize import semantic_summary, summarize_rows, with_verdict
+from runsift.session import scratch_path
 from runsift.sources.logs import split_log_blob
 from runsift.sources.sinks import artifact_path
 
@@ -42,13 +43,16 @@ def keep_lazy(df: DataFrame) -> DataFrame:
     return df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate in the checkpoint folder of the session.
+def as_table(df: DataFrame) -> DataFrame:
+    """Write an intermediate to a new table in the shared folder of the session and read it back.
 
-    Worth it for a log table that several branches read; the files are shared, so a lost
-    executor costs nothing that is already written.
+    Cuts a plan that several branches read: they scan compressed columns instead of repeating
+    the work, and what is written outlives any executor. The folder is `spark.checkpoint.dir`;
+    only where that is unset, as in local runs, a folder of this machine is taken.
     """
-    return df.checkpoint(eager=False)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def analyze_logs(blobs: DataFrame) -> DataFrame:
@@ -79,19 +83,15 @@ def summarize_tools(
     zero = ["errors", "warnings", "_is_error", "_succeeded", "_completed", "_tested"]
     generic = with_verdict(
         unknown.join(semantic_summary(compressed), EXEC, "left").fillna(0, zero)
-    ).select(
+    ).selectExpr(
         EXEC,
-        F.lit(True).alias("_generic"),
-        F.col("status").alias("_status"),
-        F.col("summary").alias("_summary"),
-        F.col("errors").alias("_errors"),
-        F.col("warnings").alias("_warnings"),
-        F.coalesce("events", F.array().cast("array<string>")).alias("_generic_events"),
+        "true AS _generic",
+        "status AS _status",
+        "summary AS _summary",
+        "errors AS _errors",
+        "warnings AS _warnings",
+        "coalesce(events, CAST(array() AS array<string>)) AS _generic_events",
     )
-
-    def pick(generic_name: str, name: str) -> Column:
-        return F.when(F.col("_generic"), F.col(generic_name)).otherwise(F.col(name)).alias(name)
-
     replaced = {
         "status": "_status",
         "summary": "_summary",
@@ -99,9 +99,8 @@ def summarize_tools(
         "warnings": "_warnings",
         "important_events": "_generic_events",
     }
-    joined = folded.join(generic, EXEC, "left")
-    return joined.select(
-        *[pick(replaced[c], c) if c in replaced else F.col(c) for c in folded.columns]
+    return folded.join(generic, EXEC, "left").selectExpr(
+        *[f"if(_generic, {replaced[c]}, {c}) AS {c}" if c in replaced else c for c in folded.columns]
     )
 
 
@@ -147,70 +146,49 @@ def execution_summary(
             EXEC, "0D AS max_ram_mb", "0D AS avg_cpu_percent"
         )
     )
-    elapsed = F.unix_micros(F.col("end_ts")) - F.unix_micros(F.col("start_ts"))
-    runs = executions.select(
+    runs = executions.selectExpr(
         EXEC,
-        "cmd",
+        "cmd AS command",
         "exit_code",
         "end_ts",
         # Whole hundredths first: the digest prints two decimals, and ties would print
         # differently from one engine to the next.
-        (F.call_function("div", elapsed + 5000, F.lit(10000)) / F.lit(100.0)).alias("_wall"),
+        "((unix_micros(end_ts) - unix_micros(start_ts) + 5000L) div 10000L) / 100D AS wall",
     )
     joined = (
         runs.join(summaries, EXEC)
         .join(intel, EXEC, "left")
         .join(usage, EXEC, "left")
+        .withColumn("failed", F.expr("exit_code <> 0 OR status = 'failure'"))
+        .withColumn("explained", F.expr("failed AND root_cause IS NOT NULL"))
     )
-    failed = (F.col("exit_code") != 0) | (F.col("status") == "failure")
-    explained = failed & F.col("root_cause").isNotNull()
-    with_status = joined.withColumn("_failed", failed).select(
+    shown = [name for name in METRICS if name != "duration_seconds"]
+    path = artifact_path("exec_id")
+    record = joined.selectExpr(
         EXEC,
         "tool",
-        F.col("cmd").alias("command"),
-        F.when(F.col("_failed"), F.lit("failure")).otherwise(F.lit("success")).alias("status"),
-        F.when(
-            explained, F.concat("summary", F.lit("\n\nRoot cause:\n"), F.col("root_cause"))
-        )
-        .otherwise(F.col("summary"))
-        .alias("summary"),
+        "command",
+        "if(failed, 'failure', 'success') AS status",
+        "if(explained, concat(summary, '\\n\\nRoot cause:\\n', root_cause), summary) AS summary",
         "important_events",
         "events_overflow",
-        *[F.col(name) for name in METRICS if name != "duration_seconds"],
-        F.col("_wall").alias("duration_seconds"),
-        F.coalesce("max_ram_mb", F.lit(0.0)).alias("max_ram_mb"),
-        F.coalesce("avg_cpu_percent", F.lit(0.0)).alias("avg_cpu_percent"),
-        F.coalesce("original_bytes", F.lit(0)).alias("original_bytes"),
-        F.when(
-            explained,
-            F.struct("root_cause", "error_type", "context", "correlated_changes"),
-        ).alias("error_intel"),
-        F.when(explained, rule_hits(rules)).alias(
-            "suggestions"
-        ),
-        artifact_path(F.col(EXEC)).alias("artifact_path"),
-        F.when(F.col("_failed"), artifact_path(F.col(EXEC))).alias("raw_log_path"),
-        F.date_format("end_ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        *shown,
+        "wall AS duration_seconds",
+        "coalesce(max_ram_mb, 0D) AS max_ram_mb",
+        "coalesce(avg_cpu_percent, 0D) AS avg_cpu_percent",
+        "original_bytes",
+        "CASE WHEN explained THEN struct(root_cause, error_type, context, correlated_changes) END "
+        "AS error_intel",
+        f"CASE WHEN explained THEN {rule_hits(rules)} END AS suggestions",
+        f"{path} AS artifact_path",
+        f"if(failed, {path}, NULL) AS raw_log_path",
+        "date_format(end_ts, \"yyyy-MM-dd'T'HH:mm:ssXXX\") AS timestamp",
         "key_events",
     )
-    digest = digest_text(
-        F.col("command"),
-        F.col("status"),
-        F.col("modules_compiled"),
-        F.col("tests_passed"),
-        F.col("tests_failed"),
-        F.col("bundle_size"),
-        F.col("artifact_size"),
-        F.col("duration_seconds"),
-        F.col("key_events"),
-    )
     return (
-        with_status.withColumn("compressed_context", digest)
-        .withColumn("compressed_bytes", F.octet_length("compressed_context").cast("bigint"))
-        .withColumn(
-            "savings_percentage",
-            savings_percentage(F.col("original_bytes"), F.col("compressed_bytes")),
-        )
+        record.withColumn("compressed_context", F.expr(digest_text()))
+        .withColumn("compressed_bytes", F.expr("CAST(octet_length(compressed_context) AS BIGINT)"))
+        .withColumn("savings_percentage", F.expr(savings_percentage()))
         .drop("key_events")
     )
 
@@ -231,7 +209,7 @@ __all__ = [
     "all_tool_events",
     "analyze_logs",
     "analyze_logs_full",
-    "checkpointed",
+    "as_table",
     "clean_lines",
     "execution_summary",
     "summarize_tools",

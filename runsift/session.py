@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,9 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder of the session; a local one only if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,11 +24,12 @@ def artifact_name(tool: Column) -> Column:
     return out
 
 
-def artifact_path(exec_id: Column) -> Column:
-    return F.concat(F.lit(f"{ARTIFACT_DIR}/"), exec_id.cast("string"), F.lit(".log"))
+def artifact_path(exec_id: str) -> str:
+    """SQL of the path of an execution's cleaned log."""
+    return f"concat('{ARTIFACT_DIR}/', {exec_id}, '.log')"
 
 
-def write_clean_logs(cleaned: DataFrame, path: str, date: Column, files_per_date: int = 1) -> None:
+def write_clean_logs(cleaned: DataFrame, path: str, date: Column) -> None:
     """Write cleaned lines by day. Rows are ranged by (day, exec_id, line_no): an execution of
     any size spreads over files, and a file holds consecutive lines."""
     dated = cleaned.withColumn("exec_date", date)

@@ -107,8 +107,9 @@ def summary_writer(
         # The plan reads the closings several times; the state must run once.
         closings_once = batch.persist()
         try:
-            summary = summarize(closings_once)
-            summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            if not closings_once.isEmpty():
+                summary = summarize(closings_once)
+                summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         finally:
             closings_once.unpersist()
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from runsift.operators.blocks import number_rows
 from runsift.plans.executions import execution_summary
+from runsift.session import scratch_path as scratch
 from runsift.streaming import jobs
 from workload import views
 
@@ -20,12 +18,6 @@ HEARTBEAT_SECONDS = 24 * 3600
 LINE_SCHEMA = "exec_id BIGINT, line_no BIGINT, line STRING, ts TIMESTAMP, exit_code INT"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder of the session; a local one only if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines with their time, then one exit event per execution."""
     times = views.table(spark, sf, "events").select("event_id", "ts")
