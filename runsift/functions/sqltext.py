@@ -30,8 +30,11 @@ def ends(x: str, *words: str) -> str:
     return any_of(*[f"endswith({x}, {lit(w)})" for w in words])
 
 
-def match(x: str, pattern: str) -> str:
-    return f"({x} RLIKE {lit(re2(pattern))})"
+def match(x: str, pattern: str, needs: str = "") -> str:
+    """Regular-expression test. `needs` is text without which the pattern cannot match: a byte
+    search for it spares most lines the regex engine."""
+    test = f"({x} RLIKE {lit(re2(pattern))})"
+    return f"({has(x, needs)} AND {test})" if needs else test
 
 
 def extract(x: str, pattern: str, group: int = 1) -> str:
@@ -39,15 +42,15 @@ def extract(x: str, pattern: str, group: int = 1) -> str:
     return f"regexp_extract({x}, {lit(re2(pattern))}, {group})"
 
 
-def group(x: str, pattern: str, index: int = 1) -> str:
+def group(x: str, pattern: str, index: int = 1, needs: str = "") -> str:
     """Capture group of the first match; null (not '') when the pattern does not match."""
-    return f"CASE WHEN {match(x, pattern)} THEN {extract(x, pattern, index)} END"
+    return f"CASE WHEN {match(x, pattern, needs)} THEN {extract(x, pattern, index)} END"
 
 
-def group_int(x: str, pattern: str, index: int = 1) -> str:
+def group_int(x: str, pattern: str, index: int = 1, needs: str = "") -> str:
     """Capture group made of digits as BIGINT, clamped on overflow; null when no match."""
     value = f"coalesce(try_cast({extract(x, pattern, index)} AS BIGINT), {MAX_LONG}L)"
-    return f"CASE WHEN {match(x, pattern)} THEN {value} END"
+    return f"CASE WHEN {match(x, pattern, needs)} THEN {value} END"
 
 
 def leading_int(token: str) -> str:

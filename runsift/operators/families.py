@@ -54,6 +54,8 @@ class RuleFamily:
     content_keywords: tuple[str, ...] = ()
     event_cap: int | None = None
     event2_cap: int | None = None
+    # Conditions that several effects repeat word for word; they are evaluated once per line.
+    flags: tuple[str, ...] = ()
 
     def command_tool(self, c: str) -> str:
         return first_word(c, self.command_keywords) if self.command_keywords else lit(self.name)
@@ -107,17 +109,17 @@ MIGRATORS = ("prisma", "migrate", "sequelize", "drizzle", "alembic", "knex")
 
 _vitest_red = f"({has('line', 'FAIL', 'failed')} AND {starts('line', 'FAIL ', CROSS)})"
 _vitest_failed = (
-    f"coalesce({group_int('line', r'(\d+)\s+failing')}, "
-    f"{group_int('line', r'Tests\s+(\d+)\s+failed')})"
+    f"coalesce({group_int('line', r'(\d+)\s+failing', needs='failing')}, "
+    f"{group_int('line', r'Tests\s+(\d+)\s+failed', needs='Tests')})"
 )
 VITEST = RuleFamily(
     "vitest",
     {
         "fails": true_if(f"{_vitest_red} OR {_vitest_failed} IS NOT NULL"),
-        "set_files": group_int("line", r"Test Files\s+(\d+)\s+passed"),
+        "set_files": group_int("line", r"Test Files\s+(\d+)\s+passed", needs="Test Files"),
         "set_passed": (
-            f"coalesce({group_int('line', r'(\d+)\s+passing')}, "
-            f"{group_int('line', r'Tests\s+(\d+)\s+passed')})"
+            f"coalesce({group_int('line', r'(\d+)\s+passing', needs='passing')}, "
+            f"{group_int('line', r'Tests\s+(\d+)\s+passed', needs='Tests')})"
         ),
         "set_failed": _vitest_failed,
         "event": when(_vitest_red, "line"),
@@ -126,15 +128,16 @@ VITEST = RuleFamily(
     "failed > 0",
     lambda c, a1, a2: any_of(f"{c} IN ('vitest', 'jest')", _npm_script(c, a1, a2, "test")),
     has("line", "vitest", "Test Files", "PASS ", "FAIL "),
+    flags=(_vitest_red,),
 )
 
 _jest_totals = r"Tests:\s+(\d+) failed,\s+(\d+) passed,\s+(\d+) total"
 JEST = RuleFamily(
     "jest",
     {
-        "fails": true_if(f"{has('line', ' FAIL ')} OR {group_int('line', _jest_totals)} > 0"),
-        "set_failed": group_int("line", _jest_totals, 1),
-        "set_passed": group_int("line", _jest_totals, 2),
+        "fails": true_if(f"{has('line', ' FAIL ')} OR {group_int('line', _jest_totals, needs='Tests:')} > 0"),
+        "set_failed": group_int("line", _jest_totals, 1, "Tests:"),
+        "set_passed": group_int("line", _jest_totals, 2, "Tests:"),
         "event": when(has("line", " FAIL "), RED, TRIMMED),
     },
     _by_tests(
@@ -145,6 +148,7 @@ JEST = RuleFamily(
     "failed > 0",
     lambda c, a1, a2: ends(c, "jest"),
     has("line", "jest", "FAIL", "PASS", "Test Suites:"),
+    flags=(has("line", " FAIL "),),
 )
 
 _playwright_totals = r"(\d+) passed.*\(.*\)\s+(\d+) failed"
@@ -152,8 +156,8 @@ PLAYWRIGHT = RuleFamily(
     "playwright",
     {
         **_red_lines(has("line", " Error: ")),
-        "set_passed": group_int("line", _playwright_totals, 1),
-        "set_failed": group_int("line", _playwright_totals, 2),
+        "set_passed": group_int("line", _playwright_totals, 1, " passed"),
+        "set_failed": group_int("line", _playwright_totals, 2, " passed"),
     },
     _by_tests(
         (CROSS + "Playwright failed: ", " failed"),
@@ -162,6 +166,7 @@ PLAYWRIGHT = RuleFamily(
     ),
     "failed > 0",
     lambda c, a1, a2: has(c, "playwright"),
+    flags=(has("line", " Error: "),),
 )
 
 _cypress_red = has("line", " (failed)", " ✖ ")
@@ -181,6 +186,7 @@ CYPRESS = RuleFamily(
     "failed > 0",
     lambda c, a1, a2: has(c, "cypress"),
     has("line", "cypress", "Run Finished", "Tests Results:"),
+    flags=(_cypress_red,),
 )
 
 _pytest_totals = r"={2,}\s+(.*?)\s+in\s+([\d\.]+)s\s+={2,}"
@@ -197,7 +203,10 @@ def _pytest_outcome(word: str, earlier: str) -> str:
         f"regexp_extract({trim(f'regexp_extract({totals}, {lit(pattern)}, 1)')}, "
         f"{lit(r'^[^\p{IsWhite_Space}]+')}, 0)"
     )
-    return f"CASE WHEN {totals} RLIKE {lit(pattern)} THEN {leading_int(token)} END"
+    return (
+        f"CASE WHEN {match('line', _pytest_totals, '==')} AND {totals} RLIKE {lit(pattern)} "
+        f"THEN {leading_int(token)} END"
+    )
 
 
 _pytest_failed = _pytest_outcome("failed", "passed")
@@ -210,7 +219,7 @@ PYTEST = RuleFamily(
         "set_failed": _pytest_failed,
         "set_warnings": _pytest_outcome("warning", "passed|failed"),
         "set_duration": when(
-            match("line", _pytest_totals),
+            match("line", _pytest_totals, "=="),
             f"coalesce(try_cast({extract('line', _pytest_totals, 2)} AS DOUBLE), 0D)",
         ),
         "event": (
@@ -229,6 +238,7 @@ PYTEST = RuleFamily(
         has("line", "test session starts", "pytest"),
         f"({has('line', '===')} AND {has('line', 'passed in')})",
     ),
+    flags=(_pytest_section, _pytest_detail),
 )
 
 # First hit wins.
@@ -263,13 +273,17 @@ _flutter_red = has("line", "EXCEPTION: ", "Exception: ")
 _flutter_all = r"\+(\d+):\s*All tests passed!"
 _flutter_some = r"\+(\d+)\s*-(\d+):\s*Some tests failed"
 _flutter_failed = when(
-    f"NOT {match('line', _flutter_all)}", group_int("line", _flutter_some, 2)
+    f"NOT {match('line', _flutter_all, 'All tests passed!')}",
+    group_int("line", _flutter_some, 2, "Some tests failed"),
 )
 FLUTTER_TEST = RuleFamily(
     "flutter_test",
     {
         "fails": true_if(f"{_flutter_red} OR ({_flutter_failed}) IS NOT NULL"),
-        "set_passed": f"coalesce({group_int('line', _flutter_all)}, {group_int('line', _flutter_some)})",
+        "set_passed": (
+            f"coalesce({group_int('line', _flutter_all, needs='All tests passed!')}, "
+            f"{group_int('line', _flutter_some, needs='Some tests failed')})"
+        ),
         "set_failed": _flutter_failed,
         "event": when(_flutter_red, "line"),
     },
@@ -280,6 +294,7 @@ FLUTTER_TEST = RuleFamily(
         has("line", "All tests passed!", "Some tests failed"),
         f"({has('line', 'Shell:')} AND {has('line', 'test')})",
     ),
+    flags=(_flutter_red,),
 )
 
 _tsc_error = has("line", ": error TS")
@@ -295,6 +310,7 @@ TYPESCRIPT = RuleFamily(
     f"if(errors > 0, concat({lit(CROSS + 'Type checking failed: ')}, {{events: | }}), "
     f"{lit(CHECK + 'Type checking passed')})",
     by_command=lambda c, a1, a2: ends(c, "tsc"),
+    flags=(_tsc_error,),
 )
 
 DART = RuleFamily(
@@ -309,9 +325,11 @@ DART = RuleFamily(
     f"WHEN warnings > 0 THEN {lit(WARN + 'Dart analyze found warnings')} "
     f"ELSE {lit(CHECK + 'Dart analyze passed')} END",
     by_command=lambda c, a1, a2: f"({c} = 'dart' AND {a1} = 'analyze')",
+    flags=(starts("line", "error "), starts("line", "warning ")),
 )
 
-_vite_sign = match("line", r"(?i)(?:ERROR|FAILED|Build failed)")
+# None of these words has a letter with a special case folding: lower case does as well.
+_vite_sign = has("low", "error", "failed")
 _vite_error = f"({_vite_sign} AND NOT {has('low', '0 failed', 'operation succeeded')})"
 VITE = RuleFamily(
     "vite",
@@ -319,8 +337,8 @@ VITE = RuleFamily(
         "fails": true_if(_vite_error),
         "add_errors": _vite_error,
         "add_warnings": f"NOT {_vite_sign} AND {has('low', 'warn')}",
-        "set_modules": group_int("line", r".*?\s*(\d+)\s+modules\s+(?:transformed|compiled)"),
-        "set_bundle": group("line", r"dist/.*?(\d+\.\d+\s*[KMG]B)"),
+        "set_modules": group_int("line", r".*?\s*(\d+)\s+modules\s+(?:transformed|compiled)", needs="modules"),
+        "set_bundle": group("line", r"dist/.*?(\d+\.\d+\s*[KMG]B)", needs="dist/"),
         "event": when(_vite_error, "line"),
     },
     f"CASE WHEN bundle <> '' THEN concat({lit(CHECK + 'Build completed. Output: ')}, bundle, "
@@ -333,6 +351,7 @@ VITE = RuleFamily(
     ),
     by_content=any_of(has("line", "[vite]"), has("low", "vite v")),
     event_cap=5,
+    flags=(_vite_error, _vite_sign),
 )
 
 _low_error = has("low", "error", "failed")
@@ -351,6 +370,7 @@ BUILD_TOOL = RuleFamily(
     command_keywords=BUNDLERS,
     content_keywords=BUNDLER_SIGNS,
     event_cap=5,
+    flags=(_low_error,),
 )
 
 _eslint_error = (
@@ -382,6 +402,7 @@ ESLINT = RuleFamily(
         has("line", "eslint"),
         f"({has('line', 'error')} AND {has('line', 'warning')} AND {has('line', ':')})",
     ),
+    flags=(_eslint_error,),
 )
 
 LINTER = RuleFamily(
@@ -391,44 +412,48 @@ LINTER = RuleFamily(
     by_command=lambda c, a1, a2: has(c, *FORMATTERS),
     command_keywords=FORMATTERS,
     event_cap=5,
+    flags=(_low_error,),
 )
 
+_golangci_red = f"({has('line', ':')} AND {has('line', 'errcheck', 'unused', 'staticcheck')})"
 GOLANGCI = RuleFamily(
     "golangci-lint",
-    _red_lines(
-        f"({has('line', ':')} AND {has('line', 'errcheck', 'unused', 'staticcheck')})", WARN
-    ),
+    _red_lines(_golangci_red, WARN),
     f"if(errors > 0, {lit(CROSS + 'golangci-lint found issues')}, "
     f"{lit(CHECK + 'golangci-lint passed')})",
     by_command=lambda c, a1, a2: ends(c, "golangci-lint"),
     event_cap=5,
+    flags=(_golangci_red,),
 )
 
 FLUTTER_BUILD = RuleFamily(
     "flutter_build",
     {
         "fails": true_if(has("line", "Exception: ", "Error:")),
-        "set_artifact": group("line", r"Built\s+.*?\s+\((.*?)\)\."),
+        "set_artifact": group("line", r"Built\s+.*?\s+\((.*?)\)\.", needs="Built"),
         "event": when(has("line", "Exception: ", "Error:"), "line"),
     },
     f"CASE WHEN failure THEN {lit(CROSS + 'Flutter build failed')} WHEN artifact <> '' "
     f"THEN concat({lit(CHECK + 'Flutter build succeeded')}, '\\nAPK size ', artifact) "
     f"ELSE {lit(CHECK + 'Flutter build succeeded')} END",
     by_command=lambda c, a1, a2: f"({c} = 'flutter' AND {a1} = 'build')",
+    flags=(has("line", "Exception: ", "Error:"),),
 )
 
+_flutter_run_red = (
+    f"(NOT {has('line', 'Running with unset MSYS', 'Launching')} AND "
+    f"{has('line', 'Error', 'Exception')})"
+)
 FLUTTER_RUN = RuleFamily(
     "flutter_run",
-    _red_lines(
-        f"(NOT {has('line', 'Running with unset MSYS', 'Launching')} AND "
-        f"{has('line', 'Error', 'Exception')})"
-    ),
+    _red_lines(_flutter_run_red),
     _by_failure(CROSS + "Flutter run failed", CHECK + "Flutter app is running"),
     by_command=lambda c, a1, a2: f"({c} = 'flutter' AND {a1} = 'run')",
+    flags=(_flutter_run_red,),
 )
 
 _gradle_error = has("line", "error:", "e: ")
-_gradle_task = extract("line", r"^> Task :(.*)")
+_gradle_task = f"if({starts('line', '> Task :')}, {extract('line', r'^> Task :(.*)')}, '')"
 GRADLE = RuleFamily(
     "gradle",
     {
@@ -444,6 +469,7 @@ GRADLE = RuleFamily(
     _by_failure(CROSS + "Gradle build failed", CHECK + "Gradle build succeeded"),
     by_command=lambda c, a1, a2: has(c, "gradle"),
     event2_cap=10,
+    flags=(_gradle_error,),
 )
 
 _net_error = has("line", ": error CS")
@@ -454,8 +480,8 @@ DOTNET = RuleFamily(
         "fails": true_if(_net_error),
         "add_errors": _net_error,
         "add_warnings": f"NOT {_net_error} AND {has('line', ': warning CS')}",
-        "set_errors": group_int("line", _net_totals, 1),
-        "set_warnings": group_int("line", _net_totals, 2),
+        "set_errors": group_int("line", _net_totals, 1, "Error(s)"),
+        "set_warnings": group_int("line", _net_totals, 2, "Error(s)"),
         "event": when(
             _net_error,
             _located(r"(.*?)\((\d+),(\d+)\): error (CS\d+): (.*) \[(.*)\]", TRIMMED),
@@ -465,6 +491,7 @@ DOTNET = RuleFamily(
     f"{lit(CHECK + '.NET operation successful')})",
     "errors > 0",
     lambda c, a1, a2: any_of(has(c, "dotnet", "msbuild"), ends(c, "nuget")),
+    flags=(_net_error,),
 )
 
 _migrated = has("low", "migrated", "migration successfully")
@@ -483,6 +510,7 @@ DB_MIGRATE = RuleFamily(
     _by_failure(CROSS + "Migration failed", CHECK + "DB Migration finished"),
     by_command=lambda c, a1, a2: has(c, *MIGRATORS),
     command_keywords=MIGRATORS,
+    flags=(_low_error, _migrated),
 )
 
 _npm_error = any_of(has("line", "ERR!"), has("low", "npm error"))
@@ -504,6 +532,7 @@ NPM = RuleFamily(
     f"ELSE {lit(CHECK + 'NPM execution completed')} END",
     by_command=lambda c, a1, a2: ends(c, "npm"),
     by_content=any_of(has("low", "npm error"), has("line", "npm ERR!")),
+    flags=(_npm_error, has("line", "failing")),
 )
 
 PNPM = RuleFamily(
@@ -511,6 +540,7 @@ PNPM = RuleFamily(
     _red_lines(has("line", "ERR_PNPM_", "ERROR")),
     _by_failure(CROSS + "pnpm command failed", CHECK + "pnpm command successful"),
     by_command=lambda c, a1, a2: ends(c, "pnpm"),
+    flags=(has("line", "ERR_PNPM_", "ERROR"),),
 )
 
 YARN = RuleFamily(
@@ -518,6 +548,7 @@ YARN = RuleFamily(
     _red_lines(has("line", "error ", "ERROR")),
     _by_failure(CROSS + "yarn command failed", CHECK + "yarn command successful"),
     by_command=lambda c, a1, a2: ends(c, "yarn"),
+    flags=(has("line", "error ", "ERROR"),),
 )
 
 _cargo_error = has("line", "error:", "error[")
@@ -545,6 +576,7 @@ CARGO = RuleFamily(
     },
     lit("Cargo command finished"),
     by_command=lambda c, a1, a2: ends(c, "cargo"),
+    flags=(_cargo_error, _cargo_done),
 )
 
 _git_diffstat = r"(\d+) files? changed, (\d+) insertions?\(\+\), (\d+) deletions?\(-\)"
@@ -559,11 +591,12 @@ GIT = RuleFamily(
             f"WHEN {starts('line', 'new file:')} THEN concat({lit('✚ ')}, line) "
             f"WHEN {has('line', 'branch')} THEN concat({lit(chr(0xF418) + ' ')}, line) END"
         ),
-        "event2": when(match("line", _git_diffstat), lit("⌛ "), "line"),
+        "event2": when(match("line", _git_diffstat, " changed, "), lit("⌛ "), "line"),
     },
     "if(events > 0, concat('Git ', argument, ' summary: ', {events:, }), "
     "concat('Git ', argument, ' execution finished.'))",
     by_command=lambda c, a1, a2: ends(c, "git", "git.exe"),
+    flags=(_git_modified,),
 )
 
 # The last resort has no rules of its own: see `summarize.semantic_summary`.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of, by_exec, into_blocks
 from runsift.operators.families import BUILT_IN, RuleFamily
+from runsift.session import respect_jit_limit
 
 # Events kept inside the summary row. Longer lists stay whole in the `tool_events` rows.
 INLINE_EVENTS = 1000
@@ -55,13 +56,17 @@ METRICS = {
 
 
 def _by_family(choices: dict[int, str], kind: str, total: int) -> str:
-    """The choice of the row's family; without a CASE when there is one family only."""
+    """The choice of the row's family: one CASE branch per distinct choice, and no CASE at all
+    when there is one family only."""
     if not choices:
         return f"CAST(NULL AS {kind})"
     if total == 1:
         return f"CAST(({choices[0]}) AS {kind})"
-    cases = " ".join(f"WHEN {ix} THEN ({sql})" for ix, sql in choices.items())
-    return f"CAST(CASE fam {cases} END AS {kind})"
+    alike: dict[str, list[str]] = {}
+    for ix, sql in choices.items():
+        alike.setdefault(sql, []).append(str(ix))
+    cases = " ".join(f"WHEN fam IN ({', '.join(ixs)}) THEN ({sql})" for sql, ixs in alike.items())
+    return f"CAST(CASE {cases} END AS {kind})"
 
 
 def family_index(families: Sequence[RuleFamily]) -> str:
@@ -71,17 +76,37 @@ def family_index(families: Sequence[RuleFamily]) -> str:
 
 def line_effects(rows: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     """Effect columns of every line. `rows` carries line, fam (index of the family) and
-    argument."""
-    columns = []
+    argument.
+
+    The flags of a family come first, as columns of their own: effects share them, and much of
+    what the families do with a flag is alike.
+    """
+    total = len(families)
+    if total > 1:
+        respect_jit_limit(rows.sparkSession)
+    flags, columns = [], []
+    for n in range(max(len(f.flags) for f in families)):
+        choices = {ix: f.flags[n] for ix, f in enumerate(families) if n < len(f.flags)}
+        flags.append(f"{_by_family(choices, 'boolean', total)} AS _f{n}")
+
+    def over_flags(family: RuleFamily, sql: str) -> str:
+        for n, flag in enumerate(family.flags):
+            sql = sql.replace(flag, f"_f{n}")
+        return sql
+
     for name, kind in EFFECTS.items():
-        choices = {ix: f.effects[name] for ix, f in enumerate(families) if name in f.effects}
-        columns.append(f"{_by_family(choices, kind, len(families))} AS {name}")
+        choices = {
+            ix: over_flags(f, f.effects[name]) for ix, f in enumerate(families) if name in f.effects
+        }
+        columns.append(f"{_by_family(choices, kind, total)} AS {name}")
     for name, attribute in (("cap", "event_cap"), ("cap2", "event2_cap")):
         caps = {ix: getattr(f, attribute) for ix, f in enumerate(families)}
         known = {ix: str(c) for ix, c in caps.items() if c is not None}
-        columns.append(f"{_by_family(known, 'int', len(families))} AS {name}")
-    return rows.withColumn("low", F.lower("line")).selectExpr(
-        EXEC, BLOCK, LINE_NO, "octet_length(line) + 1 AS bytes", *columns
+        columns.append(f"{_by_family(known, 'int', total)} AS {name}")
+    return (
+        rows.withColumn("low", F.lower("line"))
+        .selectExpr(EXEC, BLOCK, LINE_NO, "line", "low", "fam", "argument", *flags)
+        .selectExpr(EXEC, BLOCK, LINE_NO, "octet_length(line) + 1 AS bytes", *columns)
     )
 
 

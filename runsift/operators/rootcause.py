@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.sqltext import extract, lit, match, trim
+from runsift.functions.sqltext import extract, has, lit, match, trim
 from runsift.operators.blocks import EXEC
 from runsift.operators.digest import KEY_EVENTS, is_key_event
 from runsift.operators.reduce import IDX
@@ -27,8 +27,8 @@ ERROR_PATTERNS = (
     (3, "generic_error", r"^ERROR\s+(.*)", "", "", False),
     (4, "warning", r"(?i)^Warning:\s*(.*)", "", "", True),
 )
-# No pattern can match a line without one of these words; cheaper than ten searches.
-ANY_SIGN = r"(?i)(?:module not found|cannot find file|build failed|exception|panic|error|warning)"
+# No pattern can match a line without one of these words.
+SIGNS = ("module not found", "cannot find file", "build failed", "exception", "panic", "error", "warning")
 CONTEXT_BEFORE, CONTEXT_AFTER = 1, 1
 NEAR_BEFORE, NEAR_AFTER = 5, 4
 FILE_SALTS = 16
@@ -50,7 +50,7 @@ def pattern_hit(index: str = "idx") -> str:
             f"{ix} AS pattern_ix, {lit(kind)} AS error_type, "
             f"concat({lit(before)}, {cause}, {lit(after)}) AS cause)"
         )
-    return f"CASE WHEN {match('_text', ANY_SIGN)} THEN CASE {' '.join(cases)} END END"
+    return f"CASE WHEN {has('lower(_text)', *SIGNS)} THEN CASE {' '.join(cases)} END END"
 
 
 def _with_hit(rows: DataFrame) -> DataFrame:

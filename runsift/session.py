@@ -25,6 +25,17 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
     return spark
 
 
+HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def respect_jit_limit(spark: SparkSession) -> None:
+    """Let Spark fall back to split projections where a fused method would be too long for the
+    JIT (8000 bytes on HotSpot); such a method runs interpreted and is several times slower.
+    A value that the user chose is left alone."""
+    if spark.conf.get(HUGE_METHOD_LIMIT) == "65535":
+        spark.conf.set(HUGE_METHOD_LIMIT, "8000")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder of the session; a local one only if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
