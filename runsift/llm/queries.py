@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import bpe, pii, sharding, simhash, token_counts, topk, toxicity, url_filter
+from runsift.llm import bpe, pii, sharding, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 from runsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), bodies=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
