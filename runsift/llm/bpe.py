@@ -23,6 +23,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +67,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
-        steps = [step["type"] for step in spec["normalizer"]["normalizers"]]
+        split, level = (spec["pre_tokenizer"] or {}).get("pretokenizers") or ({}, {})
+        steps = [step["type"] for step in (spec["normalizer"] or {}).get("normalizers", ())]
         known = (
             steps == ["NFC", "Replace", "Lowercase"]
             and (split["behavior"], split["invert"]) == ("Removed", True)
@@ -229,7 +230,7 @@ def encode_decode(
                 step = 64  # texts with their ids and decoded forms are several times as large
                 for at in range(0, len(texts), step):
                     pairs = [bpe.encode_decode(t) for t in texts[at : at + step]]
-                    flat = pa.array(memoryview(b"".join([p[0] for p in pairs])).cast("i").tolist(), pa.int32())
+                    flat = pa.array(np.frombuffer(b"".join([p[0] for p in pairs]), np.int32))
                     ends = [0]
                     for p in pairs:
                         ends.append(ends[-1] + len(p[0]) // 4)

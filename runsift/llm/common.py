@@ -38,6 +38,23 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Short rows (a few numbers each) that may be sent to all executors instead of shuffling texts.
+SENT_ROWS = 400_000
+
+
+def sent(small: DataFrame, weight: Column | None = None, limit: int = SENT_ROWS) -> DataFrame:
+    """small with a broadcast hint if it has at most `limit` rows, or the sum of `weight` over its
+    rows is at most that; beyond, the join is left to shuffles. Counts small, so pass a written
+    table."""
+    total = small.agg(F.sum(weight) if weight is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(small) if total <= limit else small
+
+
+def has_plain_key(docs: DataFrame, key: str) -> bool:
+    """Whether the key names each row: no nulls and no repeats."""
+    return not docs.groupBy(F.col(key).alias("k")).count().where("`count` > 1 or k is null").limit(1).count()
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 8) -> int:
     """Number of buckets that grows with the rows, so that one bucket stays about the same."""
     return max(least, math.ceil(rows / per_bucket))

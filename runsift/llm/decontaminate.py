@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsift.llm.common import whole_text, written
+from runsift.llm.common import sent, whole_text, written
 
 WORDS, COVERED, LONGEST = 5, 0.8, 13
 #: Windows of the benchmark that may be sent to all executors; beyond, both sides are shuffled.
@@ -166,4 +166,4 @@ def leaks(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs without those that hold a leaked item. Documents with a null key stay."""
     dirty = leaks(docs, benchmark, key, **options).select(F.col(key).alias("_dirty")).distinct()
-    return docs.join(dirty, F.col(key) == F.col("_dirty"), "left_anti")
+    return docs.join(sent(written(dirty, "leaks-dirty")), F.col(key) == F.col("_dirty"), "left_anti")

@@ -18,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import whole_text, written
+from runsift.llm.common import has_plain_key, sent, whole_text, written
 from runsift.llm.components import components
 
 #: First bit and width of the three blocks.
@@ -204,7 +204,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp (signed long), fingerprint (16 hex digits), component_id: the smallest key of a
-    document reachable over fingerprints that differ in at most 3 bits, itself included.
+    document reachable over fingerprints that differ in at most 3 bits, itself included; root: the
+    fp that names the component.
 
     Equal texts have equal fingerprints, are one node, and need no link. Texts without words have
     fingerprint 0 and are linked like any other. Rows with a null key have a component too, of the
@@ -216,18 +217,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    by_print = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(by_print, "fp").select(
-        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest key stays (one
-    row, if the key repeats)."""
-    groups = near_duplicates(docs, key, text).select(key, "component_id").where(F.col(key).eqNullSafe(F.col("component_id")))
-    firsts = groups.select(F.col(key).alias("_first")).distinct()
-    kept = docs.join(firsts, F.col(key).eqNullSafe(F.col("_first")), "left_semi")
-    # Keys are unique in most tables; where they are not, the rows of one key are few.
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    row, if that key repeats). Of a component without any key one row stays."""
+    groups = near_duplicates(docs, key, text)
+    if has_plain_key(docs, key):
+        gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
+        return docs.join(sent(written(gone, "simhash-gone")), F.col(key) == F.col("_gone"), "left_anti")
+    # Rows without a key of their own: find them by their fingerprint, too.
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    by_row = fingerprints(rows, "_row", text)
+    named = groups.select("fp", "root", F.col("component_id").alias("_least")).distinct()
+    found = by_row.join(named, "fp").select(F.col("_row").alias("_id"), "root", "_least")
+    ranked = rows.select("_row", F.col(key).alias("_key")).join(found, F.col("_row") == F.col("_id")).where(
+        F.col("_key").eqNullSafe(F.col("_least"))
+    )
+    firsts = ranked.groupBy("root").agg(F.min("_row").alias("_first"))
+    return rows.join(firsts, F.col("_row") == F.col("_first"), "left_semi").drop("_row")

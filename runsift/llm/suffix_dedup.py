@@ -28,14 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import buckets_for, whole_text, written
+from runsift.llm.common import buckets_for, has_plain_key, sent, whole_text, written
 from runsift.llm.suffix_array import END, GAP, common_prefixes, suffix_array, symbols
 
 WIDTH, GRAM = 200, 32
 #: Distinct contexts of an anchor that go to one shard; contexts of one shard on average.
 CROWD, SHARD = 1000, 3000
-#: Documents or spans that may be sent to all executors instead of shuffling the texts.
-SENT_ROWS = 400_000
 
 
 def _sliding(values: np.ndarray, width: int, take) -> np.ndarray:
@@ -79,10 +77,8 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """rid (one for each row), key and body. The key serves as rid where it is unique."""
     body = F.encode(whole_text(text), "UTF-8").alias("body")
     kind = dict(docs.dtypes)[key]
-    if kind in ("bigint", "int"):
-        repeated = docs.groupBy(F.col(key).alias("k")).count().where("`count` > 1 or k is null").limit(1).count()
-        if not repeated:
-            return docs.select(F.col(key).cast("bigint").alias("rid"), F.col(key).alias("key"), body)
+    if kind in ("bigint", "int") and has_plain_key(docs, key):
+        return docs.select(F.col(key).cast("bigint").alias("rid"), F.col(key).alias("key"), body)
     staged = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "repeats-rows")
     # Of a written table; numbers of its rows don't change when a task runs again.
     return written(staged.select(F.monotonically_increasing_id().alias("rid"), "key", F.encode(whole_text("text"), "UTF-8").alias("body")), "repeats-numbered")
@@ -182,7 +178,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     wanted = written(wanted, "repeats-wanted")
     total = contexts.count()
     shards = buckets_for(total, SHARD)
-    joined = rows.select("rid", "body").join(_sent(wanted, F.size("wanted")), "rid")
+    joined = rows.select("rid", "body").join(sent(wanted, F.size("wanted")), "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +237,6 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     return whole.unionByName(sorted_out).unionByName(counted)
 
 
-def _sent(small: DataFrame, weight) -> DataFrame:
-    """small with a broadcast hint if the sum of the weights of its rows is within SENT_ROWS."""
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(small) if total <= SENT_ROWS else small
-
-
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, bodies: bool = True
 ) -> DataFrame:
@@ -259,7 +249,7 @@ def remove_repeats(
     found = repeated_spans(rows, width, gram, crowd)
     # Spans of a document touch or overlap: at most one for each anchor or window of it.
     spans = written(found.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found")), "repeats-spans")
-    joined = rows.join(_sent(spans, F.size("found")), "rid", "left").select("key", "body", "found")
+    joined = rows.join(sent(spans, F.size("found")), "rid", "left").select("key", "body", "found")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
