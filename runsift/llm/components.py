@@ -9,7 +9,7 @@ from runsift.llm.common import written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge to another.
+    """(node, component): the smallest node reachable, for every node that is not itself that one.
 
     `edges` has columns a and b of one type. Loops, repeated edges and edges with a null end change
     nothing. Each round links the larger neighbours of a node to its smallest one, then the smaller

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from runsift.llm.common import buckets_for, has_plain_key, sent, whole_text, written
 from runsift.llm.suffix_array import END, GAP, common_prefixes, suffix_array, symbols
 
+#: GRAM is a multiple of 8.
 WIDTH, GRAM = 200, 32
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Distinct contexts of an anchor that go to one shard; contexts of one shard on average.
 CROWD, SHARD = 1000, 3000
 
@@ -55,8 +57,8 @@ def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     words = np.ndarray((n - 7,), "<u8", data, strides=(1,))
     h = np.zeros(n - gram + 1, np.uint64)
-    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
-        h = (h ^ words[8 * k : 8 * k + len(h)]) * np.uint64(factor)
+    for k in range(gram // 8):
+        h = (h ^ words[8 * k : 8 * k + len(h)]) * np.uint64(FACTORS[k % 4])
         h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
