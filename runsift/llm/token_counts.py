@@ -17,7 +17,7 @@ length are taken whole. All other columns are left out of the result, but for `k
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,9 @@ from runsift.llm.common import tokenizer_path, whole_text
 
 SPACE = "▁"
 #: Stretches whose tables, and words whose totals, one Python worker keeps.
-KEPT, KEPT_TOTALS = 200_000, 500_000
+KEPT, KEPT_TOTALS = 400_000, 1_000_000
+#: Characters of the longest stretch that is kept.
+LONGEST_KEPT = 64
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 
 
@@ -44,7 +46,9 @@ class Totals(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_TOTALS:
             self.clear()
-        found = self[word] = self.count(word)
+        found = self.count(word)
+        if len(word) < LONGEST_KEPT:
+            self[word] = found
         return found
 
 
@@ -63,10 +67,18 @@ class PrefixCounter:
         #: piece -> (rank, id); a lower rank merges first.
         self.pieces = {p: (-score, i) for p, score, i in pieces}
         self.text = {i: p for p, _, i in pieces}
-        self.longest = max((len(p) for p in self.pieces), default=1)
+        #: Last two characters -> lengths of the pieces that end in them, the longest first.
+        sizes: dict[str, set[int]] = {}
+        for piece in self.pieces:
+            if len(piece) > 1:
+                sizes.setdefault(piece[-2:], set()).add(len(piece))
+        self.sizes = {end: (*sorted(found, reverse=True), 1) for end, found in sizes.items()}
         self.joins = {(_kind(a), _kind(b)) for p in self.pieces for a, b in zip(p, p[1:])}
-        self.pairs: dict[int, bool] = {}
-        self.tables: dict[str, tuple[int, ...]] = {}
+        #: piece -> piece behind it -> whether both stand as they are.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: stretch -> (counts, last tokens) of all its prefixes.
+        self.tables: dict[str, tuple[Sequence[int], tuple[str, ...]]] = {}
         self.totals = Totals(self._marked_total)
         self.splits = (1, 0) not in self.joins and (2, 0) not in self.joins
         self.stretch = self._stretches()
@@ -100,39 +112,54 @@ class PrefixCounter:
         return self._merged(left + right) == [left, right]
 
     # -- prefix tables -----------------------------------------------------------------------
-    def table(self, stretch: str) -> tuple[int, ...]:
+    def table(self, stretch: str) -> Sequence[int]:
         """counts[i]: tokens of the first i + 1 characters of a stretch (spaces as marks)."""
         found = self.tables.get(stretch)
         if found is not None:
-            return found
-        n, pieces, pairs, longest = len(stretch), self.pieces, self.pairs, self.longest
-        count, last = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
-            for size in range(min(longest, i), 0, -1):
+            return found[0]
+        n, pieces, pairs, sizes, single = len(stretch), self.pieces, self.pairs, self.sizes, (1,)
+        count, last = [0], [""]
+        # The table of a stretch that this one begins with is its first part.
+        for known in range(n - 1, 2, -1):
+            found = self.tables.get(stretch[:known])
+            if found is not None:
+                count, last = [0, *found[0]], ["", *found[1]]
+                break
+        for i in range(len(count), n + 1):
+            for size in sizes.get(stretch[i - 2 : i], single) if i > 1 else single:
+                if size > i:
+                    continue
                 piece = stretch[i - size : i]
                 if piece not in pieces:
                     continue
                 before = last[i - size]
-                key = (before, piece)
-                fits = pairs.get(key)
+                follows = pairs.get(before)
+                if follows is None:
+                    follows = pairs[before] = {}
+                fits = follows.get(piece)
                 if fits is None:
                     fits = self._stand(before, piece) if before else self._merged(piece) == [piece]
-                    pairs[key] = fits
+                    follows[piece] = fits
+                    self.n_pairs += 1
                 if fits:
-                    count[i], last[i] = count[i - size] + 1, piece
+                    count.append(count[i - size] + 1)
+                    last.append(piece)
                     break
             else:
                 # A character outside of the vocabulary: one token for each of its bytes. A lone
                 # character that is a piece never comes here, for it stands before all it cannot
                 # merge with.
-                count[i] = count[i - 1] + len(stretch[i - 1].encode("utf-8", "surrogatepass"))
-                last[i] = stretch[i - 1]
-        if len(pairs) > 4 * KEPT:
+                count.append(count[i - 1] + len(stretch[i - 1].encode("utf-8", "surrogatepass")))
+                last.append(stretch[i - 1])
+        if self.n_pairs > KEPT:
             pairs.clear()
-        if len(self.tables) >= KEPT:
-            self.tables.clear()
-        done = self.tables[stretch] = tuple(count[1:])
-        return done
+            self.n_pairs = 0
+        counts = bytes(count[1:]) if count[-1] < 256 and max(count) < 256 else tuple(count[1:])
+        if n <= LONGEST_KEPT:
+            if len(self.tables) >= KEPT:
+                self.tables.clear()
+            self.tables[stretch] = counts, tuple(last[1:])
+        return counts
 
     def _normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
