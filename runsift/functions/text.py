@@ -62,29 +62,6 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(re2(pattern))
 
 
-def group(text: Column, pattern: str, index: int = 1) -> Column:
-    """Capture group of the first match; null (not '') when the pattern does not match."""
-    java = re2(pattern)
-    return F.when(text.rlike(java), F.regexp_extract(text, java, index))
-
-
-def group_int(text: Column, pattern: str, index: int = 1) -> Column:
-    """Capture group made of digits as BIGINT, clamped on overflow; null when no match."""
-    java = re2(pattern)
-    return F.when(
-        text.rlike(java),
-        F.coalesce(F.regexp_extract(text, java, index).try_cast("bigint"), F.lit(MAX_LONG)),
-    )
-
-
-def leading_int(token: Column) -> Column:
-    """A whole token as BIGINT; 0 when it is not an integer, clamped on overflow."""
-    clamp = F.when(token.startswith("-"), F.lit(-MAX_LONG - 1)).otherwise(F.lit(MAX_LONG))
-    return F.when(
-        token.rlike(r"^[+-]?[0-9]+\z"), F.coalesce(token.try_cast("bigint"), clamp)
-    ).otherwise(F.lit(0).cast("bigint"))
-
-
 def trim(text: Column) -> Column:
     """Strip Unicode white space at both ends (Spark's `trim` strips only U+0020)."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -109,13 +86,13 @@ def startswith_any(text: Column, *prefixes: str) -> Column:
     return out
 
 
-def flag(condition: Column) -> Column:
-    """0/1 BIGINT, null-safe."""
-    return F.when(condition, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-
-
 def sanitize_utf8(text: Column) -> Column:
-    """Remove ill-formed byte runs; well-formed strings pass unchanged."""
-    return F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
-    )
+    """Remove ill-formed bytes; well-formed text, genuine replacement characters included, stays.
+
+    Genuine ones are escaped first, byte by byte, so that only those that stand for ill-formed
+    bytes are removed."""
+    mark, gone = F.lit("\u0001"), F.lit("\ufffd")
+    escaped = F.replace(F.replace(text, mark, F.lit("\u0001a")), gone, F.lit("\u0001b"))
+    valid = F.replace(F.make_valid_utf8(escaped), gone, F.lit(""))
+    restored = F.replace(F.replace(valid, F.lit("\u0001b"), gone), F.lit("\u0001a"), mark)
+    return F.when(F.is_valid_utf8(text), text).otherwise(restored)

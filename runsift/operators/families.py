@@ -54,6 +54,8 @@ class RuleFamily:
     content_keywords: tuple[str, ...] = ()
     event_cap: int | None = None
     event2_cap: int | None = None
+    # What stands between the events where the text goes on with all of them; null elsewhere.
+    separator: str | None = None
     # Conditions that several effects repeat word for word; they are evaluated once per line.
     flags: tuple[str, ...] = ()
 
@@ -307,9 +309,9 @@ TYPESCRIPT = RuleFamily(
             _tsc_error, _located(r"(.*?)\((\d+),(\d+)\): error (TS\d+): (.*)", "line")
         ),
     },
-    f"if(errors > 0, concat({lit(CROSS + 'Type checking failed: ')}, {{events: | }}), "
-    f"{lit(CHECK + 'Type checking passed')})",
+    f"if(errors > 0, {lit(CROSS + 'Type checking failed: ')}, {lit(CHECK + 'Type checking passed')})",
     by_command=lambda c, a1, a2: ends(c, "tsc"),
+    separator="if(errors > 0, ' | ', NULL)",
     flags=(_tsc_error,),
 )
 
@@ -593,9 +595,10 @@ GIT = RuleFamily(
         ),
         "event2": when(match("line", _git_diffstat, " changed, "), lit("⌛ "), "line"),
     },
-    "if(events > 0, concat('Git ', argument, ' summary: ', {events:, }), "
+    "if(events > 0, concat('Git ', argument, ' summary: '), "
     "concat('Git ', argument, ' execution finished.'))",
     by_command=lambda c, a1, a2: ends(c, "git", "git.exe"),
+    separator="if(events > 0, ', ', NULL)",
     flags=(_git_modified,),
 )
 

@@ -8,7 +8,6 @@ second step as one row per block.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -16,10 +15,6 @@ from pyspark.sql import functions as F
 
 from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of, by_exec, into_blocks
 from runsift.operators.families import BUILT_IN, RuleFamily
-from runsift.session import respect_jit_limit
-
-# Events kept inside the summary row. Longer lists stay whole in the `tool_events` rows.
-INLINE_EVENTS = 1000
 
 ADDS = ("errors", "warnings", "passed", "failed")
 SETS = {
@@ -82,8 +77,6 @@ def line_effects(rows: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     what the families do with a flag is alike.
     """
     total = len(families)
-    if total > 1:
-        respect_jit_limit(rows.sparkSession)
     flags, columns = [], []
     for n in range(max(len(f.flags) for f in families)):
         choices = {ix: f.flags[n] for ix, f in enumerate(families) if n < len(f.flags)}
@@ -114,13 +107,23 @@ def _last(value: str, order: str) -> str:
     return f"max_by({value}, CASE WHEN {value} IS NOT NULL THEN {order} END) AS {value}"
 
 
-def fold_blocks(effects: DataFrame) -> DataFrame:
+def _first_events(families: Sequence[RuleFamily]) -> int:
+    """Event lines that the caps of the families can reach; 0 if none has a cap."""
+    caps = [c for f in families for c in (f.event_cap, f.event2_cap) if c is not None]
+    return max(caps, default=0)
+
+
+def fold_blocks(effects: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     """Block rows of the fold. A totals line resets the error and warning counters, so counts
-    are taken after the last reset of the block, and the block remembers that it had one."""
+    are taken after the last reset of the block, and the block remembers that it had one.
+
+    Events are only counted. Where families cap them, a block also keeps its first event lines,
+    as many as the largest cap, to tell how many of the capped ones stay."""
     in_block = Window.partitionBy(EXEC, BLOCK)
     live = f"(_reset IS NULL OR {LINE_NO} > _reset)"
-    listed = f"struct({LINE_NO}, event, cap, event2, cap2)"
+    listed = f"struct({LINE_NO}, event IS NOT NULL AS one, cap, event2 IS NOT NULL AS two, cap2)"
     has_event = "(event IS NOT NULL OR event2 IS NOT NULL)"
+    first = _first_events(families)
     aggregates = [
         "max(_reset IS NOT NULL) AS _had_reset",
         *[f"count_if({live} AND add_{n}) AS add_{n}" for n in ADDS],
@@ -130,11 +133,12 @@ def fold_blocks(effects: DataFrame) -> DataFrame:
         "sum(bytes) AS bytes",
         "count_if(event IS NOT NULL AND cap IS NULL) + "
         "count_if(event2 IS NOT NULL AND cap2 IS NULL) AS _open_events",
-        f"count_if({has_event}) AS _event_lines",
-        # Bounded by the block; sorted, so that the cut keeps the first lines.
-        f"slice(sort_array(collect_list(CASE WHEN {has_event} THEN {listed} END)), 1, "
-        f"{INLINE_EVENTS}) AS _list",
     ]
+    if first:
+        capped = f"{has_event} AND (cap IS NOT NULL OR cap2 IS NOT NULL)"
+        aggregates.append(
+            f"slice(sort_array(collect_list(CASE WHEN {capped} THEN {listed} END)), 1, {first}) AS _list"
+        )
     return (
         effects.withColumn(
             "_reset", F.max(F.expr(f"CASE WHEN set_errors IS NOT NULL THEN {LINE_NO} END")).over(in_block)
@@ -144,14 +148,10 @@ def fold_blocks(effects: DataFrame) -> DataFrame:
     )
 
 
-def combine_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per execution from its block rows.
-
-    Event lists are taken from the first blocks only, up to the inline limit; the number of
-    event lines in earlier blocks tells which ones.
-    """
+def combine_blocks(blocks: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
+    """One row per execution from its block rows."""
     live = f"(_last_reset IS NULL OR {BLOCK} >= _last_reset)"
-    lists = f"CASE WHEN _before < {INLINE_EVENTS} AND _event_lines > 0 THEN struct({BLOCK}, _list) END"
+    first = _first_events(families)
     aggregates = [
         *[f"sum(CASE WHEN {live} THEN add_{n} ELSE 0 END) AS add_{n}" for n in ADDS],
         *[_last(f"set_{n}", BLOCK) for n in SETS],
@@ -159,18 +159,20 @@ def combine_blocks(blocks: DataFrame) -> DataFrame:
         "max(mark) AS mark",
         "sum(bytes) AS bytes",
         "sum(_open_events) AS _open_events",
-        f"slice(flatten(sort_array(collect_list({lists}))._list), 1, {INLINE_EVENTS}) AS _list",
     ]
-    return (
-        blocks.withColumns(
-            {
-                "_last_reset": F.max(F.expr(f"CASE WHEN _had_reset THEN {BLOCK} END")).over(by_exec()),
-                "_before": F.expr(
-                    f"coalesce(sum(_event_lines) OVER (PARTITION BY {EXEC} ORDER BY {BLOCK} "
-                    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-                ),
-            }
+    if first:
+        # Blocks among the first `first` that have capped events hold all that the caps leave.
+        lists = f"CASE WHEN _rank <= {first} AND size(_list) > 0 THEN struct({BLOCK}, _list) END"
+        aggregates.append(f"slice(flatten(sort_array(collect_list({lists}))._list), 1, {first}) AS _list")
+        blocks = blocks.withColumn(
+            "_rank",
+            F.expr(
+                f"sum(CAST(size(_list) > 0 AS INT)) OVER (PARTITION BY {EXEC} ORDER BY {BLOCK} "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            ),
         )
+    return (
+        blocks.withColumn("_last_reset", F.max(F.expr(f"CASE WHEN _had_reset THEN {BLOCK} END")).over(by_exec()))
         .groupBy(EXEC)
         .agg(*[F.expr(a) for a in aggregates])
     )
@@ -210,63 +212,46 @@ def tool_events(effects: DataFrame, families: Sequence[RuleFamily] = BUILT_IN) -
     return kept.drop("cap")
 
 
-def _joined_events(text: str) -> str:
-    """Fill `{events:<separator>}`. A list too long for one cell is counted here and stands
-    whole in `tool_events`."""
-    return re.sub(
-        r"\{events:(.*?)\}",
-        lambda m: f"if(events_overflow, concat(events, ' events'), array_join(_events, '{m[1]}'))",
-        text,
-    )
-
-
 def verdicts(folded: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     """Status and text from the metrics. `folded` has one row per execution with tool, fam,
-    argument and (maybe null) fold columns."""
-    pairs = (
-        "flatten(transform(_list, x -> array(struct(x.event AS event, x.cap AS cap), "
-        "struct(x.event2 AS event, x.cap2 AS cap))))"
-    )
+    argument and (maybe null) fold columns.
+
+    `event_count` counts the kept events; they stand in the rows of `tool_events`. `separator` is
+    not null where the reference's text goes on with all events, one separator between."""
     metrics = [
         f"coalesce(set_{n}, {ZERO[kind]})" + (f" + coalesce(add_{n}, 0L)" if n in ADDS else "") + f" AS {n}"
         for n, kind in SETS.items()
     ]
-    base = (
-        folded.selectExpr(
-            EXEC,
-            "tool",
-            "fam",
-            "argument",
-            "coalesce(fails, false) AS failing",
-            "coalesce(mark, false) AS mark",
-            *metrics,
-            "coalesce(bytes, 0L) AS original_bytes",
-            "coalesce(_open_events, 0L) AS events",
-            f"filter({pairs}, x -> x.event IS NOT NULL) AS _listed",
-        )
-        .withColumn(
-            "_kept", F.expr("filter(_listed, (x, i) -> x.cap IS NULL OR i < x.cap)")
-        )
-        .withColumns(
-            {
-                "events_overflow": F.expr(
-                    "events > coalesce(size(filter(_kept, x -> x.cap IS NULL)), 0)"
-                ),
-                "_events": F.expr("coalesce(_kept.event, CAST(array() AS array<string>))"),
-            }
+    capped = "0L"
+    if _first_events(families):
+        each = (
+            "filter(flatten(transform(_list, x -> array(struct(x.one AS has, x.cap AS cap), "
+            "struct(x.two AS has, x.cap2 AS cap)))), x -> x.has)"
         )
+        capped = f"CAST(coalesce(size(filter({each}, (x, i) -> i < x.cap)), 0) AS BIGINT)"
+    base = folded.selectExpr(
+        EXEC,
+        "tool",
+        "fam",
+        "argument",
+        "coalesce(fails, false) AS failing",
+        "coalesce(mark, false) AS mark",
+        *metrics,
+        "coalesce(bytes, 0L) AS original_bytes",
+        f"coalesce(_open_events, 0L) + {capped} AS events",
     )
     total = len(families)
     failure = _by_family({ix: f"failing OR {f.bad}" for ix, f in enumerate(families)}, "boolean", total)
-    text = _by_family({ix: _joined_events(f.text) for ix, f in enumerate(families)}, "string", total)
+    text = _by_family({ix: f.text for ix, f in enumerate(families)}, "string", total)
+    separator = _by_family({ix: f.separator for ix, f in enumerate(families) if f.separator}, "string", total)
     return base.withColumn("failure", F.expr(failure)).selectExpr(
         EXEC,
         "tool",
         "if(failure, 'failure', 'success') AS status",
         f"{text} AS summary",
         *[f"{v} AS {k}" for k, v in METRICS.items()],
-        "if(events_overflow, NULL, _events) AS important_events",
-        "events_overflow",
+        "events AS event_count",
+        f"{separator} AS separator",
         "original_bytes",
     )
 
@@ -289,7 +274,9 @@ def fold_effects(
 ) -> DataFrame:
     """Fold of prepared effects; `executions` gives exec_id, tool, family and argument."""
     named = executions.selectExpr(EXEC, "tool", family_index(families), "argument")
-    return verdicts(named.join(combine_blocks(fold_blocks(effects)), EXEC, "left"), families)
+    return verdicts(
+        named.join(combine_blocks(fold_blocks(effects, families), families), EXEC, "left"), families
+    )
 
 
 def fold_as(
@@ -298,4 +285,35 @@ def fold_as(
     """Read every log as if `family` had produced it. `lines` are cleaned lines."""
     columns = {"tool": F.lit(tool or family.name), "fam": F.lit(0), "argument": F.lit(argument)}
     effects = line_effects(into_blocks(lines).withColumns(columns), [family])
-    return verdicts(combine_blocks(fold_blocks(effects)).withColumns(columns), [family])
+    folded = combine_blocks(fold_blocks(effects, [family]), [family])
+    return verdicts(folded.withColumns(columns), [family])
+
+
+def event_parts(
+    verdict: DataFrame, events: DataFrame, rows_per_part: int = 1 << 12
+) -> DataFrame:
+    """The texts that list all events, as parts (exec_id, part_no, text) whose concatenation in
+    order of part_no is the reference's text: part 0 is the head, every other part holds the
+    events of `rows_per_part` line numbers. No text is put together in one cell.
+
+    `verdict` has exec_id, summary and separator; `events` is what `tool_events` gives."""
+    listing = verdict.where("separator IS NOT NULL").select(EXEC, "summary", "separator")
+    part = F.call_function("div", F.col(LINE_NO), F.lit(rows_per_part)) + 1
+    pieces = (
+        events.withColumn("part_no", part.cast("bigint"))
+        .groupBy(EXEC, "part_no")
+        .agg(F.sort_array(F.collect_list(F.struct(LINE_NO, "step", "event"))).getField("event").alias("_events"))
+    )
+    first = Window.partitionBy(EXEC).orderBy("part_no")
+    body = (
+        pieces.select(EXEC, "part_no", "_events")
+        .withColumn("_nth", F.row_number().over(first))
+        .join(listing, EXEC)
+        .selectExpr(
+            EXEC,
+            "part_no",
+            "concat(if(_nth = 1, '', separator), array_join(_events, separator)) AS text",
+        )
+    )
+    head = listing.selectExpr(EXEC, "0L AS part_no", "summary AS text")
+    return head.unionByName(body)

@@ -24,6 +24,7 @@ from runsift.operators.families import BUILT_IN, FALLBACK, RuleFamily
 from runsift.operators.folds import (
     METRICS,
     attach_tools,
+    event_parts,
     fold_effects,
     line_effects,
     tool_events,
@@ -90,14 +91,14 @@ def summarize_tools(
         "summary AS _summary",
         "errors AS _errors",
         "warnings AS _warnings",
-        "coalesce(events, CAST(array() AS array<string>)) AS _generic_events",
+        "CAST(coalesce(size(events), 0) AS BIGINT) AS _generic_events",
     )
     replaced = {
         "status": "_status",
         "summary": "_summary",
         "errors": "_errors",
         "warnings": "_warnings",
-        "important_events": "_generic_events",
+        "event_count": "_generic_events",
     }
     return folded.join(generic, EXEC, "left").selectExpr(
         *[f"if(_generic, {replaced[c]}, {c}) AS {c}" if c in replaced else c for c in folded.columns]
@@ -107,11 +108,36 @@ def summarize_tools(
 def all_tool_events(
     executions: DataFrame, lines: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
 ) -> DataFrame:
-    """Every kept tool event as a row, for executions whose list does not fit in one cell."""
+    """Every kept event as a row (exec_id, line_no, step, event): the one place where events
+    stand, however many an execution has. Executions without a known tool have up to ten, of the
+    reduced log: step 0, numbered by their place."""
     distinct = list({f.name: f for f in families}.values())
     cleaned = clean_blocks(lines)
     tools = tools_of(executions, cleaned, families)
-    return tool_events(line_effects(attach_tools(cleaned, lines, tools, distinct), distinct), distinct)
+    known = tool_events(line_effects(attach_tools(cleaned, lines, tools, distinct), distinct), distinct)
+    unknown = tools.filter(F.col("family") == FALLBACK.name).select(EXEC)
+    generic = unknown.join(semantic_summary(compress_lines(cleaned)), EXEC).select(
+        EXEC, F.posexplode("events").alias("line_no", "event")
+    )
+    return known.unionByName(
+        generic.selectExpr(EXEC, "CAST(line_no AS BIGINT) AS line_no", "0 AS step", "event")
+    )
+
+
+def summary_parts(
+    executions: DataFrame,
+    lines: DataFrame,
+    families: Sequence[RuleFamily] = BUILT_IN,
+    rows_per_part: int = 1 << 12,
+) -> DataFrame:
+    """The texts that list all events (type checks, version control) as ordered part rows."""
+    distinct = list({f.name: f for f in families}.values())
+    cleaned = clean_blocks(lines)
+    tools = tools_of(executions, cleaned, families)
+    effects = line_effects(attach_tools(cleaned, lines, tools, distinct), distinct)
+    return event_parts(
+        fold_effects(effects, tools, distinct), tool_events(effects, distinct), rows_per_part
+    )
 
 
 def execution_summary(
@@ -170,8 +196,8 @@ def execution_summary(
         "command",
         "if(failed, 'failure', 'success') AS status",
         "if(explained, concat(summary, '\\n\\nRoot cause:\\n', root_cause), summary) AS summary",
-        "important_events",
-        "events_overflow",
+        "event_count",
+        "separator",
         *shown,
         "wall AS duration_seconds",
         "coalesce(max_ram_mb, 0D) AS max_ram_mb",
@@ -213,5 +239,6 @@ __all__ = [
     "clean_lines",
     "execution_summary",
     "summarize_tools",
+    "summary_parts",
     "tools_of",
 ]

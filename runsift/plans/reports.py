@@ -100,14 +100,17 @@ def _json_text(value: Column) -> Column:
 
 
 def summary_json(summary: DataFrame) -> DataFrame:
-    """The full record; empty optional fields are left out."""
+    """The full record; empty optional fields are left out. `event_count` stands for the list of
+    events, which are rows of `all_tool_events`; `separator` says that the text goes on with them
+    (see `summary_parts`)."""
     record = F.struct(
         F.col(EXEC).cast("string").alias("execution_id"),
         "tool",
         "command",
         "status",
         "summary",
-        _unless_empty(F.col("important_events")).alias("important_events"),
+        F.nullif("event_count", F.lit(0)).alias("event_count"),
+        "separator",
         metrics().alias("metrics"),
         error_intel().alias("error_intel"),
         _unless_empty(F.col("suggestions")).alias("suggestions"),

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: The streaming operators keep their state in this store.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
@@ -18,23 +22,16 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.metricsEnabled", "false")
+        # The projection of all families is longer than the JIT accepts (8000 bytes on HotSpot);
+        # Spark then splits it instead of running it interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(STATE_STORE, ROCKSDB)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
-
-
-def respect_jit_limit(spark: SparkSession) -> None:
-    """Let Spark fall back to split projections where a fused method would be too long for the
-    JIT (8000 bytes on HotSpot); such a method runs interpreted and is several times slower.
-    A value that the user chose is left alone."""
-    if spark.conf.get(HUGE_METHOD_LIMIT) == "65535":
-        spark.conf.set(HUGE_METHOD_LIMIT, "8000")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table, in a folder that driver and executors share: the
     session's checkpoint folder or, if that is unset, one below its warehouse."""

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("execution_id", "command", "status", "summary")
-SCHEMA = ", ".join(f"{name} STRING" for name in FIELDS)
 
 
-def _filled() -> list[Column]:
-    return [F.coalesce(name, F.lit("")).alias(name) for name in FIELDS]
+def parse_history(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Entries from JSON text in a column. A line counts if the whole of it is one JSON value, an
+    object or null, and each known field is a string or null; missing fields are ''."""
+    kept = [c for c in lines.columns if c != column]
+    # An element behind the value, if the value is the whole text, and a broken text if not.
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
+    # "1, 2" would pass as two elements.
+    value = F.try_variant_get(whole, "$[0]", "variant")
+    second = F.try_variant_get(whole, "$[1]", "variant")
+    kind = F.schema_of_variant("_v")
+    # A generator, so that the parsing is not repeated in each of the expressions above it.
+    once = F.inline(F.array(F.struct(value.alias("_v"), second.alias("_w"))))
+    parts = lines.select(*kept, once).filter(F.col("_v").isNotNull() & F.col("_w").isNull())
+    good = kind.startswith("OBJECT") | (kind == "VOID")
+    fields = []
+    for name in FIELDS:
+        each = F.try_variant_get("_v", f"$.{name}", "variant")
+        good = good & (each.isNull() | F.schema_of_variant(each).isin("STRING", "VOID"))
+        fields.append(F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit("")).alias(name))
+    return parts.filter(good).select(*kept, *fields)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; lines that do not parse are skipped, missing keys are ''."""
-    return (
-        spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path).select(*_filled())
-    )
-
-
-def parse_history(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The same for JSON text that is already in a column."""
-    parsed = F.from_json(column, f"{SCHEMA}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
-    return (
-        lines.select(*[c for c in lines.columns if c != column], parsed.alias("_j"))
-        .filter(F.col("_j").isNotNull() & F.col("_j._bad").isNull())
-        .select(
-            *[c for c in lines.columns if c != column],
-            *[F.coalesce(f"_j.{name}", F.lit("")).alias(name) for name in FIELDS],
-        )
-    )
+    """Entries of the files below a path, one JSON value per line."""
+    return parse_history(spark.read.text(path))

@@ -1,49 +1,50 @@
-"""Streaming jobs over log lines and exit events."""
+"""Streaming jobs over log lines and exit events.
+
+The session must keep streaming state in RocksDB (`runsift.session.ROCKSDB`), and the Python
+workers must find this package: `--py-files` on a cluster.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from runsift.operators.blocks import EXEC, LINE_NO
 from runsift.operators.clean import is_progress, normalize
 from runsift.sources.history import FIELDS
-from runsift.streaming.stateful import (
-    ROCKSDB,
-    STATE_STORE,
-    DedupeLines,
-    Heartbeat,
-    RunLifecycle,
-)
+from runsift.streaming.stateful import DedupeLines, Heartbeat, RunLifecycle
 
 DEFAULT_TIMEOUT_SECONDS = 600
 HEARTBEAT_SECONDS = 5
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set(STATE_STORE, ROCKSDB)
+def _expiry(keep_seconds: int | None) -> tuple[int | None, str]:
+    """Milliseconds that a value is kept, and the time mode. A stream that runs on should have an
+    expiry, or each execution leaves a value behind. Runs to the end of the input (trigger
+    availableNow) take None: with processing time they would wait for expiries without end."""
+    return (None, "None") if keep_seconds is None else (keep_seconds * 1000, "ProcessingTime")
 
 
 def _key_type(df: DataFrame) -> str:
     return df.schema[EXEC].dataType.simpleString()
 
 
-def clean_stream(lines: DataFrame) -> DataFrame:
+def clean_stream(lines: DataFrame, keep_seconds: int | None = None) -> DataFrame:
     """exec_id, line_no, line, late. Lines behind the last number of their execution are not
     merged; they come out with `late` set, for a side table."""
-    use_rocksdb(lines.sparkSession)
+    keep_ms, mode = _expiry(keep_seconds)
     text = lines.select(EXEC, LINE_NO, normalize(F.col("line")).alias("line"))
     deduped = (
         text.filter(F.col("line") != "")
         .groupBy(EXEC)
         .transformWithStateInPandas(
-            DedupeLines(),
+            DedupeLines(keep_ms),
             f"{EXEC} {_key_type(lines)}, {LINE_NO} bigint, line string, late boolean",
             "Append",
-            "None",
+            mode,
         )
     )
     return deduped.filter(~is_progress(F.col("line")))
@@ -56,34 +57,43 @@ def closings(
 ) -> DataFrame:
     """Ends of executions from events (exec_id, ts, exit_code; exit_code null on log lines).
     Only three narrow columns go through the state."""
-    use_rocksdb(events.sparkSession)
-    return (
-        events.select(EXEC, "ts", "exit_code")
+    closed = (
+        events.select(EXEC, "ts", F.unix_micros("ts").alias("at"), "exit_code")
         .withWatermark("ts", delay)
         .groupBy(EXEC)
         .transformWithStateInPandas(
-            RunLifecycle(timeout_seconds * 1000),
-            f"{EXEC} {_key_type(events)}, start_ts timestamp, end_ts timestamp, "
+            RunLifecycle(timeout_seconds * 1_000_000),
+            f"{EXEC} {_key_type(events)}, start_us bigint, end_us bigint, "
             "exit_code int, timed_out boolean",
             "Append",
             "EventTime",
         )
     )
+    return closed.select(
+        EXEC,
+        F.timestamp_micros("start_us").alias("start_ts"),
+        F.timestamp_micros("end_us").alias("end_ts"),
+        "exit_code",
+        "timed_out",
+    )
 
 
-def heartbeats(lines: DataFrame, every_seconds: int = HEARTBEAT_SECONDS) -> DataFrame:
+def heartbeats(
+    lines: DataFrame, every_seconds: int = HEARTBEAT_SECONDS, keep_seconds: int | None = None
+) -> DataFrame:
     """exec_id, ts, since_ms of every heartbeat of long-running executions."""
-    use_rocksdb(lines.sparkSession)
-    return (
-        lines.select(EXEC, "ts")
+    keep_ms, mode = _expiry(None if keep_seconds is None else max(keep_seconds, 2 * every_seconds))
+    beats = (
+        lines.select(EXEC, F.unix_micros("ts").alias("at"))
         .groupBy(EXEC)
         .transformWithStateInPandas(
-            Heartbeat(every_seconds * 1000),
-            f"{EXEC} {_key_type(lines)}, ts timestamp, since_ms bigint",
+            Heartbeat(every_seconds * 1_000_000, keep_ms),
+            f"{EXEC} {_key_type(lines)}, at bigint, since_ms bigint",
             "Append",
-            "None",
+            mode,
         )
     )
+    return beats.select(EXEC, F.timestamp_micros("at").alias("ts"), "since_ms")
 
 
 def counters(closed: DataFrame) -> DataFrame:

@@ -1,37 +1,34 @@
 """Keyed state for streaming logs: line dedupe, run lifecycle, heartbeats.
 
 Each processor keeps a few scalars per execution. Text work (escapes, trimming, patterns) stays
-in Column expressions before the state; Python only compares neighbours. Rows of one execution
-inside one micro-batch are ordered here, so bound the batch with the rate limit of the source.
+in Column expressions before the state; Python only compares neighbours. Times come and go as
+microseconds since the epoch, so neither the session's time zone nor a rounding touches them.
+Rows of one execution inside one micro-batch are ordered here, so bound the batch with the rate
+limit of the source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+class DedupeLines(StatefulProcessor):
+    """Drop a line equal to the previous one; flag lines that arrive behind the last number.
 
-def _gather(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-
-
-def _millis(ts: pd.Timestamp) -> int:
-    return int(ts.timestamp() * 1000)
-
+    The last line of an execution is forgotten `keep_ms` after it came; never if that is None."""
 
-class DedupeLines(StatefulProcessor):
-    """Drop a line equal to the previous one; flag lines that arrive behind the last number."""
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line string, line_no bigint")
+        self.last = handle.getValueState("last", "line string, line_no bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _gather(rows, "line_no")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
         line, number = self.last.get() if self.last.exists() else (None, None)
         late = batch["line_no"] <= number if number is not None else batch["line_no"].isna()
         fresh = batch[~late]
@@ -48,93 +45,102 @@ class DedupeLines(StatefulProcessor):
 
 
 class RunLifecycle(StatefulProcessor):
-    """One closing row per execution: at its exit event, or when it outlives the timeout."""
+    """One closing row per execution: at its exit event, or when it outlives the timeout.
+
+    Of the log lines only the first time is used; chunks of a batch are never put together."""
 
     TIMED_OUT = -1
 
-    def __init__(self, timeout_ms: int) -> None:
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_us: int) -> None:
+        self.timeout_us = timeout_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "start_ms bigint, closed boolean")
+        self.run = handle.getValueState("run", "start_us bigint, closed boolean")
 
-    def _closing(self, key, start_ms: int, end_ms: int, exit_code: int, timed_out: bool):
+    def _closing(self, key, start_us: int, end_us: int, exit_code: int, timed_out: bool):
         return pd.DataFrame(
             {
                 "exec_id": [key[0]],
-                "start_ts": [pd.Timestamp(start_ms, unit="ms", tz="UTC")],
-                "end_ts": [pd.Timestamp(end_ms, unit="ms", tz="UTC")],
+                "start_us": [start_us],
+                "end_us": [end_us],
                 "exit_code": pd.array([exit_code], dtype="Int32"),
                 "timed_out": [timed_out],
             }
         )
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _gather(rows, "ts")
+    def _timer(self, at_us: int) -> None:
+        # Timers have milliseconds; never early.
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        first, exit_at, exit_code = None, None, None
+        for chunk in rows:
+            low = int(chunk["at"].min())
+            first = low if first is None else min(first, low)
+            exits = chunk[chunk["exit_code"].notna()]
+            if len(exits):
+                row = exits.loc[exits["at"].idxmin()]
+                if exit_at is None or row["at"] < exit_at:
+                    exit_at, exit_code = int(row["at"]), int(row["exit_code"])
         if self.run.exists():
-            start_ms, closed = self.run.get()
+            start_us, closed = self.run.get()
         else:
-            start_ms, closed = _millis(batch["ts"].iloc[0]), False
-            self.handle.registerTimer(start_ms + self.timeout_ms)
-            self.run.update((start_ms, closed))
-        exits = batch[batch["exit_code"].notna()]
-        if closed or exits.empty:
+            start_us, closed = first, False
+            self._timer(start_us + self.timeout_us)
+            self.run.update((start_us, closed))
+        if closed or exit_at is None:
             return
-        last = exits.iloc[0]
-        end_ms = _millis(last["ts"])
         # The open timer stays: it clears the state of a closed run.
-        self.run.update((start_ms, True))
-        overdue = end_ms > start_ms + self.timeout_ms
+        self.run.update((start_us, True))
+        limit = start_us + self.timeout_us
+        overdue = exit_at > limit
         yield self._closing(
-            key,
-            start_ms,
-            start_ms + self.timeout_ms if overdue else end_ms,
-            self.TIMED_OUT if overdue else int(last["exit_code"]),
-            overdue,
+            key, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        start_ms, closed = self.run.get()
+        start_us, closed = self.run.get()
         if closed:
             self.run.clear()
             return
         # Keep the closed mark for one more timeout, so that stragglers do not reopen the run.
-        self.run.update((start_ms, True))
-        end_ms = start_ms + self.timeout_ms
-        self.handle.registerTimer(end_ms + self.timeout_ms)
-        yield self._closing(key, start_ms, end_ms, self.TIMED_OUT, True)
+        self.run.update((start_us, True))
+        end_us = start_us + self.timeout_us
+        self._timer(end_us + self.timeout_us)
+        yield self._closing(key, start_us, end_us, self.TIMED_OUT, True)
 
     def close(self) -> None:
         pass
 
 
 class Heartbeat(StatefulProcessor):
-    """A row whenever a line comes more than `every_ms` after the last beat (first: the start)."""
+    """A row whenever a line comes more than `every_us` after the last beat (first: the start).
+
+    The last beat of an execution is forgotten `keep_ms` after it was set; never if that is None."""
 
-    def __init__(self, every_ms: int) -> None:
-        self.every_ms = every_ms
+    def __init__(self, every_us: int, keep_ms: int | None) -> None:
+        self.every_us = every_us
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.beat = handle.getValueState("beat", "at_ms bigint")
+        self.beat = handle.getValueState("beat", "at_us bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _gather(rows, "ts")
-        times = [_millis(t) for t in batch["ts"]]
-        at = self.beat.get()[0] if self.beat.exists() else times[0]
+        times = np.sort(np.concatenate([chunk["at"].to_numpy() for chunk in rows]))
+        at = self.beat.get()[0] if self.beat.exists() else int(times[0])
         beats = []
-        for now in times:
-            if now - at > self.every_ms:
-                beats.append((now, now - at))
-                at = now
+        # From beat to beat; lines between them are not looked at.
+        place = np.searchsorted(times, at + self.every_us, side="right")
+        while place < len(times):
+            now = int(times[place])
+            beats.append((now, (now - at) // 1000))
+            at = now
+            place = np.searchsorted(times, at + self.every_us, side="right")
         self.beat.update((at,))
         if beats:
             yield pd.DataFrame(
-                {
-                    "exec_id": key[0],
-                    "ts": [pd.Timestamp(t, unit="ms", tz="UTC") for t, _ in beats],
-                    "since_ms": [s for _, s in beats],
-                }
+                {"exec_id": key[0], "at": [t for t, _ in beats], "since_ms": [s for _, s in beats]}
             )
 
     def close(self) -> None:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from runsift.operators import clean, folds, reduce
@@ -85,6 +86,19 @@ def fold(df, name):
     return {r["exec_id"]: r for r in folds.fold_as(df, BY_NAME[name]).collect()}
 
 
+def effects_of(df, name):
+    keys = {"fam": F.lit(0), "argument": F.lit("status")}
+    return folds.line_effects(clean.into_blocks(df).withColumns(keys), [BY_NAME[name]])
+
+
+def events(df, name):
+    rows = folds.tool_events(effects_of(df, name), [BY_NAME[name]]).orderBy("line_no", "step").collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["exec_id"], []).append(r["event"])
+    return out
+
+
 def test_totals_line_resets_counters(log, small_blocks):
     words = ["a: error CS1: x", "b: warning CS2: y", "3 Error(s) 1 Warning(s)", "0 Error(s) 0 Warning(s)", "z"]
     logs = random_logs(words, 6)
@@ -92,14 +106,17 @@ def test_totals_line_resets_counters(log, small_blocks):
     result = fold(log(logs), "dotnet")
     for k, v in logs.items():
         assert (result[k]["errors"], result[k]["warnings"]) == brute.dotnet(v)
-    assert result["spec"]["important_events"][0] == "✗ a:1 - m"
+    assert result["spec"]["event_count"] == 2
+    assert events(log(logs), "dotnet")["spec"][0] == "✗ a:1 - m"
 
 
 def test_mixed_event_cap(log, small_blocks):
     logs = random_logs(["> Task :compileX", "e: bad", "> Task :clean", "> Task :assemble error: y"], 7)
     result = fold(log(logs), "gradle")
+    listed = events(log(logs), "gradle")
     for k, v in logs.items():
-        assert result[k]["important_events"] == brute.gradle_events(v)
+        assert listed.get(k, []) == brute.gradle_events(v)
+        assert result[k]["event_count"] == len(brute.gradle_events(v))
 
 
 def test_status_may_be_overwritten(log, small_blocks):
@@ -111,25 +128,30 @@ def test_status_may_be_overwritten(log, small_blocks):
         assert result[k]["status"] == brute.cargo_status(v)
 
 
-def test_long_event_lists_stay_whole_as_rows(log, small_blocks, monkeypatch):
-    monkeypatch.setattr(folds, "INLINE_EVENTS", 5)
-    logs = {"long": [f"src/{i}.ts: error TS1" for i in range(30)], "short": ["a: error TS1"]}
-    result = fold(log(logs), "typescript")
-    assert result["long"]["events_overflow"] and result["long"]["important_events"] is None
-    assert result["long"]["summary"] == "✗ Type checking failed: 30 events"
-    assert result["long"]["errors"] == 30
-    assert result["short"]["summary"] == "✗ Type checking failed: ✗ a: error TS1"
-    blocked = clean.into_blocks(log(logs)).withColumns(
-        {"fam": F.lit(0), "argument": F.lit("")}
-    )
-    family = BY_NAME["typescript"]
-    events = folds.tool_events(folds.line_effects(blocked, [family]), [family])
-    assert events.filter("exec_id = 'long'").count() == 30
+@pytest.mark.parametrize("name,separator,head", [
+    ("typescript", " | ", "✗ Type checking failed: "), ("git", ", ", "Git status summary: "),
+])
+def test_texts_with_all_events_are_parts_of_any_number(log, small_blocks, name, separator, head):
+    line = {"typescript": "src/{}.ts: error TS1", "git": "modified: {}"}[name]
+    mark = {"typescript": "✗ ", "git": "☑ "}[name]
+    logs = {f"n{n}": [line.format(i) for i in range(n)] + ["end"] for n in (0, 1, 2, 30, 1200)}
+    df = log(logs)
+    verdict = folds.fold_as(df, BY_NAME[name], argument="status")
+    rows = {r["exec_id"]: r for r in verdict.collect()}
+    listed = folds.tool_events(effects_of(df, name), [BY_NAME[name]])
+    texts_of = {}
+    for r in folds.event_parts(verdict, listed, rows_per_part=7).orderBy("part_no").collect():
+        texts_of[r["exec_id"]] = texts_of.get(r["exec_id"], "") + r["text"]
+    for k, v in logs.items():
+        want = [mark + x for x in v[:-1]]
+        assert rows[k]["event_count"] == len(want)
+        assert texts_of.get(k) == (head + separator.join(want) if want else None)
+        assert (rows[k]["separator"] is None) == (not want)
 
 
 def test_event_list_order_over_blocks(log, small_blocks):
     logs = {"e": [f"info {i}" for i in range(25)]}
-    assert fold(log(logs), "dart")["e"]["important_events"] == logs["e"]
+    assert events(log(logs), "dart")["e"] == logs["e"]
 
 
 def test_number_rows_by_nested_slices(spark):

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from workload import templates
 from workload.queries import FORCED, FORCED_ARGUMENT, SEARCHES
-from workload.views import PASTE_SLICE
 
 # Patterns in RE2 spelling and the white-space class.
 WS = (
@@ -95,9 +94,9 @@ EXECUTIONS = r"""executions AS (
               FROM events GROUP BY user_id) u JOIN cmds c ON c.tool_ix = u.exec_id % 25))"""
 EXECS = [CMD, EXECUTIONS]
 PASTED = f"""pasted AS (
-  SELECT exec_id::VARCHAR || '-' || (event_id // {PASTE_SLICE})::VARCHAR AS exec_id,
-         string_agg(line, chr(10) ORDER BY event_id) AS text
-  FROM event_lines GROUP BY 1)"""
+  SELECT doc_id::VARCHAR AS exec_id, p.prefix || replace(text, chr(10), chr(10) || p.prefix) AS text
+  FROM documents JOIN (VALUES {", ".join(f"({ix}, {q(lines[0] + ' ')})" for ix, _, lines in templates.tools())})
+    p(ix, prefix) ON p.ix = doc_id % 25)"""
 PASTED_LINES = """pasted_lines AS (
   SELECT exec_id, pos - 1 AS line_no, parts[pos] AS line FROM (
     SELECT exec_id, string_split(text, chr(10)) AS parts,
@@ -466,7 +465,8 @@ def fold_rules() -> dict[str, dict[str, str]]:
             "fails": sticky(f"{has('line', ': error TS')} OR ({has('line', 'Found')} AND {has('line', 'error')})"),
             "errors": has("line", ": error TS"),
             "event": f"CASE WHEN {has('line', ': error TS')} THEN {located(TSC)} END",
-            "text": "CASE WHEN errors > 0 THEN '✗ Type checking failed: ' || array_to_string(evs, ' | ') ELSE '✓ Type checking passed' END",
+            "text": "CASE WHEN errors > 0 THEN '✗ Type checking failed: ' ELSE '✓ Type checking passed' END",
+            "separator": "CASE WHEN errors > 0 THEN ' | ' ELSE '' END",
         },
         "dart": {
             "fails": sticky(starts("line", "error ")),
@@ -585,7 +585,8 @@ def fold_rules() -> dict[str, dict[str, str]]:
             "warnings": f"argument = 'status' AND {starts('line', 'modified:')}",
             "event": f"CASE WHEN argument <> 'status' THEN NULL WHEN {starts('line', 'modified:')} THEN '☑ ' || line WHEN {starts('line', 'new file:')} THEN '✚ ' || line WHEN {has('line', 'branch')} THEN {q(chr(0xF418) + ' ')} || line END",
             "event2": f"CASE WHEN {rx('line', STAT)} THEN '⌛ ' || line END",
-            "text": "CASE WHEN len(evs) > 0 THEN 'Git ' || argument || ' summary: ' || array_to_string(evs, ', ') ELSE 'Git ' || argument || ' execution finished.' END",
+            "text": "CASE WHEN len(evs) > 0 THEN 'Git ' || argument || ' summary: ' ELSE 'Git ' || argument || ' execution finished.' END",
+            "separator": "CASE WHEN len(evs) > 0 THEN ', ' ELSE '' END",
         },
     }
 
@@ -595,7 +596,7 @@ FOLD_COLUMNS = (
     "exec_id, tool, CASE WHEN failure THEN 'failure' ELSE 'success' END AS status, summary, "
     "passed AS tests_passed, failed AS tests_failed, warnings, errors, duration AS duration_seconds, "
     "files AS test_files, modules AS modules_compiled, bundle AS bundle_size, "
-    "artifact AS artifact_size, array_to_string(evs, chr(10)) AS events"
+    "artifact AS artifact_size, CAST(len(evs) AS BIGINT) AS event_count, separator"
 )
 
 
@@ -646,7 +647,7 @@ def fold(family: str, keys: str) -> list[str]:
     coalesce(a.mark, false) AS mark, coalesce(v.evs, CAST([] AS VARCHAR[])) AS evs
   FROM k{n} k LEFT JOIN a{n} a USING (exec_id) LEFT JOIN v{n} v USING (exec_id))""",
         f"n{n} AS (SELECT *, failing OR coalesce({get('bad', 'false')}, false) AS failure FROM m{n})",
-        f"fold_{n} AS (SELECT *, {rules['text']} AS summary FROM n{n})",
+        f"fold_{n} AS (SELECT *, {rules['text']} AS summary, {get('separator', q(''))} AS separator FROM n{n})",
     ]
 
 
@@ -678,7 +679,7 @@ def generic(source: str, keys: str, name: str = "generic") -> list[str]:
          WHEN completed THEN '✓ Build completed' WHEN tested THEN '✓ Tests completed'
          WHEN warnings > 0 THEN '⚠ Completed with warnings' ELSE '✓ Execution successful' END AS summary,
     coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings,
-    coalesce(array_to_string(evs, chr(10)), '') AS events
+    coalesce(array_to_string(evs, chr(10)), '') AS events, CAST(coalesce(len(evs), 0) AS BIGINT) AS n_events, evs
   FROM ({keys}) k LEFT JOIN s2 USING (exec_id))""",
     ]
 
@@ -697,11 +698,26 @@ def summaries() -> list[str]:
         *ctes,
         *generic("trunc", "SELECT exec_id FROM tools WHERE family = 'fallback'", "unknown_tool"),
         f"""summaries AS ({union}
-  UNION ALL SELECT exec_id, 'fallback', status, summary, 0, 0, warnings, errors, 0, 0, 0, '', '', events
+  UNION ALL SELECT exec_id, 'fallback', status, summary, 0, 0, warnings, errors, 0, 0, 0, '', '', n_events, ''
     FROM unknown_tool)""",
     ]
 
 
+def summary_parts_sql(rows_per_part: int = 64) -> str:
+    out = []
+    for n, rules in enumerate(FOLDS.values()):
+        if "separator" not in rules:
+            continue
+        out.append(f"SELECT exec_id, 0::BIGINT AS part_no, summary AS text FROM fold_{n} WHERE separator <> ''")
+        out.append(f"""SELECT exec_id, part_no, CASE WHEN row_number() OVER (PARTITION BY exec_id ORDER BY part_no) = 1
+    THEN '' ELSE any_separator END || text FROM (
+  SELECT exec_id, line_no // {rows_per_part} + 1 AS part_no, any_value(separator) AS any_separator,
+         string_agg(ev, {{0}} ORDER BY line_no, step) AS text
+  FROM (SELECT exec_id, line_no, 1 AS step, ev1 AS ev FROM e{n} UNION ALL SELECT exec_id, line_no, 2, ev2 FROM e{n})
+  JOIN fold_{n} USING (exec_id) WHERE ev IS NOT NULL AND separator <> '' GROUP BY 1, 2)""".replace("{0}", "' | '" if rules is FOLDS["typescript"] else "', '"))
+    return "\nUNION ALL ".join(out)
+
+
 # ---------------------------------------------------------------- root cause and suggestions
 
 PATTERNS = (
@@ -820,7 +836,7 @@ def records() -> list[str]:
     e.exit_code <> 0 OR s.status = 'failure' AS failing FROM summaries s JOIN executions e USING (exec_id))""",
         """j1 AS (SELECT j0.exec_id, tool, command, CASE WHEN failing THEN 'failure' ELSE 'success' END AS status,
     summary || CASE WHEN failing AND root_cause IS NOT NULL THEN chr(10) || chr(10) || 'Root cause:' ||
-      chr(10) || root_cause ELSE '' END AS summary, events, tests_passed, tests_failed, warnings, errors,
+      chr(10) || root_cause ELSE '' END AS summary, event_count, tests_passed, tests_failed, warnings, errors,
     test_files, modules_compiled, bundle_size, artifact_size, wall AS duration_seconds,
     max_ram_mb, avg_cpu_percent, coalesce(original_bytes, 0) AS original_bytes,
     CASE WHEN failing THEN coalesce(root_cause, '') ELSE '' END AS root_cause,
@@ -956,10 +972,11 @@ def oracle_sql() -> dict[str, str]:
         "history_load": with_(
             HIST,
             """SELECT execution_id, command, status,
-  CASE WHEN o_orderkey % 10 = 1 THEN '' ELSE summary END AS summary
-FROM history WHERE o_orderkey % 10 <> 0""",
+  CASE WHEN o_orderkey % 20 = 1 THEN '' ELSE summary END AS summary
+FROM history WHERE o_orderkey % 20 NOT IN (0, 2, 3, 4, 5, 6, 7)
+UNION ALL SELECT '', '', '', '' FROM history WHERE o_orderkey % 20 = 6""",
         ),
-        "sanitize_utf8": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS digest FROM documents",
+        "sanitize_utf8": "SELECT doc_id, octet_length(encode(t)) AS n_bytes, md5(t) AS digest FROM (SELECT doc_id, chr(1) || chr(65533) || text[1:10] || chr(65533) || text[11:] AS t FROM documents)",
         "merge_streams": """SELECT user_id AS exec_id, row_number() OVER (PARTITION BY user_id
     ORDER BY date_trunc('hour', ts), event_id) - 1 AS line_no,
   CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream,
@@ -1032,7 +1049,13 @@ FROM tokens""",
     UNION ALL SELECT exec_id, line_no, 2, ev2, {r.get("cap2", "NULL")} FROM e{n})
   WHERE ev IS NOT NULL) WHERE lim IS NULL OR rn <= lim"""
                 for n, r in enumerate(FOLDS.values())
-            ),
+            )
+            + """
+UNION ALL SELECT exec_id, i - 1 AS line_no, 0, evs[i] FROM (
+  SELECT exec_id, evs, unnest(range(1, len(evs) + 1)) AS i FROM unknown_tool WHERE evs IS NOT NULL)""",
+        ),
+        "summary_parts": with_(
+            [*detected, *rle(), *truncate(), *tools(), *summaries()], summary_parts_sql()
         ),
         "rle_lines": with_(
             [DOC_LINES, trimmed("doc_lines"), *rle("trimmed")],
@@ -1135,7 +1158,10 @@ FROM clean GROUP BY exec_id""",
         ),
         "build_report": with_(
             final,
-            """SELECT exec_id, status, summary, tests_passed, tests_failed, warnings, errors FROM final""",
+            """SELECT exec_id, status, summary, tests_passed, tests_failed, warnings, errors,
+  round(duration_seconds, 6) AS duration_seconds, round(max_ram_mb, 6) AS max_ram_mb,
+  round(avg_cpu_percent, 6) AS avg_cpu_percent, test_files, modules_compiled, bundle_size, artifact_size,
+  original_bytes, compressed_bytes, savings_percentage FROM final""",
         ),
         "engine_counters": with_(
             EXECS,
@@ -1182,7 +1208,7 @@ FROM final GROUP BY tool""",
 FROM (SELECT o_custkey AS project, bool_or(o_orderkey % 5 = 0) AS flutter,
         bool_or(o_orderkey % 5 = 1) AS vite, bool_or(o_orderkey % 5 = 2) AS node
       FROM orders GROUP BY o_custkey)""",
-        "tool_matrix": "WITH " + """seen AS (SELECT user_id AS host, event_id % 7 AS t FROM events WHERE value > 150),
+        "tool_matrix": "WITH " + """seen AS (SELECT user_id AS host, event_id % 7 AS t FROM events),
 vite AS (SELECT o_custkey AS host FROM orders GROUP BY o_custkey
   HAVING bool_or(o_orderkey % 5 = 1) AND NOT bool_or(o_orderkey % 5 = 0))
 SELECT host, """
@@ -1195,6 +1221,16 @@ SELECT host, """
         "stream_clean": with_(
             cleaned, "SELECT exec_id, line_no, line, false AS late FROM clean"
         ),
+        "stream_heartbeat": """WITH RECURSIVE t AS (
+  SELECT user_id AS exec_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events),
+r AS (
+  SELECT exec_id, n, us AS last, NULL::BIGINT AS beat, NULL::BIGINT AS since FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.exec_id, t.n, CASE WHEN us - last > 86400000000 THEN us ELSE last END,
+    CASE WHEN us - last > 86400000000 THEN us END, CASE WHEN us - last > 86400000000 THEN (us - last) // 1000 END
+  FROM r JOIN t ON t.exec_id = r.exec_id AND t.n = r.n + 1)
+SELECT exec_id, beat AS at_us, since AS since_ms FROM r WHERE beat IS NOT NULL""",
         "stream_counters": with_(
             EXECS,
             """SELECT count(*) AS commands_executed, count(*) FILTER (WHERE exit_code <> 0) AS command_failures

@@ -48,11 +48,14 @@ def split_log_blob(spark, sf):
 
 
 def sanitize(spark, sf):
-    """Every document with one ill-formed byte put in; the result must be the document."""
+    """Every document with ill-formed bytes and genuine replacement characters put in; the result
+    is the document with the latter."""
+    kept = F.concat(F.lit("\u0001\ufffd"), F.substring("text", 1, 10), F.lit("\ufffd"))
     raw = F.concat(
-        F.substring("text", 1, 10).cast("binary"),
-        F.unhex(F.lit("FF")),
+        kept.cast("binary"),
+        F.unhex(F.lit("FFC3")),
         F.substring(F.col("text"), 11, 1 << 30).cast("binary"),
+        F.unhex(F.lit("E28C")),
     ).cast("string")
     fixed = sanitize_utf8(raw)
     return views.table(spark, sf, "documents").select(
@@ -135,7 +138,8 @@ def summary_columns(df: DataFrame) -> DataFrame:
         *[bigint(n) for n in ("test_files", "modules_compiled")],
         "bundle_size",
         "artifact_size",
-        joined("important_events").alias("events"),
+        bigint("event_count"),
+        F.coalesce("separator", F.lit("")).alias("separator"),
     )
 
 
@@ -175,6 +179,13 @@ def tool_events(spark, sf):
     return events.select("exec_id", "line_no", bigint("step"), "event")
 
 
+def summary_parts(spark, sf):
+    """Parts of 64 line numbers, so that executions have many."""
+    return plans.summary_parts(
+        views.executions(spark, sf), views.log_lines(spark, sf), rows_per_part=64
+    )
+
+
 def rle_lines(spark, sf):
     return reduce.rle_lines(views.doc_lines(spark, sf)).select("exec_id", bigint("idx"), "line")
 
@@ -285,7 +296,7 @@ def execution_summary(spark, sf):
         "command",
         "status",
         "summary",
-        joined("important_events").alias("events"),
+        bigint("event_count"),
         *[bigint(n) for n in ("tests_passed", "tests_failed", "warnings", "errors")],
         *[bigint(n) for n in ("test_files", "modules_compiled")],
         "bundle_size",
@@ -352,18 +363,19 @@ def test_report(spark, sf):
 
 
 def build_report(spark, sf):
+    """All metrics of the report; those that vanish when zero are zero or empty again."""
     report = reports.build_report(_summary(spark, sf))
-    return report.select(
-        "exec_id", "status", "summary", F.to_json("metrics").alias("metrics")
-    ).select(
-        "exec_id",
-        "status",
-        "summary",
-        *[
-            F.get_json_object("metrics", f"$.{n}").cast("bigint").alias(n)
-            for n in ("tests_passed", "tests_failed", "warnings", "errors")
-        ],
-    )
+    shown = report.select("exec_id", "status", "summary", F.to_json("metrics").alias("metrics"))
+
+    def metric(name: str) -> Column:
+        value = F.get_json_object("metrics", f"$.{name}")
+        if name in reports.TEXT_METRICS:
+            return F.coalesce(value, F.lit("")).alias(name)
+        if name in ("duration_seconds", "max_ram_mb", "avg_cpu_percent", "savings_percentage"):
+            return F.round(F.coalesce(value.cast("double"), F.lit(0.0)), 6).alias(name)
+        return F.coalesce(value.cast("bigint"), F.lit(0)).alias(name)
+
+    return shown.select("exec_id", "status", "summary", *[metric(n) for n in reports.METRIC_NAMES])
 
 
 def agent_json(spark, sf):
@@ -428,7 +440,7 @@ def tool_matrix(spark, sf):
 def read_log_dir(spark, sf):
     """Write each pasted log as a file of its own and read the directory back."""
     path = streams.scratch(spark, "logs")
-    blobs = views.pasted_logs(spark, sf)
+    blobs = views.pasted_logs(spark, sf).repartition("exec_id")
     blobs.write.partitionBy("exec_id").option("lineSep", "\n").text(path)
     return logs.read_log_dir(spark, path, "*.txt")
 
@@ -479,6 +491,7 @@ def queries() -> dict[str, Query]:
         "fold_fallback": fold_fallback,
         "summarize_tools": summarize_tools,
         "tool_events": tool_events,
+        "summary_parts": summary_parts,
         "rle_lines": rle_lines,
         "truncate_head_tail": truncate_head_tail,
         "filter_dep_noise": filter_dep_noise,

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from runsift.operators.blocks import number_rows
 from runsift.plans.executions import execution_summary
+from runsift.session import ROCKSDB, STATE_STORE
 from runsift.session import scratch_path as scratch
 from runsift.streaming import jobs
 from workload import views
@@ -32,14 +33,14 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
         "exec_id",
         F.lit(None).cast("bigint").alias("line_no"),
         F.lit(None).cast("string").alias("line"),
-        F.expr("end_ts + INTERVAL 1 SECOND").alias("ts"),
+        F.col("end_ts").alias("ts"),
         "exit_code",
     )
     return lines.unionByName(exits)
 
 
 def replay(spark: SparkSession, sf: str) -> str:
-    """Folder of JSON files whose order of arrival is the order of event time."""
+    """Folder of files whose order of arrival is the order of event time."""
     staged, path = scratch(spark, "staged"), scratch(spark, "arrivals")
     events = _events(spark, sf)
     lo, hi = events.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
@@ -52,7 +53,7 @@ def replay(spark: SparkSession, sf: str) -> str:
             .drop("period")
             .repartition("exec_id")
             .write.mode("append")
-            .json(path)
+            .parquet(path)
         )
     return path
 
@@ -61,11 +62,13 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.readStream.schema(LINE_SCHEMA)
         .option("maxFilesPerTrigger", 1)
-        .json(path)
+        .parquet(path)
     )
 
 
 def run(spark: SparkSession, writer: DataStreamWriter) -> None:
+    # These queries run in sessions that are not ours.
+    spark.conf.set(STATE_STORE, ROCKSDB)
     query = (
         writer.option("checkpointLocation", scratch(spark, "progress"))
         .trigger(availableNow=True)
@@ -88,7 +91,7 @@ def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     path, out = replay(spark, sf), scratch(spark, "summaries")
     commands = views.executions(spark, sf).select("exec_id", "command_line", "cmd")
-    landed = spark.read.schema(LINE_SCHEMA).json(path).filter(F.col("line").isNotNull())
+    landed = spark.read.schema(LINE_SCHEMA).parquet(path).filter(F.col("line").isNotNull())
 
     def summarize(closed: DataFrame) -> DataFrame:
         runs = closed.join(commands, "exec_id")
@@ -112,7 +115,8 @@ def stream_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_heartbeat(spark: SparkSession, sf: str) -> DataFrame:
     lines = arriving(spark, replay(spark, sf)).filter(F.col("line").isNotNull())
-    return to_table(spark, jobs.heartbeats(lines, HEARTBEAT_SECONDS), "heartbeats")
+    beats = to_table(spark, jobs.heartbeats(lines, HEARTBEAT_SECONDS), "heartbeats")
+    return beats.select("exec_id", F.unix_micros("ts").alias("at_us"), "since_ms")
 
 
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,9 +14,6 @@ from runsift.operators.blocks import number_rows
 from workload import templates
 
 EVENT_SLICE = 1 << 20
-# A pasted log is the part of one user's events inside a range of this many event ids, so its
-# text has at most this many lines.
-PASTE_SLICE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,15 +78,16 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pasted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """exec_id STRING, text: events of one user in one event-id range, in order."""
-    lines = event_lines(spark, sf_dir).withColumn(
-        "exec_id",
-        F.concat_ws(
-            "-", F.col("exec_id").cast("string"), F.floor(F.col("event_id") / PASTE_SLICE)
-        ),
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("event_id", "line"))).getField("line")
-    return lines.groupBy("exec_id").agg(F.array_join(ordered, "\n").alias("text"))
+    """exec_id, text: whole logs that come as one text, whose lines name tools. A document is one
+    already; each of its lines gets the template line of its tool in front."""
+    tool, text = F.pmod("doc_id", F.lit(25)).cast("int"), F.col("text")
+    words = F.array(*[F.lit(lines[0] + " ") for _, _, lines in templates.tools()])
+    prefix = F.element_at(words, tool + 1)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("exec_id"),
+        F.concat(prefix, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix))).alias("text"),
+        # The exchange keeps the making of the texts out of the projections over their lines.
+    ).repartition("exec_id")
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,12 +179,20 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History as JSON text: some lines are broken, some lack a key, some have an extra one."""
-    key = F.pmod(F.col("execution_id").cast("bigint"), F.lit(10))
+    """History as JSON text: some lines are broken or of another shape, some lack a key or have an
+    extra one."""
+    key = F.pmod(F.col("execution_id").cast("bigint"), F.lit(20))
     full = F.to_json(F.struct("execution_id", "command", "status", "summary", F.lit(1).alias("n")))
     return history(spark, sf_dir).select(
         F.when(key == 0, F.lit('{"execution_id": "cut'))
         .when(key == 1, F.to_json(F.struct("execution_id", "command", "status")))
+        .when(key == 2, F.lit('{"execution_id": 5}'))
+        .when(key == 3, F.lit('{"command": {"x": 1}}'))
+        .when(key == 4, F.concat(full, F.lit(" trailing")))
+        .when(key == 5, F.concat(F.lit("["), full, F.lit("]")))
+        .when(key == 6, F.lit("null"))
+        .when(key == 7, F.concat(full, F.lit(","), full))
+        .when(key == 8, F.concat(F.lit("  "), full, F.lit(" ")))
         .otherwise(full)
         .alias("value")
     )
@@ -220,7 +226,6 @@ def host_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in ("node", "npm", "pnpm", "flutter", "dart", "git", "vite")])
     return (
         table(spark, sf_dir, "events")
-        .filter(F.col("value") > 150)
         .select(
             F.col("user_id").alias("host"),
             F.element_at(names, (F.pmod("event_id", F.lit(7)) + 1).cast("int")).alias("tool"),
