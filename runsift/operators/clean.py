@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsift.functions.text import re2, startswith_any, trim
-from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, into_blocks, previous_line
+from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, in_block, into_blocks, previous_line
 
 # Terminal escapes, timestamp prefix and progress prefixes to remove.
 ANSI_PATTERN = (
@@ -60,8 +60,11 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 
 def sample_head(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """First n rows of each execution. Spark cuts to n rows per task before the shuffle."""
+    """First n rows of each execution. Rows in blocks are cut to n per block in the order that the
+    blocks have already; others to n per task before the shuffle."""
     by_line = Window.partitionBy(EXEC).orderBy(LINE_NO)
+    if BLOCK in lines.columns:
+        lines = lines.withColumn("_rn", F.row_number().over(in_block())).filter(F.col("_rn") <= n)
     return (
         lines.select(EXEC, LINE_NO, "line")
         .withColumn("_rn", F.row_number().over(by_line))
