@@ -34,8 +34,8 @@ from runsift.llm.suffix_array import END, GAP, common_prefixes, suffix_array, sy
 #: GRAM is a multiple of 8.
 WIDTH, GRAM = 200, 32
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-#: Distinct contexts of an anchor that go to one shard; contexts of one shard on average.
-CROWD, SHARD = 1000, 3000
+#: Distinct contexts of an anchor that go to one shard (3 MB of bytes); contexts of one shard on average.
+CROWD, SHARD = 8000, 3000
 
 
 def _sliding(values: np.ndarray, width: int, take) -> np.ndarray:
