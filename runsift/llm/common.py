@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +55,14 @@ def has_plain_key(docs: DataFrame, key: str) -> bool:
     return not docs.groupBy(F.col(key).alias("k")).count().where("`count` > 1 or k is null").limit(1).count()
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """The record batches of a task in small pieces, so that a Python worker holds few texts, and
+    what it makes of them, at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 8) -> int:
     """Number of buckets that grows with the rows, so that one bucket stays about the same."""
     return max(least, math.ceil(rows / per_bucket))

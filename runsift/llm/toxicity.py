@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import whole_text, written
+from runsift.llm.common import slices, whole_text, written
 
 #: Lengths of the n-grams, bits of their hash, n-grams that take part in the fit.
 LENGTHS, BITS, FEATURES = (3, 4, 5, 6), 20, 1 << 14
-#: Characters that are hashed at a time.
-STRETCH = 1 << 20
+#: Characters that are hashed at a time; documents of the fit in a block.
+STRETCH, BLOCK = 1 << 20, 250
 
 
 def gram_ids(text: str, active: np.ndarray | None = None) -> np.ndarray:
@@ -81,7 +81,7 @@ def fit(
     key: str = "doc_id",
     label: str = "toxic",
     text: str = "text",
-    per_label: int = 4_000,
+    per_label: int = 3_000,
     penalty: float = 1.0,
     rounds: int = 80,
 ) -> Model:
@@ -114,7 +114,7 @@ def fit(
         import pyarrow as pa
 
         seen = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[y, gram_ids(t)] += 1
         some = np.flatnonzero(seen.sum(axis=0))
@@ -146,7 +146,7 @@ def fit(
         import pyarrow as pa
 
         active = place >= 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = [place[gram_ids(t, active)].tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
@@ -162,16 +162,23 @@ def _logistic(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, share: float, p
     """Weighted logistic regression on x scaled by r, with an L2 penalty on the weights. Steps go
     over all rows at once and adapt to each feature, so that frequent n-grams move as far as rare
     ones. The weights of the classes add up to their true shares."""
-    flat = np.concatenate([*x, np.empty(0, np.int32)])
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
     importance = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
-    scale = r[flat]
+    # Blocks of documents: the driver holds the features once, in 4 bytes each, and little more.
+    blocks = []
+    for at in range(0, len(x), BLOCK):
+        part = x[at : at + BLOCK]
+        rows = np.repeat(np.arange(len(part), dtype=np.int32), [len(v) for v in part])
+        blocks.append((slice(at, at + len(part)), np.concatenate(part), rows))
     w, bias = np.zeros(len(r)), float(np.log(share / (1 - share)))
     squares, bias_squares = np.full(len(r), 1e-8), 1e-8
     for _ in range(rounds):
-        margin = bias + np.bincount(row, w[flat] * scale, len(x))
-        miss = importance * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        slope, bias_slope = np.bincount(flat, miss[row] * scale, len(r)) + penalty * w, miss.sum()
+        slope, bias_slope, scaled = penalty * w, 0.0, w * r
+        for place, flat, rows in blocks:
+            n = place.stop - place.start
+            margin = bias + np.bincount(rows, scaled[flat], n)
+            miss = importance[place] * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y[place])
+            slope += np.bincount(flat, miss[rows], len(r)) * r
+            bias_slope += miss.sum()
         squares += slope * slope
         bias_squares += bias_slope * bias_slope
         w = w - pace * slope / np.sqrt(squares)
@@ -188,7 +195,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     schema = docs.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = model.scores(batch.column(batch.num_columns - 1).to_pylist())
             made = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=[*kept, "score", "predicted"])
