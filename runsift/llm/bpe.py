@@ -31,9 +31,11 @@ from pyspark.sql import types as T
 from runsift.llm.common import tokenizer_path, whole_text
 
 #: Words, and stretches between white space, whose ids one Python worker keeps.
-KEPT = 300_000
+KEPT, KEPT_STRETCHES = 300_000, 150_000
 #: Bits for a position inside a word in a heap entry; longer words use plain pairs of numbers.
 POSITIONS = 1 << 24
+#: Texts that are encoded at a time: with ids and decoded forms they are several times as large.
+STEP = 64
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -46,13 +48,13 @@ def byte_symbols() -> list[str]:
 
 
 class Words(dict):
-    """Word -> (ids as little-endian bytes, decoded text); filled on demand, emptied when full."""
+    """Text -> what `encode` makes of it; filled on demand, emptied when full."""
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, encode, most: int) -> None:
+        self.encode, self.most = encode, most
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= KEPT:
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
             self.clear()
         found = self[word] = self.encode(word)
         return found
@@ -90,8 +92,8 @@ class WordBpe:
         self.symbols = byte_symbols()
         self.finder = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Words(self._encode_word)
-        self.stretches = Words(self._encode_words)
+        self.words = Words(self._encode_word, KEPT)
+        self.stretches = Words(self._encode_words, KEPT_STRETCHES)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """What is left of a list of symbols when no pair can merge any more."""
@@ -132,11 +134,10 @@ class WordBpe:
                     heapq.heappush(queue, (found[0] * POSITIONS + left) if n < POSITIONS else (found[0], left))
         return [s for s, kept in zip(symbols, alive) if kept]
 
-    def _encode_word(self, word: str) -> tuple[bytes, str]:
+    def _encode_word(self, word: str) -> bytes:
         shown = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         shown[-1] += self.suffix
-        ids = self.merge([self.vocab[s] for s in shown if s in self.vocab])
-        return array("I", ids).tobytes(), " ".join([self.text[i] for i in ids])
+        return array("I", self.merge([self.vocab[s] for s in shown if s in self.vocab])).tobytes()
 
     def _normal(self, text: str) -> str:
         # White space needs no replacing: it only ends words. Lower case goes by characters,
@@ -147,11 +148,8 @@ class WordBpe:
 
     def _encode_words(self, stretch: str) -> tuple[bytes, str]:
         """A stretch without white space: the words in it one by one."""
-        found = self.finder.findall(stretch)
-        pieces = list(map(self.words.__getitem__, found))
-        if len(pieces) == 1:
-            return pieces[0]
-        return b"".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])
+        ids = b"".join(map(self.words.__getitem__, self.finder.findall(stretch)))
+        return ids, self.decode(array("I", ids))
 
     def _pieces(self, text: str) -> list[tuple[bytes, str]]:
         get = self.stretches.__getitem__
@@ -216,29 +214,20 @@ def encode_decode(
         bpe = encoder(model)
         sha = hashlib.sha256
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            if digests:
-                n, first, second = [], [], []
-                for t in texts:
-                    ids, decoded = bpe.encode_decode(t)
-                    n.append(len(ids) // 4)
-                    first.append(sha(ids).hexdigest())
-                    second.append(sha(decoded.encode("utf-8")).hexdigest())
-                made = [pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=kept + new)
-            else:
-                step = 64  # texts with their ids and decoded forms are several times as large
-                for at in range(0, len(texts), step):
-                    pairs = [bpe.encode_decode(t) for t in texts[at : at + step]]
-                    flat = pa.array(np.frombuffer(b"".join([p[0] for p in pairs]), np.int32))
-                    ends = [0]
-                    for p in pairs:
-                        ends.append(ends[-1] + len(p[0]) // 4)
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                pairs = list(map(bpe.encode_decode, part.column(part.num_columns - 1).to_pylist()))
+                counts = [len(p[0]) // 4 for p in pairs]
+                if digests:
                     made = [
-                        pa.array([len(p[0]) // 4 for p in pairs], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
-                        pa.array([p[1] for p in pairs], pa.string()),
+                        pa.array([sha(p[0]).hexdigest() for p in pairs], pa.string()),
+                        pa.array([sha(p[1].encode("utf-8")).hexdigest() for p in pairs], pa.string()),
                     ]
-                    yield pa.RecordBatch.from_arrays([c.slice(at, step) for c in batch.columns[:-1]] + made, names=kept + new)
+                else:
+                    flat = pa.array(np.frombuffer(b"".join([p[0] for p in pairs]), np.int32))
+                    ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                    made = [pa.ListArray.from_arrays(ends, flat), pa.array([p[1] for p in pairs], pa.string())]
+                columns = [*part.columns[:-1], pa.array(counts, pa.int64()), *made]
+                yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
     return docs.select(*kept, whole_text(text).alias("_whole")).mapInArrow(run, schema)

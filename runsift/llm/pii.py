@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import whole_text
+from runsift.llm.common import slices, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "address", "login", "secret")
@@ -276,7 +276,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in slices(batches):
             spans, clean = [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 got = find.spans(t) if t else {}
@@ -298,7 +298,7 @@ def pii_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in slices(batches):
             all_spans = [find.spans(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([len(s.get(k, ())) for s in all_spans], pa.int64()) for k in BASE]
             other = pa.array([sum(len(v) for k, v in s.items() if k not in BASE) for s in all_spans], pa.int64())

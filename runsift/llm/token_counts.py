@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import tokenizer_path, whole_text
+from runsift.llm.common import slices, tokenizer_path, whole_text
 
 SPACE = "▁"
 #: Stretches whose tables, and words whose totals, one Python worker keeps.
@@ -227,7 +227,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = counter(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             totals = [tables.total(t) for t in texts]
             columns = [
