@@ -1,0 +1,63 @@
+"""Near copies of the pipeline's stage against pairs compared by loops."""
+
+import random
+
+import corpus_pipeline
+from runsift.llm import near_dedup, simhash
+
+
+def brute_kept(texts):
+    def grams(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return sorted(set(group))
+
+
+def edited_texts():
+    dice = random.Random(11)
+    texts = [None, "", " ", "one two", "One  TWO", "one two three"]
+    for _ in range(40):
+        words = [f"w{dice.randint(0, 400)}" for _ in range(dice.randint(20, 300))]
+        texts.append(" ".join(words))
+        for _ in range(dice.randint(0, 3)):
+            for _ in range(dice.randint(1, max(1, len(words) // 50))):
+                words[dice.randrange(len(words))] = "edit"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_near_copies_are_those_of_the_five_word_sets(spark, documents):
+    texts = edited_texts()
+    kept = brute_kept(texts)
+    docs = documents(texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept
+    # Most of these lie more than 3 bits apart.
+    assert simhash.keep_one(docs).count() > len(kept)
+
+
+def test_rows_without_a_key_of_their_own(spark):
+    texts = ["a b c d e f g"] * 4 + ["other words stand in this text"] * 2 + ["alone"]
+    keys = [None, 2, 2, 3, None, None, 2]
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id bigint, text string")
+    rows = sorted((r.text, r.doc_id) for r in near_dedup.keep_one(docs).collect())
+    assert rows == [("a b c d e f g", 2), ("alone", 2), ("other words stand in this text", None)]
+
+
+def test_a_large_group_is_one_class():
+    dice = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[dice.randrange(200)] = "edit"
+        texts.append(" ".join(words))
+    sets = [near_dedup.shingles(t)[1] for t in dict.fromkeys(texts)]
+    assert len(near_dedup.linked(sets)) == len(sets) - 1
