@@ -16,7 +16,8 @@ The other kinds: `account` (IBAN with a right check sum, or 6 to 17 digits behin
 `secret` (value behind a password or key cue).
 
 Null and empty texts have no spans. Offsets count code points, ends are exclusive. Texts are read
-whole; the time is linear in the text but for cues, which look at most LOOK characters around.
+whole; the time is linear in the text but for cues, which look at most LOOK characters around (the
+value of a secret is read to its end, once).
 Equal rows give equal results.
 """
 
@@ -54,7 +55,8 @@ STREET_BEFORE = re.compile(r"[0-9]{1,6}[A-Za-z]?(?: [A-ZÀ-Þ][\w'-]{0,30}){0,4}
 STREET_AFTER = re.compile(r" ?[0-9]{1,6}[A-Za-z]?\b")
 ROAD_NAME = re.compile(r"(?:[\w'-]{1,30} ){1,5}[0-9]{1,6}[A-Za-z]?\b|[\w'-]{1,30},? [0-9]{1,6}\b")
 NUMBER_FIRST = re.compile(r"[0-9]{1,6},? $")
-SECRET = re.compile(r"(?:\"|')?\s{0,2}[=:]\s{0,2}(?:\"|')?([^\s\"'<>]{8,200})")
+SECRET_GAP = re.compile(r"(?:\"|')?\s{0,2}[=:]\s{0,2}(?:\"|')?")
+SECRET = re.compile(r"[^\s\"'<>]{8,}")
 KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 
@@ -133,7 +135,7 @@ class Finder:
             elif anchor == "street":
                 self._street(text, last - size + 1, last + 1, add)
             else:
-                self._secret(text, last - size + 1, last + 1, add)
+                self._secret(text, last - size + 1, last + 1, done["secret"], add)
         return found
 
     @staticmethod
@@ -228,14 +230,16 @@ class Finder:
             add("address", start, m.end())
 
     @staticmethod
-    def _secret(text: str, start: int, end: int, add) -> None:
+    def _secret(text: str, start: int, end: int, least: int, add) -> None:
         m = KEY_ID.match(text, start)
         if m:
             add("secret", start, m.end())
             return
-        m = SECRET.match(text, end, end + 220)
+        gap = SECRET_GAP.match(text, end)
+        # A value inside the last span is not read again.
+        m = SECRET.match(text, gap.end()) if gap and gap.end() >= least else None
         if m:
-            add("secret", m.start(1), m.end(1))
+            add("secret", m.start(), m.end())
 
 
 _FINDER: list[Finder] = []

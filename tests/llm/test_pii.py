@@ -79,3 +79,14 @@ def test_clean_words_with_cues_stay(documents):
 def test_nulls_and_empty_tables(documents):
     assert [r.redacted for r in pii.find_pii(documents([None, ""])).orderBy("doc_id").collect()] == [None, ""]
     assert pii.find_pii(documents([])).count() == 0
+
+
+def test_long_secrets_are_taken_whole(documents):
+    value = "Ab3.-_/+" * 125
+    texts = [f"token={value} end", f'secret: "{value}" api_key={value}', "secret=abcdefgh_token=\"realvalue123\"", "token=" * 30_000]
+    rows = {r.doc_id: r for r in pii.find_pii(documents(texts)).collect()}
+    assert [(s.kind, s.end - s.start) for s in rows[0].pii if s.kind == "secret"] == [("secret", 1000)]
+    assert rows[0].redacted == "token=[SECRET] end"
+    assert [s.end - s.start for s in rows[1].pii if s.kind == "secret"] == [1000, 1000]
+    assert "realvalue123" not in rows[2].redacted
+    assert rows[3].redacted == "token=[SECRET]"
