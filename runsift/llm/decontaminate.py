@@ -8,6 +8,11 @@ add up. Two conditions make it a leak: at least COVERED of the item's windows st
 at one shift, or LONGEST words of it in a row; and the slots are consistent: each value of the item
 (a number, a name) stands for one value of the document throughout, and the other way round.
 
+A capitalised word elsewhere (first in a
+sentence, behind a number, quote or line break) may be a name: windows that touch one have a second
+hash with it as a name. A leak is looked for in several ways, and one that holds is enough: plain
+windows; those and the second hashes.
+
 Only DataFrame functions are used: no Python runs on the executors.
 
 Null texts count as empty. Items and documents with fewer words than a window have no windows and
@@ -39,19 +44,21 @@ NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
 def raw_words(text: Column) -> Column:
     """The words of a text with a mark: a number, a name, or a word in lower case.
 
-    `=` begins a number's word, `^` a name's; marks and punctuation inside words are removed first.
-    A name starts with a capital and follows, in one sentence, a word in lower case."""
+    `=` begins a number's word, `^` a name's, `~` that of another word with a capital. Marks and punctuation inside words are removed first. A name starts with a
+    capital and follows, in one sentence, a word in lower case."""
     # A capital behind a lower-case letter or comma and one space: inside a sentence.
-    text = F.regexp_replace(text, r"[\^=~]", " ")
+    text = F.regexp_replace(text, r"[\^=~|]", " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},] )(?=\p{Lu}\p{Ll})", "^")
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}\p{M}^])(?=\p{Lu}\p{Ll})", "~")
     # The point or comma of a number stays in it.
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{N})", "=")
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"(?<!\p{N})[.,]|[.,](?!\p{N})|[^\p{L}\p{N}\p{M}^=.,]+", " ")), " +")
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"(?<!\p{N})[.,]|[.,](?!\p{N})|[^\p{L}\p{N}\p{M}^=~|.,]+", " ")), " +")
 
 
 def templates(rows: DataFrame, text: str) -> DataFrame:
-    """rows with `raw` (marked words) and `words` (the same with placeholders)."""
-    raw = F.filter(raw_words(whole_text(text)), lambda w: ~w.isin("", "^", "="))
+    """rows with `raw` (marked words), `words` (the same with placeholders) and `maybe` (places of
+    words that may be names)."""
+    raw = F.filter(raw_words(whole_text(text)), lambda w: ~w.isin("", "^", "=", "~", "|"))
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def placed(w: Column, i: Column) -> Column:
@@ -59,20 +66,24 @@ def templates(rows: DataFrame, text: str) -> DataFrame:
         return (
             F.when(w.startswith("="), NUMBER)
             .when(w.startswith("^"), NAME)
-            .when(before.startswith("=") & F.array_contains(units, w), UNIT)
-            .otherwise(w)
+            .when(before.startswith("=") & F.array_contains(units, F.ltrim(w, F.lit("~"))), UNIT)
+            .otherwise(F.ltrim(w, F.lit("~")))
         )
 
     return rows.withColumn("raw", raw).withColumn(
         "words",
         # Few texts hold a number or a name; the others need no second look.
-        F.when(F.exists("raw", lambda w: w.startswith("=") | w.startswith("^")), F.transform("raw", placed)).otherwise(F.col("raw")),
+        F.when(F.exists("raw", lambda w: w.startswith("=") | w.startswith("^") | w.startswith("~")), F.transform("raw", placed)).otherwise(F.col("raw")),
+    ).withColumn(
+        # Of `raw` alone: a single use of `words` would be computed again for each word.
+        "maybe", F.filter(F.transform("raw", lambda w, i: F.when(w.startswith("~"), i)), lambda i: i.isNotNull())
     )
 
 
 def windows(rows: DataFrame, key: str, place: str, slots: str, words: int) -> DataFrame:
-    """key, hash, place (from 0) and slots (the words behind placeholders and their offsets, null
-    if none) of every window."""
+    """key, hash, place (from 0), slots (the words behind placeholders and their offsets, null if
+    none) of every window; windows with words that may be names once more with these as names, and
+    `named` is true there."""
     n = F.size("words") - words + 1
     has_slots = F.exists("words", lambda w: w.isin(NUMBER, UNIT, NAME))
 
@@ -82,12 +93,24 @@ def windows(rows: DataFrame, key: str, place: str, slots: str, words: int) -> Da
             F.col("_slotted") & F.exists(part, lambda w: w.isin(NUMBER, UNIT, NAME)),
             F.transform(part, lambda w, k: F.when(w.isin(NUMBER, UNIT, NAME), F.get(F.col("raw"), i + k)).otherwise("")),
         )
-        return F.struct(F.xxhash64(part).alias("hash"), i.alias(place), kept.alias(slots))
+        return F.struct(F.xxhash64(part).alias("hash"), i.alias(place), kept.alias(slots), F.lit(False).alias("named"))
+
+    def second(i: Column) -> Column:
+        part = F.transform(
+            F.slice("words", i + 1, words), lambda w, k: F.when(F.get(F.col("raw"), i + k).startswith("~") & (w != UNIT), NAME).otherwise(w)
+        )
+        kept = F.transform(part, lambda w, k: F.when(w.isin(NUMBER, UNIT, NAME), F.translate(F.get(F.col("raw"), i + k), "~", "^")).otherwise(""))
+        return F.struct(F.xxhash64(part).alias("hash"), i.alias(place), kept.alias(slots), F.lit(True).alias("named"))
 
+    touched = F.array_distinct(
+        F.flatten(F.transform("maybe", lambda p: F.sequence(F.greatest(p - words + 1, F.lit(0)), F.least(p, F.size("words") - words))))
+    )
     every = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+    again = F.when(n > 0, F.transform(touched, second))
+    every = F.when((n > 0) & (F.size("maybe") > 0), F.concat(every, again)).otherwise(every)
     return (
         rows.withColumn("_slotted", has_slots).select(key, F.explode(every).alias("w"))
-        .select(key, "w.hash", f"w.{place}", f"w.{slots}")
+        .select(key, "w.hash", f"w.{place}", f"w.{slots}", "w.named")
     )
 
 
@@ -105,55 +128,80 @@ def leaks(
     document at the best shift), item_windows, longest_words, n_slots (places with a placeholder
     in the matched windows), exact (no slot value differs)."""
     items = templates(benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")), "text")
-    item_rows = windows(items.select(F.col("item"), "raw", "words"), "item", "at", "want", words)
+    item_rows = windows(items.select(F.col("item"), "raw", "words", "maybe"), "item", "at", "want", words)
     item_rows = written(item_rows.where("item is not null"), "leaks-items")
     count = item_rows.count()
-    sizes = item_rows.groupBy("item").agg(F.count("*").alias("item_windows"))
-    texts = templates(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text").select("doc", "raw", "words")
+    sizes = item_rows.where("not named").groupBy("item").agg(F.count("*").alias("item_windows"))
+    texts = templates(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text").select("doc", "raw", "words", "maybe")
     doc_rows = windows(texts, "doc", "place", "have", words)
-    side = F.broadcast(item_rows) if count <= SENT_WINDOWS else item_rows
-    hits = written(
-        doc_rows.join(side, "hash").select("doc", "item", "at", "place", (F.col("place") - F.col("at")).alias("shift"), "want", "have"), "leaks-hits"
+    item_side = item_rows.withColumnRenamed("named", "item_named")
+    side = F.broadcast(item_side) if count <= SENT_WINDOWS else item_side
+    found = written(
+        doc_rows.join(side, "hash").select(
+            "doc", "item", "at", "place", (F.col("place") - F.col("at")).alias("shift"), "want", "have", (F.col("named") | F.col("item_named")).alias("named")
+        ),
+        "leaks-hits",
     ).distinct()
+    # Pairs that cannot meet a condition in any way.
+    enough = (
+        found.groupBy("doc", "item").agg(F.count_distinct("at").alias("n")).join(sizes, "item")
+        .where((F.col("n") >= covered * F.col("item_windows")) | (F.col("n") + words - 1 >= longest)).select("doc", "item")
+    )
+
+    # Ways to count a hit: all its windows (2), without second hashes (4);
+    # at its shift.
+    def ways(rank: int, fits: Column) -> Column:
+        def way(k: int, group: Column) -> Column:
+            return F.struct(F.lit(k).alias("rank"), group.cast("long").alias("group"))
+
+        some = F.array(way(rank, F.col("shift")))
+        return F.when(fits, some).otherwise(F.slice(some, 1, 0))
+
+    each = [ways(4, ~F.col("named")), ways(2, F.lit(True))]
+    hits = written(
+        found.join(enough, ["doc", "item"], "left_semi").withColumn("way", F.explode(F.concat(*each))), "leaks-ways"
+    )
+    of = ["doc", "item", "way"]
 
     # Runs of windows side by side at one shift.
-    order = Window.partitionBy("doc", "item", "shift").orderBy("at")
+    order = Window.partitionBy(*of, "shift").orderBy("at")
     runs = (
-        hits.select("doc", "item", "shift", "at").distinct()
+        hits.select(*of, "shift", "at").distinct()
         .withColumn("run", F.col("at") - F.row_number().over(order))
-        .groupBy("doc", "item", "shift", "run")
+        .groupBy(*of, "shift", "run")
         .agg(F.count("*").alias("n"))
-        .groupBy("doc", "item", "shift")
-        .agg(F.sum("n").alias("n_windows"), (F.max("n") + words - 1).alias("longest_words"))
+        .groupBy(*of)
+        .agg((F.max("n") + words - 1).alias("longest_words"), F.min("shift").alias("shift"))
+        .join(hits.groupBy(*of).agg(F.count_distinct("at").alias("n_windows")), of)
         .join(sizes, "item")
         .where((F.col("n_windows") >= covered * F.col("item_windows")) | (F.col("longest_words") >= longest))
     )
     # One row for each slot: the item's value and the document's.
     pairs = (
         hits.where("want is not null")
-        .select("doc", "item", "shift", "at", F.posexplode(F.arrays_zip("want", "have")))
+        .select(*of, "shift", "at", F.posexplode(F.arrays_zip("want", "have")))
         .where("col.want <> ''")
-        .select("doc", "item", "shift", (F.col("at") + F.col("pos")).alias("slot"), "col.want", "col.have")
+        .select(*of, "shift", (F.col("at") + F.col("pos")).alias("slot"), "col.want", "col.have")
         .distinct()
     )
-    by_want = pairs.groupBy("doc", "item", "shift", "want").agg(
+    by_want = pairs.groupBy(*of, "want").agg(
         F.count("*").alias("n"), F.min("have").alias("low"), F.max("have").alias("high")
     )
-    by_have = pairs.groupBy("doc", "item", "shift", "have").agg(F.min("want").alias("low"), F.max("want").alias("high"))
+    by_have = pairs.groupBy(*of, "have").agg(F.min("want").alias("low"), F.max("want").alias("high"))
     slots = (
-        by_want.groupBy("doc", "item", "shift")
+        by_want.groupBy(*of)
         .agg(
             F.sum("n").alias("n_slots"),
             F.bool_and(F.col("low") == F.col("high")).alias("forth"),
             F.bool_and((F.col("low") == F.col("want")) & (F.col("high") == F.col("want"))).alias("same"),
         )
-        .join(by_have.groupBy("doc", "item", "shift").agg(F.bool_and(F.col("low") == F.col("high")).alias("back")), ["doc", "item", "shift"])
+        .join(by_have.groupBy(*of).agg(F.bool_and(F.col("low") == F.col("high")).alias("back")), of)
     )
-    judged = runs.join(slots, ["doc", "item", "shift"], "left").where("n_slots is null or (forth and back)")
+    judged = runs.join(slots, of, "left").where("n_slots is null or (forth and back)")
     best = judged.groupBy("doc", "item").agg(
         F.max(
             F.struct(
-                "n_windows", "longest_words", (-F.col("shift")).alias("minus"), "item_windows",
+                "n_windows", "longest_words", "way.rank", (-F.col("shift")).alias("minus"), "item_windows",
                 F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(True)).alias("exact"),
             )
         ).alias("b")
