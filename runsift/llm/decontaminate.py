@@ -11,7 +11,8 @@ at one shift, or LONGEST words of it in a row; and the slots are consistent: eac
 A capitalised word elsewhere (first in a
 sentence, behind a number, quote or line break) may be a name: windows that touch one have a second
 hash with it as a name. A leak is looked for in several ways, and one that holds is enough: plain
-windows; those and the second hashes.
+windows; those and the second hashes; with `verbatim`, only windows without a changed slot, which
+need no placeholder and so no test of consistency.
 
 Only DataFrame functions are used: no Python runs on the executors.
 
@@ -123,10 +124,12 @@ def leaks(
     words: int = WORDS,
     covered: float = COVERED,
     longest: int = LONGEST,
+    verbatim: bool = False,
 ) -> DataFrame:
     """One row for each leaked item of a document: key, item, n_windows (of the item in the
     document at the best shift), item_windows, longest_words, n_slots (places with a placeholder
-    in the matched windows), exact (no slot value differs)."""
+    in the matched windows), exact (no slot value differs). With `verbatim`, a passage that meets a
+    condition word by word is a leak whatever differs beside it."""
     items = templates(benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")), "text")
     item_rows = windows(items.select(F.col("item"), "raw", "words", "maybe"), "item", "at", "want", words)
     item_rows = written(item_rows.where("item is not null"), "leaks-items")
@@ -148,7 +151,7 @@ def leaks(
         .where((F.col("n") >= covered * F.col("item_windows")) | (F.col("n") + words - 1 >= longest)).select("doc", "item")
     )
 
-    # Ways to count a hit: all its windows (2), without second hashes (4);
+    # Ways to count a hit: all its windows (2), without second hashes (4), without changed slots (3);
     # at its shift.
     def ways(rank: int, fits: Column) -> Column:
         def way(k: int, group: Column) -> Column:
@@ -158,6 +161,8 @@ def leaks(
         return F.when(fits, some).otherwise(F.slice(some, 1, 0))
 
     each = [ways(4, ~F.col("named")), ways(2, F.lit(True))]
+    if verbatim:
+        each.append(ways(3, ~F.col("named") & F.coalesce(F.col("want") == F.col("have"), F.lit(True))))
     hits = written(
         found.join(enough, ["doc", "item"], "left_semi").withColumn("way", F.explode(F.concat(*each))), "leaks-ways"
     )

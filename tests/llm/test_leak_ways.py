@@ -25,3 +25,10 @@ def test_names_that_open_a_sentence(spark):
     rows = found(spark, docs, [MARIA, BUS])
     assert sorted(rows) == [(0, 0), (1, 1), (3, 0)]
     assert not any(r.exact for r in rows.values())
+
+
+def test_words_in_a_row_count_whatever_differs_beside_them(spark):
+    docs = [TRAIN.replace("to Lyon,", "to Ulm,"), TRAIN.replace("Lyon", "Ulm", 1), "none of it"]
+    assert found(spark, docs, [TRAIN]) == {}
+    rows = found(spark, docs, [TRAIN], verbatim=True)
+    assert (0, 0) in rows and rows[0, 0].longest_words >= 13 and rows[0, 0].exact
