@@ -8,11 +8,12 @@ add up. Two conditions make it a leak: at least COVERED of the item's windows st
 at one shift, or LONGEST words of it in a row; and the slots are consistent: each value of the item
 (a number, a name) stands for one value of the document throughout, and the other way round.
 
-A capitalised word elsewhere (first in a
+Names that stand side by side are one placeholder. A capitalised word elsewhere (first in a
 sentence, behind a number, quote or line break) may be a name: windows that touch one have a second
 hash with it as a name. A leak is looked for in several ways, and one that holds is enough: plain
 windows; those and the second hashes; with `verbatim`, only windows without a changed slot, which
-need no placeholder and so no test of consistency.
+need no placeholder and so no test of consistency. Each way is tried at single shifts and with the
+windows of shifts within NEARBY words added up.
 
 Only DataFrame functions are used: no Python runs on the executors.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from runsift.llm.common import sent, whole_text, written
 
 WORDS, COVERED, LONGEST = 5, 0.8, 13
+#: Words put in or left out between two parts of a passage.
+NEARBY = 4
 #: Windows of the benchmark that may be sent to all executors; beyond, both sides are shuffled.
 SENT_WINDOWS = 200_000
 
@@ -45,11 +48,13 @@ NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
 def raw_words(text: Column) -> Column:
     """The words of a text with a mark: a number, a name, or a word in lower case.
 
-    `=` begins a number's word, `^` a name's, `~` that of another word with a capital. Marks and punctuation inside words are removed first. A name starts with a
+    `=` begins a number's word, `^` a name's, `~` that of another word with a capital; `|` joins
+    names side by side. Marks and punctuation inside words are removed first. A name starts with a
     capital and follows, in one sentence, a word in lower case."""
     # A capital behind a lower-case letter or comma and one space: inside a sentence.
     text = F.regexp_replace(text, r"[\^=~|]", " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},] )(?=\p{Lu}\p{Ll})", "^")
+    text = F.regexp_replace(text, r"(\^[\p{L}\p{M}]+) (?=\^)", "$1|")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}\p{M}^])(?=\p{Lu}\p{Ll})", "~")
     # The point or comma of a number stays in it.
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{N})", "=")
@@ -152,12 +157,14 @@ def leaks(
     )
 
     # Ways to count a hit: all its windows (2), without second hashes (4), without changed slots (3);
-    # at its shift.
+    # at its shift (+ 0), or in two spans of shifts (- 4) such that neighbours share one.
+    span = F.floor(F.col("shift") / NEARBY)
+
     def ways(rank: int, fits: Column) -> Column:
         def way(k: int, group: Column) -> Column:
             return F.struct(F.lit(k).alias("rank"), group.cast("long").alias("group"))
 
-        some = F.array(way(rank, F.col("shift")))
+        some = F.array(way(rank, F.col("shift")), way(rank - 4, span), way(rank - 4, span + 1))
         return F.when(fits, some).otherwise(F.slice(some, 1, 0))
 
     each = [ways(4, ~F.col("named")), ways(2, F.lit(True))]

@@ -27,6 +27,20 @@ def test_names_that_open_a_sentence(spark):
     assert not any(r.exact for r in rows.values())
 
 
+def test_names_of_several_words_and_gaps(spark):
+    words = LONG.split()
+    docs = [
+        PENS.replace("Peter", "Anna"),
+        PENS.replace("Peter", "Mary Ann"),
+        " ".join(words[:12] + ["more"] + words[12:]),
+        " ".join(words[:12] + words[13:]),
+        " ".join(words[:12] + ["more"] * 9 + words[12:]),
+    ]
+    rows = found(spark, docs, [PENS, LONG])
+    assert sorted(k for k in rows if k[1] == 0) == [(0, 0), (1, 0)]
+    assert {(2, 1)} <= set(rows) and rows[2, 1].n_windows == 17
+
+
 def test_words_in_a_row_count_whatever_differs_beside_them(spark):
     docs = [TRAIN.replace("to Lyon,", "to Ulm,"), TRAIN.replace("Lyon", "Ulm", 1), "none of it"]
     assert found(spark, docs, [TRAIN]) == {}
