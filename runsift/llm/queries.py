@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import bpe, decontaminate, pii, sharding, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
+from runsift.llm import (
+    bpe,
+    brown,
+    decontaminate,
+    phrases,
+    pii,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    topk,
+    toxicity,
+    url_filter,
+    whitening,
+)
 from runsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +80,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Query]:
     return {
         name: function
