@@ -1,14 +1,14 @@
 """Cleaning of a corpus: the operators one after the other, each on what its predecessor kept.
 
 toxicity      documents that the classifier calls toxic go
-near_dedup    of each group of near copies (five-word Jaccard index of 0.8 or more) the one with the
-              smallest doc_id stays
+near_dedup    of each group of documents whose SimHash fingerprints (3-word shingles) are linked by 3
+              differing bits or fewer the one with the smallest doc_id stays
 benchmark     documents that hold a passage of the benchmark go
 pii           personal data gives way to typed marks; n_chars follows the text
 bpe           ids and decoded text of what is left
 
 Null and empty texts pass every stage: they hold nothing to reject, but empty texts are equal, so
-near_dedup leaves one of them.
+near_dedup leaves one of them. Rows with a null or repeated doc_id are judged one by one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import bpe, decontaminate, near_dedup as near_copies, pii, toxicity
+from runsift.llm import bpe, decontaminate, pii, simhash, toxicity
 from runsift.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,11 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), verbatim=True).select(*docs.columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
