@@ -41,19 +41,19 @@ def in_block_so_far() -> WindowSpec:
     return in_block().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def block_of(position: Column) -> Column:
+def block_of(position: Column, block_rows: int | None = None) -> Column:
     """Block number of a line position. Never null, so that no join adds null filters to one
     branch only (that would stop Spark from reusing the exchange)."""
-    return F.coalesce(F.call_function("div", position, F.lit(BLOCK_ROWS)), F.lit(0).cast("bigint"))
+    return F.coalesce(F.call_function("div", position, F.lit(block_rows or BLOCK_ROWS)), F.lit(0).cast("bigint"))
 
 
-def into_blocks(lines: DataFrame) -> DataFrame:
+def into_blocks(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Spread lines by (exec_id, block): the one shuffle of line text. No-op if done before."""
     if BLOCK in lines.columns:
         return lines
     return (
         lines.filter(F.col(EXEC).isNotNull() & F.col(LINE_NO).isNotNull())
-        .withColumn(BLOCK, block_of(F.col(LINE_NO)))
+        .withColumn(BLOCK, block_of(F.col(LINE_NO), block_rows))
         .repartition(EXEC, BLOCK)
     )
 

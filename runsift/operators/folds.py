@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of, by_exec, into_blocks
+from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, by_exec, into_blocks
 from runsift.operators.families import BUILT_IN, RuleFamily
 
 ADDS = ("errors", "warnings", "passed", "failed")
@@ -99,7 +99,7 @@ def line_effects(rows: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     return (
         rows.withColumn("low", F.lower("line"))
         .selectExpr(EXEC, BLOCK, LINE_NO, "line", "low", "fam", "argument", *flags)
-        .selectExpr(EXEC, BLOCK, LINE_NO, "octet_length(line) + 1 AS bytes", *columns)
+        .selectExpr(EXEC, BLOCK, LINE_NO, "octet_length(line) + 1 AS bytes", "fam", *columns)
     )
 
 
@@ -113,20 +113,25 @@ def _first_events(families: Sequence[RuleFamily]) -> int:
     return max(caps, default=0)
 
 
+def _resets(families: Sequence[RuleFamily]) -> str:
+    """SQL: whether the row's family has totals lines, which reset its counters; '' if none has."""
+    with_totals = [str(ix) for ix, f in enumerate(families) if "set_errors" in f.effects]
+    return f"fam IN ({', '.join(with_totals)})" if with_totals else ""
+
+
 def fold_blocks(effects: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
-    """Block rows of the fold. A totals line resets the error and warning counters, so counts
-    are taken after the last reset of the block, and the block remembers that it had one.
+    """Block rows of the fold; needs no order of the lines. A totals line resets the error and
+    warning counters, so counts are taken after the last reset of the block, and the block
+    remembers that it had one. Families with totals lines keep the numbers of what they count, at
+    most a block of them, until the last reset of the block is known.
 
     Events are only counted. Where families cap them, a block also keeps its first event lines,
     as many as the largest cap, to tell how many of the capped ones stay."""
-    in_block = Window.partitionBy(EXEC, BLOCK)
-    live = f"(_reset IS NULL OR {LINE_NO} > _reset)"
     listed = f"struct({LINE_NO}, event IS NOT NULL AS one, cap, event2 IS NOT NULL AS two, cap2)"
     has_event = "(event IS NOT NULL OR event2 IS NOT NULL)"
-    first = _first_events(families)
+    first, resets = _first_events(families), _resets(families)
     aggregates = [
-        "max(_reset IS NOT NULL) AS _had_reset",
-        *[f"count_if({live} AND add_{n}) AS add_{n}" for n in ADDS],
+        *[f"count_if(add_{n}) AS add_{n}" for n in ADDS],
         *[_last(f"set_{n}", LINE_NO) for n in SETS],
         _last("fails", LINE_NO),
         "max(mark) AS mark",
@@ -134,17 +139,24 @@ def fold_blocks(effects: DataFrame, families: Sequence[RuleFamily]) -> DataFrame
         "count_if(event IS NOT NULL AND cap IS NULL) + "
         "count_if(event2 IS NOT NULL AND cap2 IS NULL) AS _open_events",
     ]
+    if resets:
+        aggregates.append(f"max(CASE WHEN set_errors IS NOT NULL THEN {LINE_NO} END) AS _reset")
+        aggregates += [f"collect_list(CASE WHEN {resets} AND add_{n} THEN {LINE_NO} END) AS _at_{n}" for n in ADDS]
     if first:
         capped = f"{has_event} AND (cap IS NOT NULL OR cap2 IS NOT NULL)"
         aggregates.append(
             f"slice(sort_array(collect_list(CASE WHEN {capped} THEN {listed} END)), 1, {first}) AS _list"
         )
+    grouped = effects.groupBy(EXEC, BLOCK).agg(*[F.expr(a) for a in aggregates])
+    if not resets:
+        return grouped.withColumn("_had_reset", F.lit(False))
+    after = {
+        f"add_{n}": F.expr(f"if(_reset IS NULL, add_{n}, CAST(size(filter(_at_{n}, x -> x > _reset)) AS BIGINT))") for n in ADDS
+    }
     return (
-        effects.withColumn(
-            "_reset", F.max(F.expr(f"CASE WHEN set_errors IS NOT NULL THEN {LINE_NO} END")).over(in_block)
-        )
-        .groupBy(EXEC, BLOCK)
-        .agg(*[F.expr(a) for a in aggregates])
+        grouped.withColumns(after)
+        .withColumn("_had_reset", F.col("_reset").isNotNull())
+        .drop("_reset", *[f"_at_{n}" for n in ADDS])
     )
 
 
@@ -179,26 +191,29 @@ def combine_blocks(blocks: DataFrame, families: Sequence[RuleFamily]) -> DataFra
 
 
 def event_rows(effects: DataFrame) -> DataFrame:
-    """Candidate events (exec_id, line_no, step, event, cap), before the caps."""
-    return (
-        effects.filter("event IS NOT NULL OR event2 IS NOT NULL")
-        .selectExpr(
-            EXEC,
-            LINE_NO,
-            "inline(array(struct(1 AS step, event AS event, cap AS cap), "
-            "struct(2 AS step, event2 AS event, cap2 AS cap)))",
-        )
-        .filter("event IS NOT NULL")
-    )
+    """Candidate events (exec_id, block, line_no, step, event, cap), before the caps."""
+    # The filter stays behind the generator: before it, each event's rules would be evaluated once
+    # more for the test, in code too long to compile.
+    return effects.selectExpr(
+        EXEC,
+        BLOCK,
+        LINE_NO,
+        "inline(array(struct(1 AS step, event AS event, cap AS cap), "
+        "struct(2 AS step, event2 AS event, cap2 AS cap)))",
+    ).filter("event IS NOT NULL")
 
 
-def tool_events(effects: DataFrame, families: Sequence[RuleFamily] = BUILT_IN) -> DataFrame:
-    """All kept events as rows in (line_no, step) order, however many an execution has.
+def tool_events(effects: DataFrame, families: Sequence[RuleFamily] = BUILT_IN, dropped: DataFrame | None = None) -> DataFrame:
+    """All kept events as rows in (line_no, step) order, however many an execution has; those of
+    blocks in `dropped` (exec_id, block) do not count.
 
     Uncapped events need no ranking. Capped ones only can be among the first `cap` candidates,
     and Spark cuts to that many rows per task before the shuffle.
     """
     candidates = event_rows(effects)
+    if dropped is not None:
+        candidates = candidates.join(dropped, [EXEC, BLOCK], "left_anti")
+    candidates = candidates.drop(BLOCK)
     caps = [c for f in families for c in (f.event_cap, f.event2_cap) if c is not None]
     kept = candidates.filter("cap IS NULL")
     if caps:
@@ -256,27 +271,13 @@ def verdicts(folded: DataFrame, families: Sequence[RuleFamily]) -> DataFrame:
     )
 
 
-def attach_tools(
-    cleaned: DataFrame, lines: DataFrame, tools: DataFrame, families: Sequence[RuleFamily]
-) -> DataFrame:
-    """Put the tool of the execution on its lines without moving the lines.
-
-    Joining on exec_id would shuffle all text by execution; the tool is joined to the block
-    keys instead (read from two columns of `lines`) and reaches the lines by (exec_id, block).
-    """
-    keys = lines.select(EXEC, block_of(F.col(LINE_NO)).alias(BLOCK)).distinct()
-    by_block = keys.join(tools.selectExpr(EXEC, family_index(families), "argument"), EXEC)
-    return cleaned.join(by_block, [EXEC, BLOCK])
-
-
 def fold_effects(
-    effects: DataFrame, executions: DataFrame, families: Sequence[RuleFamily]
+    blocks: DataFrame, executions: DataFrame, families: Sequence[RuleFamily]
 ) -> DataFrame:
-    """Fold of prepared effects; `executions` gives exec_id, tool, family and argument."""
+    """Verdicts from block rows (`fold_blocks`); `executions` gives exec_id, tool, family and
+    argument."""
     named = executions.selectExpr(EXEC, "tool", family_index(families), "argument")
-    return verdicts(
-        named.join(combine_blocks(fold_blocks(effects, families), families), EXEC, "left"), families
-    )
+    return verdicts(named.join(combine_blocks(blocks, families), EXEC, "left"), families)
 
 
 def fold_as(
@@ -290,30 +291,31 @@ def fold_as(
 
 
 def event_parts(
-    verdict: DataFrame, events: DataFrame, rows_per_part: int = 1 << 12
+    verdict: DataFrame, events: DataFrame, rows_per_part: int = 1 << 12, closing: str = "CAST(NULL AS STRING)"
 ) -> DataFrame:
     """The texts that list all events, as parts (exec_id, part_no, text) whose concatenation in
-    order of part_no is the reference's text: part 0 is the head, every other part holds the
-    events of `rows_per_part` line numbers. No text is put together in one cell.
+    order of part_no is the reference's text: part 0 is the head, each further part holds the
+    events of `rows_per_part` line numbers, and the last one what comes behind them (`closing`, SQL
+    over `verdict`, if it is not null). No text is put together in one cell, and no text moves by
+    execution: which part is the first follows from the part numbers.
 
     `verdict` has exec_id, summary and separator; `events` is what `tool_events` gives."""
-    listing = verdict.where("separator IS NOT NULL").select(EXEC, "summary", "separator")
-    part = F.call_function("div", F.col(LINE_NO), F.lit(rows_per_part)) + 1
-    pieces = (
-        events.withColumn("part_no", part.cast("bigint"))
-        .groupBy(EXEC, "part_no")
-        .agg(F.sort_array(F.collect_list(F.struct(LINE_NO, "step", "event"))).getField("event").alias("_events"))
+    listing = verdict.where("separator IS NOT NULL").selectExpr(EXEC, "summary", "separator", f"{closing} AS closing")
+    numbered = events.withColumn("part_no", F.call_function("div", F.col(LINE_NO), F.lit(rows_per_part)) + 1)
+    bounds = numbered.groupBy(EXEC).agg(F.min("part_no").alias("_first"), F.max("part_no").alias("_last"))
+    heads = listing.join(bounds, EXEC, "left")
+    keys = numbered.select(EXEC, "part_no").distinct().join(heads.select(EXEC, "separator", "_first"), EXEC)
+    pieces = numbered.groupBy(EXEC, "part_no").agg(
+        F.sort_array(F.collect_list(F.struct(LINE_NO, "step", "event"))).getField("event").alias("_events")
     )
-    first = Window.partitionBy(EXEC).orderBy("part_no")
-    body = (
-        pieces.select(EXEC, "part_no", "_events")
-        .withColumn("_nth", F.row_number().over(first))
-        .join(listing, EXEC)
-        .selectExpr(
-            EXEC,
-            "part_no",
-            "concat(if(_nth = 1, '', separator), array_join(_events, separator)) AS text",
-        )
+    body = pieces.join(keys, [EXEC, "part_no"]).selectExpr(
+        EXEC,
+        "CAST(part_no AS BIGINT) AS part_no",
+        "concat(if(part_no = _first, '', separator), array_join(_events, separator)) AS text",
     )
-    head = listing.selectExpr(EXEC, "0L AS part_no", "summary AS text")
-    return head.unionByName(body)
+    ends = heads.selectExpr(
+        EXEC,
+        "inline(array(struct(0L AS part_no, summary AS text), "
+        "struct(CAST(coalesce(_last, 0) + 1 AS BIGINT) AS part_no, closing AS text)))",
+    ).filter("text IS NOT NULL")
+    return ends.unionByName(body)

@@ -1,19 +1,19 @@
 """The whole analysis of executions, composed from the operators.
 
-Shuffles of log text: one by (exec_id, block) for cleaning, folding and run-length encoding,
-and one by exec_id for the reduced rows (at most 801 per execution). Everything else that moves
-has one row per block or per execution.
+Log text is shuffled and sorted once, for the marked lines of the log state; what follows scans
+that table with filters. What moves afterwards: rows of runs at the ends of blocks, the reduced
+rows of each execution (at most 801), and rows of blocks and executions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.operators.blocks import EXEC
-from runsift.operators.clean import clean_blocks, clean_lines, sample_head
+from runsift.operators.blocks import BLOCK, EXEC
+from runsift.operators.clean import clean_blocks, clean_lines
 from runsift.operators.detect import as_pasted, detect_tool
 from runsift.operators.digest import (
     digest_text,
@@ -23,37 +23,25 @@ from runsift.operators.digest import (
 from runsift.operators.families import BUILT_IN, FALLBACK, RuleFamily
 from runsift.operators.folds import (
     METRICS,
-    attach_tools,
     event_parts,
+    family_index,
+    fold_blocks,
     fold_effects,
     line_effects,
     tool_events,
 )
-from runsift.operators.reduce import compress_lines, optimize_bounded, reduce_lines
+from runsift.operators.reduce import optimize_bounded, reduce_lines
 from runsift.operators.rootcause import execution_facts, with_changes
+from runsift.operators.state import LogState, Stage, as_table, dropped_lines, heads_apart, log_state
 from runsift.operators.suggest import RULES, Rule, rule_hits
 from runsift.operators.summarize import semantic_summary, summarize_rows, with_verdict
-from runsift.session import scratch_path
 from runsift.sources.logs import split_log_blob
 from runsift.sources.sinks import artifact_path
 
-Stage = Callable[[DataFrame], DataFrame]
-
-
-def keep_lazy(df: DataFrame) -> DataFrame:
-    return df
-
-
-def as_table(df: DataFrame) -> DataFrame:
-    """Write an intermediate to a new table in the shared folder of the session and read it back.
-
-    Cuts a plan that several branches read: they scan compressed columns instead of repeating
-    the work, and what is written outlives any executor. The folder is `spark.checkpoint.dir`;
-    only where that is unset, as in local runs, a folder of this machine is taken.
-    """
-    path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of tool names that may be sent to all executors; beyond, lines move once more to meet
+#: the tool of their execution.
+SENT_BYTES = 64 << 20
+ROOT_CAUSE = "\n\nRoot cause:\n"
 
 
 def analyze_logs(blobs: DataFrame) -> DataFrame:
@@ -63,23 +51,39 @@ def analyze_logs(blobs: DataFrame) -> DataFrame:
 
 
 def tools_of(
-    executions: DataFrame, cleaned: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
+    executions: DataFrame, state: LogState, families: Sequence[RuleFamily] = BUILT_IN
 ) -> DataFrame:
-    return detect_tool(executions, sample_head(cleaned), families)
+    return detect_tool(executions, state.samples(), families)
+
+
+def tool_effects(tools: DataFrame, state: LogState, families: Sequence[RuleFamily]) -> DataFrame:
+    """Effects of the lines of executions with a known tool, heads of blocks apart."""
+    rows = heads_apart(state.marked)
+    named = tools.selectExpr(EXEC, family_index(families), "argument").filter("fam >= 0")
+    size = named.agg(F.sum(F.octet_length(F.col(EXEC).cast("string")) + F.octet_length("argument") + 64)).first()[0]
+    if (size or 0) <= SENT_BYTES:
+        return line_effects(rows.join(F.broadcast(named), EXEC), families)
+    # By block, so that a long execution is no load of one task.
+    blocks = state.facts.select(EXEC, F.explode(F.array(F.col(BLOCK) * 2, F.col(BLOCK) * 2 + 1)).alias(BLOCK))
+    return line_effects(rows.join(blocks.join(named, EXEC), [EXEC, BLOCK]), families)
+
+
+def _distinct(families: Sequence[RuleFamily]) -> list[RuleFamily]:
+    return list({f.name: f for f in families}.values())
 
 
 def summarize_tools(
     tools: DataFrame,
-    lines: DataFrame,
-    cleaned: DataFrame,
+    state: LogState,
     compressed: DataFrame,
     families: Sequence[RuleFamily] = BUILT_IN,
 ) -> DataFrame:
-    """One summary per execution of `tools`: the fold of its family, or the generic summary of
-    its compressed lines where the tool is unknown."""
-    distinct = list({f.name: f for f in families}.values())
-    effects = line_effects(attach_tools(cleaned, lines, tools, distinct), distinct)
-    folded = fold_effects(effects, tools, distinct)
+    """One summary per execution of `tools` (a stored table): the fold of its family, or the
+    generic summary of its compressed lines where the tool is unknown."""
+    distinct = _distinct(families)
+    blocks = fold_blocks(tool_effects(tools, state, distinct), distinct)
+    blocks = blocks.join(dropped_lines(state), [EXEC, BLOCK], "left_anti")
+    folded = fold_effects(blocks, tools, distinct)
     unknown = tools.filter(F.col("family") == FALLBACK.name).select(EXEC)
     zero = ["errors", "warnings", "_is_error", "_succeeded", "_completed", "_tested"]
     generic = with_verdict(
@@ -93,51 +97,52 @@ def summarize_tools(
         "warnings AS _warnings",
         "CAST(coalesce(size(events), 0) AS BIGINT) AS _generic_events",
     )
+    sizes = state.original_bytes().withColumnRenamed("original_bytes", "_bytes")
     replaced = {
-        "status": "_status",
-        "summary": "_summary",
-        "errors": "_errors",
-        "warnings": "_warnings",
-        "event_count": "_generic_events",
+        "status": "if(_generic, _status, status)",
+        "summary": "if(_generic, _summary, summary)",
+        "errors": "if(_generic, _errors, errors)",
+        "warnings": "if(_generic, _warnings, warnings)",
+        "event_count": "if(_generic, _generic_events, event_count)",
+        "original_bytes": "coalesce(_bytes, 0L)",
     }
-    return folded.join(generic, EXEC, "left").selectExpr(
-        *[f"if(_generic, {replaced[c]}, {c}) AS {c}" if c in replaced else c for c in folded.columns]
+    return folded.join(generic, EXEC, "left").join(sizes, EXEC, "left").selectExpr(
+        *[f"{replaced[c]} AS {c}" if c in replaced else c for c in folded.columns]
     )
 
 
+def _events(tools: DataFrame, state: LogState, families: Sequence[RuleFamily]) -> DataFrame:
+    """Kept events of known tools."""
+    return tool_events(tool_effects(tools, state, families), families, dropped_lines(state))
+
+
 def all_tool_events(
-    executions: DataFrame, lines: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
+    executions: DataFrame,
+    lines: DataFrame,
+    families: Sequence[RuleFamily] = BUILT_IN,
+    stage: Stage = as_table,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Every kept event as a row (exec_id, line_no, step, event): the one place where events
     stand, however many an execution has. Executions without a known tool have up to ten, of the
     reduced log: step 0, numbered by their place."""
-    distinct = list({f.name: f for f in families}.values())
-    cleaned = clean_blocks(lines)
-    tools = tools_of(executions, cleaned, families)
-    known = tool_events(line_effects(attach_tools(cleaned, lines, tools, distinct), distinct), distinct)
+    state = log_state(lines, stage, block_rows)
+    tools = stage(tools_of(executions, state, families))
     unknown = tools.filter(F.col("family") == FALLBACK.name).select(EXEC)
-    generic = unknown.join(semantic_summary(compress_lines(cleaned)), EXEC).select(
+    generic = unknown.join(semantic_summary(state.compressed()), EXEC).select(
         EXEC, F.posexplode("events").alias("line_no", "event")
     )
-    return known.unionByName(
+    return _events(tools, state, _distinct(families)).unionByName(
         generic.selectExpr(EXEC, "CAST(line_no AS BIGINT) AS line_no", "0 AS step", "event")
     )
 
 
-def summary_parts(
-    executions: DataFrame,
-    lines: DataFrame,
-    families: Sequence[RuleFamily] = BUILT_IN,
-    rows_per_part: int = 1 << 12,
-) -> DataFrame:
-    """The texts that list all events (type checks, version control) as ordered part rows."""
-    distinct = list({f.name: f for f in families}.values())
-    cleaned = clean_blocks(lines)
-    tools = tools_of(executions, cleaned, families)
-    effects = line_effects(attach_tools(cleaned, lines, tools, distinct), distinct)
-    return event_parts(
-        fold_effects(effects, tools, distinct), tool_events(effects, distinct), rows_per_part
-    )
+def _record_inputs(
+    executions: DataFrame, lines: DataFrame, families: Sequence[RuleFamily], stage: Stage, block_rows: int | None
+) -> tuple[DataFrame, LogState, DataFrame]:
+    """Tools, log state and compressed lines, all stored."""
+    state = log_state(lines, stage, block_rows)
+    return stage(tools_of(executions, state, families)), state, stage(state.compressed())
 
 
 def execution_summary(
@@ -147,21 +152,58 @@ def execution_summary(
     samples: DataFrame | None = None,
     families: Sequence[RuleFamily] = BUILT_IN,
     rules: tuple[Rule, ...] = RULES,
-    stage: Stage = keep_lazy,
+    stage: Stage = as_table,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """One structured record per execution.
 
     executions: exec_id, command_line, cmd, exit_code, start_ts, end_ts; lines: exec_id,
     line_no, line; changed_files: exec_id, path; samples: exec_id, ts, rss_bytes, cpu_pct.
-    `stage` may materialise the two intermediates that several branches read.
+    `stage` keeps the log state, the tools and the compressed lines, each read by several steps;
+    by default in tables of the shared folder, written when this is called.
     """
+    tools, state, compressed = _record_inputs(executions, lines, families, stage, block_rows)
+    return _records(executions, tools, state, compressed, changed_files, samples, families, rules)
+
+
+def summary_parts(
+    executions: DataFrame,
+    lines: DataFrame,
+    changed_files: DataFrame | None = None,
+    families: Sequence[RuleFamily] = BUILT_IN,
+    rows_per_part: int = 1 << 12,
+    stage: Stage = as_table,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """The summaries that list all events (type checks, version control) as ordered part rows: the
+    head, the events, and the root cause of a failed run."""
+    tools, state, compressed = _record_inputs(executions, lines, families, stage, block_rows)
+    records = _records(executions, tools, state, compressed, changed_files, None, families, RULES)
+    listed = stage(
+        records.filter("separator IS NOT NULL").selectExpr(
+            EXEC, "separator", "summary AS whole", f"'{ROOT_CAUSE}' || error_intel.root_cause AS closing"
+        )
+    )
+    head = "if(closing IS NULL, whole, substring(whole, 1, length(whole) - length(closing)))"
+    return event_parts(
+        listed.selectExpr(EXEC, "separator", f"{head} AS summary", "closing"),
+        _events(tools, state, _distinct(families)), rows_per_part, "closing",
+    )
+
+
+def _records(
+    executions: DataFrame,
+    tools: DataFrame,
+    state: LogState,
+    compressed: DataFrame,
+    changed_files: DataFrame | None,
+    samples: DataFrame | None,
+    families: Sequence[RuleFamily],
+    rules: tuple[Rule, ...],
+) -> DataFrame:
     spark = executions.sparkSession
-    cleaned = stage(clean_blocks(lines))
-    # One exchange of the bounded rows for the generic summary and for the second reduction.
-    compressed = stage(compress_lines(cleaned).repartition(EXEC))
     facts = execution_facts(optimize_bounded(compressed))
-    tools = tools_of(executions, cleaned, families)
-    summaries = summarize_tools(tools, lines, cleaned, compressed, families)
+    summaries = summarize_tools(tools, state, compressed, families)
     if changed_files is None:
         changed_files = executions.select(EXEC, F.lit("").alias("path")).limit(0)
     intel = with_changes(facts, changed_files)
@@ -195,7 +237,7 @@ def execution_summary(
         "tool",
         "command",
         "if(failed, 'failure', 'success') AS status",
-        "if(explained, concat(summary, '\\n\\nRoot cause:\\n', root_cause), summary) AS summary",
+        f"if(explained, concat(summary, '{ROOT_CAUSE}', root_cause), summary) AS summary",
         "event_count",
         "separator",
         *shown,
@@ -220,7 +262,7 @@ def execution_summary(
 
 
 def analyze_logs_full(
-    blobs: DataFrame, families: Sequence[RuleFamily] = BUILT_IN, stage: Stage = keep_lazy
+    blobs: DataFrame, families: Sequence[RuleFamily] = BUILT_IN, stage: Stage = as_table
 ) -> DataFrame:
     """The full pipeline over pasted logs (exec_id, text): a virtual command with exit code 0
     whose command line is the log itself."""

@@ -1055,7 +1055,14 @@ UNION ALL SELECT exec_id, i - 1 AS line_no, 0, evs[i] FROM (
   SELECT exec_id, evs, unnest(range(1, len(evs) + 1)) AS i FROM unknown_tool WHERE evs IS NOT NULL)""",
         ),
         "summary_parts": with_(
-            [*detected, *rle(), *truncate(), *tools(), *summaries()], summary_parts_sql()
+            [
+                *final,
+                f"texts AS ({summary_parts_sql()})",
+                "ends AS (SELECT exec_id, max(part_no) + 1 AS part_no FROM texts GROUP BY exec_id)",
+            ],
+            """SELECT * FROM texts
+UNION ALL SELECT exec_id, part_no, chr(10) || chr(10) || 'Root cause:' || chr(10) || root_cause
+FROM ends JOIN j1 USING (exec_id) WHERE root_cause <> ''""",
         ),
         "rle_lines": with_(
             [DOC_LINES, trimmed("doc_lines"), *rle("trimmed")],

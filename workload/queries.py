@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runsift.functions.text import sanitize_utf8, trim
 from runsift.operators import clean, detect, digest, explain, folds, history, inventory, reduce
 from runsift.operators import rootcause, suggest, summarize
+from runsift.operators.state import as_table, log_state
 from runsift.operators.families import BUILT_IN, SHIPPED, extended_families
 from runsift.plans import executions as plans
 from runsift.plans import reports
@@ -167,11 +168,9 @@ def fold_fallback(spark, sf):
 
 
 def summarize_tools(spark, sf):
-    lines = views.log_lines(spark, sf)
-    cleaned = clean.clean_blocks(lines)
-    tools = plans.tools_of(views.executions(spark, sf), cleaned)
-    compressed = reduce.compress_lines(cleaned)
-    return summary_columns(plans.summarize_tools(tools, lines, cleaned, compressed))
+    state = log_state(views.log_lines(spark, sf))
+    tools = as_table(plans.tools_of(views.executions(spark, sf), state))
+    return summary_columns(plans.summarize_tools(tools, state, state.compressed()))
 
 
 def tool_events(spark, sf):
@@ -182,7 +181,7 @@ def tool_events(spark, sf):
 def summary_parts(spark, sf):
     """Parts of 64 line numbers, so that executions have many."""
     return plans.summary_parts(
-        views.executions(spark, sf), views.log_lines(spark, sf), rows_per_part=64
+        views.executions(spark, sf), views.log_lines(spark, sf), views.changed_files(spark, sf), rows_per_part=64
     )
 
 
