@@ -216,34 +216,74 @@ def _classified(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_pass", passes).withColumn("_fail", ~F.col("_pass") & fails)
 
 
-def group_pass_fail(lines: DataFrame) -> DataFrame:
+def group_pass_fail(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Replace runs of result lines by their counts, for executions of any length.
 
-    The segment of a row is the number of normal lines before it: a running count in the block
-    plus a carry. Counting per segment combines before the shuffle, so a run of results that
-    spans blocks costs one partial row per block.
-    """
+    Lines stay where their block is. A normal line knows the results since the normal line before
+    it in the block; only the first one of a block is completed, from one row per block: the
+    results up to the last normal line of earlier blocks. Numbers of rows are sums over blocks and
+    inside the block."""
     text = lines.withColumn("line", trim(F.col("line"))).filter(F.col("line") != "")
-    rows = _classified(into_blocks(text)).withColumn(
-        "_normal", (~F.col("_pass") & ~F.col("_fail")).cast("bigint")
+    so_far = in_block_so_far()
+    before = in_block().rowsBetween(Window.unboundedPreceding, -1)
+    counted = _classified(into_blocks(text, block_rows)).withColumn("_normal", ~F.col("_pass") & ~F.col("_fail"))
+    for kind in ("_pass", "_fail"):
+        counted = counted.withColumn(f"_all{kind}", F.sum(F.col(kind).cast("bigint")).over(so_far))
+    for kind in ("_pass", "_fail"):
+        # Results up to the normal line before, and since it.
+        last = F.last(F.when(F.col("_normal"), F.col(f"_all{kind}")), ignorenulls=True).over(before)
+        counted = counted.withColumn(f"_n{kind}", F.col(f"_all{kind}") - F.coalesce(last, F.lit(0)))
+    rows = "1 + CAST({0}_pass > 0 AS INT) + CAST({0}_fail > 0 AS INT)"
+    first = F.coalesce(F.sum(F.col("_normal").cast("bigint")).over(before), F.lit(0)) == 0
+    counted = counted.withColumn("_first", F.col("_normal") & first).withColumn(
+        "_rows", F.expr(f"CASE WHEN _normal AND NOT _first THEN {rows.format('_n')} ELSE 0 END")
     )
-    blocks = (
-        rows.groupBy(EXEC, BLOCK)
-        .agg(F.sum("_normal").alias("_n"))
-        .select(EXEC, BLOCK, F.coalesce(F.sum("_n").over(earlier_blocks()), F.lit(0)).alias("_carry"))
+    blocks = counted.groupBy(EXEC, BLOCK).agg(
+        F.max("_normal").alias("_any"),
+        F.sum("_rows").alias("_inner"),
+        *[F.max(f"_all{k}").alias(f"_total{k}") for k in ("_pass", "_fail")],
+        *[F.max(F.when(F.col("_normal"), F.col(f"_all{k}"))).alias(f"_last{k}") for k in ("_pass", "_fail")],
+        *[F.max(F.when(F.col("_first"), F.col(f"_n{k}"))).alias(f"_lead{k}") for k in ("_pass", "_fail")],
     )
-    before = F.coalesce(F.sum("_normal").over(in_block_so_far()), F.lit(0)) - F.col("_normal")
-    segmented = (
-        rows.withColumn("_before", before)
-        .join(blocks, [EXEC, BLOCK])
-        .withColumn("_seg", F.col("_before") + F.col("_carry"))
+    for k in ("_pass", "_fail"):
+        blocks = (
+            blocks.withColumn(f"_past{k}", F.coalesce(F.sum(f"_total{k}").over(earlier_blocks()), F.lit(0)))
+            .withColumn(f"_at{k}", F.expr(f"CASE WHEN _any THEN _past{k} + _last{k} END"))
+            .withColumn(
+                f"_first{k}",
+                F.col(f"_past{k}")
+                + F.col(f"_lead{k}")
+                - F.coalesce(F.last(f"_at{k}", ignorenulls=True).over(earlier_blocks()), F.lit(0)),
+            )
+        )
+    blocks = blocks.withColumn("_head", F.expr(f"CASE WHEN _any THEN {rows.format('_first')} ELSE 0 END"))
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum(F.expr("_head + _inner")).over(earlier_blocks()), F.lit(0)))
+    own = ["_head", "_offset", "_first_pass", "_first_fail"]
+    inner = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    placed = (
+        counted.withColumn("_inner", inner)
+        .filter("_normal")
+        .select(EXEC, BLOCK, "line", "_first", "_inner", "_n_pass", "_n_fail")
+        .join(blocks.select(EXEC, BLOCK, *own), [EXEC, BLOCK])
+        .selectExpr(
+            EXEC,
+            "_offset + if(_first, 0, _head + _inner) AS _seg",
+            "if(_first, _first_pass, _n_pass) AS _p",
+            "if(_first, _first_fail, _n_fail) AS _f",
+            "line AS _line",
+        )
     )
-    emitted = _emit(_grouped(segmented, [EXEC]))
-    # At most three rows per segment: (segment, k) orders them; number them densely by blocks.
-    numbered = with_position(
-        emitted.select(EXEC, (F.col("_seg") * 3 + F.col("_k")).alias(LINE_NO), "line")
+    # What follows the last normal line of an execution.
+    ends = blocks.groupBy(EXEC).agg(
+        F.sum(F.expr("_head + _inner")).alias("_seg"),
+        *[
+            (F.sum(f"_total{k}") - F.coalesce(F.max(f"_at{k}"), F.lit(0))).alias(n)
+            for k, n in (("_pass", "_p"), ("_fail", "_f"))
+        ],
+        F.lit(None).cast("string").alias("_line"),
     )
-    return numbered.select(EXEC, (F.col("_pos") - 1).alias(IDX), "line")
+    emitted = _emit(placed.unionByName(ends))
+    return emitted.select(EXEC, (F.col("_seg") + F.col("_k")).cast("bigint").alias(IDX), "line")
 
 
 def optimize_bounded(rows: DataFrame) -> DataFrame:

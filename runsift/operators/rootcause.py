@@ -31,7 +31,8 @@ ERROR_PATTERNS = (
 SIGNS = ("module not found", "cannot find file", "build failed", "exception", "panic", "error", "warning")
 CONTEXT_BEFORE, CONTEXT_AFTER = 1, 1
 NEAR_BEFORE, NEAR_AFTER = 5, 4
-FILE_SALTS = 16
+# Characters by which changed files find the lines that may name them.
+KEY, SHORT_KEY = 8, 3
 
 
 def pattern_hit(index: str = "idx") -> str:
@@ -129,22 +130,33 @@ def error_context(rows: DataFrame) -> DataFrame:
     )
 
 
+def _keys(text: str, length: int) -> str:
+    """SQL of all distinct pieces of `length` characters of a text."""
+    places = f"sequence(1, length({text}) - {length} + 1)"
+    pieces = f"transform({places}, i -> substring({text}, i, {length}))"
+    return f"CASE WHEN length({text}) >= {length} THEN {pieces} ELSE CAST(array() AS array<string>) END"
+
+
 def correlate_changes(windows: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Sorted distinct changed files named by a line near the cause.
 
-    The file list of one execution may be large: files are made distinct first (spread by
-    execution and path) and meet a salted copy of the few-line window of their execution.
-    """
-    files = (
-        changed_files.select(EXEC, "path")
-        .distinct()
-        .withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(path), {FILE_SALTS}) AS INT)"))
-    )
-    near = windows.filter("cause IS NOT NULL").selectExpr(
-        EXEC, "_near", f"explode(sequence(0, {FILE_SALTS - 1})) AS _salt"
+    A line that names a path holds the path's last part, and so the first characters of that part:
+    paths and lines meet by equality on them, spread by execution and characters, and only then is
+    the whole path looked for. Paths too short for that are compared with the few lines of their
+    execution."""
+    last = "substring_index(path, '/', -1)"
+    text = f"if(length({last}) >= {SHORT_KEY}, {last}, path)"
+    key = f"substring({text}, 1, CASE WHEN length({text}) >= {KEY} THEN {KEY} WHEN length({text}) >= {SHORT_KEY} THEN {SHORT_KEY} ELSE 0 END)"
+    files = changed_files.select(EXEC, "path").distinct().withColumn("_key", F.expr(key))
+    near = windows.filter("cause IS NOT NULL").select(EXEC, "_near")
+    pieces = near.selectExpr(
+        EXEC,
+        "_near",
+        "explode(array_distinct(concat(array(''), flatten(transform(_near, x -> concat("
+        f"{_keys('x', KEY)}, {_keys('x', SHORT_KEY)})))))) AS _key",
     )
     return (
-        files.join(near, [EXEC, "_salt"])
+        files.join(pieces, [EXEC, "_key"])
         .filter("exists(_near, x -> contains(x, path))")
         .groupBy(EXEC)
         .agg(F.sort_array(F.collect_list("path")).alias("correlated_changes"))

@@ -32,20 +32,11 @@ from runsift.operators.blocks import (
 )
 from runsift.operators.clean import SAMPLE_LINES, is_progress, normalize
 from runsift.operators.reduce import HEAD_ROWS, IDX, MAX_ROWS, TAIL_ROWS, TOTAL, truncate_indexed
-from runsift.session import scratch_path
+from runsift.session import as_table
 
 Stage = Callable[[DataFrame], DataFrame]
 
 
-def as_table(df: DataFrame) -> DataFrame:
-    """Write an intermediate to a new table in the folder that the session shares with its
-    executors, and read it back: branches that need it scan compressed columns instead of
-    repeating the work, and what is written outlives any executor."""
-    path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def marked_lines(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
     """The lines of each block that stay (`kept`), and its last non-blank line in any case (`tail`).
 

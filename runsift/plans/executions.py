@@ -32,9 +32,10 @@ from runsift.operators.folds import (
 )
 from runsift.operators.reduce import optimize_bounded, reduce_lines
 from runsift.operators.rootcause import execution_facts, with_changes
-from runsift.operators.state import LogState, Stage, as_table, dropped_lines, heads_apart, log_state
+from runsift.operators.state import LogState, Stage, dropped_lines, heads_apart, log_state
 from runsift.operators.suggest import RULES, Rule, rule_hits
 from runsift.operators.summarize import semantic_summary, summarize_rows, with_verdict
+from runsift.session import as_table
 from runsift.sources.logs import split_log_blob
 from runsift.sources.sinks import artifact_path
 
@@ -277,7 +278,6 @@ __all__ = [
     "all_tool_events",
     "analyze_logs",
     "analyze_logs_full",
-    "as_table",
     "clean_lines",
     "execution_summary",
     "summarize_tools",

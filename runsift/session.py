@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The streaming operators keep their state in this store.
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -33,9 +33,21 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table, in a folder that driver and executors share: the
-    session's checkpoint folder or, if that is unset, one below its warehouse."""
+    """A new path for an intermediate table, in the folder of `spark.checkpoint.dir`, which driver
+    and executors share. Where that is unset, a local session takes one below its warehouse, and
+    any other one must set it: a folder of one machine is not seen by the others."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_table(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate to a new table in the shared folder and read it back: branches that
+    need it scan compressed columns instead of repeating the work, and what is written outlives
+    any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runsift.sources.batches import published
+
 FIELDS = ("execution_id", "command", "status", "summary")
 
 
@@ -31,5 +33,13 @@ def parse_history(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the files below a path, one JSON value per line."""
+    """Entries of the published batches at a path, one JSON value per line."""
+    folders = published(spark, path)
+    if not folders:
+        return spark.createDataFrame([], ", ".join(f"{name} string" for name in FIELDS))
+    return parse_history(spark.read.text(folders))
+
+
+def read_history_files(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all files below a path, as another program has written them."""
     return parse_history(spark.read.text(path))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runsift.functions.text import trim
 from runsift.operators.blocks import EXEC, LINE_NO, number_rows
+from runsift.session import as_table
 
 
 def split_log_blob(blobs: DataFrame, text: str = "text") -> DataFrame:
@@ -16,26 +17,43 @@ def split_log_blob(blobs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+#: Ranges of files whose line counts may be sent to all executors; beyond, lines move to meet them.
+SENT_RANGES = 200_000
+
+
 def read_log_dir(spark: SparkSession, path: str, name_filter: str = "*.log") -> DataFrame:
     """Lines of a directory with one file per execution: `<exec_id>.log`, or any file name in a
     folder `exec_id=<id>`.
 
-    A file is read as one row, because only so are line numbers certain; keep single files well
-    below 2 GB and send longer logs as rows with a line number.
+    A file of any size is read in byte ranges, each by a task of its own. Lines are numbered in
+    their range; the ranges of a file are counted, and each is shifted by the lines before it. A
+    line belongs to the range in which it begins. Only line feeds end lines; one at the end of the
+    file opens no further line, and an empty file has none. A byte order mark at the beginning of a
+    file is left out.
     """
-    files = spark.read.text(
-        path, wholetext=True, pathGlobFilter=name_filter, recursiveFileLookup=True
+    files = spark.read.option("lineSep", "\n").text(path, pathGlobFilter=name_filter, recursiveFileLookup=True)
+    # Ids of rows increase by one inside a range, whichever ranges a task reads one after the other.
+    rows = files.select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line"),
+    )
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        rows.groupBy("_path", "_start")
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select("_path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    location = F.col("_metadata.file_path")
+    ranges = as_table(ranges, "ranges")
+    if ranges.count() <= SENT_RANGES:
+        ranges = F.broadcast(ranges)
     folder = r"/exec_id=([^/]+)/[^/]*\z"
-    named = files.select(
-        F.when(location.rlike(folder), F.url_decode(F.regexp_extract(location, folder, 1)))
-        .otherwise(F.regexp_replace("_metadata.file_name", r"\.log\z", ""))
-        .alias(EXEC),
-        # The last newline ends the last line; it does not open another one.
-        F.regexp_replace("value", r"\n\z", "").alias("text"),
+    name = F.element_at(F.split("_path", "/"), -1)
+    exec_id = F.when(F.col("_path").rlike(folder), F.url_decode(F.regexp_extract("_path", folder, 1))).otherwise(
+        F.url_decode(F.regexp_replace(name, r"\.log\z", ""))
     )
-    return split_log_blob(named)
+    return rows.join(ranges, ["_path", "_start"]).select(exec_id.alias(EXEC), (F.col("_id") + F.col("_shift")).alias(LINE_NO), "line")
 
 
 SEQ_SLICE = 1 << 16

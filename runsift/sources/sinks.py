@@ -1,11 +1,16 @@
-"""Sinks: cleaned logs, history, summaries routed by artifact name."""
+"""Sinks: cleaned logs with a manifest, history, summaries routed by artifact name.
+
+Logs, history and summaries are tables of batches (`runsift.sources.batches`): a write that runs
+again adds nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsift.operators.blocks import EXEC, LINE_NO
+from runsift.sources.batches import publish, published
 from runsift.sources.history import FIELDS
 
 # Tools whose summary has a name of its own.
@@ -29,29 +34,92 @@ def artifact_path(exec_id: str) -> str:
     return f"concat('{ARTIFACT_DIR}/', {exec_id}, '.log')"
 
 
-def write_clean_logs(cleaned: DataFrame, path: str, date: Column) -> None:
-    """Write cleaned lines by day. Rows are ranged by (day, exec_id, line_no): an execution of
-    any size spreads over files, and a file holds consecutive lines."""
-    dated = cleaned.withColumn("exec_date", date)
-    (
-        dated.repartitionByRange("exec_date", EXEC, LINE_NO)
-        .sortWithinPartitions("exec_date", EXEC, LINE_NO)
-        .write.mode("append")
-        .partitionBy("exec_date")
-        .parquet(path)
-    )
+#: Files that are opened one by one for the logs of some records; beyond, the table is scanned.
+MOST_FILES = 10_000
+
+LOG_SCHEMA = "line_no bigint, line string, exec_date date"
+
+
+def write_clean_logs(cleaned: DataFrame, path: str, date: Column, batch: str) -> bool:
+    """Write cleaned lines by day, and a manifest of what stands where. Rows are ranged by (day,
+    exec_id, line_no): an execution of any size spreads over files, and a file holds consecutive
+    lines of it.
+
+    The manifest has a row for each file of an execution: raw_log_path (the name that records
+    give the log), exec_id, file, first_line, last_line, lines. It is ordered by name, so that a
+    look-up reads few of its row groups."""
+
+    def write(df: DataFrame, folder: str) -> None:
+        spark = df.sparkSession
+        (
+            df.repartitionByRange("exec_date", EXEC, LINE_NO)
+            .sortWithinPartitions("exec_date", EXEC, LINE_NO)
+            .write.partitionBy("exec_date")
+            .parquet(f"{folder}/logs")
+        )
+        kind = df.schema[EXEC].dataType.simpleString()
+        lines = spark.read.schema(f"{EXEC} {kind}, {LOG_SCHEMA}").parquet(f"{folder}/logs")
+        # Two narrow columns are read again.
+        files = (
+            lines.select(EXEC, LINE_NO, F.col("_metadata.file_path").alias("file"))
+            .groupBy(EXEC, "file")
+            .agg(F.min(LINE_NO).alias("first_line"), F.max(LINE_NO).alias("last_line"), F.count(F.lit(1)).alias("lines"))
+        )
+        named = files.select(F.expr(artifact_path(EXEC)).alias("raw_log_path"), *files.columns)
+        named.repartitionByRange("raw_log_path").sortWithinPartitions("raw_log_path").write.parquet(f"{folder}/manifest")
+
+    return publish(cleaned.withColumn("exec_date", date).select(EXEC, LINE_NO, "line", "exec_date"), path, batch, write)
+
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    folders = [f"{folder}/manifest" for folder in published(spark, path)]
+    if not folders:
+        raise FileNotFoundError(f"no logs at {path}")
+    return spark.read.parquet(*folders)
 
-def append_history(summaries: DataFrame, path: str) -> None:
+
+def read_clean_logs(spark: SparkSession, path: str, raw_log_paths: DataFrame) -> DataFrame:
+    """raw_log_path, exec_id, line_no, line: the logs that records name in `raw_log_path`.
+
+    Only the files that the manifest lists for them are opened, unless there are very many."""
+    wanted = raw_log_paths.select("raw_log_path").where("raw_log_path is not null").distinct()
+    found = read_manifest(spark, path).join(wanted, "raw_log_path")
+    kind = found.schema[EXEC].dataType.simpleString()
+    schema = f"{EXEC} {kind}, {LOG_SCHEMA}"
+    files = [row["file"] for row in found.select("file").distinct().limit(MOST_FILES + 1).collect()]
+    if not files:
+        return spark.createDataFrame([], f"raw_log_path string, {EXEC} {kind}, line_no bigint, line string")
+    names = found.select(F.col(EXEC).alias("_exec"), F.col("file").alias("_file"), "raw_log_path")
+    # Whole batches by their folder, so that the days come back as a column.
+    sets = [files] if len(files) <= MOST_FILES else [[f"{folder}/logs"] for folder in published(spark, path)]
+    out = None
+    for some in sets:
+        lines = spark.read.schema(schema).parquet(*some)
+        here = lines.select(EXEC, LINE_NO, "line", F.col("_metadata.file_path").alias("_at"))
+        part = here.join(names, (F.col(EXEC) == F.col("_exec")) & (F.col("_at") == F.col("_file"))).select(
+            "raw_log_path", EXEC, LINE_NO, "line"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def append_history(summaries: DataFrame, path: str, batch: str) -> bool:
     """Append {execution_id, command, status, summary} as JSON lines."""
-    summaries.select(*FIELDS).write.mode("append").json(path)
+    return publish(summaries.select(*FIELDS), path, batch, lambda df, folder: df.write.json(folder))
+
+
+def write_summaries(summaries: DataFrame, path: str, batch: str) -> bool:
+    """Write summaries as JSON under `artifact_name=<name>`; `summaries` has the tool."""
+    named = summaries.withColumn("artifact_name", artifact_name(F.col("tool")))
+    return publish(named, path, batch, lambda df, folder: df.write.partitionBy("artifact_name").json(folder))
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    """Write summaries as JSON under `artifact_name=<name>`."""
-    (
-        summaries.withColumn("artifact_name", artifact_name(F.col("tool")))
-        .write.mode("append")
-        .partitionBy("artifact_name")
-        .json(path)
-    )
+def read_summaries(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
+    """Summaries with their artifact_name; with `name`, only that artifact's files are read."""
+    out = None
+    for folder in published(spark, path):
+        part = spark.read.schema(f"{schema}, artifact_name string").json(folder)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{schema}, artifact_name string")
+    return out if name is None else out.where(F.col("artifact_name") == name)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from runsift.operators.blocks import EXEC, LINE_NO
 from runsift.operators.clean import is_progress, normalize
 from runsift.sources.history import FIELDS
+from runsift.sources.sinks import append_history
 from runsift.streaming.stateful import DedupeLines, Heartbeat, RunLifecycle
 
 DEFAULT_TIMEOUT_SECONDS = 600
@@ -126,11 +127,13 @@ def summary_writer(
     return closed.writeStream.foreachBatch(write).outputMode("append")
 
 
-def history_writer(summaries: DataFrame, path: str) -> DataStreamWriter:
-    """Append {execution_id, command, status, summary} as JSON lines, exactly once."""
-    return (
-        summaries.select(*FIELDS)
-        .writeStream.format("json")
-        .option("path", path)
-        .outputMode("append")
-    )
+def history_writer(summaries: DataFrame, path: str, source: str) -> DataStreamWriter:
+    """Append {execution_id, command, status, summary} as JSON lines, each micro-batch once: a
+    batch of the history for each, named after `source`, so that one which is replayed, by this
+    query or by one that starts over from its checkpoint, adds nothing. Batch jobs may append to
+    the same history."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_history(batch, path, f"{source}-{batch_id}")
+
+    return summaries.select(*FIELDS).writeStream.foreachBatch(write).outputMode("append")

@@ -982,6 +982,22 @@ UNION ALL SELECT '', '', '', '' FROM history WHERE o_orderkey % 20 = 6""",
   CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream,
   event_type || ' ' || event_id AS line FROM events""",
         "write_clean_logs": with_(cleaned, "SELECT exec_id, line_no, line FROM clean"),
+        "log_manifest": with_(
+            cleaned,
+            """SELECT 'artifacts/' || exec_id || '.log' AS raw_log_path, exec_id, min(line_no) AS first_line,
+  max(line_no) AS last_line, count(*) AS lines FROM clean GROUP BY exec_id""",
+        ),
+        "raw_log": with_(
+            final,
+            """SELECT f.raw_log_path, c.exec_id, c.line_no, c.line FROM final f JOIN clean c USING (exec_id)
+WHERE f.raw_log_path <> ''""",
+        ),
+        "write_summaries": with_(
+            final,
+            """SELECT exec_id, tool, status, summary, CAST(errors AS BIGINT) AS errors, savings_percentage,
+  CASE WHEN tool = 'fallback' THEN 'execution_summary.json' WHEN tool IN ('pytest', 'jest') THEN 'test_results.json'
+    WHEN tool = 'cargo' THEN 'build_summary.json' ELSE tool || '_summary.json' END AS artifact_name FROM final""",
+        ),
         "history_append": with_(HIST, "SELECT execution_id, command, status, summary FROM history"),
         "artifact_routing": with_(
             [*detected, *tools()],

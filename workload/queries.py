@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from runsift.functions.text import sanitize_utf8, trim
 from runsift.operators import clean, detect, digest, explain, folds, history, inventory, reduce
 from runsift.operators import rootcause, suggest, summarize
-from runsift.operators.state import as_table, log_state
 from runsift.operators.families import BUILT_IN, SHIPPED, extended_families
+from runsift.operators.state import log_state
 from runsift.plans import executions as plans
 from runsift.plans import reports
+from runsift.session import as_table
 from runsift.sources import logs, sinks
 from runsift.sources.history import parse_history
 from workload import streams, views
@@ -444,22 +445,56 @@ def read_log_dir(spark, sf):
     return logs.read_log_dir(spark, path, "*.txt")
 
 
-def write_clean_logs(spark, sf):
+def _stored_logs(spark, sf) -> str:
+    """Cleaned logs, written twice as one batch."""
     path = streams.scratch(spark, "clean")
     lines = clean.clean_lines(views.log_lines(spark, sf))
     day = views.executions(spark, sf).select("exec_id", F.to_date("start_ts").alias("day"))
-    sinks.write_clean_logs(lines.join(day, "exec_id"), path, F.col("day"))
-    return spark.read.parquet(path).select("exec_id", "line_no", "line")
+    for _ in range(2):
+        sinks.write_clean_logs(lines.join(day, "exec_id"), path, F.col("day"), "logs-1")
+    return path
+
+
+def write_clean_logs(spark, sf):
+    path = _stored_logs(spark, sf)
+    named = sinks.read_manifest(spark, path).select("raw_log_path")
+    return sinks.read_clean_logs(spark, path, named).select("exec_id", "line_no", "line")
+
+
+def log_manifest(spark, sf):
+    """What the manifest says of each execution, over its files."""
+    manifest = sinks.read_manifest(spark, _stored_logs(spark, sf))
+    return manifest.groupBy("raw_log_path", "exec_id").agg(
+        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("lines").alias("lines")
+    )
+
+
+def raw_log(spark, sf):
+    """The logs that the records of failed executions name."""
+    path = _stored_logs(spark, sf)
+    return sinks.read_clean_logs(spark, path, as_table(_summary(spark, sf).select("raw_log_path")))
+
+
+def write_summaries(spark, sf):
+    """Records written to the summary sink, twice as one batch, and read back."""
+    path = streams.scratch(spark, "summaries")
+    record = as_table(execution_summary(spark, sf))
+    for _ in range(2):
+        sinks.write_summaries(record, path, "records-1")
+    schema = "exec_id bigint, tool string, status string, summary string, errors bigint, savings_percentage double"
+    return sinks.read_summaries(spark, path, schema)
 
 
 def history_append(spark, sf):
+    """Two batches, each appended twice."""
     from runsift.sources.history import read_history
 
     path = streams.scratch(spark, "history")
     past = views.history(spark, sf)
     failed = F.col("status") == "failure"
-    sinks.append_history(past.filter(failed), path)
-    sinks.append_history(past.filter(~failed), path)
+    for _ in range(2):
+        sinks.append_history(past.filter(failed), path, "failed")
+        sinks.append_history(past.filter(~failed), path, "others")
     return read_history(spark, path)
 
 
@@ -471,6 +506,9 @@ def queries() -> dict[str, Query]:
         "sanitize_utf8": sanitize,
         "merge_streams": merge_streams,
         "write_clean_logs": write_clean_logs,
+        "log_manifest": log_manifest,
+        "raw_log": raw_log,
+        "write_summaries": write_summaries,
         "history_append": history_append,
         "artifact_routing": artifact_routing,
         "strip_ansi": _line_query(clean.strip_ansi),
