@@ -38,6 +38,15 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{wanted}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Short rows (a few numbers each) that may be sent to all executors instead of shuffling texts.
 SENT_ROWS = 400_000
 
@@ -50,6 +59,22 @@ def sent(small: DataFrame, weight: Column | None = None, limit: int = SENT_ROWS)
     return F.broadcast(small) if total <= limit else small
 
 
+#: A key of at least one in so many rows is hot: there are at most HOT such keys.
+HOT = 100_000
+
+
+def joined_by_parts(rows: DataFrame, table: DataFrame, on: Sequence[str], hot: Column) -> DataFrame:
+    """rows joined to a table with one row for each key. Rows of hot keys get theirs by broadcast
+    and do not move, so that a key that many rows share is no load of one task; `hot`, a condition
+    on the table, must hold for few keys only. Both are read twice: pass written tables."""
+    hit = free_name(rows, "hit")
+    few = F.broadcast(table.where(hot).withColumn(hit, F.lit(True)))
+    tagged = rows.join(few, list(on), "left")
+    values = [c for c in table.columns if c not in on]
+    others = tagged.where(F.col(hit).isNull()).drop(hit, *values).join(table.where(~hot), list(on))
+    return tagged.where(hit).drop(hit).unionByName(others)
+
+
 def has_plain_key(docs: DataFrame, key: str) -> bool:
     """Whether the key names each row: no nulls and no repeats."""
     return not docs.groupBy(F.col(key).alias("k")).count().where("`count` > 1 or k is null").limit(1).count()

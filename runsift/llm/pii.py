@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import slices, whole_text
+from runsift.llm.common import free_name, slices, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "address", "login", "secret")
@@ -289,7 +289,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             made = [pa.array(spans, arrow), pa.array(clean, pa.string())]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=[*kept, "pii", "redacted"])
 
-    return docs.select(*kept, F.col(text).cast("string").alias("_whole")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "whole"))).mapInArrow(run, schema)
 
 
 def pii_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

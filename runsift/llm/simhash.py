@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import has_plain_key, sent, slices, whole_text, written
+from runsift.llm.common import free_name, has_plain_key, sent, slices, whole_text, written
 from runsift.llm.components import components
 
 #: First bit and width of the three blocks.
@@ -227,16 +227,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """docs without the near-duplicates: of each component the row with the smallest key stays (one
     row, if that key repeats). Of a component without any key one row stays."""
     groups = near_duplicates(docs, key, text)
+    columns, gone, row = docs.columns, free_name(docs, "gone"), free_name(docs, "row")
     if has_plain_key(docs, key):
-        gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
-        return docs.join(sent(written(gone, "simhash-gone")), F.col(key) == F.col("_gone"), "left_anti")
+        others = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone))
+        return docs.join(sent(written(others, "simhash-gone")), F.col(key) == F.col(gone), "left_anti").select(*columns)
     # Rows without a key of their own: find them by their fingerprint, too.
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    by_row = fingerprints(rows, "_row", text)
-    named = groups.select("fp", "root", F.col("component_id").alias("_least")).distinct()
-    found = by_row.join(named, "fp").select(F.col("_row").alias("_id"), "root", "_least")
-    ranked = rows.select("_row", F.col(key).alias("_key")).join(found, F.col("_row") == F.col("_id")).where(
-        F.col("_key").eqNullSafe(F.col("_least"))
-    )
-    firsts = ranked.groupBy("root").agg(F.min("_row").alias("_first"))
-    return rows.join(firsts, F.col("_row") == F.col("_first"), "left_semi").drop("_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = fingerprints(rows, row, text).select(F.col(row).alias("row"), F.col("fp").alias("row_fp"))
+    named = groups.select("fp", "root", F.col("component_id").alias("least")).distinct()
+    keys = rows.select(F.col(row).alias("number"), F.col(key).alias("key"))
+    found = prints.join(named, F.col("row_fp") == F.col("fp")).join(keys, F.col("number") == F.col("row"))
+    firsts = found.where(F.col("key").eqNullSafe(F.col("least"))).groupBy("root").agg(F.min("row").alias(gone))
+    return rows.join(firsts.select(gone), F.col(row) == F.col(gone), "left_semi").select(*columns)

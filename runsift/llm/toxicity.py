@@ -11,7 +11,8 @@ at most FEATURES counts and the chosen features of the sample. Scoring covers ev
 
 Null and empty texts get the score of a text without any feature. Without labels the score is 0;
 with one label only, the score is that label's share after smoothing. A document that is labelled
-twice is toxic if any of its labels says so; null labels are not used.
+twice is toxic if any of its labels says so; null labels are not used. Of rows that repeat a
+doc_id the fit takes the least text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import slices, whole_text, written
+from runsift.llm.common import free_name, slices, whole_text, written
 
 #: Lengths of the n-grams, bits of their hash, n-grams that take part in the fit.
 LENGTHS, BITS, FEATURES = (3, 4, 5, 6), 20, 1 << 14
@@ -106,7 +107,8 @@ def fit(
     texts = (
         docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
         .join(F.broadcast(chosen), "id")
-        .dropDuplicates(["id"])
+        .groupBy("id", "y")
+        .agg(F.min("text").alias("text"))
     )
     sample = written(texts.select("id", "y", "text"), "toxicity-sample")
 
@@ -200,4 +202,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
             made = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=[*kept, "score", "predicted"])
 
-    return docs.select(*kept, whole_text(text).alias("_whole")).mapInArrow(run, schema)
+    return docs.select(*kept, whole_text(text).alias(free_name(docs, "whole"))).mapInArrow(run, schema)
