@@ -7,7 +7,8 @@ the entry, and it is skipped. Decoding puts the vocabulary strings together with
 the vocabulary's decoder.
 
 Built for vocabulary files of the word kind (merges over byte symbols, word-end suffix). Words
-repeat, so ids of frequent words are kept, in bounded memory. Null texts count as empty; an empty
+repeat, so ids of frequent words are kept, in two generations of bounded size: when the younger
+one is full it becomes the older one, and words that occur again move over. Null texts count as empty; an empty
 text has no ids and decodes to an empty text. Texts are encoded whole, whatever their length; equal
 rows give equal results. Strings of special tokens inside a text become special tokens, as the
 library does by default.
@@ -28,15 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import tokenizer_path, whole_text
+from runsift.llm.common import free_name, tokenizer_path, whole_text
 
-#: Words, and stretches between white space, whose ids one Python worker keeps.
-KEPT, KEPT_STRETCHES = 300_000, 150_000
+#: Bytes of words and ids, with what Python adds, in one generation of a worker.
+KEPT = 24 << 20
 #: Bits for a position inside a word in a heap entry; longer words use plain pairs of numbers.
 POSITIONS = 1 << 24
 #: Texts that are encoded at a time: with ids and decoded forms they are several times as large.
 STEP = 64
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Characters outside of ASCII and the letters of Latin-1, whose classes and case need no tables.
+BEYOND_LATIN = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: The words of the files of this kind, and the same for Latin letters in lower case.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff\xdf]+|[0-9]|[^\\sa-z0-9\xe0-\xf6\xf8-\xff\xdf]+", re.ASCII)
 
 
 def byte_symbols() -> list[str]:
@@ -48,15 +53,22 @@ def byte_symbols() -> list[str]:
 
 
 class Words(dict):
-    """Text -> what `encode` makes of it; filled on demand, emptied when full."""
+    """Text -> what `encode` makes of it, filled on demand; two generations of `most` bytes."""
 
     def __init__(self, encode, most: int) -> None:
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.size = encode, most, 0
+        self.older: dict = {}
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        # Two objects and their place in the table.
+        self.size += 200 + len(word) + len(found)
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
             self.clear()
-        found = self[word] = self.encode(word)
+        self[word] = found
         return found
 
 
@@ -77,107 +89,106 @@ class WordBpe:
             and (level["type"], level["add_prefix_space"], level["use_regex"]) == ("ByteLevel", False, False)
             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
             and spec["decoder"] is None
+            and split["pattern"] == {"Regex": WORDS}
         )
         if not known:
             raise ValueError(f"{path} is not of the word kind")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text = {i: s for s, i in (self.vocab | self.special).items()}
+        found = self.vocab | self.special
+        self.text: list[str | None] = [None] * (max(found.values(), default=-1) + 1)
+        for t, i in found.items():
+            self.text[i] = t
         #: (left id << 32 | right id) -> (rank, merged id)
         self.merges = {
             self.vocab[a] << 32 | self.vocab[b]: (rank, self.vocab[a + b])
             for rank, (a, b) in enumerate(model["merges"])
         }
-        self.symbols = byte_symbols()
-        self.finder = regex.compile(split["pattern"]["Regex"])
+        symbols = byte_symbols()
+        #: The id of each byte inside a word, and as its last one; None if there is none.
+        self.inner = [self.vocab.get(c) for c in symbols]
+        self.final = [self.vocab.get(c + self.suffix) for c in symbols]
+        self.finder = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = Words(self._encode_word, KEPT)
-        self.stretches = Words(self._encode_words, KEPT_STRETCHES)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """What is left of a list of symbols when no pair can merge any more."""
-        n, merges = len(symbols), self.merges
-        if n < 2:
-            return symbols
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
+        n, find = len(symbols), self.merges.get
         queue = []
         for k in range(n - 1):
-            found = merges.get(symbols[k] << 32 | symbols[k + 1])
+            found = find(symbols[k] << 32 | symbols[k + 1])
             if found:
                 queue.append((found[0] * POSITIONS + k) if n < POSITIONS else (found[0], k))
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             rank, k = divmod(entry, POSITIONS) if n < POSITIONS else entry
-            if not alive[k]:
-                continue
             right = after[k]
-            if right >= n:
+            # A symbol that has gone into its left neighbour is None.
+            if right >= n or symbols[k] is None:
                 continue
-            found = merges.get(symbols[k] << 32 | symbols[right])
+            found = find(symbols[k] << 32 | symbols[right])
             if not found or found[0] != rank:
                 continue
-            symbols[k] = found[1]
-            alive[right] = False
+            merged = symbols[k] = found[1]
+            symbols[right] = None
             follow = after[k] = after[right]
             if follow < n:
                 before[follow] = k
-                found = merges.get(symbols[k] << 32 | symbols[follow])
+                found = find(merged << 32 | symbols[follow])
                 if found:
-                    heapq.heappush(queue, (found[0] * POSITIONS + k) if n < POSITIONS else (found[0], k))
+                    push(queue, (found[0] * POSITIONS + k) if n < POSITIONS else (found[0], k))
             left = before[k]
             if left >= 0:
-                found = merges.get(symbols[left] << 32 | symbols[k])
+                found = find(symbols[left] << 32 | merged)
                 if found:
-                    heapq.heappush(queue, (found[0] * POSITIONS + left) if n < POSITIONS else (found[0], left))
-        return [s for s, kept in zip(symbols, alive) if kept]
+                    push(queue, (found[0] * POSITIONS + left) if n < POSITIONS else (found[0], left))
+        return [s for s in symbols if s is not None]
 
     def _encode_word(self, word: str) -> bytes:
-        shown = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        shown[-1] += self.suffix
-        return array("I", self.merge([self.vocab[s] for s in shown if s in self.vocab])).tobytes()
-
-    def _normal(self, text: str) -> str:
+        raw = word.encode("utf-8", "surrogatepass")
+        inner = self.inner
+        symbols = [inner[b] for b in raw[:-1]]
+        symbols.append(self.final[raw[-1]])
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
+        return array("I", self.merge(symbols)).tobytes()
+
+    def _words(self, text: str) -> list[str]:
         # White space needs no replacing: it only ends words. Lower case goes by characters,
         # without the rule for a sigma at the end of a word.
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
-
-    def _encode_words(self, stretch: str) -> tuple[bytes, str]:
-        """A stretch without white space: the words in it one by one."""
-        ids = b"".join(map(self.words.__getitem__, self.finder.findall(stretch)))
-        return ids, self.decode(array("I", ids))
-
-    def _pieces(self, text: str) -> list[tuple[bytes, str]]:
-        get = self.stretches.__getitem__
-        # split() also parts at four control characters that are not white space for the file.
-        find = self.finder.findall if SEPARATORS.search(text) else str.split
+        if BEYOND_LATIN.search(text):
+            return self.finder.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return LATIN_WORDS.findall(text.lower())
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        get = self.words.__getitem__
         if self.specials is None or "<" not in text or not self.specials.search(text):
-            return list(map(get, find(self._normal(text))))
+            return b"".join(map(get, self._words(text)))
         out = []
         for part in self.specials.split(text):
             if part in self.special:
-                out.append((array("I", [self.special[part]]).tobytes(), part))
+                out.append(array("I", [self.special[part]]).tobytes())
             else:
-                out += map(get, find(self._normal(part)))
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join([p[0] for p in self._pieces(text)])
+                out += map(get, self._words(part))
+        return b"".join(out)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The vocabulary strings of the ids, one space between them (the file has no decoder);
         ids outside of the vocabulary are left out."""
-        return " ".join([self.text[i] for i in ids if i in self.text])
+        text, n = self.text, len(self.text)
+        return " ".join([text[i] for i in ids if 0 <= i < n and text[i] is not None])
 
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """encode, and decode of its ids from the kept words."""
-        pieces = self._pieces(text)
-        return b"".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces if p[1]])
+    def decode_own(self, ids: bytes) -> str:
+        """decode of what encode gave."""
+        return " ".join(map(self.text.__getitem__, array("I", ids)))
 
 
 _ENCODERS: dict[str, WordBpe] = {}
@@ -216,18 +227,19 @@ def encode_decode(
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                pairs = list(map(bpe.encode_decode, part.column(part.num_columns - 1).to_pylist()))
-                counts = [len(p[0]) // 4 for p in pairs]
+                made_ids = list(map(bpe.encode, part.column(part.num_columns - 1).to_pylist()))
+                texts = map(bpe.decode_own, made_ids)
+                counts = [len(ids) // 4 for ids in made_ids]
                 if digests:
                     made = [
-                        pa.array([sha(p[0]).hexdigest() for p in pairs], pa.string()),
-                        pa.array([sha(p[1].encode("utf-8")).hexdigest() for p in pairs], pa.string()),
+                        pa.array([sha(ids).hexdigest() for ids in made_ids], pa.string()),
+                        pa.array([sha(t.encode("utf-8")).hexdigest() for t in texts], pa.string()),
                     ]
                 else:
-                    flat = pa.array(np.frombuffer(b"".join([p[0] for p in pairs]), np.int32))
+                    flat = pa.array(np.frombuffer(b"".join(made_ids), np.int32))
                     ends = pa.array(np.cumsum([0, *counts]), pa.int32())
-                    made = [pa.ListArray.from_arrays(ends, flat), pa.array([p[1] for p in pairs], pa.string())]
+                    made = [pa.ListArray.from_arrays(ends, flat), pa.array(list(texts), pa.string())]
                 columns = [*part.columns[:-1], pa.array(counts, pa.int64()), *made]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
-    return docs.select(*kept, whole_text(text).alias("_whole")).mapInArrow(run, schema)
+    return docs.select(*kept, whole_text(text).alias(free_name(docs, "whole"))).mapInArrow(run, schema)
