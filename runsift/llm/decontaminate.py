@@ -15,25 +15,35 @@ windows; those and the second hashes; with `verbatim`, only windows without a ch
 need no placeholder and so no test of consistency. Each way is tried at single shifts and with the
 windows of shifts within NEARBY words added up.
 
+There are two passes over the documents. The first one looks only for documents that share a window
+with the benchmark: placeholders are put in by patterns and hashes are compared. The second one
+does the whole work on those documents. The first pass makes every hash of the second, so nothing
+is lost by it.
+
 Only DataFrame functions are used: no Python runs on the executors.
 
 Null texts count as empty. Items and documents with fewer words than a window have no windows and
-never match. Repeated items are items of their own; rows that repeat a doc_id are one document for
-the counts of distinct places. An empty benchmark gives no rows.
+never match. Repeated items are items of their own. In `leaks`, rows that repeat a doc_id, or have
+none, are one document. `decontaminate` judges every row by itself. An empty benchmark gives no
+rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsift.llm.common import sent, whole_text, written
+from runsift.llm.common import free_name, has_plain_key, sent, whole_text, written
 
 WORDS, COVERED, LONGEST = 5, 0.8, 13
 #: Words put in or left out between two parts of a passage.
 NEARBY = 4
-#: Windows of the benchmark that may be sent to all executors; beyond, both sides are shuffled.
-SENT_WINDOWS = 200_000
+#: Windows of the benchmark that may be sent to all executors; beyond, both sides are shuffled, and
+#: a hash that very many documents hold is spread over SALTS tasks.
+SENT_WINDOWS, SALTS = 200_000, 16
 
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml s sec min h hr hour hours day days "
@@ -45,20 +55,27 @@ UNITS = (
 NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
 
 
-def raw_words(text: Column) -> Column:
-    """The words of a text with a mark: a number, a name, or a word in lower case.
+def marked(text: Column) -> Column:
+    """The words of a text, one space between, with a mark: a number, a name, or a word in lower
+    case.
 
     `=` begins a number's word, `^` a name's, `~` that of another word with a capital; `|` joins
     names side by side. Marks and punctuation inside words are removed first. A name starts with a
     capital and follows, in one sentence, a word in lower case."""
-    # A capital behind a lower-case letter or comma and one space: inside a sentence.
-    text = F.regexp_replace(text, r"[\^=~|]", " ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},] )(?=\p{Lu}\p{Ll})", "^")
-    text = F.regexp_replace(text, r"(\^[\p{L}\p{M}]+) (?=\^)", "$1|")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}\p{M}^])(?=\p{Lu}\p{Ll})", "~")
+    # A capital behind a lower-case letter or comma and one space: inside a sentence. Every pattern
+    # begins with what is rare.
+    text = F.translate(text, "^=~|", "    ")
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},] )", "^")
+    text = F.regexp_replace(text, r"(\^[\p{L}\p{M}]++) (?=\^)", "$1|")
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\p{M}^])", "~")
     # The point or comma of a number stays in it.
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{N})", "=")
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"(?<!\p{N})[.,]|[.,](?!\p{N})|[^\p{L}\p{N}\p{M}^=~|.,]+", " ")), " +")
+    text = F.regexp_replace(text, r"(?=\p{N})(?<![\p{L}\p{N}])", "=")
+    junk = r"(?:(?<!\p{N})[.,]|[.,](?!\p{N})|[^\p{L}\p{N}\p{M}^=~|., ])"
+    return F.trim(F.regexp_replace(F.lower(text), f" *+(?:{junk} *+)++|  ++", " "))
+
+
+def raw_words(text: Column) -> Column:
+    return F.split(marked(text), " ")
 
 
 def templates(rows: DataFrame, text: str) -> DataFrame:
@@ -120,6 +137,44 @@ def windows(rows: DataFrame, key: str, place: str, slots: str, words: int) -> Da
     )
 
 
+def touched(docs: DataFrame, hashes: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """The keys of documents with a window whose hash is among `hashes` (each once): with its
+    possible names as plain words or as names."""
+    units = f"(=(?<=(?: |^)=)[^ ]*+) ~?(?:{'|'.join(UNITS)})(?= |$)"
+
+    def replaced(mark: str, pattern: str, by: str) -> Column:
+        return F.when(F.contains("_t", F.lit(mark)), F.regexp_replace("_t", pattern, by)).otherwise(F.col("_t"))
+
+    n = F.size("_w") - words + 1
+    names = [f"w{k}" for k in range(words)]
+    # Places are exploded, and words are looked up in the array: behind it everything is compiled.
+    # A filter on the number of words would have the text split twice.
+    rows = (
+        docs.select(F.col(key).alias("doc"), marked(whole_text(text)).alias("_t"))
+        .withColumn("_t", replaced("=", units, f"$1 {UNIT}"))
+        .withColumn("_t", replaced("=", r"=(?<=(?: |^)=)[^ ]*+", NUMBER))
+        .withColumn("_t", replaced("^", r"\^(?<=(?: |^)\^)[^ ]*+", NAME))
+        .select("doc", F.split("_t", " ").alias("_w"))
+        .select("doc", "_w", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("_i"))
+        .select("doc", *[F.get("_w", F.col("_i") + k).alias(c) for k, c in enumerate(names)])
+    )
+    maybe = [F.col(c).startswith("~") for c in names]
+    plain = F.xxhash64(*[F.when(m, F.substring(c, 2, 1 << 30)).otherwise(F.col(c)) for c, m in zip(names, maybe)])
+    named = F.xxhash64(*[F.when(m, NAME).otherwise(F.col(c)) for c, m in zip(names, maybe)])
+    rows = rows.select("doc", plain.alias("plain"), F.when(reduce(or_, maybe), named).alias("named"))
+    if hashes.count() <= SENT_WINDOWS:
+        one, two = (F.broadcast(hashes.select(F.col("hash").alias(c))) for c in ("_one", "_two"))
+        found = (
+            rows.join(one, F.col("plain") == F.col("_one"), "left").join(two, F.col("named") == F.col("_two"), "left")
+            .where("_one is not null or _two is not null")
+        )
+    else:
+        salts = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = rows.select("doc", F.explode(F.array_compact(F.array("plain", "named"))).alias("hash"))
+        found = each.withColumn("salt", F.pmod(F.hash("doc", "hash"), F.lit(SALTS))).join(salts, ["hash", "salt"], "left_semi")
+    return written(found.select("doc").distinct(), "leaks-touched")
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -129,7 +184,7 @@ def leaks(
     words: int = WORDS,
     covered: float = COVERED,
     longest: int = LONGEST,
-    verbatim: bool = False,
+    verbatim: bool = True,
 ) -> DataFrame:
     """One row for each leaked item of a document: key, item, n_windows (of the item in the
     document at the best shift), item_windows, longest_words, n_slots (places with a placeholder
@@ -140,7 +195,10 @@ def leaks(
     item_rows = written(item_rows.where("item is not null"), "leaks-items")
     count = item_rows.count()
     sizes = item_rows.where("not named").groupBy("item").agg(F.count("*").alias("item_windows"))
-    texts = templates(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text").select("doc", "raw", "words", "maybe")
+    near = touched(docs, written(item_rows.select("hash").distinct(), "leaks-hashes"), key, text, words)
+    near = sent(near).withColumnRenamed("doc", "_near")
+    some = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(near, F.col("doc").eqNullSafe(F.col("_near")), "left_semi")
+    texts = templates(some, "text").select("doc", "raw", "words", "maybe")
     doc_rows = windows(texts, "doc", "place", "have", words)
     item_side = item_rows.withColumnRenamed("named", "item_named")
     side = F.broadcast(item_side) if count <= SENT_WINDOWS else item_side
@@ -224,6 +282,12 @@ def leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a leaked item. Documents with a null key stay."""
-    dirty = leaks(docs, benchmark, key, **options).select(F.col(key).alias("_dirty")).distinct()
-    return docs.join(sent(written(dirty, "leaks-dirty")), F.col(key) == F.col("_dirty"), "left_anti")
+    """docs without those that hold a leaked item. Every row is judged by itself: where the key is
+    null or repeats, rows are numbered first."""
+    columns = docs.columns
+    if not has_plain_key(docs, key):
+        key = free_name(docs, "row")
+        docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "leaks-rows")
+    gone = free_name(docs, "gone")
+    dirty = leaks(docs, benchmark, key, **options).select(F.col(key).alias(gone)).distinct()
+    return docs.join(sent(written(dirty, "leaks-dirty")), F.col(key) == F.col(gone), "left_anti").select(*columns)
