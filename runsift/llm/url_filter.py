@@ -7,6 +7,10 @@ that reaches a host without links ends there. Seeds are the hosts of which rules
 more than half of the pages, weighted by their pages. A host is blocked if its distrust exceeds its
 trust.
 
+Steps go on until one moves less than `enough` of the mass in all. A step moves at most `damping` of
+what the one before moved, so that many steps always do: the number is no cap. What is smaller than
+`enough` of all trust is not followed further.
+
 Null urls and urls without `://` have an empty host and path and no rule; without a host there is
 no score, so they are allowed. Null html has no links. Repeated pages count as often as they occur.
 Links to hosts without pages are edges as well.
@@ -14,6 +18,7 @@ Links to hosts without pages are edges as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,9 +80,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, enough: float) -> DataFrame:
-    """(host, trust, distrust) after at most `rounds` steps, or as soon as a step moves less than
-    `enough` in all. `seeds`: host, trust, distrust, each column summing to 1 or 0."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, enough: float) -> DataFrame:
+    """(host, trust, distrust) after `rounds` steps or, if that is None, as soon as a step moves
+    less than `enough` in all. `seeds`: host, trust, distrust, each column summing to 1 or 0."""
     forward = edges.join(edges.groupBy("a").agg(F.sum("n").alias("all")), "a").select(
         F.col("a").alias("host"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("down"), F.lit(0.0).alias("up")
     )
@@ -89,7 +94,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, e
     )
     start = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     state = written(seeds, "hosts-state")
-    for _ in range(rounds):
+    # The first step moves at most 2, each further one at most `damping` times the last.
+    sure = math.ceil(math.log(enough / 4) / math.log(damping)) + 1 if rounds is None else rounds
+    for _ in range(sure):
         moved = state.join(steps, "host").select(
             F.col("to").alias("host"), (F.col("trust") * F.col("down") * damping).alias("trust"), (F.col("distrust") * F.col("up") * damping).alias("distrust")
         )
@@ -104,6 +111,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, e
         state = after.drop("change")
         if change < enough:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"still {change} moves after {sure} steps")
     return state
 
 
@@ -111,8 +121,8 @@ def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
     damping: float = 0.85,
-    rounds: int = 20,
-    enough: float = 1e-6,
+    rounds: int | None = None,
+    enough: float = 1e-9,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, host_verdict (what the links alone say of the host)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from runsift.llm import decontaminate, sharding, simhash, toxicity, url_filter
@@ -77,8 +78,8 @@ def test_templates_and_slots(spark):
     docs = [
         ITEM,
         "Listen, friend. " + ITEM.replace("60", "90").replace("Paris", "Bonn").replace("Lyon", "Ulm").replace("km", "miles") + " So he said.",
-        ITEM.replace("to Lyon,", "to Ulm,"),  # one value of the item, two of the document
-        ITEM.replace("Paris", "Lyon"),  # two values of the item, one of the document
+        ITEM.replace("to Lyon in 2", "to Ulm in 5"),  # one value of the item, two of the document
+        ITEM.replace("Paris", "Lyon").replace("2", "5"),  # two values of the item, one of the document
         prose(random.Random(3), 300),
         None,
         "",
@@ -204,6 +205,22 @@ def test_propagation_follows_links(spark):
     assert all(abs(found[h][i] - want[h][i]) < 1e-12 for h in want for i in (0, 1))
 
 
+def test_trust_goes_along_a_long_chain(spark):
+    n = 50
+    pages = [(0, "http://bad.net/es/", "")] + [(k, f"http://h{k}.org/", f"<a href='http://{'bad.net' if k == 1 else f'h{k - 1}.org'}/'>") for k in range(1, n + 1)]
+    pages += [(100, "http://h7.org/x", None), (100, "http://h7.org/y", ""), (None, "http://h50.org/z", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = url_filter.judge(df).collect()
+    assert len(rows) == len(pages) and {r.verdict for r in rows} == {"block"}
+
+
+def test_a_bound_on_steps_is_no_cap(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "a string, b string, n bigint")
+    s = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    found = {r.host: r.trust for r in url_filter.propagate(e, s, 0.5, None, 1e-9).collect()}
+    assert abs(found["a"] - 2 / 3) < 1e-8 and abs(found["b"] - 1 / 3) < 1e-8
+
+
 def test_links_decide_where_no_rule_fits(spark):
     pages = [
         (1, "http://bad.net/es/", "<a href='http://x.org'>"),
@@ -239,3 +256,17 @@ def test_pipeline_decisions(spark, tmp_path):
     assert n + 1 not in out and n + 5 not in out and n + 6 not in out and n + 4 in out
     assert "jo@" not in "".join(r.text or "" for r in out.values())
     assert all(r.n_tokens == len(r.ids) for r in out.values())
+
+
+@pytest.mark.parametrize("rows", [[], [(None, ITEM), (None, None), (None, ""), (7, ITEM), (7, "a mail to jo@host.example " * 3000), (8, "x")]])
+def test_pipeline_takes_odd_tables(spark, tmp_path, rows):
+    names = "_whole string, _row bigint, _gone string, _dirty int, _first int"
+    docs = [(k, t, "en", "s", len(t or ""), "w", 1, "g", 2, 3) for k, t in rows]
+    spark.createDataFrame(docs, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {names}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(8, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, ITEM)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of the two that are empty one stays; both that hold the item go, whatever their keys.
+    assert sorted((r.doc_id is None, r.doc_id, len(r.text or "") > 9) for r in out) == ([] if not rows else [(False, 7, True), (False, 8, False), (True, None, False)])
+    assert all((r._whole, r._row, r._gone, r._dirty, r._first) == ("w", 1, "g", 2, 3) for r in out)
+    assert "jo@" not in "".join(r.text or "" for r in out)
