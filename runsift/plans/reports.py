@@ -122,6 +122,85 @@ def summary_json(summary: DataFrame) -> DataFrame:
     return summary.select(EXEC, F.to_json(record).alias("json"))
 
 
+#: Places of the parts of a JSON record: what stands before the listed events of the summary, behind
+#: them, and behind the list of events.
+_CLOSING, _LIST, _REST = 1 << 40, (1 << 40) + 1, 1 << 62
+
+
+def record_json_parts(summary: DataFrame, events: DataFrame, rows_per_part: int = 1 << 12) -> DataFrame:
+    """The full record as JSON text in parts: (exec_id, part_no, json), whose concatenation in order
+    of part_no is one object with all events, in the field order of `summary_json`. Events are
+    listed as they are and, for type checks and version control, inside the summary text as well,
+    before its root cause. No part holds more than `rows_per_part` line numbers of events.
+
+    `summary` is what `execution_summary` gives and should be stored; `events` is what
+    `all_tool_events` gives."""
+    quoted = lambda c: F.substring(_json_text(c), F.lit(2), F.length(_json_text(c)) - 2)
+    cause = F.concat(F.lit("\n\nRoot cause:\n"), F.col("error_intel.root_cause"))
+    listing = F.col("separator").isNotNull()
+    closing = F.when(listing & F.col("error_intel").isNotNull(), cause)
+    head = F.when(closing.isNotNull(), F.expr("substring(summary, 1, length(summary) - length(_closing))")).otherwise(F.col("summary"))
+    rows = summary.withColumn("_closing", closing)
+    start = F.concat(
+        F.lit('{"execution_id":'), _json_text(F.col(EXEC).cast("string")),
+        *[F.concat(F.lit(f',"{name}":'), _json_text(F.col(name))) for name in ("tool", "command", "status")],
+        F.lit(',"summary":"'), quoted(head),
+    )
+    rest = F.to_json(
+        F.struct(
+            metrics().alias("metrics"),
+            error_intel().alias("error_intel"),
+            _unless_empty(F.col("suggestions")).alias("suggestions"),
+            "artifact_path",
+            "raw_log_path",
+            F.nullif("compressed_context", F.lit("")).alias("compressed_context"),
+            "timestamp",
+        )
+    )
+    frame = rows.select(
+        EXEC,
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).cast("bigint").alias("part_no"), start.alias("json")),
+                F.struct(F.lit(_CLOSING).alias("part_no"), F.concat(F.coalesce(quoted(F.col("_closing")), F.lit("")), F.lit('"')).alias("json")),
+                F.struct(
+                    F.lit(_REST).alias("part_no"),
+                    F.concat(F.when(F.col("event_count") > 0, F.lit("],")).otherwise(F.lit(",")), F.substring(rest, F.lit(2), F.length(rest))).alias("json"),
+                ),
+            )
+        ).alias("_p"),
+    ).select(EXEC, "_p.part_no", "_p.json")
+
+    # Events by ranges of line numbers; which range is the first follows from the numbers alone.
+    numbered = events.withColumn("_part", F.call_function("div", F.col("line_no"), F.lit(rows_per_part)))
+    firsts = numbered.groupBy(EXEC).agg(F.min("_part").alias("_first"))
+    keys = (
+        numbered.select(EXEC, "_part").distinct().join(firsts, EXEC).join(summary.select(EXEC, "separator"), EXEC)
+    )
+    pieces = numbered.groupBy(EXEC, "_part").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "step", "event"))).getField("event").alias("_events")
+    ).join(keys, [EXEC, "_part"])
+    is_first = F.col("_part") == F.col("_first")
+    listed = F.to_json("_events")
+    in_list = F.concat(
+        F.when(is_first, F.lit(',"important_events":[')).otherwise(F.lit(",")), F.substring(listed, F.lit(2), F.length(listed) - 2)
+    )
+    joined = F.concat(F.when(is_first, F.lit("")).otherwise(F.col("separator")), F.expr("array_join(_events, separator)"))
+    body = pieces.select(
+        EXEC,
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct((F.col("_part") + F.lit(_LIST)).alias("part_no"), in_list.alias("json")),
+                    F.when(F.col("separator").isNotNull(), F.struct((F.col("_part") + 1).alias("part_no"), quoted(joined).alias("json"))),
+                ),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("_p"),
+    ).select(EXEC, F.col("_p.part_no").cast("bigint").alias("part_no"), "_p.json")
+    return frame.unionByName(body)
+
+
 def engine_counters(executions: DataFrame) -> DataFrame:
     """Totals; a failure here is a non-zero exit code only."""
     return executions.agg(

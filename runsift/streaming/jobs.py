@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from runsift.operators.blocks import EXEC, LINE_NO
+from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of
 from runsift.operators.clean import is_progress, normalize
 from runsift.sources.history import FIELDS
+from runsift.session import as_table
 from runsift.sources.sinks import append_history
-from runsift.streaming.stateful import DedupeLines, Heartbeat, RunLifecycle
+from runsift.streaming.stateful import DedupeLines, Heartbeat, HoldLines, RunLifecycle
 
 DEFAULT_TIMEOUT_SECONDS = 600
 HEARTBEAT_SECONDS = 5
@@ -51,25 +52,23 @@ def clean_stream(lines: DataFrame, keep_seconds: int | None = None) -> DataFrame
     return deduped.filter(~is_progress(F.col("line")))
 
 
-def closings(
-    events: DataFrame,
-    timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS,
-    delay: str = "0 seconds",
-) -> DataFrame:
-    """Ends of executions from events (exec_id, ts, exit_code; exit_code null on log lines).
-    Only three narrow columns go through the state."""
-    closed = (
-        events.select(EXEC, "ts", F.unix_micros("ts").alias("at"), "exit_code")
+def _closings(events: DataFrame, timeout_seconds: int, delay: str) -> DataFrame:
+    number = F.col(LINE_NO) if LINE_NO in events.columns else F.lit(None).cast("bigint").alias(LINE_NO)
+    return (
+        events.select(EXEC, "ts", F.unix_micros("ts").alias("at"), "exit_code", number)
         .withWatermark("ts", delay)
         .groupBy(EXEC)
         .transformWithStateInPandas(
             RunLifecycle(timeout_seconds * 1_000_000),
             f"{EXEC} {_key_type(events)}, start_us bigint, end_us bigint, "
-            "exit_code int, timed_out boolean",
+            "exit_code int, timed_out boolean, last_no bigint",
             "Append",
             "EventTime",
         )
     )
+
+
+def _times(closed: DataFrame) -> DataFrame:
     return closed.select(
         EXEC,
         F.timestamp_micros("start_us").alias("start_ts"),
@@ -79,6 +78,55 @@ def closings(
     )
 
 
+def closings(
+    events: DataFrame,
+    timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS,
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """Ends of executions from events (exec_id, ts, exit_code; exit_code null on log lines).
+    Only narrow columns go through the state."""
+    return _times(_closings(events, timeout_seconds, delay))
+
+
+def closed_logs(
+    events: DataFrame,
+    timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS,
+    delay: str = "0 seconds",
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Closings together with the lines of exactly the executions that close, from one stream of
+    events (exec_id, line_no, line, ts, exit_code; exit events have no line).
+
+    Lines wait in keyed state, by execution and block of line numbers, so that a long execution is
+    spread; a closing goes to every block of its execution, and each gives its lines out. Nothing
+    that has landed is read again. A closing is the row without a line number."""
+    kind = _key_type(events)
+    block = block_of(F.col(LINE_NO), block_rows).alias(BLOCK)
+    empty = {c: F.lit(None).cast(t) for c, t in (("start_us", "bigint"), ("end_us", "bigint"), ("exit_code", "int"), ("timed_out", "boolean"))}
+    lines = events.filter(F.col(LINE_NO).isNotNull()).select(
+        EXEC, block, LINE_NO, "line", F.unix_micros("ts").alias("at"), *[v.alias(c) for c, v in empty.items()]
+    )
+    last = block_of(F.greatest(F.col("last_no"), F.lit(0).cast("bigint")), block_rows)
+    ends = _closings(events, timeout_seconds, delay).select(
+        EXEC,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(BLOCK),
+        F.lit(None).cast("bigint").alias(LINE_NO),
+        F.lit(None).cast("string").alias("line"),
+        F.lit(None).cast("bigint").alias("at"),
+        *empty,
+    )
+    return (
+        lines.unionByName(ends)
+        .groupBy(EXEC, BLOCK)
+        .transformWithStateInPandas(
+            HoldLines(),
+            f"{EXEC} {kind}, {LINE_NO} bigint, line string, start_us bigint, end_us bigint, exit_code int, timed_out boolean",
+            "Append",
+            "None",
+        )
+    )
+
+
 def heartbeats(
     lines: DataFrame, every_seconds: int = HEARTBEAT_SECONDS, keep_seconds: int | None = None
 ) -> DataFrame:
@@ -106,25 +154,23 @@ def counters(closed: DataFrame) -> DataFrame:
 
 
 def summary_writer(
-    closed: DataFrame,
-    summarize: Callable[[DataFrame], DataFrame],
+    logs: DataFrame,
+    summarize: Callable[[DataFrame, DataFrame], DataFrame],
     path: str,
 ) -> DataStreamWriter:
-    """Write one summary per closed execution. `summarize` is the batch plan: it gets the
-    closings of a micro-batch and reads the logs of exactly these executions. A replayed
-    micro-batch overwrites its own folder."""
+    """Write one summary per closed execution of `closed_logs`. `summarize` is the batch plan: it
+    gets the closings of a micro-batch and their lines. A replayed micro-batch overwrites its own
+    folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # The plan reads the closings several times; the state must run once.
-        closings_once = batch.persist()
-        try:
-            if not closings_once.isEmpty():
-                summary = summarize(closings_once)
-                summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            closings_once.unpersist()
-
-    return closed.writeStream.foreachBatch(write).outputMode("append")
+        # The plan reads closings and lines several times; the state must run once.
+        once = as_table(batch, "closed")
+        ends = _times(once.filter(F.col(LINE_NO).isNull()))
+        if not ends.isEmpty():
+            summary = summarize(ends, once.filter(F.col(LINE_NO).isNotNull()).select(EXEC, LINE_NO, "line"))
+            summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return logs.writeStream.foreachBatch(write).outputMode("append")
 
 
 def history_writer(summaries: DataFrame, path: str, source: str) -> DataStreamWriter:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -56,9 +57,9 @@ class RunLifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "start_us bigint, closed boolean")
+        self.run = handle.getValueState("run", "start_us bigint, closed boolean, last_no bigint")
 
-    def _closing(self, key, start_us: int, end_us: int, exit_code: int, timed_out: bool):
+    def _closing(self, key, start_us: int, end_us: int, exit_code: int, timed_out: bool, last_no: int):
         return pd.DataFrame(
             {
                 "exec_id": [key[0]],
@@ -66,6 +67,7 @@ class RunLifecycle(StatefulProcessor):
                 "end_us": [end_us],
                 "exit_code": pd.array([exit_code], dtype="Int32"),
                 "timed_out": [timed_out],
+                "last_no": [last_no],
             }
         )
 
@@ -74,41 +76,112 @@ class RunLifecycle(StatefulProcessor):
         self.handle.registerTimer(-(-at_us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        first, exit_at, exit_code = None, None, None
+        first, exit_at, exit_code, last_no = None, None, None, -1
         for chunk in rows:
             low = int(chunk["at"].min())
             first = low if first is None else min(first, low)
+            if chunk["line_no"].notna().any():
+                last_no = max(last_no, int(chunk["line_no"].max()))
             exits = chunk[chunk["exit_code"].notna()]
             if len(exits):
                 row = exits.loc[exits["at"].idxmin()]
                 if exit_at is None or row["at"] < exit_at:
                     exit_at, exit_code = int(row["at"]), int(row["exit_code"])
         if self.run.exists():
-            start_us, closed = self.run.get()
+            start_us, closed, before = self.run.get()
         else:
-            start_us, closed = first, False
+            start_us, closed, before = first, False, -1
             self._timer(start_us + self.timeout_us)
-            self.run.update((start_us, closed))
+        last_no = max(last_no, before)
+        self.run.update((start_us, closed, last_no))
         if closed or exit_at is None:
             return
         # The open timer stays: it clears the state of a closed run.
-        self.run.update((start_us, True))
+        self.run.update((start_us, True, last_no))
         limit = start_us + self.timeout_us
         overdue = exit_at > limit
         yield self._closing(
-            key, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue
+            key, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue, last_no
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        start_us, closed = self.run.get()
+        start_us, closed, last_no = self.run.get()
         if closed:
             self.run.clear()
             return
         # Keep the closed mark for one more timeout, so that stragglers do not reopen the run.
-        self.run.update((start_us, True))
+        self.run.update((start_us, True, last_no))
         end_us = start_us + self.timeout_us
         self._timer(end_us + self.timeout_us)
-        yield self._closing(key, start_us, end_us, self.TIMED_OUT, True)
+        yield self._closing(key, start_us, end_us, self.TIMED_OUT, True, last_no)
+
+    def close(self) -> None:
+        pass
+
+
+class HoldLines(StatefulProcessor):
+    """Lines of one block of an execution, held until its closing comes; then they leave with it.
+
+    A micro-batch adds one value, its lines as compressed Arrow data. A closed block lets nothing
+    more in: what comes behind the closing is left out."""
+
+    FIELDS = ("line_no", "line", "at")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "lines binary")
+        self.closed = handle.getValueState("closed", "closed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        fresh, closing = [], None
+        for chunk in rows:
+            ends = chunk["end_us"].notna()
+            if ends.any():
+                closing = chunk[ends].iloc[:1]
+            if not ends.all():
+                fresh.append(chunk.loc[~ends, list(self.FIELDS)])
+        if self.closed.exists():
+            return
+        if fresh:
+            lines = pa.Table.from_pandas(pd.concat(fresh, ignore_index=True).astype({"line_no": "int64"}), preserve_index=False)
+            if closing is None:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, lines.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(lines)
+                self.held.appendValue((out.getvalue().to_pybytes(),))
+                return
+        elif closing is None:
+            return
+        end = closing.iloc[0]
+        if key[1] == 0:
+            yield self._out(key, closing)
+        for (data,) in self.held.get():
+            with pa.ipc.open_stream(data) as reader:
+                yield self._lines(key, reader.read_all(), end)
+        if fresh:
+            yield self._lines(key, lines, end)
+        self.held.clear()
+        self.closed.update((True,))
+
+    def _lines(self, key, table: pa.Table, end) -> pd.DataFrame:
+        # Lines that came after the end of a run that was timed out are not part of it.
+        lines = table.to_pandas()
+        return self._out(key, lines[lines["at"] <= end["end_us"]])
+
+    @staticmethod
+    def _out(key, rows: pd.DataFrame) -> pd.DataFrame:
+        numbers = ("line_no", "start_us", "end_us", "exit_code")
+        given = {c: (rows[c] if c in rows else pd.Series([None] * len(rows), index=rows.index)) for c in (*numbers, "line", "timed_out")}
+        return pd.DataFrame(
+            {
+                "exec_id": pd.Series([key[0]] * len(rows), index=rows.index),
+                "line_no": given["line_no"].astype("Int64"),
+                "line": given["line"],
+                "start_us": given["start_us"].astype("Int64"),
+                "end_us": given["end_us"].astype("Int64"),
+                "exit_code": given["exit_code"].astype("Int32"),
+                "timed_out": given["timed_out"].astype("boolean"),
+            }
+        )
 
     def close(self) -> None:
         pass

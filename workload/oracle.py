@@ -753,10 +753,10 @@ def causes() -> list[str]:
     ]
 
 
-def intel() -> list[str]:
+def intel(changed: str = CHANGED) -> list[str]:
     return [
         *causes(),
-        CHANGED,
+        changed,
         """correlated AS (SELECT exec_id, list(path ORDER BY path) AS paths FROM (
     SELECT DISTINCT b.exec_id, c.path FROM best b JOIN changed c USING (exec_id)
     JOIN reduced r ON r.exec_id = b.exec_id AND r.idx BETWEEN b.idx - 5 AND b.idx + 4
@@ -815,18 +815,41 @@ USAGE = """usage AS (SELECT user_id AS exec_id,
   FROM events GROUP BY user_id)"""
 
 
-def records() -> list[str]:
+#: Executions as a stream ends them: after 29 days at the latest, with -1 as exit code.
+STREAMED = [
+    TPL,
+    EVENT_LINES,
+    """spans AS (SELECT user_id AS exec_id, min(ts) AS s, max(ts) AS e, max(ts) > min(ts) + INTERVAL 29 DAY AS over
+  FROM events GROUP BY user_id)""",
+    """log_lines AS (SELECT exec_id, line_no, line FROM (
+    SELECT l.exec_id, row_number() OVER (PARTITION BY l.exec_id ORDER BY event_id) - 1 AS line_no, line, ts
+    FROM event_lines l JOIN events e USING (event_id)) JOIN spans USING (exec_id)
+  WHERE ts <= CASE WHEN over THEN s + INTERVAL 29 DAY ELSE e END)""",
+    CMD,
+    EXECUTIONS.replace("executions AS (", "all_runs AS (", 1),
+    """executions AS (SELECT a.exec_id, command_line, tokens, CASE WHEN over THEN -1 ELSE exit_code END AS exit_code,
+    start_ts, end_ts FROM all_runs a JOIN spans USING (exec_id))""",
+]
+
+
+def records(source: list[str] | None = None, changed: str = CHANGED) -> list[str]:
     return [
-        *LOGS,
-        *EXECS,
+        *(source or [*LOGS, *EXECS]),
         *clean(),
         *reduced(),
         *tools(),
         *summaries(),
-        *intel(),
+        *intel(changed),
         *suggestions(),
         KEY_EVENTS,
         USAGE,
+        *assembled(),
+    ]
+
+
+def assembled() -> list[str]:
+    """Records from `summaries`, `executions`, `intel`, `suggested`, `key_events` and `usage`."""
+    return [
         """key_lists AS (SELECT exec_id, string_agg('- ' || line, chr(10) ORDER BY idx) AS key_text
   FROM key_events GROUP BY exec_id)""",
         """bytes AS (SELECT exec_id, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS original_bytes
@@ -838,7 +861,8 @@ def records() -> list[str]:
     summary || CASE WHEN failing AND root_cause IS NOT NULL THEN chr(10) || chr(10) || 'Root cause:' ||
       chr(10) || root_cause ELSE '' END AS summary, event_count, tests_passed, tests_failed, warnings, errors,
     test_files, modules_compiled, bundle_size, artifact_size, wall AS duration_seconds,
-    max_ram_mb, avg_cpu_percent, coalesce(original_bytes, 0) AS original_bytes,
+    coalesce(max_ram_mb, 0) AS max_ram_mb, coalesce(avg_cpu_percent, 0) AS avg_cpu_percent,
+    coalesce(original_bytes, 0) AS original_bytes,
     CASE WHEN failing THEN coalesce(root_cause, '') ELSE '' END AS root_cause,
     CASE WHEN failing THEN coalesce(error_type, '') ELSE '' END AS error_type,
     CASE WHEN failing THEN coalesce(context, '') ELSE '' END AS context,
@@ -964,6 +988,26 @@ def oracle_sql() -> dict[str, str]:
             f"FROM {source}) WHERE line <> '')"
         )
 
+    tool_events_sql = (
+            "\nUNION ALL ".join(
+                f"""SELECT exec_id, line_no, step, ev AS event FROM (
+  SELECT *, row_number() OVER (PARTITION BY exec_id ORDER BY line_no, step) AS rn FROM (
+    SELECT exec_id, line_no, 1::BIGINT AS step, ev1 AS ev, {r.get("cap", "NULL")} AS lim FROM e{n}
+    UNION ALL SELECT exec_id, line_no, 2, ev2, {r.get("cap2", "NULL")} FROM e{n})
+  WHERE ev IS NOT NULL) WHERE lim IS NULL OR rn <= lim"""
+                for n, r in enumerate(FOLDS.values())
+            )
+            + """
+UNION ALL SELECT exec_id, i - 1 AS line_no, 0, evs[i] FROM (
+  SELECT exec_id, evs, unnest(range(1, len(evs) + 1)) AS i FROM unknown_tool WHERE evs IS NOT NULL)"""
+    )
+    json_numbers = ", ".join(
+        f"round({n}::DOUBLE, 6) AS {n}"
+        for n in (
+            "tests_passed", "tests_failed", "warnings", "errors", "duration_seconds", "max_ram_mb", "avg_cpu_percent",
+            "test_files", "modules_compiled", "original_bytes", "compressed_bytes", "savings_percentage",
+        )
+    )
     sql = {
         "split_log_blob": with_([DOC_LINES], "SELECT exec_id, line_no, line FROM doc_lines"),
         "read_log_dir": with_(
@@ -1058,17 +1102,7 @@ FROM tokens""",
         ),
         "tool_events": with_(
             [*detected, *rle(), *truncate(), *tools(), *summaries()],
-            "\nUNION ALL ".join(
-                f"""SELECT exec_id, line_no, step, ev AS event FROM (
-  SELECT *, row_number() OVER (PARTITION BY exec_id ORDER BY line_no, step) AS rn FROM (
-    SELECT exec_id, line_no, 1::BIGINT AS step, ev1 AS ev, {r.get("cap", "NULL")} AS lim FROM e{n}
-    UNION ALL SELECT exec_id, line_no, 2, ev2, {r.get("cap2", "NULL")} FROM e{n})
-  WHERE ev IS NOT NULL) WHERE lim IS NULL OR rn <= lim"""
-                for n, r in enumerate(FOLDS.values())
-            )
-            + """
-UNION ALL SELECT exec_id, i - 1 AS line_no, 0, evs[i] FROM (
-  SELECT exec_id, evs, unnest(range(1, len(evs) + 1)) AS i FROM unknown_tool WHERE evs IS NOT NULL)""",
+            tool_events_sql,
         ),
         "summary_parts": with_(
             [
@@ -1130,11 +1164,15 @@ FROM ends JOIN j1 USING (exec_id) WHERE root_cause <> ''""",
                 *pasted_records(),
                 *reduced(),
                 *summaries(),
-                *causes(),
+                *intel("changed AS (SELECT '' AS exec_id, '' AS path WHERE false)"),
+                *suggestions(),
+                KEY_EVENTS,
+                "usage AS (SELECT '' AS exec_id, 0::DOUBLE AS max_ram_mb, 0::DOUBLE AS avg_cpu_percent WHERE false)",
+                """executions AS (SELECT exec_id, ['analyze'] AS tokens, 0 AS exit_code, TIMESTAMP '1970-01-01' AS start_ts,
+    TIMESTAMP '1970-01-01' AS end_ts FROM pasted)""",
+                *assembled(),
             ],
-            """SELECT s.exec_id, s.tool, s.status, s.summary || CASE WHEN s.status = 'failure' AND b.cause IS NOT NULL
-  THEN chr(10) || chr(10) || 'Root cause:' || chr(10) || b.cause ELSE '' END AS summary, s.errors, s.warnings
-FROM summaries s LEFT JOIN best b USING (exec_id)""",
+            "SELECT * FROM final",
         ),
         "match_error_patterns": with_(
             [*on_reduced, *causes()],
@@ -1185,6 +1223,33 @@ FROM clean GROUP BY exec_id""",
   round(duration_seconds, 6) AS duration_seconds, round(max_ram_mb, 6) AS max_ram_mb,
   round(avg_cpu_percent, 6) AS avg_cpu_percent, test_files, modules_compiled, bundle_size, artifact_size,
   original_bytes, compressed_bytes, savings_percentage FROM final""",
+        ),
+        "agent_json": with_(
+            final,
+            f"""SELECT exec_id, error_type, root_cause, compressed_context, artifact_size, bundle_size,
+  raw_log_path AS raw_log_fallback, context, correlated_changes, {json_numbers} FROM final""",
+        ),
+        "summary_json": with_(
+            final,
+            f"""SELECT exec_id, tool, command, status, summary, exec_id::VARCHAR AS execution_id, error_type, root_cause,
+  artifact_path, raw_log_path, compressed_context, bundle_size, artifact_size, context, correlated_changes, suggestions,
+  {json_numbers}, event_count::DOUBLE AS event_count FROM final""",
+        ),
+        "record_json": with_(
+            [
+                *final,
+                f"all_events AS ({tool_events_sql})",
+                f"texts AS ({summary_parts_sql()})",
+                """listed AS (SELECT exec_id, string_agg(event, chr(10) ORDER BY line_no, step) AS important_events
+  FROM all_events GROUP BY exec_id)""",
+                "spelled AS (SELECT exec_id, string_agg(text, '' ORDER BY part_no) AS text FROM texts GROUP BY exec_id)",
+            ],
+            f"""SELECT f.exec_id, tool, command, status,
+  CASE WHEN text IS NULL THEN summary ELSE text || CASE WHEN root_cause <> '' THEN chr(10) || chr(10) || 'Root cause:' ||
+    chr(10) || root_cause ELSE '' END END AS summary,
+  f.exec_id::VARCHAR AS execution_id, error_type, root_cause, artifact_path, raw_log_path, compressed_context, bundle_size,
+  artifact_size, context, correlated_changes, suggestions, coalesce(important_events, '') AS important_events, {json_numbers}
+FROM final f LEFT JOIN listed USING (exec_id) LEFT JOIN spelled USING (exec_id)""",
         ),
         "engine_counters": with_(
             EXECS,
@@ -1244,6 +1309,10 @@ SELECT host, """
         "stream_clean": with_(
             cleaned, "SELECT exec_id, line_no, line, false AS late FROM clean"
         ),
+        "stream_summaries": with_(
+            records(STREAMED, "changed AS (SELECT 0::BIGINT AS exec_id, '' AS path WHERE false)"),
+            "SELECT exec_id::VARCHAR AS execution_id, command, status, summary FROM final",
+        ),
         "stream_heartbeat": """WITH RECURSIVE t AS (
   SELECT user_id AS exec_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events),
@@ -1261,7 +1330,19 @@ FROM executions""",
         ),
         "stream_history": with_(HIST, "SELECT execution_id, command, status, summary FROM history"),
     }
-    return sql
+    same = {
+        "clean_lines_blocks": "clean_lines",
+        "rle_lines_blocks": "rle_lines",
+        "group_pass_fail_blocks": "group_pass_fail",
+        "execution_summary_blocks": "execution_summary",
+        "tool_events_blocks": "tool_events",
+        "suggest_fixes_by_table": "suggest_fixes",
+        "history_index": "history_search",
+    }
+    sql["compress_lines_blocks"] = with_(
+        [DOC_LINES, *clean("doc_lines"), *rle(), *truncate()], "SELECT exec_id, idx, line FROM trunc"
+    )
+    return sql | {name: sql[plain] for name, plain in same.items()}
 
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runsift.functions.text import sanitize_utf8, trim
 from runsift.operators import clean, detect, digest, explain, folds, history, inventory, reduce
 from runsift.operators import rootcause, suggest, summarize
+from runsift.operators.blocks import into_blocks
 from runsift.operators.families import BUILT_IN, SHIPPED, extended_families
 from runsift.operators.state import log_state
 from runsift.plans import executions as plans
@@ -289,7 +290,10 @@ def _summary(spark, sf, **options) -> DataFrame:
 
 
 def execution_summary(spark, sf):
-    df = _summary(spark, sf)
+    return _record_columns(_summary(spark, sf))
+
+
+def _record_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "exec_id",
         "tool",
@@ -319,9 +323,7 @@ def execution_summary(spark, sf):
 
 
 def analyze_logs_full(spark, sf):
-    return plans.analyze_logs_full(views.pasted_logs(spark, sf)).select(
-        "exec_id", "tool", "status", "summary", bigint("errors"), bigint("warnings")
-    )
+    return _record_columns(plans.analyze_logs_full(views.pasted_logs(spark, sf)))
 
 
 def final_status(spark, sf):
@@ -378,12 +380,61 @@ def build_report(spark, sf):
     return shown.select("exec_id", "status", "summary", *[metric(n) for n in reports.METRIC_NAMES])
 
 
+def _read_back(df: DataFrame, texts: dict[str, str], lists: dict[str, str], numbers: dict[str, str]) -> list[Column]:
+    """Values of a JSON column by their paths; '' and 0 where there is none."""
+
+    def at(path: str) -> Column:
+        return F.get_json_object("json", path)
+
+    return [
+        *[F.coalesce(at(path), F.lit("")).alias(name) for name, path in texts.items()],
+        *[joined(F.from_json(at(path), "array<string>")).alias(name) for name, path in lists.items()],
+        *[F.round(F.coalesce(at(path).cast("double"), F.lit(0.0)), 6).alias(name) for name, path in numbers.items()],
+    ]
+
+
+METRIC_NUMBERS = {n: f"$.metrics.{n}" for n in reports.METRIC_NAMES if n not in reports.TEXT_METRICS}
+
+
 def agent_json(spark, sf):
-    return reports.agent_json(_summary(spark, sf))
+    """The JSON for agents, read back value by value."""
+    df = reports.agent_json(_summary(spark, sf))
+    texts = {
+        "error_type": "$.errors.error_type", "root_cause": "$.errors.root_cause", "compressed_context": "$.compressed_context",
+        "artifact_size": "$.artifacts.artifact_size", "bundle_size": "$.artifacts.bundle_size", "raw_log_fallback": "$.raw_log_fallback",
+    }
+    lists = {"context": "$.errors.context", "correlated_changes": "$.errors.correlated_changes"}
+    return df.select("exec_id", *_read_back(df, texts, lists, METRIC_NUMBERS))
+
+
+RECORD_TEXTS = {
+    "tool": "$.tool", "command": "$.command", "status": "$.status", "summary": "$.summary", "execution_id": "$.execution_id",
+    "error_type": "$.error_intel.error_type", "root_cause": "$.error_intel.root_cause", "artifact_path": "$.artifact_path",
+    "raw_log_path": "$.raw_log_path", "compressed_context": "$.compressed_context",
+    "bundle_size": "$.metrics.bundle_size", "artifact_size": "$.metrics.artifact_size",
+}
+RECORD_LISTS = {
+    "context": "$.error_intel.context", "correlated_changes": "$.error_intel.correlated_changes", "suggestions": "$.suggestions",
+}
 
 
 def summary_json(spark, sf):
-    return reports.summary_json(_summary(spark, sf))
+    """The JSON record, read back value by value."""
+    df = reports.summary_json(_summary(spark, sf))
+    counted = {**METRIC_NUMBERS, "event_count": "$.event_count"}
+    return df.select("exec_id", *_read_back(df, RECORD_TEXTS, RECORD_LISTS, counted))
+
+
+def record_json(spark, sf):
+    """The JSON record with all events, put together from its parts and read back."""
+    records = as_table(_summary(spark, sf))
+    events = as_table(plans.all_tool_events(views.executions(spark, sf), views.log_lines(spark, sf)))
+    parts = reports.record_json_parts(records, events, rows_per_part=64)
+    whole = parts.groupBy("exec_id").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("part_no", "json"))).getField("json"), "").alias("json")
+    )
+    lists = {**RECORD_LISTS, "important_events": "$.important_events"}
+    return whole.select("exec_id", *_read_back(whole, RECORD_TEXTS, lists, METRIC_NUMBERS))
 
 
 def engine_counters(spark, sf):
@@ -498,6 +549,56 @@ def history_append(spark, sf):
     return read_history(spark, path)
 
 
+#: Blocks of a few lines: executions have many borders at any size of the tables.
+FEW_LINES = 7
+
+
+def clean_lines_blocks(spark, sf):
+    """Cleaned lines from the block state."""
+    return log_state(views.log_lines(spark, sf), block_rows=FEW_LINES).cleaned()
+
+
+def rle_lines_blocks(spark, sf):
+    lines = into_blocks(views.doc_lines(spark, sf), FEW_LINES)
+    return reduce.rle_lines(lines).select("exec_id", bigint("idx"), "line")
+
+
+def group_pass_fail_blocks(spark, sf):
+    return reduce.group_pass_fail(views.log_lines(spark, sf), FEW_LINES).select("exec_id", bigint("idx"), "line")
+
+
+def compress_lines_blocks(spark, sf):
+    """Runs of documents, cut to the first and last ones, from the block state."""
+    return log_state(views.doc_lines(spark, sf), block_rows=FEW_LINES).compressed()
+
+
+def execution_summary_blocks(spark, sf):
+    return _record_columns(_summary(spark, sf, block_rows=FEW_LINES))
+
+
+def tool_events_blocks(spark, sf):
+    events = plans.all_tool_events(views.executions(spark, sf), views.log_lines(spark, sf), block_rows=FEW_LINES)
+    return events.select("exec_id", "line_no", bigint("step"), "event")
+
+
+def suggest_fixes_by_table(spark, sf):
+    """The rules as rows of a table."""
+    rules = spark.createDataFrame(
+        [(i, *rule) for i, rule in enumerate(suggest.RULES)], "rule_ix int, error_type string, pattern string, suggestion string"
+    )
+    return _suggestions(suggest.suggest_fixes_by_table(_intel(spark, sf), suggest.rule_index(rules)))
+
+
+def history_index(spark, sf):
+    """The searches of `history_search` over the n-gram index."""
+    index = history.build_history_index(views.history(spark, sf), streams.scratch(spark, "index"))
+    out = None
+    for name, query in SEARCHES.items():
+        part = index.search(query).select(F.lit(name).alias("query_id"), "execution_id", "command", "status", "summary")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def queries() -> dict[str, Query]:
     return {
         "split_log_blob": split_log_blob,
@@ -556,6 +657,7 @@ def queries() -> dict[str, Query]:
         "build_report": build_report,
         "agent_json": agent_json,
         "summary_json": summary_json,
+        "record_json": record_json,
         "engine_counters": engine_counters,
         "savings_by_tool": savings_by_tool,
         "history_list": history_list,
@@ -565,6 +667,14 @@ def queries() -> dict[str, Query]:
         "explain_headline": explain_headline,
         "project_type": project_type,
         "tool_matrix": tool_matrix,
+        "clean_lines_blocks": clean_lines_blocks,
+        "rle_lines_blocks": rle_lines_blocks,
+        "group_pass_fail_blocks": group_pass_fail_blocks,
+        "compress_lines_blocks": compress_lines_blocks,
+        "execution_summary_blocks": execution_summary_blocks,
+        "tool_events_blocks": tool_events_blocks,
+        "suggest_fixes_by_table": suggest_fixes_by_table,
+        "history_index": history_index,
         "stream_clean": streams.stream_clean,
         "stream_summaries": streams.stream_summaries,
         "stream_heartbeat": streams.stream_heartbeat,

@@ -67,14 +67,18 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, writer: DataStreamWriter) -> None:
-    # These queries run in sessions that are not ours.
+    # These queries run in sessions that are not ours: the option is put back.
+    before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)
-    query = (
-        writer.option("checkpointLocation", scratch(spark, "progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    try:
+        query = (
+            writer.option("checkpointLocation", scratch(spark, "progress"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -88,31 +92,23 @@ def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     return to_table(spark, jobs.clean_stream(lines), "cleaned")
 
 
-def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+def stream_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of every execution that closes, by its exit or by the timeout."""
     path, out = replay(spark, sf), scratch(spark, "summaries")
     commands = views.executions(spark, sf).select("exec_id", "command_line", "cmd")
-    landed = spark.read.schema(LINE_SCHEMA).parquet(path).filter(F.col("line").isNotNull())
 
-    def summarize(closed: DataFrame) -> DataFrame:
-        runs = closed.join(commands, "exec_id")
-        lines = landed.join(closed.select("exec_id", "end_ts"), "exec_id").filter(
-            F.col("ts") <= F.col("end_ts")
-        )
-        summary = execution_summary(runs, lines.select("exec_id", "line_no", "line"))
+    def summarize(closed: DataFrame, lines: DataFrame) -> DataFrame:
+        summary = execution_summary(closed.join(commands, "exec_id"), lines)
         return summary.select(
             F.col("exec_id").cast("string").alias("execution_id"), "command", "status", "summary"
         )
 
-    closed = jobs.closings(arriving(spark, path), TIMEOUT_SECONDS)
-    run(spark, jobs.summary_writer(closed, summarize, out))
+    logs = jobs.closed_logs(arriving(spark, path), TIMEOUT_SECONDS, block_rows=64)
+    run(spark, jobs.summary_writer(logs, summarize, out))
     schema = "execution_id STRING, command STRING, status STRING, summary STRING"
     return spark.read.schema(schema).parquet(f"{out}/batch_id=*")
 
 
-def stream_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return _summaries(spark, sf)
-
-
 def stream_heartbeat(spark: SparkSession, sf: str) -> DataFrame:
     lines = arriving(spark, replay(spark, sf)).filter(F.col("line").isNotNull())
     beats = to_table(spark, jobs.heartbeats(lines, HEARTBEAT_SECONDS), "heartbeats")
