@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from runsift.operators.blocks import BLOCK, EXEC, LINE_NO, block_of
+from runsift.operators.blocks import EXEC, LINE_NO, block_of
 from runsift.operators.clean import is_progress, normalize
 from runsift.sources.history import FIELDS
 from runsift.session import as_table
 from runsift.sources.sinks import append_history
-from runsift.streaming.stateful import DedupeLines, Heartbeat, HoldLines, RunLifecycle
+from runsift.streaming.stateful import Borders, DedupeBlocks, Heartbeat, HoldLines, LastNumbers, RunLifecycle
 
+#: The block of a line; names that begin otherwise do not reach the Python side.
+BLOCK = "block"
 DEFAULT_TIMEOUT_SECONDS = 600
 HEARTBEAT_SECONDS = 5
 
@@ -34,22 +36,34 @@ def _key_type(df: DataFrame) -> str:
     return df.schema[EXEC].dataType.simpleString()
 
 
-def clean_stream(lines: DataFrame, keep_seconds: int | None = None) -> DataFrame:
-    """exec_id, line_no, line, late. Lines behind the last number of their execution are not
-    merged; they come out with `late` set, for a side table."""
+def clean_stream(lines: DataFrame, keep_seconds: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """exec_id, line_no, line, late. Lines behind the last number that their execution had in earlier
+    micro-batches, or without a number, are not merged; they come out with `late` set, for a side
+    table.
+
+    Text is spread by execution and block of line numbers. What an execution needs as a whole goes
+    through one key of its own: its numbers before, and two lines for each block behind."""
     keep_ms, mode = _expiry(keep_seconds)
-    text = lines.select(EXEC, LINE_NO, normalize(F.col("line")).alias("line"))
-    deduped = (
-        text.filter(F.col("line") != "")
+    kind = _key_type(lines)
+    text = lines.select(EXEC, block_of(F.col(LINE_NO), block_rows).alias(BLOCK), LINE_NO, normalize(F.col("line")).alias("line")).filter(
+        F.col("line") != ""
+    )
+    floors = (
+        text.select(EXEC, BLOCK, LINE_NO)
         .groupBy(EXEC)
-        .transformWithStateInPandas(
-            DedupeLines(keep_ms),
-            f"{EXEC} {_key_type(lines)}, {LINE_NO} bigint, line string, late boolean",
-            "Append",
-            mode,
-        )
+        .transformWithStateInPandas(LastNumbers(keep_ms), f"{EXEC} {kind}, {BLOCK} bigint, floor bigint", "Append", mode)
+    )
+    told = text.withColumn("floor", F.lit(LastNumbers.NONE)).unionByName(
+        floors.select(EXEC, BLOCK, F.lit(None).cast("bigint").alias(LINE_NO), F.lit(None).cast("string").alias("line"), "floor")
+    )
+    deduped = told.groupBy(EXEC, BLOCK).transformWithStateInPandas(
+        DedupeBlocks(keep_ms), f"{EXEC} {kind}, {BLOCK} bigint, {LINE_NO} bigint, line string, late boolean, kind int", "Append", mode
+    )
+    placed = deduped.withColumn("_part", F.when(F.col("kind") == DedupeBlocks.ROW, F.col(BLOCK)).otherwise(F.lit(-1).cast("bigint")))
+    settled = placed.groupBy(EXEC, "_part").transformWithStateInPandas(
+        Borders(keep_ms), f"{EXEC} {kind}, {LINE_NO} bigint, line string, late boolean", "Append", mode
     )
-    return deduped.filter(~is_progress(F.col("line")))
+    return settled.filter(~is_progress(F.col("line")))
 
 
 def _closings(events: DataFrame, timeout_seconds: int, delay: str) -> DataFrame:

@@ -17,29 +17,104 @@ import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-class DedupeLines(StatefulProcessor):
-    """Drop a line equal to the previous one; flag lines that arrive behind the last number.
+class LastNumbers(StatefulProcessor):
+    """Tells every block of an execution that has lines in a micro-batch the last number that the
+    execution had before it. Only numbers come here.
 
-    The last line of an execution is forgotten `keep_ms` after it came; never if that is None."""
+    The number is forgotten `keep_ms` after it came; never if that is None."""
+
+    NONE = -(1 << 63)
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "line_no bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        floor = self.last.get()[0] if self.last.exists() else self.NONE
+        blocks, highest = set(), floor
+        for chunk in rows:
+            blocks.update(chunk["block"].tolist())
+            numbers = chunk["line_no"].dropna()
+            if len(numbers):
+                highest = max(highest, int(numbers.max()))
+        if highest > floor:
+            self.last.update((highest,))
+        found = sorted(blocks)
+        yield pd.DataFrame({"exec_id": pd.Series([key[0]] * len(found)), "block": found, "floor": floor})
+
+    def close(self) -> None:
+        pass
+
+
+class DedupeBlocks(StatefulProcessor):
+    """Drops a line equal to the previous one of its block and flags lines behind the floor.
+
+    kind 0: a row of the result. kind 1: the first line that a block ever has, which the line before
+    the block decides; kind 2: the last line of the block so far. What a block knows is its last line,
+    forgotten `keep_ms` after it came."""
+
+    ROW, HEAD, TAIL = 0, 1, 2
 
     def __init__(self, keep_ms: int | None) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line string, line_no bigint", self.keep_ms)
+        self.last = handle.getValueState("last", "line string", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
-        line, number = self.last.get() if self.last.exists() else (None, None)
-        late = batch["line_no"] <= number if number is not None else batch["line_no"].isna()
+        batch = pd.concat(list(rows), ignore_index=True)
+        floor = int(batch["floor"].max())
+        batch = batch[batch["line"].notna()].sort_values("line_no", kind="stable")
+        late = batch["line_no"].isna() | (batch["line_no"] <= floor)
         fresh = batch[~late]
+        kinds = pd.Series(self.ROW, index=fresh.index)
         previous = fresh["line"].shift(1)
+        kept = fresh["line"] != previous
+        if len(fresh):
+            if self.last.exists():
+                kept.iloc[0] = fresh["line"].iloc[0] != self.last.get()[0]
+            else:
+                kinds.iloc[0] = self.HEAD
+            self.last.update((fresh["line"].iloc[-1],))
+        out = [fresh.assign(late=False, kind=kinds)[kept], batch[late].assign(late=True, kind=self.ROW)]
         if len(fresh):
-            previous.iloc[0] = line
-            self.last.update((fresh["line"].iloc[-1], int(fresh["line_no"].iloc[-1])))
-        kept = fresh[fresh["line"] != previous]
-        out = pd.concat([kept.assign(late=False), batch[late].assign(late=True)])
-        yield out.assign(exec_id=key[0])[["exec_id", "line_no", "line", "late"]]
+            out.append(fresh.iloc[-1:].assign(late=False, kind=self.TAIL))
+        out = pd.concat(out)
+        yield out.assign(exec_id=key[0], block=key[1])[["exec_id", "block", "line_no", "line", "late", "kind"]]
+
+    def close(self) -> None:
+        pass
+
+
+class Borders(StatefulProcessor):
+    """Decides the first lines of blocks by the line before. Keys are the execution and -1 for rows
+    at the ends of blocks, of which a micro-batch has two for each block; all other rows come with the
+    key of their block and pass."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "line string", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[1] >= 0:
+            for chunk in rows:
+                yield chunk[["exec_id", "line_no", "line", "late"]]
+            return
+        ends = pd.concat(list(rows), ignore_index=True).sort_values(["block", "kind"], kind="stable")
+        before = self.last.get()[0] if self.last.exists() else None
+        kept = []
+        for place, line, kind in zip(ends.index, ends["line"], ends["kind"]):
+            if kind == DedupeBlocks.HEAD:
+                if line != before:
+                    kept.append(place)
+            else:
+                before = line
+        self.last.update((before,))
+        yield ends.loc[kept, ["exec_id", "line_no", "line", "late"]]
 
     def close(self) -> None:
         pass

@@ -1,5 +1,8 @@
 """Streaming results equal batch results; late lines, timeouts and heartbeats."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from runsift.operators import clean
@@ -54,6 +57,53 @@ def test_clean_stream(spark, tmp_path, log):
     assert [(r["line_no"], r["line"]) for r in rows if r["late"]] == [(2, "late")]
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_clean_stream_by_blocks(spark, tmp_path, rows):
+    dice = random.Random(rows)
+    batches, want, late = [], [], []
+    state = {e: (-1, None) for e in "abc"}
+    left = {e: list(enumerate(dice.choices(["A", "A", "B", "", "Downloading x"], k=30))) for e in "abc"}
+    for n in range(4):
+        batch = []
+        for e in "abc":
+            some = left[e][: dice.randrange(1, 12)]
+            left[e] = left[e][len(some) :]
+            again = [(k, "late") for k in range(min(n, 2))]
+            batch += [line(e, k, t) for k, t in some + again]
+            last, before = state[e]
+            fresh = sorted((k, t) for k, t in some + again if t and k > last)
+            late += [(e, k, t) for k, t in some + again if t and k <= last]
+            for k, t in fresh:
+                if t != before and not t.startswith("Downloading"):
+                    want.append((e, k, t))
+                before = t
+            state[e] = (max([last, *[k for k, _ in fresh]]), before)
+        dice.shuffle(batch)
+        batches.append(batch)
+    stream = jobs.clean_stream(arrivals(spark, tmp_path, batches), block_rows=rows)
+    found = collect(stream, f"cleaned_{rows}", tmp_path)
+    assert sorted((r["exec_id"], r["line_no"], r["line"]) for r in found if not r["late"]) == sorted(want)
+    assert sorted((r["exec_id"], r["line_no"], r["line"]) for r in found if r["late"]) == sorted(late)
+
+
+def test_closed_logs_hold_their_lines(spark, tmp_path):
+    batches = [
+        [line("a", k, f"a{k}", k) for k in range(5)] + [line("b", 0, "b0", 0)],
+        [line("a", 5, "a5", 6), ("a", None, None, at(7), 3), line("b", 1, "b1", 8)],
+        [line("a", 6, "behind", 9), line("b", 2, "b2", 20)],
+        [line("c", 0, "c0", 300)],
+        [line("c", 1, "c1", 301), ("d", None, None, at(302), 0)],
+    ]
+    stream = jobs.closed_logs(arrivals(spark, tmp_path, batches), timeout_seconds=15, block_rows=2)
+    rows = collect(stream, "closed_logs", tmp_path)
+    lines = sorted((r["exec_id"], r["line_no"], r["line"]) for r in rows if r["line_no"] is not None)
+    # b ends 15 seconds after its start; its line at 20 seconds is not part of it.
+    assert [x for x in lines if x[0] == "a"] == [("a", k, f"a{k}") for k in range(6)]
+    assert [x for x in lines if x[0] == "b"] == [("b", 0, "b0"), ("b", 1, "b1")]
+    ends = {r["exec_id"]: (r["exit_code"], r["timed_out"]) for r in rows if r["line_no"] is None}
+    assert ends["a"] == (3, False) and ends["b"] == (-1, True) and ends["d"] == (0, False)
+
+
 def test_closings(spark, tmp_path):
     batches = [
         [line("exits", 0, "x", 0), line("hangs", 0, "x", 0)],

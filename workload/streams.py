@@ -89,7 +89,7 @@ def to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     lines = arriving(spark, replay(spark, sf)).filter(F.col("line").isNotNull())
-    return to_table(spark, jobs.clean_stream(lines), "cleaned")
+    return to_table(spark, jobs.clean_stream(lines, block_rows=16), "cleaned")
 
 
 def stream_summaries(spark: SparkSession, sf: str) -> DataFrame:
