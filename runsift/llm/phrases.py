@@ -12,8 +12,6 @@ repeat count again. An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,13 +19,12 @@ from pyspark.sql import functions as F
 
 from runsift.llm import quotient as qf
 from runsift.llm import word_shards as ws
-from runsift.llm.common import buckets_for, numbered, written
+from runsift.llm.common import HOT, buckets_for, joined_by_parts, numbered, written
 
 #: Entries that are merged at a time, and ranges at most.
 RANGE_ENTRIES, MOST_RANGE_BITS = 1 << 21, 20
-#: A key that is at least one in so many of all words is sent to the rows that need it: there are
-#: at most HOT such words, and HOT phrases of each length. All other keys are joined by shuffles.
-HOT = 100_000
+#: Parts in which candidates of a language are ranked before the best of all parts are.
+PARTS = 8
 
 PIECES = ws.letters(b"\t", b".,;:!?\n\x0b\x0c\r")
 
@@ -42,8 +39,8 @@ def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         grp = left.column("grp")[0].as_py()
-        numbers = np.frombuffer(left.column("numbers")[0].as_py(), "<i4")
-        ids = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+        numbers = ws.unpacked(left.column("numbers")[0].as_py())
+        ids = np.zeros(int(numbers.max(initial=0)) + 1, np.uint32)
         ids[right.column("number").to_numpy()] = right.column("id").to_numpy()
         w = ids[numbers]
         two = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
@@ -79,14 +76,9 @@ def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
 
 def looked_up(rows: DataFrame, table: DataFrame, on: dict[str, str], values: dict[str, str], hot: Column) -> DataFrame:
     """rows with values of the table's row of the same key (`on`: column of rows to column of the
-    table; each key stands once in the table). Rows of hot keys get them by broadcast, so that a
-    key that many rows share is no load of one task."""
-    names = {c: f"_k{n}" for n, c in enumerate(on)}
-    side = table.select(*[F.col(t).alias(names[r]) for r, t in on.items()], *[F.col(t).alias(v) for v, t in values.items()], hot.alias("_hot"))
-    same = reduce(lambda a, b: a & b, [F.col(r) == F.col(k) for r, k in names.items()])
-    sent = rows.join(F.broadcast(side.where("_hot")), same)
-    moved = rows.join(side.where("not _hot"), same)
-    return sent.unionByName(moved).drop("_hot", *names.values())
+    table; each key stands once in the table)."""
+    side = table.select(*[F.col(t).alias(r) for r, t in on.items()], *[F.col(t).alias(v) for v, t in values.items()], hot.alias("_hot"))
+    return joined_by_parts(rows, side, list(on), F.col("_hot")).drop("_hot")
 
 
 def score(a: Column, l: Column, r: Column) -> Column:
@@ -146,8 +138,11 @@ def collocations(
         "grp", F.concat_ws(" ", *[F.col(f"w{k}_text").cast("string") for k in (1, 2, 3)]).alias("phrase"),
         F.col("n").alias("a"), "_cut.l", "_cut.r", "_cut.score", F.lit(3).alias("words"),
     )
-    order = Window.partitionBy("grp").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = pairs.unionByName(triples).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(sizes.withColumnRenamed("grp", "_grp"), F.col("grp") == F.col("_grp")).select(
+    # The last ranking sees at most PARTS x top rows of a language.
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    every = pairs.unionByName(triples).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    for keys in (["grp", "_part"], ["grp"]):
+        every = every.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    return every.join(sizes.withColumnRenamed("grp", "_grp"), F.col("grp") == F.col("_grp")).select(
         F.col("grp").alias("lang"), F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("all").alias("n"), "score", "words"
     )
