@@ -12,6 +12,7 @@ from runsift.functions.sqltext import extract, has, lit, match, trim
 from runsift.operators.blocks import EXEC
 from runsift.operators.digest import KEY_EVENTS, is_key_event
 from runsift.operators.reduce import IDX
+from runsift.operators.rules import matching
 
 # Fixed values, in order of precedence: priority, error type, pattern, text before the capture,
 # text after it, whether the capture is trimmed.
@@ -81,6 +82,24 @@ def root_cause(rows: DataFrame) -> DataFrame:
     )
 
 
+def root_cause_by_table(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """`root_cause` for patterns kept in a table of any size (`rule_index` of priority, pattern_ix,
+    error_type, pattern, before, after, trimmed): the best of an execution is that of the lowest
+    priority, then the earliest line, then the first pattern."""
+    text = rows.selectExpr(EXEC, IDX, f"{trim('line')} AS _text")
+    captured = "regexp_extract(_text, java_pattern, 1)"
+    hits = matching(text, "_text", patterns.withColumn("_again", F.col("java_pattern")))
+    cause = f"concat(before, if(trimmed, {trim(captured)}, {captured}), after)".replace("java_pattern", "_again")
+    return (
+        hits.selectExpr(EXEC, f"struct(priority, {IDX} AS at, pattern_ix, error_type, {cause} AS cause) AS _hit")
+        .groupBy(EXEC)
+        .agg(F.min("_hit").alias("_best"))
+        .selectExpr(
+            EXEC, f"_best.at AS {IDX}", "_best.priority", "_best.error_type", "_best.cause AS cause"
+        )
+    )
+
+
 def _around(before: int, after: int) -> str:
     first = f"greatest(_best.at - {before}, 0)"
     return (

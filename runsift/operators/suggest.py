@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from re import _constants as sre_constants
-from re import _parser as sre_parse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift.functions.sqltext import lit, match, when
-from runsift.functions.text import re2
 from runsift.operators.blocks import EXEC
 from runsift.operators.families import SHIPPED, Extension
+from runsift.operators.rules import matching
 
 # Fixed values, in order: error type ("" = any), pattern, suggestion.
 RULES = (
@@ -67,66 +64,15 @@ def suggest_fixes(intel: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     )
 
 
-#: Characters by which causes find the rules that may apply.
-GRAM = 4
-
-
-def required_pieces(pattern: str) -> list[str]:
-    """Pieces of GRAM characters in lower case of which any text that the pattern matches, itself
-    in lower case, holds at least one; empty if that cannot be told. Each alternative gives one
-    piece, of its longest literal."""
-    if re.search(r"\(\?[a-z]*x", pattern):
-        return []
-    try:
-        parsed = list(sre_parse.parse(re.sub(r"\(\?[a-z]+\)", "", pattern)))
-    except re.error:
-        return []
-    while len(parsed) == 1 and parsed[0][0] is sre_constants.SUBPATTERN:
-        parsed = list(parsed[0][1][-1])
-    branches = [parsed]
-    if len(parsed) == 1 and parsed[0][0] is sre_constants.BRANCH:
-        branches = [list(b) for b in parsed[0][1][1]]
-    found = []
-    for branch in branches:
-        runs = [""]
-        for kind, value in branch:
-            if kind is sre_constants.LITERAL and chr(value).isascii():
-                runs[-1] += chr(value).lower()
-            else:
-                # Whatever else stands there, it parts what must be there as it is.
-                runs.append("")
-        longest = max(runs, key=len)
-        if len(longest) < GRAM:
-            return []
-        found.append(longest[:GRAM])
-    return sorted(set(found))
-
-
-def rule_index(rules: DataFrame) -> DataFrame:
-    """The rules (rule_ix, error_type, pattern, suggestion) once for each piece by which they are
-    found: `piece` is '' for a rule that every cause must be tried with."""
-    pieces = F.udf(lambda p: required_pieces(p or "") or [""], "array<string>")
-    spelled = F.udf(lambda p: re2(p or ""), "string")
-    return rules.select("rule_ix", "error_type", spelled("pattern").alias("java_pattern"), "suggestion", F.explode(pieces("pattern")).alias("piece"))
-
-
 def suggest_fixes_by_table(intel: DataFrame, rules: DataFrame) -> DataFrame:
-    """What `suggest_fixes` gives, for rules kept in a table of any size (`rule_index`).
-
-    A cause meets the rules with which it shares a piece, by equality, and those without a piece;
-    then type and pattern decide. The best place of each suggestion is kept."""
+    """What `suggest_fixes` gives, for rules (rule_ix, error_type, pattern, suggestion) kept in a
+    table of any size, as `rule_index` prepares them. The best place of each suggestion is kept."""
     typed = intel.filter(F.col("root_cause") != "").select(
         EXEC, F.lower("root_cause").alias("_cause"), F.lower("error_type").alias("_type")
     )
-    # The one letter that folds to an ASCII one, but not by lower case.
-    typed = typed.withColumn("_plain", F.translate("_cause", "\u017f", "s"))
-    places = f"sequence(1, length(_plain) - {GRAM - 1})"
-    pieces = f"CASE WHEN length(_plain) >= {GRAM} THEN transform({places}, i -> substring(_plain, i, {GRAM})) ELSE CAST(array() AS array<string>) END"
-    asked = typed.selectExpr(EXEC, "_cause", "_type", f"explode(array_distinct(concat(array(''), {pieces}))) AS piece")
     return (
-        asked.join(rules, "piece")
+        matching(typed, "_cause", rules)
         .filter("error_type = '' OR error_type = _type")
-        .filter("_cause rlike java_pattern")
         .groupBy(EXEC, "suggestion")
         .agg(F.min("rule_ix").alias("rule_ix"))
         .groupBy(EXEC)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift.operators.blocks import BLOCK, EXEC
-from runsift.operators.clean import clean_blocks, clean_lines
 from runsift.operators.detect import as_pasted, detect_tool
 from runsift.operators.digest import (
     digest_text,
@@ -30,7 +29,7 @@ from runsift.operators.folds import (
     line_effects,
     tool_events,
 )
-from runsift.operators.reduce import optimize_bounded, reduce_lines
+from runsift.operators.reduce import optimize_bounded
 from runsift.operators.rootcause import execution_facts, with_changes
 from runsift.operators.state import LogState, Stage, dropped_lines, heads_apart, log_state
 from runsift.operators.suggest import RULES, Rule, rule_hits
@@ -47,8 +46,8 @@ ROOT_CAUSE = "\n\nRoot cause:\n"
 
 def analyze_logs(blobs: DataFrame) -> DataFrame:
     """Summary and counters of pasted logs (exec_id, text): clean, reduce, summarise."""
-    reduced = reduce_lines(clean_blocks(split_log_blob(blobs)))
-    return summarize_rows(reduced, blobs)
+    state = log_state(split_log_blob(blobs))
+    return summarize_rows(optimize_bounded(state.compressed()), blobs)
 
 
 def tools_of(
@@ -278,7 +277,6 @@ __all__ = [
     "all_tool_events",
     "analyze_logs",
     "analyze_logs_full",
-    "clean_lines",
     "execution_summary",
     "summarize_tools",
     "summary_parts",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runsift.operators import history, reduce, rootcause, suggest
+from runsift.operators import history, reduce, rootcause, rules as rules_of, suggest
 from tests import brute
 
 
@@ -28,14 +28,25 @@ def test_rules_in_a_table_give_what_compiled_rules_give(spark):
     intel = spark.createDataFrame(causes, "exec_id string, root_cause string, error_type string")
     table = spark.createDataFrame([(i, k, p, s) for i, (k, p, s) in enumerate(rules)], "rule_ix int, error_type string, pattern string, suggestion string")
     compiled = sorted(map(tuple, suggest.suggest_fixes(intel, rules).collect()))
-    found = suggest.suggest_fixes_by_table(intel, suggest.rule_index(table)).select("exec_id", "suggestions").collect()
+    found = suggest.suggest_fixes_by_table(intel, rules_of.rule_index(table)).select("exec_id", "suggestions").collect()
     assert sorted(map(tuple, found)) == compiled and len(compiled) > 40
 
 
+def test_patterns_in_a_table_find_the_same_causes(spark, log):
+    dice = random.Random(7)
+    words = ["Error: x y", "ERROR  z", "warning: odd ", "Build failed:  oops ", "panic: p", "1:2  error  bad", "fine", "Exception: e", "Cannot find file 'f'", "no ERROR here"]
+    lines = log({f"e{k}": dice.choices(words, k=dice.randrange(1, 9)) for k in range(40)})
+    rows = lines.selectExpr("exec_id", "line_no AS idx", "line")
+    columns = "pattern_ix int, priority int, error_type string, pattern string, before string, after string, trimmed boolean"
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(rootcause.ERROR_PATTERNS)], columns)
+    found = rootcause.root_cause_by_table(rows, rules_of.rule_index(table))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rootcause.root_cause(rows).collect()))
+
+
 def test_pieces_that_a_pattern_needs():
-    assert suggest.required_pieces("(?i)Module not found|can't resolve") == ["can'", "modu"]
-    assert suggest.required_pieces("(?i)abc") == [] and suggest.required_pieces("(?i)lock|x") == []
-    assert suggest.required_pieces("ab?cdefg") == ["cdef"] and suggest.required_pieces("(") == []
+    assert rules_of.required_pieces("(?i)Module not found|can't resolve") == ["can'", "modu"]
+    assert rules_of.required_pieces("(?i)abc") == [] and rules_of.required_pieces("(?i)lock|x") == []
+    assert rules_of.required_pieces("ab?cdefg") == ["cdef"] and rules_of.required_pieces("(") == []
 
 
 def test_changed_files_of_any_shape_are_found(spark):

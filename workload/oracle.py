@@ -1337,6 +1337,7 @@ FROM executions""",
         "execution_summary_blocks": "execution_summary",
         "tool_events_blocks": "tool_events",
         "suggest_fixes_by_table": "suggest_fixes",
+        "root_cause_by_table": "root_cause",
         "history_index": "history_search",
     }
     sql["compress_lines_blocks"] = with_(

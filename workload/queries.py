@@ -12,6 +12,7 @@ from runsift.operators import clean, detect, digest, explain, folds, history, in
 from runsift.operators import rootcause, suggest, summarize
 from runsift.operators.blocks import into_blocks
 from runsift.operators.families import BUILT_IN, SHIPPED, extended_families
+from runsift.operators.rules import rule_index
 from runsift.operators.state import log_state
 from runsift.plans import executions as plans
 from runsift.plans import reports
@@ -221,11 +222,12 @@ def group_pass_fail(spark, sf):
 
 
 def _reduced(spark, sf) -> DataFrame:
-    return reduce.reduce_lines(clean.clean_blocks(views.log_lines(spark, sf)))
+    return reduce.optimize_bounded(log_state(views.log_lines(spark, sf)).compressed())
 
 
 def reduce_lines(spark, sf):
-    return _reduced(spark, sf)
+    """The reduction as its own operator, over cleaned lines."""
+    return reduce.reduce_lines(clean.clean_blocks(views.log_lines(spark, sf)))
 
 
 def semantic_summary(spark, sf):
@@ -586,7 +588,15 @@ def suggest_fixes_by_table(spark, sf):
     rules = spark.createDataFrame(
         [(i, *rule) for i, rule in enumerate(suggest.RULES)], "rule_ix int, error_type string, pattern string, suggestion string"
     )
-    return _suggestions(suggest.suggest_fixes_by_table(_intel(spark, sf), suggest.rule_index(rules)))
+    return _suggestions(suggest.suggest_fixes_by_table(_intel(spark, sf), rule_index(rules)))
+
+
+def root_cause_by_table(spark, sf):
+    """The error patterns as rows of a table."""
+    columns = "pattern_ix int, priority int, error_type string, pattern string, before string, after string, trimmed boolean"
+    patterns = spark.createDataFrame([(i, *p) for i, p in enumerate(rootcause.ERROR_PATTERNS)], columns)
+    found = rootcause.root_cause_by_table(_reduced(spark, sf), rule_index(patterns))
+    return found.select("exec_id", "idx", bigint("priority"), "error_type", "cause")
 
 
 def history_index(spark, sf):
@@ -674,6 +684,7 @@ def queries() -> dict[str, Query]:
         "execution_summary_blocks": execution_summary_blocks,
         "tool_events_blocks": tool_events_blocks,
         "suggest_fixes_by_table": suggest_fixes_by_table,
+        "root_cause_by_table": root_cause_by_table,
         "history_index": history_index,
         "stream_clean": streams.stream_clean,
         "stream_summaries": streams.stream_summaries,
