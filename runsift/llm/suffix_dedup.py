@@ -12,6 +12,7 @@ anchor at the same place. An anchor's context is all that windows around it can
 * distinct contexts of one anchor go to the anchor's shard, once each. A shard is a bounded number
   of bytes; its suffix array is induced, and permuted common prefixes of at least WIDTH with a
   neighbour in it tell the repeated windows,
+* anchors and contexts that very many places share are looked up by broadcast and do not move,
 * an anchor with more than CROWD distinct contexts (a frequent line in ever new surroundings) has
   no shard: the windows of its contexts are counted by their digests instead, which splits it.
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import buckets_for, has_plain_key, sent, whole_text, written
+from runsift.llm.common import buckets_for, has_plain_key, joined_by_parts, sent, whole_text, written
 from runsift.llm.suffix_array import END, GAP, common_prefixes, suffix_array, symbols
 
 #: GRAM is a multiple of 8.
@@ -36,6 +37,8 @@ WIDTH, GRAM = 200, 32
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Distinct contexts of an anchor that go to one shard (3 MB of bytes); contexts of one shard on average.
 CROWD, SHARD = 8000, 3000
+#: Anchors, or contexts, with at least one in so many of all rows are hot: at most so many are.
+HOT = 10_000
 
 
 def _sliding(values: np.ndarray, width: int, take) -> np.ndarray:
@@ -161,25 +164,30 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     marked = written(
         rows.select("rid", "body").mapInArrow(find, "gram bigint, context bigint, rid bigint, place bigint"), "repeats-anchors"
     )
-    again = marked.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    again = written(marked.join(again, "gram", "left_semi"), "repeats-again")
+    # Few anchors have a large share of the places, and few contexts: those do not move.
+    total = marked.count()
+    grams = written(marked.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeats-grams")
+    again = joined_by_parts(marked, grams, ["gram"], F.col("n") * HOT > total).drop("n")
+    again = written(again, "repeats-again")
+    # Copies are merged before they move.
     contexts = written(
         again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("first")), "repeats-contexts"
     )
+    copied = contexts.where("n > 1").select("gram", "context", "n")
     lo = F.greatest(F.lit(0), F.shiftright("place", 16) - (width - gram))
     hi = F.shiftright("place", 16) + F.col("place").bitwiseAND(0xFFFF)
-    whole = (
-        again.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-        .select("rid", lo.alias("start"), hi.alias("end"))
+    whole = joined_by_parts(again, copied, ["gram", "context"], F.col("n") * HOT > total).select(
+        "rid", lo.alias("start"), hi.alias("end")
     )
 
-    crowds = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    chosen = contexts.join(crowds, "gram").select("gram", "contexts", "first.rid", "first.place")
+    crowds = written(contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "repeats-crowds")
+    chosen = joined_by_parts(contexts, crowds, ["gram"], F.col("contexts") * HOT > total).select(
+        "gram", "contexts", "first.rid", "first.place"
+    )
     # The contexts of a document: no more than it has anchors.
     wanted = chosen.groupBy("rid").agg(F.collect_list(F.struct("gram", "contexts", "place")).alias("wanted"))
     wanted = written(wanted, "repeats-wanted")
-    total = contexts.count()
-    shards = buckets_for(total, SHARD)
+    shards = buckets_for(contexts.count(), SHARD)
     joined = rows.select("rid", "body").join(sent(wanted, F.size("wanted")), "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
