@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from runsift.llm import topk
 
 
@@ -46,6 +48,28 @@ def test_random_vectors_and_many_blocks(spark, monkeypatch):
     check(spark, vectors(60, 7, 2), k=2)
 
 
+def test_levels_and_thresholds_lose_nothing(monkeypatch):
+    dice = np.random.default_rng(3)
+    centres = dice.normal(size=(12, 64)) * 40
+    rows = np.floor(np.concatenate([centres[dice.integers(0, 12, 500)] + dice.normal(size=(500, 64)) * 4, dice.normal(size=(200, 64)) * 256])).astype(np.int64)
+    ids = dice.permutation(len(rows)).astype(np.int64)
+    queries, q_ids = rows[:40], ids[:40]
+    want = []
+    for i in range(40):
+        scored = sorted((-int(queries[i] @ rows[j]), int(ids[j])) for j in range(len(rows)) if ids[j] != q_ids[i])
+        want += [(i, j, -s) for s, j in scored[:5]]
+    for dense in (0.0, 0.3, 2.0):
+        monkeypatch.setattr(topk, "DENSE", dense)
+        some = topk.thresholds(queries, q_ids, rows[::7], ids[::7], 5)
+        q, r, score = topk.best(queries, q_ids, rows, ids, 5, some)
+        assert [(int(a), int(ids[b]), int(s)) for a, b, s in zip(q, r, score)] == want
+
+
+def test_values_beyond_doubles(spark):
+    dice = random.Random(8)
+    check(spark, [(i, [float(dice.randrange(-(2**22), 2**22)) for _ in range(3)]) for i in range(40)])
+
+
 def test_ties_copies_and_fewer_rows_than_k(spark):
     same = [(i, [0.5, -0.25, 1.0]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, [2.0, 0.0, 0.0])]
     check(spark, same, every=20)
