@@ -114,6 +114,8 @@ _vitest_failed = (
     f"coalesce({group_int('line', r'(\d+)\s+failing', needs='failing')}, "
     f"{group_int('line', r'Tests\s+(\d+)\s+failed', needs='Tests')})"
 )
+# Fixed values in all families below: the patterns, words and numbers of capture groups by which
+# lines are told, the texts of summaries and events, and the caps of events.
 VITEST = RuleFamily(
     "vitest",
     {

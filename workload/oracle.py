@@ -345,6 +345,7 @@ def outcome(test: str) -> str:
     return f"TRY_CAST(regexp_extract({trim(f'({parts})[-1]')}, '^[^{WS}]+') AS BIGINT)"
 
 
+# The patterns, words and texts of the rules below.
 def fold_rules() -> dict[str, dict[str, str]]:
     """Per family: SQL of its line effects, verdict text `text` and extra failure `bad`."""
     red_vitest = f"({has('line', 'FAIL', 'failed')} AND {starts('line', 'FAIL ', '✗ ')})"
@@ -720,6 +721,7 @@ def summary_parts_sql(rows_per_part: int = 64) -> str:
 
 # ---------------------------------------------------------------- root cause and suggestions
 
+# Fixed values, in order of precedence.
 PATTERNS = (
     (1, "module_resolution", r"Module not found: Can't resolve '(.*?)'", "Module not found '", "'"),
     (1, "file_not_found", r"Cannot find file '(.*?)'", "Cannot find file '", "'"),
@@ -772,6 +774,7 @@ def intel(changed: str = CHANGED) -> list[str]:
     ]
 
 
+# Fixed values, in order.
 SUGGESTIONS = (
     ("module_resolution", "(?i)module not found|can't resolve", "Check import path or ensure the component exists."),
     ("file_not_found", "(?i)cannot find file", "Verify the file path and ensure it has not been renamed or deleted."),
@@ -903,6 +906,7 @@ def pasted_records() -> list[str]:
     ]
 
 
+# The words of the ladder and its texts.
 def explained() -> list[str]:
     """Single commands of `asked(command, pos, part)` explained in order."""
     low = "lower(part)"
