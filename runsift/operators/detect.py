@@ -11,6 +11,7 @@ from runsift.functions.sqltext import lit, trim
 from runsift.functions.text import FIELD_SEPARATOR, re2
 from runsift.operators.blocks import EXEC, LINE_NO
 from runsift.operators.families import BUILT_IN, FALLBACK, RuleFamily
+from runsift.operators.rules import matching
 
 # Fixed value: shell separators between the parts of a command line.
 CHAIN_PATTERN = r"\s*(&&|;|\|\||\|)\s*"
@@ -88,6 +89,17 @@ def detect_by_content(samples: DataFrame, families: Sequence[RuleFamily] = BUILT
     )
 
 
+def detect_by_content_table(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """exec_id and family by rules (priority, family, pattern) kept in a table of any size, as
+    `rule_index` prepares them: the lowest priority that matches any sample."""
+    return (
+        matching(samples.select(EXEC, LINE_NO, "line"), "line", rules)
+        .groupBy(EXEC)
+        .agg(F.min(F.struct("priority", LINE_NO, "family")).alias("_hit"))
+        .select(EXEC, "_hit.family")
+    )
+
+
 def detect_tool(
     executions: DataFrame, samples: DataFrame, families: Sequence[RuleFamily] = BUILT_IN
 ) -> DataFrame:

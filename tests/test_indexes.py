@@ -1,11 +1,12 @@
 """Rule index, path keys, history numbers and the history index against plain versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from runsift.operators import history, reduce, rootcause, rules as rules_of, suggest
+from runsift.operators import detect, history, reduce, rootcause, rules as rules_of, suggest
 from tests import brute
 
 
@@ -43,6 +44,20 @@ def test_patterns_in_a_table_find_the_same_causes(spark, log):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rootcause.root_cause(rows).collect()))
 
 
+def test_content_rules_in_a_table(spark, log):
+    dice = random.Random(8)
+    rules = [(k, f"f{k}", dice.choice(["alpha", "beta|gamma", "(?i)delta", "x+y", "^omega$", "alphabet"])) for k in range(30)]
+    lines = {f"e{k}": dice.choices(["an alpha", "GAMMA", "a Delta", "xxy", "omega", "alphabet", "none"], k=3) for k in range(40)}
+    table = rules_of.rule_index(spark.createDataFrame(rules, "priority int, family string, pattern string"))
+    found = {r["exec_id"]: r["family"] for r in detect.detect_by_content_table(log(lines), table).collect()}
+    want = {}
+    for e, some in lines.items():
+        hits = [p for p, _, x in rules if any(re.search(x, line) for line in some)]
+        if hits:
+            want[e] = f"f{min(hits)}"
+    assert found == want
+
+
 def test_pieces_that_a_pattern_needs():
     assert rules_of.required_pieces("(?i)Module not found|can't resolve") == ["can'", "modu"]
     assert rules_of.required_pieces("(?i)abc") == [] and rules_of.required_pieces("(?i)lock|x") == []

@@ -1344,6 +1344,7 @@ FROM executions""",
         "root_cause_by_table": "root_cause",
         "history_index": "history_search",
     }
+    sql["detect_by_content_table"] = with_([*cleaned, *by_content()], "SELECT exec_id, family FROM by_content")
     sql["compress_lines_blocks"] = with_(
         [DOC_LINES, *clean("doc_lines"), *rle(), *truncate()], "SELECT exec_id, idx, line FROM trunc"
     )

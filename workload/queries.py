@@ -599,6 +599,26 @@ def root_cause_by_table(spark, sf):
     return found.select("exec_id", "idx", bigint("priority"), "error_type", "cause")
 
 
+# The signs of tools in a line, by precedence, as patterns.
+CONTENT_PATTERNS = (
+    ("vitest", r"vitest|Test Files|PASS |FAIL "),
+    ("jest", r"jest|FAIL|PASS|Test Suites:"),
+    ("cypress", r"cypress|Run Finished|Tests Results:"),
+    ("pytest", r"test session starts|pytest|===.*passed in|passed in.*==="),
+    ("go test", r"^--- PASS:|^--- FAIL:|^ok\t|^FAIL\t"),
+    ("flutter_test", r"All tests passed!|Some tests failed|Shell:.*test|test.*Shell:"),
+    ("vite", r"\[vite\]|(?i:vite v)"),
+    ("buildtool", r"(?i:webpack|rollup|esbuild|next\.js|nuxt|compiled successfully)"),
+    ("eslint", r"eslint|(?=.*error)(?=.*warning).*:"),
+    ("npm", r"(?i:npm error)|npm ERR!"),
+)
+
+
+def detect_by_content_table(spark, sf):
+    rules = spark.createDataFrame([(i, *rule) for i, rule in enumerate(CONTENT_PATTERNS)], "priority int, family string, pattern string")
+    return detect.detect_by_content_table(_samples(spark, sf), rule_index(rules))
+
+
 def history_index(spark, sf):
     """The searches of `history_search` over the n-gram index."""
     index = history.build_history_index(views.history(spark, sf), streams.scratch(spark, "index"))
@@ -685,6 +705,7 @@ def queries() -> dict[str, Query]:
         "tool_events_blocks": tool_events_blocks,
         "suggest_fixes_by_table": suggest_fixes_by_table,
         "root_cause_by_table": root_cause_by_table,
+        "detect_by_content_table": detect_by_content_table,
         "history_index": history_index,
         "stream_clean": streams.stream_clean,
         "stream_summaries": streams.stream_summaries,
