@@ -76,9 +76,10 @@ def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
 
 def looked_up(rows: DataFrame, table: DataFrame, on: dict[str, str], values: dict[str, str], hot: Column) -> DataFrame:
     """rows with values of the table's row of the same key (`on`: column of rows to column of the
-    table; each key stands once in the table)."""
+    table; each key stands once in the table). Written, because it reads its rows twice: plans of
+    several look-ups would double with each."""
     side = table.select(*[F.col(t).alias(r) for r, t in on.items()], *[F.col(t).alias(v) for v, t in values.items()], hot.alias("_hot"))
-    return joined_by_parts(rows, side, list(on), F.col("_hot")).drop("_hot")
+    return written(joined_by_parts(rows, side, list(on), F.col("_hot")).drop("_hot"), "phrase-looked-up")
 
 
 def score(a: Column, l: Column, r: Column) -> Column:
