@@ -26,10 +26,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import free_name, tokenizer_path, whole_text
+from runsift.llm.common import beside_text, tokenizer_path
 
 #: Bytes of words and ids, with what Python adds, in one generation of a worker.
 KEPT = 24 << 20
@@ -227,7 +226,7 @@ def encode_decode(
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                made_ids = list(map(bpe.encode, part.column(part.num_columns - 1).to_pylist()))
+                made_ids = list(map(bpe.encode, [t or "" for t in part.column(place).to_pylist()]))
                 texts = map(bpe.decode_own, made_ids)
                 counts = [len(ids) // 4 for ids in made_ids]
                 if digests:
@@ -239,7 +238,8 @@ def encode_decode(
                     flat = pa.array(np.frombuffer(b"".join(made_ids), np.int32))
                     ends = pa.array(np.cumsum([0, *counts]), pa.int32())
                     made = [pa.ListArray.from_arrays(ends, flat), pa.array(list(texts), pa.string())]
-                columns = [*part.columns[:-1], pa.array(counts, pa.int64()), *made]
+                columns = [*part.columns[: len(kept)], pa.array(counts, pa.int64()), *made]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
-    return docs.select(*kept, whole_text(text).alias(free_name(docs, "whole"))).mapInArrow(run, schema)
+    rows, place = beside_text(docs, kept, text)
+    return rows.mapInArrow(run, schema)

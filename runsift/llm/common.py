@@ -30,7 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table made by `written` that nothing reads any more, as the earlier rounds of a loop."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -47,6 +56,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def beside_text(docs: DataFrame, kept: Sequence[str], text: str) -> tuple[DataFrame, int]:
+    """The kept columns for a Python worker, and the place of the text among them: the text goes
+    along once, whether it is kept or not. A null text stays null."""
+    if text in kept and dict(docs.dtypes)[text] == "string":
+        return docs.select(*kept), list(kept).index(text)
+    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "whole"))), len(kept)
+
+
 #: Short rows (a few numbers each) that may be sent to all executors instead of shuffling texts.
 SENT_ROWS = 400_000
 

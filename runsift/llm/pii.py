@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import free_name, slices, whole_text
+from runsift.llm.common import beside_text, slices, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "address", "login", "secret")
@@ -282,14 +282,15 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         find = finder()
         for batch in slices(batches):
             spans, clean = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            for t in batch.column(place).to_pylist():
                 got = find.spans(t) if t else {}
                 spans.append([{"kind": k, "start": s, "end": e} for k in KINDS for s, e in got.get(k, ())])
                 clean.append(redacted(t, got) if got else t)
             made = [pa.array(spans, arrow), pa.array(clean, pa.string())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=[*kept, "pii", "redacted"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + made, names=[*kept, "pii", "redacted"])
 
-    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "whole"))).mapInArrow(run, schema)
+    rows, place = beside_text(docs, kept, text)
+    return rows.mapInArrow(run, schema)
 
 
 def pii_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

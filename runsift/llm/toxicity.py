@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsift.llm.common import free_name, slices, whole_text, written
+from runsift.llm.common import beside_text, slices, whole_text, written
 
 #: Lengths of the n-grams, bits of their hash, n-grams that take part in the fit.
 LENGTHS, BITS, FEATURES = (3, 4, 5, 6), 20, 1 << 14
@@ -195,11 +195,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    rows, place = beside_text(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores = model.scores(batch.column(batch.num_columns - 1).to_pylist())
+            scores = model.scores([t or "" for t in batch.column(place).to_pylist()])
             made = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + made, names=[*kept, "score", "predicted"])
 
-    return docs.select(*kept, whole_text(text).alias(free_name(docs, "whole"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
