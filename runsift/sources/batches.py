@@ -1,8 +1,9 @@
 """Appends that can be repeated: every write is a batch with an id and counts once.
 
-A batch is written to a folder of its own and published by one marker file, which is created only
-if there is none for the id. Readers read the folders that markers name. A write that died half-way
-has no marker; one that runs again, in whole or beside itself, finds the marker and adds nothing.
+A batch is written to a folder of its own and published by one marker file, which names it. Readers
+read the folders that markers name. A write that died half-way has no marker and may run again; one
+that runs again after it was published finds the marker and adds nothing. Of two at the same time one
+is named in the end.
 
     <path>/parts/<batch>-<attempt>/...    data
     <path>/batches/<batch>                one line: <batch>-<attempt>
@@ -32,15 +33,15 @@ def publish(df: DataFrame, path: str, batch: str, write: Callable[[DataFrame, st
         return False
     attempt = f"{name}-{uuid.uuid4().hex}"
     write(df, f"{path}/parts/{attempt}")
-    try:
-        out = fs.create(marker, False)
-    except Exception as error:  # a marker that came in between is the only way to lose
-        if fs.exists(marker):
-            return False
-        raise error
+    # The marker appears with its line, or not at all; hidden files are no markers.
+    _, waiting = _folder(spark, f"{path}/batches/_{attempt}")
+    out = fs.create(waiting, True)
     out.write(attempt.encode())
     out.close()
-    return True
+    if not fs.exists(marker) and fs.rename(waiting, marker):
+        return True
+    fs.delete(waiting, False)
+    return False
 
 
 def published(spark: SparkSession, path: str) -> list[str]:
@@ -48,5 +49,5 @@ def published(spark: SparkSession, path: str) -> list[str]:
     fs, place = _folder(spark, f"{path}/batches")
     if not fs.exists(place) or not len(fs.listStatus(place)):
         return []
-    names = spark.read.text(f"{path}/batches", wholetext=True).where("value <> ''").collect()
+    names = spark.read.text(f"{path}/batches", wholetext=True).collect()
     return sorted(f"{path}/parts/{row['value']}" for row in names)
