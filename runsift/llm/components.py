@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import written
+from runsift.llm.common import forget, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -38,4 +38,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        current = written(small, f"{name}-edges")
+        following = written(small, f"{name}-edges")
+        forget(current)
+        current = following

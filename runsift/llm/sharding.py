@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import buckets_for, numbered, whole_text, written
+from runsift.llm.common import buckets_for, forget, numbered, whole_text, written
 
 SALTS = 64
 
@@ -41,6 +41,7 @@ def _quotas(rows: int, shards: int) -> list[int]:
 def propagate(units: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """units (g, salt, n, shard) with new shards."""
     shards = len(quotas)
+    rounds_before = None
     for turn in range(rounds):
         load = _load(units, shards)
         room = [max(0, q - n) for q, n in zip(quotas, load)]
@@ -65,6 +66,7 @@ def propagate(units: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         wish = written(wish.select("g", "salt", "n", "shard", "target", "class"), "shards-wish")
         classes = wish.where("class is not null").groupBy("target", "class").agg(F.sum("n").alias("n")).collect()
         if not classes:
+            forget(wish)
             return units
         share: dict[tuple[int, int], float] = {}
         for row in sorted(classes, key=lambda r: (r["target"], -r["class"])):
@@ -79,6 +81,10 @@ def propagate(units: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         units = written(
             wish.select("g", "salt", "n", F.when(moved, F.col("target")).otherwise(F.col("shard")).cast("int").alias("shard")), "shards-units"
         )
+        forget(wish)
+        if rounds_before is not None:
+            forget(rounds_before)
+        rounds_before = units
     return units
 
 

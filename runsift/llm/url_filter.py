@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import written
+from runsift.llm.common import forget, written
 
 #: (verdict, host and path)
 RULES = (
@@ -93,7 +93,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int |
         forward.unionByName(backward).groupBy("host", "to").agg(F.sum("down").alias("down"), F.sum("up").alias("up")), "hosts-steps"
     )
     start = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    state = written(seeds, "hosts-state")
+    state = stored = written(seeds, "hosts-state")
     # The first step moves at most 2, each further one at most `damping` times the last.
     sure = math.ceil(math.log(enough / 4) / math.log(damping)) + 1 if rounds is None else rounds
     for _ in range(sure):
@@ -108,7 +108,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int |
         )
         after = written(after, "hosts-state")
         change = after.agg(F.coalesce(F.sum("change"), F.lit(0.0))).first()[0]
-        state = after.drop("change")
+        forget(stored)
+        state, stored = after.drop("change"), after
         if change < enough:
             break
     else:
