@@ -1,7 +1,6 @@
 """Rule index, path keys, history numbers and the history index against plain versions."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +130,18 @@ def test_grouping_is_stitched_at_borders(log, rows):
         found.setdefault(r["exec_id"], []).append((r["idx"], r["line"]))
     want = {k: list(enumerate(brute.group_results([x.strip() for x in v if x.strip()]))) for k, v in logs.items()}
     assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in want.items() if v}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changed_files_send_no_lines(spark, tmp_path):
+    """The lines near a cause stand in compressed files: small there, large once cut into pieces."""
+    lines = [f"at src/file{k}.ts line {k}" for k in range(10)]
+    spark.createDataFrame([(e, "c", lines) for e in range(50)], "exec_id bigint, cause string, _near array<string>").write.parquet(f"{tmp_path}/w")
+    windows = spark.read.parquet(f"{tmp_path}/w")
+    files = spark.createDataFrame([(1, "src/file3.ts"), (1, "x/file3.ts"), (1, "rc"), (2, "src/file9.ts"), (2, "src/file9.ts"), (99, "rc")], "exec_id bigint, path string")
+    found = rootcause.correlate_changes(windows, files)
+    assert {r["exec_id"]: r["correlated_changes"] for r in found.collect()} == {1: ["rc", "src/file3.ts"], 2: ["src/file9.ts"]}
+    assert "Broadcast" not in plan(found)
