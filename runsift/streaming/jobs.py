@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -21,6 +21,8 @@ from runsift.streaming.stateful import Borders, DedupeBlocks, Heartbeat, HoldLin
 
 #: The block of a line; names that begin otherwise do not reach the Python side.
 BLOCK = "block"
+#: Groups of executions, or of blocks, that go to Python together. Checkpoints hold their numbers.
+GROUPS = 256
 DEFAULT_TIMEOUT_SECONDS = 600
 HEARTBEAT_SECONDS = 5
 
@@ -36,6 +38,19 @@ def _key_type(df: DataFrame) -> str:
     return df.schema[EXEC].dataType.simpleString()
 
 
+def _who() -> Column:
+    """The execution as a text: '' for none, else '=' and its name."""
+    return F.coalesce(F.concat(F.lit("="), F.col(EXEC).cast("string")), F.lit("")).alias("who")
+
+
+def _named(kind: str) -> Column:
+    return F.when(F.col("who") != "", F.substring(F.col("who"), 2, 1 << 30).cast(kind)).alias(EXEC)
+
+
+def _group(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(GROUPS)).cast("int")
+
+
 def clean_stream(lines: DataFrame, keep_seconds: int | None = None, block_rows: int | None = None) -> DataFrame:
     """exec_id, line_no, line, late. Lines behind the last number that their execution had in earlier
     micro-batches, or without a number, are not merged; they come out with `late` set, for a side
@@ -44,26 +59,32 @@ def clean_stream(lines: DataFrame, keep_seconds: int | None = None, block_rows:
     Text is spread by execution and block of line numbers. What an execution needs as a whole goes
     through one key of its own: its numbers before, and two lines for each block behind."""
     keep_ms, mode = _expiry(keep_seconds)
-    kind = _key_type(lines)
-    text = lines.select(EXEC, block_of(F.col(LINE_NO), block_rows).alias(BLOCK), LINE_NO, normalize(F.col("line")).alias("line")).filter(
-        F.col("line") != ""
-    )
+    number = F.col(LINE_NO)
+    text = lines.select(
+        _who(), block_of(number, block_rows).alias(BLOCK), F.coalesce(number, F.lit(0).cast("bigint")).alias("number"),
+        number.isNotNull().alias("has"), normalize(F.col("line")).alias("line"),
+    ).filter(F.col("line") != "")
     floors = (
-        text.select(EXEC, BLOCK, LINE_NO)
-        .groupBy(EXEC)
-        .transformWithStateInPandas(LastNumbers(keep_ms), f"{EXEC} {kind}, {BLOCK} bigint, floor bigint", "Append", mode)
+        text.select("who", BLOCK, "number", "has")
+        .withColumn("part", _group("who"))
+        .groupBy("part")
+        .transformWithStateInPandas(LastNumbers(keep_ms), f"who string, {BLOCK} bigint, floor bigint", "Append", mode)
     )
     told = text.withColumn("floor", F.lit(LastNumbers.NONE)).unionByName(
-        floors.select(EXEC, BLOCK, F.lit(None).cast("bigint").alias(LINE_NO), F.lit(None).cast("string").alias("line"), "floor")
+        floors.select(
+            "who", BLOCK, F.lit(0).cast("bigint").alias("number"), F.lit(False).alias("has"), F.lit(None).cast("string").alias("line"), "floor"
+        )
     )
-    deduped = told.groupBy(EXEC, BLOCK).transformWithStateInPandas(
-        DedupeBlocks(keep_ms), f"{EXEC} {kind}, {BLOCK} bigint, {LINE_NO} bigint, line string, late boolean, kind int", "Append", mode
+    row = "number bigint, has boolean, line string, late boolean"
+    deduped = told.withColumn("part", _group("who", BLOCK)).groupBy("part").transformWithStateInPandas(
+        DedupeBlocks(keep_ms), f"who string, {BLOCK} bigint, {row}, kind int", "Append", mode
     )
-    placed = deduped.withColumn("_part", F.when(F.col("kind") == DedupeBlocks.ROW, F.col(BLOCK)).otherwise(F.lit(-1).cast("bigint")))
-    settled = placed.groupBy(EXEC, "_part").transformWithStateInPandas(
-        Borders(keep_ms), f"{EXEC} {kind}, {LINE_NO} bigint, line string, late boolean", "Append", mode
+    part = F.when(F.col("kind") == DedupeBlocks.ROW, _group("who", BLOCK) + GROUPS).otherwise(_group("who"))
+    settled = deduped.withColumn("part", part).groupBy("part").transformWithStateInPandas(
+        Borders(keep_ms, GROUPS), f"who string, {row}", "Append", mode
     )
-    return settled.filter(~is_progress(F.col("line")))
+    kept = settled.filter(~is_progress(F.col("line")))
+    return kept.select(_named(_key_type(lines)), F.when(F.col("has"), F.col("number")).alias(LINE_NO), "line", "late")
 
 
 def _closings(events: DataFrame, timeout_seconds: int, delay: str) -> DataFrame:
@@ -147,16 +168,14 @@ def heartbeats(
     """exec_id, ts, since_ms of every heartbeat of long-running executions."""
     keep_ms, mode = _expiry(None if keep_seconds is None else max(keep_seconds, 2 * every_seconds))
     beats = (
-        lines.select(EXEC, F.unix_micros("ts").alias("at"))
-        .groupBy(EXEC)
+        lines.select(_who(), F.unix_micros("ts").alias("at"))
+        .withColumn("part", _group("who"))
+        .groupBy("part")
         .transformWithStateInPandas(
-            Heartbeat(every_seconds * 1_000_000, keep_ms),
-            f"{EXEC} {_key_type(lines)}, at bigint, since_ms bigint",
-            "Append",
-            mode,
+            Heartbeat(every_seconds * 1_000_000, keep_ms), "who string, at bigint, since_ms bigint", "Append", mode
         )
     )
-    return beats.select(EXEC, F.timestamp_micros("at").alias("ts"), "since_ms")
+    return beats.select(_named(_key_type(lines)), F.timestamp_micros("at").alias("ts"), "since_ms")
 
 
 def counters(closed: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Keyed state for streaming logs: line dedupe, run lifecycle, heartbeats.
 
-Each processor keeps a few scalars per execution. Text work (escapes, trimming, patterns) stays
+Each processor keeps a few scalars per execution. Calling Python for a key costs milliseconds, so
+lines, numbers and heartbeats come in groups of many executions or blocks, each of which has an entry
+of its own in a map; a micro-batch reads and writes the entries of its own rows. Text work (escapes, trimming, patterns) stays
 in Column expressions before the state; Python only compares neighbours. Times come and go as
 microseconds since the epoch, so neither the session's time zone nor a rounding touches them.
 Rows of one execution inside one micro-batch are ordered here, so bound the batch with the rate
@@ -19,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 class LastNumbers(StatefulProcessor):
     """Tells every block of an execution that has lines in a micro-batch the last number that the
-    execution had before it. Only numbers come here.
+    execution had before it. Only numbers come here; those that are missing have `has` unset.
 
     The number is forgotten `keep_ms` after it came; never if that is None."""
 
@@ -29,20 +31,21 @@ class LastNumbers(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line_no bigint", self.keep_ms)
+        self.last = handle.getMapState("last", "who string", "number bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        floor = self.last.get()[0] if self.last.exists() else self.NONE
-        blocks, highest = set(), floor
+        parts = []
         for chunk in rows:
-            blocks.update(chunk["block"].tolist())
-            numbers = chunk["line_no"].dropna()
-            if len(numbers):
-                highest = max(highest, int(numbers.max()))
-        if highest > floor:
-            self.last.update((highest,))
-        found = sorted(blocks)
-        yield pd.DataFrame({"exec_id": pd.Series([key[0]] * len(found)), "block": found, "floor": floor})
+            numbers = chunk["number"].where(chunk["has"], self.NONE)
+            parts.append(numbers.groupby([chunk["who"], chunk["block"]]).max().rename("number").reset_index())
+        blocks = pd.concat(parts).groupby(["who", "block"], as_index=False)["number"].max()
+        floors = {}
+        for who, highest in blocks.groupby("who")["number"].max().items():
+            before = self.last.getValue((who,))
+            floors[who] = self.NONE if before is None else before[0]
+            if highest > floors[who]:
+                self.last.updateValue((who,), (int(highest),))
+        yield blocks.assign(floor=[floors[who] for who in blocks["who"]])[["who", "block", "floor"]]
 
     def close(self) -> None:
         pass
@@ -61,60 +64,73 @@ class DedupeBlocks(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line string", self.keep_ms)
+        self.last = handle.getMapState("last", "who string, block bigint", "line string", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True)
-        floor = int(batch["floor"].max())
-        batch = batch[batch["line"].notna()].sort_values("line_no", kind="stable")
-        late = batch["line_no"].isna() | (batch["line_no"] <= floor)
-        fresh = batch[~late]
-        kinds = pd.Series(self.ROW, index=fresh.index)
-        previous = fresh["line"].shift(1)
-        kept = fresh["line"] != previous
-        if len(fresh):
-            if self.last.exists():
-                kept.iloc[0] = fresh["line"].iloc[0] != self.last.get()[0]
+        batch["at"] = batch.groupby(["who", "block"]).ngroup()
+        floor = batch["floor"].groupby(batch["at"]).transform("max")
+        text = batch["line"].notna()
+        late = text & (~batch["has"] | (batch["number"] <= floor))
+        fresh = batch[text & ~late].sort_values(["at", "number"])
+        at, line = fresh["at"].to_numpy(), fresh["line"].to_numpy()
+        new = np.diff(at, prepend=-1) != 0
+        kept = new | (line != np.roll(line, 1))
+        kinds = np.full(len(fresh), self.ROW)
+        firsts = np.flatnonzero(new)
+        lasts = np.r_[firsts[1:], len(fresh)][: len(firsts)] - 1
+        for first, last, who, block in zip(firsts, lasts, fresh["who"].iloc[firsts], fresh["block"].iloc[firsts].tolist()):
+            before = self.last.getValue((who, block))
+            if before is None:
+                kinds[first] = self.HEAD
             else:
-                kinds.iloc[0] = self.HEAD
-            self.last.update((fresh["line"].iloc[-1],))
-        out = [fresh.assign(late=False, kind=kinds)[kept], batch[late].assign(late=True, kind=self.ROW)]
-        if len(fresh):
-            out.append(fresh.iloc[-1:].assign(late=False, kind=self.TAIL))
-        out = pd.concat(out)
-        yield out.assign(exec_id=key[0], block=key[1])[["exec_id", "block", "line_no", "line", "late", "kind"]]
+                kept[first] = line[first] != before[0]
+            self.last.updateValue((who, block), (line[last],))
+        out = pd.concat(
+            [
+                fresh.assign(late=False, kind=kinds)[kept],
+                batch[late].assign(late=True, kind=self.ROW),
+                fresh.iloc[lasts].assign(late=False, kind=self.TAIL),
+            ]
+        )
+        yield out[["who", "block", "number", "has", "line", "late", "kind"]]
 
     def close(self) -> None:
         pass
 
 
 class Borders(StatefulProcessor):
-    """Decides the first lines of blocks by the line before. Keys are the execution and -1 for rows
-    at the ends of blocks, of which a micro-batch has two for each block; all other rows come with the
-    key of their block and pass."""
+    """Decides the first lines of blocks by the line before. Groups below `groups` are of executions
+    and have the rows at the ends of blocks, of which a micro-batch has two for each block; all other
+    rows come in groups of their own and pass."""
 
-    def __init__(self, keep_ms: int | None) -> None:
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int | None, groups: int) -> None:
+        self.keep_ms, self.groups = keep_ms, groups
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line string", self.keep_ms)
+        self.last = handle.getMapState("last", "who string", "line string", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        if key[1] >= 0:
+        columns = ["who", "number", "has", "line", "late"]
+        if key[0] >= self.groups:
             for chunk in rows:
-                yield chunk[["exec_id", "line_no", "line", "late"]]
+                yield chunk[columns]
             return
-        ends = pd.concat(list(rows), ignore_index=True).sort_values(["block", "kind"], kind="stable")
-        before = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for place, line, kind in zip(ends.index, ends["line"], ends["kind"]):
+        ends = pd.concat(list(rows), ignore_index=True).sort_values(["who", "block", "kind"])
+        kept, of, before = [], None, None
+        for place, who, line, kind in zip(ends.index, ends["who"], ends["line"], ends["kind"]):
+            if who != of:
+                if of is not None:
+                    self.last.updateValue((of,), (before,))
+                known = self.last.getValue((who,))
+                of, before = who, None if known is None else known[0]
             if kind == DedupeBlocks.HEAD:
                 if line != before:
                     kept.append(place)
             else:
                 before = line
-        self.last.update((before,))
-        yield ends.loc[kept, ["exec_id", "line_no", "line", "late"]]
+        self.last.updateValue((of,), (before,))
+        yield ends.loc[kept, columns]
 
     def close(self) -> None:
         pass
@@ -272,24 +288,34 @@ class Heartbeat(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.beat = handle.getValueState("beat", "at_us bigint", self.keep_ms)
+        self.beat = handle.getMapState("beat", "who string", "at_us bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        times = np.sort(np.concatenate([chunk["at"].to_numpy() for chunk in rows]))
-        at = self.beat.get()[0] if self.beat.exists() else int(times[0])
+        # Of the names each is held once.
+        names, of, at = {}, [], []
+        for chunk in rows:
+            codes, found = pd.factorize(chunk["who"])
+            of.append(np.array([names.setdefault(who, len(names)) for who in found])[codes])
+            at.append(chunk["at"].to_numpy())
+        of, at = np.concatenate(of), np.concatenate(at)
+        order = np.lexsort((at, of))
+        at = at[order]
+        ends = np.cumsum(np.bincount(of, minlength=len(names)))
         beats = []
-        # From beat to beat; lines between them are not looked at.
-        place = np.searchsorted(times, at + self.every_us, side="right")
-        while place < len(times):
-            now = int(times[place])
-            beats.append((now, (now - at) // 1000))
-            at = now
-            place = np.searchsorted(times, at + self.every_us, side="right")
-        self.beat.update((at,))
+        for (who, k), end in zip(names.items(), ends):
+            times = at[ends[k - 1] if k else 0 : end]
+            before = self.beat.getValue((who,))
+            last = int(times[0]) if before is None else before[0]
+            # From beat to beat; lines between them are not looked at.
+            place = np.searchsorted(times, last + self.every_us, side="right")
+            while place < len(times):
+                now = int(times[place])
+                beats.append((who, now, (now - last) // 1000))
+                last = now
+                place = np.searchsorted(times, last + self.every_us, side="right")
+            self.beat.updateValue((who,), (last,))
         if beats:
-            yield pd.DataFrame(
-                {"exec_id": key[0], "at": [t for t, _ in beats], "since_ms": [s for _, s in beats]}
-            )
+            yield pd.DataFrame(beats, columns=["who", "at", "since_ms"])
 
     def close(self) -> None:
         pass

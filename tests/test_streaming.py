@@ -139,3 +139,22 @@ def test_counters(spark, tmp_path):
     query.awaitTermination()
     row = spark.table("totals").first()
     assert (row["commands_executed"], row["command_failures"]) == (2, 1)
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_many_executions_go_to_python_in_groups(spark, tmp_path, monkeypatch, groups):
+    """Executions that share a call of Python keep their own lines, numbers and beats."""
+    monkeypatch.setattr(jobs, "GROUPS", groups)
+    names = ["", "=", "a", "é", None, *map(str, range(20))]
+    first = [line(e, n, f"x{n // 2}", n) for e in names for n in range(5)]
+    second = [line(e, n, f"x{n // 2}", 10 * n) for e in names[:6] for n in (5, 6)]
+    late = [line("a", 1, "late", 70), line("é", None, "none", 70)]
+    batches = [first, second + late]
+    stream = arrivals(spark, tmp_path, batches)
+    rows = collect(jobs.clean_stream(stream, block_rows=2), "grouped", tmp_path)
+    want = [(e, n, f"x{n // 2}", False) for e in names for n in (0, 2, 4)]
+    want += [(e, 6, "x3", False) for e in names[:6]] + [("a", 1, "late", True), ("é", None, "none", True)]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
+    beats = collect(jobs.heartbeats(stream, 5), "grouped_beats", tmp_path / "beats")
+    want = [(e, ms) for e in names[:6] for ms in (50_000, 10_000)] + [("a", 10_000), ("é", 10_000)]
+    assert sorted(((r["exec_id"], r["since_ms"]) for r in beats), key=repr) == sorted(want, key=repr)
