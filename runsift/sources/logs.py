@@ -21,17 +21,59 @@ def split_log_blob(blobs: DataFrame, text: str = "text") -> DataFrame:
 SENT_RANGES = 200_000
 
 
+#: Files up to this size are rows of their own: opening one for its lines costs more than reading it.
+WHOLE_BYTES = 1 << 20
+
+
 def read_log_dir(spark: SparkSession, path: str, name_filter: str = "*.log") -> DataFrame:
     """Lines of a directory with one file per execution: `<exec_id>.log`, or any file name in a
     folder `exec_id=<id>`.
 
-    A file of any size is read in byte ranges, each by a task of its own. Lines are numbered in
-    their range; the ranges of a file are counted, and each is shifted by the lines before it. A
+    Small files are read whole, once, and split at their line feeds, so that many of them cost one
+    opening each. Any other file is read in byte ranges, each by a task of its own. Lines are numbered
+    in their range; the ranges of a file are counted, and each is shifted by the lines before it. A
     line belongs to the range in which it begins. Only line feeds end lines; one at the end of the
     file opens no further line, and an empty file has none. A byte order mark at the beginning of a
     file is left out.
     """
-    files = spark.read.option("lineSep", "\n").text(path, pathGlobFilter=name_filter, recursiveFileLookup=True)
+    options = {"pathGlobFilter": name_filter, "recursiveFileLookup": True}
+    size = F.col("_metadata.file_size")
+    # What the session would split is not read whole.
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    whole = F.lit(min(WHOLE_BYTES, split))
+    files = spark.read.format("binaryFile").load(path, **options)
+    lines = _whole_lines(files.where(size <= whole))
+    # Files are left out by their size when the scan is planned; none is opened for this.
+    if files.where(size > whole).select("path").isEmpty():
+        return lines
+    large = spark.read.option("lineSep", "\n").text(path, **options).where(size > whole)
+    return lines.unionByName(_range_lines(large))
+
+
+def _exec_id(path: str) -> Column:
+    folder = r"/exec_id=([^/]+)/[^/]*\z"
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.col(path).rlike(folder), F.url_decode(F.regexp_extract(path, folder, 1))).otherwise(
+        F.url_decode(F.regexp_replace(name, r"\.log\z", ""))
+    )
+
+
+def _whole_lines(files: DataFrame) -> DataFrame:
+    """Lines of files that are read whole. Every byte is a letter here, as in ISO 8859-1: ill-formed
+    text must come out as it is."""
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\A\xEF\xBB\xBF", "")
+    pieces = F.transform(
+        F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1), lambda piece: F.encode(piece, "ISO-8859-1").cast("string")
+    )
+    return (
+        files.select(F.col("_metadata.file_path").alias("_path"), "content")
+        .select("_path", F.posexplode(F.when(text != "", pieces)).alias(LINE_NO, "line"))
+        .select(_exec_id("_path").alias(EXEC), F.col(LINE_NO).cast("bigint").alias(LINE_NO), "line")
+    )
+
+
+def _range_lines(files: DataFrame) -> DataFrame:
+    """Lines of files that are read in byte ranges."""
     # Ids of rows increase by one inside a range, whichever ranges a task reads one after the other.
     rows = files.select(
         F.col("_metadata.file_path").alias("_path"),
@@ -48,12 +90,9 @@ def read_log_dir(spark: SparkSession, path: str, name_filter: str = "*.log") ->
     ranges = as_table(ranges, "ranges")
     if ranges.count() <= SENT_RANGES:
         ranges = F.broadcast(ranges)
-    folder = r"/exec_id=([^/]+)/[^/]*\z"
-    name = F.element_at(F.split("_path", "/"), -1)
-    exec_id = F.when(F.col("_path").rlike(folder), F.url_decode(F.regexp_extract("_path", folder, 1))).otherwise(
-        F.url_decode(F.regexp_replace(name, r"\.log\z", ""))
+    return rows.join(ranges, ["_path", "_start"]).select(
+        _exec_id("_path").alias(EXEC), (F.col("_id") + F.col("_shift")).alias(LINE_NO), "line"
     )
-    return rows.join(ranges, ["_path", "_start"]).select(exec_id.alias(EXEC), (F.col("_id") + F.col("_shift")).alias(LINE_NO), "line")
 
 
 SEQ_SLICE = 1 << 16
