@@ -90,22 +90,22 @@ def clean_stream(lines: DataFrame, keep_seconds: int | None = None, block_rows:
 def _closings(events: DataFrame, timeout_seconds: int, delay: str) -> DataFrame:
     number = F.col(LINE_NO) if LINE_NO in events.columns else F.lit(None).cast("bigint").alias(LINE_NO)
     return (
-        events.select(EXEC, "ts", F.unix_micros("ts").alias("at"), "exit_code", number)
+        events.select(_who(), "ts", F.unix_micros("ts").alias("at"), "exit_code", number)
+        .withColumn("part", _group("who"))
         .withWatermark("ts", delay)
-        .groupBy(EXEC)
+        .groupBy("part")
         .transformWithStateInPandas(
             RunLifecycle(timeout_seconds * 1_000_000),
-            f"{EXEC} {_key_type(events)}, start_us bigint, end_us bigint, "
-            "exit_code int, timed_out boolean, last_no bigint",
+            "who string, start_us bigint, end_us bigint, exit_code int, timed_out boolean, last_no bigint",
             "Append",
             "EventTime",
         )
     )
 
 
-def _times(closed: DataFrame) -> DataFrame:
+def _times(closed: DataFrame, name: str | Column = EXEC) -> DataFrame:
     return closed.select(
-        EXEC,
+        name,
         F.timestamp_micros("start_us").alias("start_ts"),
         F.timestamp_micros("end_us").alias("end_ts"),
         "exit_code",
@@ -120,7 +120,7 @@ def closings(
 ) -> DataFrame:
     """Ends of executions from events (exec_id, ts, exit_code; exit_code null on log lines).
     Only narrow columns go through the state."""
-    return _times(_closings(events, timeout_seconds, delay))
+    return _times(_closings(events, timeout_seconds, delay), _named(_key_type(events)))
 
 
 def closed_logs(
@@ -135,31 +135,32 @@ def closed_logs(
     Lines wait in keyed state, by execution and block of line numbers, so that a long execution is
     spread; a closing goes to every block of its execution, and each gives its lines out. Nothing
     that has landed is read again. A closing is the row without a line number."""
-    kind = _key_type(events)
     block = block_of(F.col(LINE_NO), block_rows).alias(BLOCK)
     empty = {c: F.lit(None).cast(t) for c, t in (("start_us", "bigint"), ("end_us", "bigint"), ("exit_code", "int"), ("timed_out", "boolean"))}
     lines = events.filter(F.col(LINE_NO).isNotNull()).select(
-        EXEC, block, LINE_NO, "line", F.unix_micros("ts").alias("at"), *[v.alias(c) for c, v in empty.items()]
+        _who(), block, LINE_NO, "line", F.unix_micros("ts").alias("at"), *[v.alias(c) for c, v in empty.items()]
     )
     last = block_of(F.greatest(F.col("last_no"), F.lit(0).cast("bigint")), block_rows)
     ends = _closings(events, timeout_seconds, delay).select(
-        EXEC,
+        "who",
         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(BLOCK),
         F.lit(None).cast("bigint").alias(LINE_NO),
         F.lit(None).cast("string").alias("line"),
         F.lit(None).cast("bigint").alias("at"),
         *empty,
     )
-    return (
+    closed = (
         lines.unionByName(ends)
-        .groupBy(EXEC, BLOCK)
+        .withColumn("part", _group("who", BLOCK))
+        .groupBy("part")
         .transformWithStateInPandas(
             HoldLines(),
-            f"{EXEC} {kind}, {LINE_NO} bigint, line string, start_us bigint, end_us bigint, exit_code int, timed_out boolean",
+            f"who string, {LINE_NO} bigint, line string, start_us bigint, end_us bigint, exit_code int, timed_out boolean",
             "Append",
             "None",
         )
     )
+    return closed.select(_named(_key_type(events)), LINE_NO, "line", "start_us", "end_us", "exit_code", "timed_out")
 
 
 def heartbeats(

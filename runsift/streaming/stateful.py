@@ -139,7 +139,8 @@ class Borders(StatefulProcessor):
 class RunLifecycle(StatefulProcessor):
     """One closing row per execution: at its exit event, or when it outlives the timeout.
 
-    Of the log lines only the first time is used; chunks of a batch are never put together."""
+    Of the log lines only the first time is used; chunks of a batch are never put together. A group
+    has a timer for each millisecond at which some run of it is due, and the names of these runs."""
 
     TIMED_OUT = -1
 
@@ -148,131 +149,155 @@ class RunLifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "start_us bigint, closed boolean, last_no bigint")
-
-    def _closing(self, key, start_us: int, end_us: int, exit_code: int, timed_out: bool, last_no: int):
-        return pd.DataFrame(
-            {
-                "exec_id": [key[0]],
-                "start_us": [start_us],
-                "end_us": [end_us],
-                "exit_code": pd.array([exit_code], dtype="Int32"),
-                "timed_out": [timed_out],
-                "last_no": [last_no],
-            }
-        )
+        self.run = handle.getMapState("run", "who string", "start_us bigint, closed boolean, last_no bigint")
+        self.due = handle.getMapState("due", "at_ms bigint", "who array<string>")
+
+    def _closings(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["who", "start_us", "end_us", "exit_code", "timed_out", "last_no"])
+        return out.astype({"exit_code": "Int32"})
+
+    def _timers(self, due: dict[int, list[str]]) -> None:
+        for at_ms, names in due.items():
+            before = self.due.getValue((at_ms,))
+            if before is None:
+                self.handle.registerTimer(at_ms)
+            self.due.updateValue((at_ms,), ([*(before[0] if before else ()), *names],))
 
-    def _timer(self, at_us: int) -> None:
+    def _due(self, at_us: int) -> int:
         # Timers have milliseconds; never early.
-        self.handle.registerTimer(-(-at_us // 1000))
+        return -(-at_us // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        first, exit_at, exit_code, last_no = None, None, None, -1
+        seen = {}
         for chunk in rows:
-            low = int(chunk["at"].min())
-            first = low if first is None else min(first, low)
-            if chunk["line_no"].notna().any():
-                last_no = max(last_no, int(chunk["line_no"].max()))
             exits = chunk[chunk["exit_code"].notna()]
-            if len(exits):
-                row = exits.loc[exits["at"].idxmin()]
-                if exit_at is None or row["at"] < exit_at:
-                    exit_at, exit_code = int(row["at"]), int(row["exit_code"])
-        if self.run.exists():
-            start_us, closed, before = self.run.get()
-        else:
-            start_us, closed, before = first, False, -1
-            self._timer(start_us + self.timeout_us)
-        last_no = max(last_no, before)
-        self.run.update((start_us, closed, last_no))
-        if closed or exit_at is None:
-            return
-        # The open timer stays: it clears the state of a closed run.
-        self.run.update((start_us, True, last_no))
-        limit = start_us + self.timeout_us
-        overdue = exit_at > limit
-        yield self._closing(
-            key, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue, last_no
-        )
+            exits = exits.loc[exits.groupby("who")["at"].idxmin()].set_index("who")
+            of = chunk.groupby("who")
+            for who, low, number in zip(*self._columns(of["at"].min(), of["line_no"].max())):
+                first, last_no, exit_at, exit_code = seen.get(who, (low, -1, None, None))
+                seen[who] = (min(first, low), last_no if number is None else max(last_no, number), exit_at, exit_code)
+            for who, at, code in zip(*self._columns(exits["at"], exits["exit_code"])):
+                first, last_no, exit_at, exit_code = seen[who]
+                if exit_at is None or at < exit_at:
+                    seen[who] = (first, last_no, at, code)
+        out, due = [], {}
+        for who, (first, last_no, exit_at, exit_code) in seen.items():
+            known = self.run.getValue((who,))
+            start_us, closed, before = known or (first, False, -1)
+            if known is None:
+                due.setdefault(self._due(start_us + self.timeout_us), []).append(who)
+            last_no = max(last_no, before)
+            # The open timer stays: it clears the state of a closed run.
+            ends = not closed and exit_at is not None
+            self.run.updateValue((who,), (start_us, closed or ends, last_no))
+            if ends:
+                limit = start_us + self.timeout_us
+                overdue = exit_at > limit
+                out.append((who, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue, last_no))
+        self._timers(due)
+        if out:
+            yield self._closings(out)
+
+    @staticmethod
+    def _columns(first: pd.Series, second: pd.Series) -> tuple[list, ...]:
+        """The names, and whole numbers or None."""
+        return first.index.tolist(), [int(x) for x in first], [None if pd.isna(x) else int(x) for x in second]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        start_us, closed, last_no = self.run.get()
-        if closed:
-            self.run.clear()
-            return
-        # Keep the closed mark for one more timeout, so that stragglers do not reopen the run.
-        self.run.update((start_us, True, last_no))
-        end_us = start_us + self.timeout_us
-        self._timer(end_us + self.timeout_us)
-        yield self._closing(key, start_us, end_us, self.TIMED_OUT, True, last_no)
+        at_ms = expiredTimerInfo.getExpiryTimeInMs()
+        (names,) = self.due.getValue((at_ms,))
+        self.due.removeKey((at_ms,))
+        out, due = [], {}
+        for who in names:
+            start_us, closed, last_no = self.run.getValue((who,))
+            if closed:
+                self.run.removeKey((who,))
+                continue
+            # Keep the closed mark for one more timeout, so that stragglers do not reopen the run.
+            self.run.updateValue((who,), (start_us, True, last_no))
+            end_us = start_us + self.timeout_us
+            due.setdefault(self._due(end_us + self.timeout_us), []).append(who)
+            out.append((who, start_us, end_us, self.TIMED_OUT, True, last_no))
+        self._timers(due)
+        if out:
+            yield self._closings(out)
 
     def close(self) -> None:
         pass
 
 
 class HoldLines(StatefulProcessor):
-    """Lines of one block of an execution, held until its closing comes; then they leave with it.
+    """Lines of blocks of executions, held until the closing of their execution comes; then they leave
+    with it.
 
-    A micro-batch adds one value, its lines as compressed Arrow data. A closed block lets nothing
-    more in: what comes behind the closing is left out."""
+    A micro-batch adds one value to each of its blocks, the lines as compressed Arrow data. A closed
+    block lets nothing more in: what comes behind the closing is left out."""
 
     FIELDS = ("line_no", "line", "at")
+    END = ("start_us", "end_us", "exit_code", "timed_out")
+    SCHEMA = pa.schema([("line_no", pa.int64()), ("line", pa.string()), ("at", pa.int64())])
+    CLOSED = -1
+    #: Lines that leave together.
+    TOGETHER = 1 << 16
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "lines binary")
-        self.closed = handle.getValueState("closed", "closed boolean")
+        # The values of a block are numbered; a closed block has CLOSED of them.
+        self.held = handle.getMapState("held", "who string, block bigint, piece int", "lines binary")
+        self.pieces = handle.getMapState("pieces", "who string, block bigint", "pieces int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        fresh, closing = [], None
-        for chunk in rows:
-            ends = chunk["end_us"].notna()
-            if ends.any():
-                closing = chunk[ends].iloc[:1]
-            if not ends.all():
-                fresh.append(chunk.loc[~ends, list(self.FIELDS)])
-        if self.closed.exists():
-            return
-        if fresh:
-            lines = pa.Table.from_pandas(pd.concat(fresh, ignore_index=True).astype({"line_no": "int64"}), preserve_index=False)
-            if closing is None:
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, lines.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_table(lines)
-                self.held.appendValue((out.getvalue().to_pybytes(),))
-                return
-        elif closing is None:
-            return
-        end = closing.iloc[0]
-        if key[1] == 0:
-            yield self._out(key, closing)
-        for (data,) in self.held.get():
-            with pa.ipc.open_stream(data) as reader:
-                yield self._lines(key, reader.read_all(), end)
-        if fresh:
-            yield self._lines(key, lines, end)
-        self.held.clear()
-        self.closed.update((True,))
-
-    def _lines(self, key, table: pa.Table, end) -> pd.DataFrame:
+        batch = pd.concat(list(rows), ignore_index=True)
+        ends = batch["end_us"].notna()
+        closings = {(who, block): end for who, block, *end in batch.loc[ends, ["who", "block", *self.END]].itertuples(index=False)}
+        lines = batch[~ends]
+        lines = lines.assign(of=lines.groupby(["who", "block"]).ngroup()).sort_values("of", kind="stable")
+        firsts = np.flatnonzero(np.diff(lines["of"].to_numpy(), prepend=-1))
+        table = pa.Table.from_pandas(lines[list(self.FIELDS)], schema=self.SCHEMA, preserve_index=False)
+        blocks = zip(lines["who"].iloc[firsts], lines["block"].iloc[firsts])
+        fresh = {of: table.slice(at, n) for of, at, n in zip(blocks, firsts, np.diff(firsts, append=len(lines)))}
+        out, size = [], 0
+        for of in {**fresh, **closings}:
+            known = self.pieces.getValue(of)
+            pieces = known[0] if known else 0
+            if pieces == self.CLOSED:
+                continue
+            if of not in closings:
+                data = pa.BufferOutputStream()
+                with pa.ipc.new_stream(data, self.SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(fresh[of])
+                self.held.updateValue((*of, pieces), (data.getvalue().to_pybytes(),))
+                self.pieces.updateValue(of, (pieces + 1,))
+                continue
+            leaving = []
+            for piece in range(pieces):
+                (data,) = self.held.getValue((*of, piece))
+                with pa.ipc.open_stream(data) as reader:
+                    leaving.append(reader.read_all())
+                self.held.removeKey((*of, piece))
+            if of in fresh:
+                leaving.append(fresh[of])
+            self.pieces.updateValue(of, (self.CLOSED,))
+            out.append((of, leaving, closings[of]))
+            size += sum(map(len, leaving))
+            if size >= self.TOGETHER:
+                yield self._out(out)
+                out, size = [], 0
+        if out:
+            yield self._out(out)
+
+    def _out(self, closed: list[tuple]) -> pd.DataFrame:
+        """The lines of blocks with the closing of their execution; its row without a line number
+        comes with its first block."""
+        lines = pa.concat_tables([self.SCHEMA.empty_table(), *(t for _, tables, _ in closed for t in tables)]).to_pandas()
+        lines["k"] = np.repeat(np.arange(len(closed)), [sum(map(len, tables)) for _, tables, _ in closed])
+        ends = pd.DataFrame([(of[0], *end) for of, _, end in closed], columns=["who", *self.END])
+        lines = lines.merge(ends, left_on="k", right_index=True)
         # Lines that came after the end of a run that was timed out are not part of it.
-        lines = table.to_pandas()
-        return self._out(key, lines[lines["at"] <= end["end_us"]])
-
-    @staticmethod
-    def _out(key, rows: pd.DataFrame) -> pd.DataFrame:
-        numbers = ("line_no", "start_us", "end_us", "exit_code")
-        given = {c: (rows[c] if c in rows else pd.Series([None] * len(rows), index=rows.index)) for c in (*numbers, "line", "timed_out")}
-        return pd.DataFrame(
-            {
-                "exec_id": pd.Series([key[0]] * len(rows), index=rows.index),
-                "line_no": given["line_no"].astype("Int64"),
-                "line": given["line"],
-                "start_us": given["start_us"].astype("Int64"),
-                "end_us": given["end_us"].astype("Int64"),
-                "exit_code": given["exit_code"].astype("Int32"),
-                "timed_out": given["timed_out"].astype("boolean"),
-            }
-        )
+        lines = lines[lines["at"] <= lines["end_us"]]
+        firsts = ends[[of[1] == 0 for of, _, _ in closed]]
+        both = pd.concat([firsts.assign(line_no=None, line=None).astype({"line_no": "Int64"}), lines.astype({"line_no": "Int64"})], ignore_index=True)
+        kinds = {"start_us": "Int64", "end_us": "Int64", "exit_code": "Int32", "timed_out": "boolean"}
+        return both.astype(kinds)[["who", "line_no", "line", *self.END]]
 
     def close(self) -> None:
         pass

@@ -158,3 +158,24 @@ def test_many_executions_go_to_python_in_groups(spark, tmp_path, monkeypatch, gr
     beats = collect(jobs.heartbeats(stream, 5), "grouped_beats", tmp_path / "beats")
     want = [(e, ms) for e in names[:6] for ms in (50_000, 10_000)] + [("a", 10_000), ("é", 10_000)]
     assert sorted(((r["exec_id"], r["since_ms"]) for r in beats), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_runs_and_held_lines_go_to_python_in_groups(spark, tmp_path, monkeypatch, groups):
+    """Runs that share a call of Python, and a timer, keep their own ends and lines."""
+    monkeypatch.setattr(jobs, "GROUPS", groups)
+    names = ["", "=", "é", None, *map(str, range(8))]
+    first = [line(e, n, f"{e}{n}", n) for e in names for n in range(3)]
+    second = [line(e, 3, None, 4) for e in names] + [(e, None, None, at(5), 2) for e in names[:6]] + [line("0", 4, "same batch", 5)]
+    third = [line(e, 5, "behind", 30) for e in names]
+    batches = [first, second, third, [line("z", 0, "z", 300)], [line("z", 1, "z", 301)]]
+    stream = jobs.closed_logs(arrivals(spark, tmp_path, batches), timeout_seconds=15, block_rows=2)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 2 and plan.count("pmod(xxhash64(") == 2
+    rows = [r for r in collect(stream, f"held_{groups}", tmp_path) if r["exec_id"] != "z"]
+    lines = [(r["exec_id"], r["line_no"], r["line"]) for r in rows if r["line_no"] is not None]
+    want = [(e, n, f"{e}{n}") for e in names for n in range(3)] + [(e, 3, None) for e in names] + [("0", 4, "same batch")]
+    assert sorted(lines, key=repr) == sorted(want, key=repr)
+    ends = [(r["exec_id"], r["exit_code"], r["timed_out"], r["end_us"] - r["start_us"]) for r in rows if r["line_no"] is None]
+    want = [(e, 2, False, 5_000_000) for e in names[:6]] + [(e, -1, True, 15_000_000) for e in names[6:]]
+    assert sorted(ends, key=repr) == sorted(want, key=repr)
