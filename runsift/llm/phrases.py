@@ -12,6 +12,8 @@ repeat count again. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +25,43 @@ from runsift.llm.common import HOT, buckets_for, joined_by_parts, numbered, writ
 
 #: Entries that are merged at a time, and ranges at most.
 RANGE_ENTRIES, MOST_RANGE_BITS = 1 << 21, 20
+#: N-grams of a shard whose keys are made at a time, and bits for the parts that are sorted at a time.
+STEP, PART_BITS = 1 << 18, 4
+#: Bytes of filters, about, that go back to Spark at a time.
+BATCH_BYTES = 1 << 21
 #: Parts in which candidates of a language are ranked before the best of all parts are.
 PARTS = 8
 
 PIECES = ws.letters(b"\t", b".,;:!?\n\x0b\x0c\r")
 
 
+def shard_filters(w: np.ndarray, u: int, skip: int) -> Iterator[tuple[int, qf.QuotientFilter]]:
+    """The filters of the phrases of a shard, range by range. w: ids of its tokens in order, 0 where
+    there is none. Only one pair of halves is held for each n-gram, all else for a part of them."""
+    half = 3 * u
+    w = np.r_[w, np.zeros(2, w.dtype)]
+    two = (w[:-2] > 0) & (w[1:-1] > 0)
+    size = int(np.count_nonzero(two)) + int(np.count_nonzero(two & (w[2:] > 0)))
+    left, right, at = np.empty(size, np.uint64), np.empty(size, np.uint64), 0
+    for s in range(0, len(two), STEP):
+        for n in (2, 3):
+            first = s + np.flatnonzero(two[s : s + STEP])
+            first = first[w[first + 2] > 0] if n == 3 else first
+            third = w[first + 2] if n == 3 else np.zeros(len(first), w.dtype)
+            to = slice(at, at := at + len(first))
+            left[to], right[to] = qf.permute(*qf.pack(w[first], w[first + 1], third, u), half)
+    # A part is made of whole ranges, and parts come in the order of ranges.
+    bits = min(skip, PART_BITS)
+    part = (left >> np.uint64(half - bits)).astype(np.uint8)
+    for p in range(1 << bits):
+        mine = np.flatnonzero(part == p)
+        l, r, n = qf.summed(left[mine], right[mine], np.ones(len(mine), np.int64))
+        of = l >> np.uint64(half - skip)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+            yield int(of[s]), qf.QuotientFilter.build(l[s:e], r[s:e], n[s:e], half, skip)
+
+
 def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
     """(grp, w1, w2, w3, n): phrases of two (w3 is 0) and three ids that occur `least` times.
     vocabulary: grp, word, n, id (from 1); a token without an id is in no phrase."""
@@ -43,22 +76,17 @@ def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
         ids = np.zeros(int(numbers.max(initial=0)) + 1, np.uint32)
         ids[right.column("number").to_numpy()] = right.column("id").to_numpy()
         w = ids[numbers]
-        two = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
-        three = two[:-1][np.diff(two) == 1]
-        keys = [
-            qf.permute(*qf.pack(w[at], w[at + 1], w[at + 2] if n == 3 else np.zeros(len(at), np.int64), u), half)
-            for n, at in ((2, two), (3, three))
-        ]
-        l, r, n = qf.summed(*(np.concatenate(k) for k in zip(*keys)), np.ones(len(two) + len(three), np.int64))
-        of = l >> np.uint64(half - skip)
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
-        rows = {"grp": [], "range": [], "q": [], "n": [], "occupied": [], "runends": [], "remainders": [], "counters": []}
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
-            f = qf.QuotientFilter.build(l[s:e], r[s:e], n[s:e], half, skip)
-            for name, value in zip(rows, (grp, int(of[s]), f.q, f.n, f.occupied, f.runends, f.remainders, f.counters)):
-                rows[name].append(value)
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), kinds)})
+        del numbers
+        batches, waiting, size = [], [], 0
+        for range_, f in shard_filters(w, u, skip):
+            waiting.append((grp, range_, f.q, f.n, f.occupied, f.runends, f.remainders, f.counters))
+            size += len(f.remainders)
+            # Batches stay small, because the JVM holds each in one buffer outside its heap.
+            if size >= BATCH_BYTES:
+                batches.append(pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in waiting], kinds))
+                waiting, size = [], 0
+        batches.append(pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in waiting], kinds))
+        return pa.Table.from_batches(batches)
 
     def merge(table: pa.Table) -> pa.Table:
         range_ = table.column("range")[0].as_py()
@@ -70,6 +98,8 @@ def ngram_counts(shards: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
         return pa.table({"grp": grp, "w1": w1, "w2": w2, "w3": w3, "n": n[often]})
 
     schema = "grp string, range bigint, q int, n int, occupied binary, runends binary, remainders binary, counters binary"
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    kinds = pa.schema([(part.split()[0], kind) for part, kind in zip(schema.split(", "), types)])
     filters = ws.with_words(shards, ["grp", "numbers"], vocabulary.select("grp", "word", "id"), count, schema)
     return filters.groupBy("grp", "range").applyInArrow(merge, "grp string, w1 bigint, w2 bigint, w3 bigint, n bigint")
 

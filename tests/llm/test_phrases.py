@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runsift.llm import phrases, quotient as qf, word_shards as ws
@@ -65,6 +67,35 @@ def test_many_ranges(spark, monkeypatch):
     check(spark, [("en", t) for t in texts(3, 120, 40)])
 
 
+def test_steps_and_parts_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "STEP", 7)
+    monkeypatch.setattr(phrases, "RANGE_ENTRIES", 64)
+    check(spark, [("en", t) for t in texts(6, 60)] + [(None, "a b c " * 30)])
+
+
+def test_a_shard_is_counted_in_little_memory(monkeypatch):
+    found = {}
+
+    class Words:
+        """A vocabulary of 2^18 ids and 2^24 tokens, and the table that is counted."""
+
+        agg = select = groupBy = applyInArrow = lambda self, *_: self
+        first = lambda self: (1 << 18, 1 << 24)
+
+    monkeypatch.setattr(ws, "with_words", lambda shards, columns, known, run, schema: found.update(run=run) or known)
+    monkeypatch.setattr(phrases, "F", type("F", (), {"__getattr__": lambda *_: lambda *_: None})())
+    phrases.ngram_counts(None, Words(), 10)
+    numbers = np.random.default_rng(7).integers(2, 1 << 18, 1 << 20).astype(np.int32)
+    left = pa.table({"grp": ["en"], "numbers": pa.array([ws.packed(numbers)], pa.binary())})
+    known = pa.table({"number": np.arange(2, 1 << 18), "id": np.arange(1, (1 << 18) - 1)})
+    tracemalloc.start()
+    out = found["run"](left, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out.column("n").to_pylist()) > 2_000_000
+    assert peak < 90_000_000  # about two million n-grams
+
+
 def test_rare_keys_go_by_shuffles(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HOT", 8)  # no word is hot, and few phrases
     check(spark, [("en", t) for t in texts(4, 80)])
