@@ -87,6 +87,27 @@ def test_sums_and_scores(spark, monkeypatch, shard):
     same(run(spark, rows, rounds=0), plain(rows))
 
 
+def test_all_words_that_occur_five_times_are_exchanged(spark, monkeypatch):
+    # Once words of less than this share of the tokens were left out, so that more input meant fewer words.
+    monkeypatch.setattr(brown, "SHARE", 8, raising=False)
+    monkeypatch.setattr(brown, "CLASSES", 1)
+    monkeypatch.setattr(brown, "ALL", 2 + brown.BANDS)
+    rows = list(enumerate(texts(8, 90)))
+    same(run(spark, rows, rounds=0), plain(rows))
+
+
+@pytest.mark.parametrize("shard", [1 << 21, 300])
+def test_classes_by_joins_are_those_of_a_vector(spark, monkeypatch, shard):
+    monkeypatch.setattr(ws, "SHARD_TOKENS", shard)
+    dice = random.Random(9)
+    sets = [[f"{p}{k}" for k in range(40)] for p in "abc"]
+    rows = [(k, " ".join(dice.choice(sets[i % 3]) for i in range(60))) for k in range(120)] + [(70, "rare words"), (None, None)]
+    by_vector = run(spark, rows, rounds=3)
+    monkeypatch.setattr(brown, "SENT_WORDS", 3)
+    same(run(spark, rows, rounds=3), by_vector)
+    assert by_vector != run(spark, rows, rounds=0)
+
+
 def test_nothing_to_learn_from(spark):
     out = [k for k in range(60) if held(k)]
     assert run(spark, []) == []
