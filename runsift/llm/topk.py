@@ -16,7 +16,9 @@ left out. Vectors without structure give the bounds little to hold on to (README
 nearly all pairs are computed exactly.
 
 Queries and candidates are packed into blocks of bounded size, and each pair of blocks is one row
-of work: no task holds more than a few blocks, and each gives at most k rows for a query.
+of work: no task holds more than a few blocks, and each gives at most k rows for a query. Pairs are
+made where the candidates are: a copy of each query block for every block of candidates would grow
+with their product. The query blocks are sent there, a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ QUERY_BLOCK, ROW_BLOCK = 256, 4096
 LEVELS = (1, 4, 16, 32)
 #: Rows that give the first thresholds; share of pairs from which products go by whole blocks.
 FIRST_ROWS, DENSE = 2048, 0.02
+#: Numbers of query vectors that are sent to the rows at a time, but one block at least; blocks in a
+#: file, and row blocks of a task.
+SENT_NUMBERS, TASK_BLOCKS = 1 << 22, 8
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -140,17 +145,39 @@ def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarr
     return q[chosen], order[r[chosen]], score[chosen]
 
 
+def _tasks(df: DataFrame, blocks: int, waves: int) -> int:
+    """Tasks for so many blocks: enough for all cores, and few blocks in each."""
+    return max(1, min(blocks, max(waves * df.sparkSession.sparkContext.defaultParallelism, blocks // TASK_BLOCKS)))
+
+
 def _packed(vectors: DataFrame, rows_per_block: int, name: str) -> DataFrame:
     """One row for each block: its ids and its components one after the other, filled up with
     zeros to `width`."""
     blocks = buckets_for(vectors.count(), rows_per_block // 2, 1)
     return (
-        vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name))
+        vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        # A reader holds as many blocks of a file as there are.
+        .repartition(_tasks(vectors, blocks, 1), name)
+        .groupBy(name)
         .agg(F.collect_list(F.struct("id", "v")).alias("m"), F.max(F.size("v")).alias("width"))
         .select(name, F.col("m.id").alias(f"{name}_ids"), F.col("m.v").alias(f"{name}_v"), F.col("width").alias(f"{name}_w"))
     )
 
 
+def _groups(blocks: DataFrame) -> list[list[int]]:
+    """The numbers of the query blocks, in groups that may be sent to all executors; one empty group
+    if there are none."""
+    size = F.size("q_ids").cast("bigint") * (F.coalesce("q_w", F.lit(0)) + 2)
+    groups, room = [[]], SENT_NUMBERS
+    for q, numbers in blocks.select("q", size).orderBy("q").collect():
+        if groups[-1] and numbers > room:
+            groups.append([])
+            room = SENT_NUMBERS
+        groups[-1].append(q)
+        room -= numbers
+    return groups
+
+
 def top_k(
     queries: DataFrame, rows: DataFrame, k: int, scale: int = 256, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -213,12 +240,17 @@ def top_k(
     more = T.StructType([*left.schema.fields, T.StructField("q_least", T.ArrayType(T.DoubleType()))])
     left = written(left.mapInArrow(started, more), "topk-started")
 
-    # Query blocks are small: a copy of each goes to every block of rows, which stays one row.
-    last = right.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]
-    cells = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(right, "r")
-    found = cells.select("q_ids", "q_v", "r_ids", "r_v", "q_w", "r_w", "q_least").mapInArrow(
-        search, "query_id bigint, id bigint, score bigint"
-    )
+    spread = right.repartition(_tasks(right, right.count(), 4), "r")
+    found = None
+    groups = _groups(left)
+    for n, group in enumerate(groups):
+        cells = spread.crossJoin(F.broadcast(left.where(F.col("q").isin(group))))
+        part = cells.select("q_ids", "q_v", "r_ids", "r_v", "q_w", "r_w", "q_least").mapInArrow(
+            search, "query_id bigint, id bigint, score bigint"
+        )
+        # One group is sent after the other: those of one plan would be held at the same time.
+        part = written(part, "topk-found") if len(groups) > 1 else part
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
         found.withColumn("rank", F.row_number().over(order).cast("int"))

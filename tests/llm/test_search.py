@@ -82,3 +82,14 @@ def test_vectors_that_take_no_part(spark):
     odd = [(1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, []), (9, [1.0, 2.0, 3.0]), (12, [-1.5, 2.0])]
     check(spark, odd)
     check(spark, [])
+
+
+def test_queries_are_sent_in_groups_and_never_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rows = vectors(120, 8, 5)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    plan = topk.top_k(table.where("vec_id % 3 = 0"), table, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("BroadcastExchange") == 1
+    monkeypatch.setattr(topk, "SENT_NUMBERS", 100)
+    check(spark, rows)
