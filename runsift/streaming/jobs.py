@@ -22,7 +22,7 @@ from runsift.streaming.stateful import Borders, DedupeBlocks, Heartbeat, HoldLin
 #: The block of a line; names that begin otherwise do not reach the Python side.
 BLOCK = "block"
 #: Groups of executions, or of blocks, that go to Python together. Checkpoints hold their numbers.
-GROUPS = 256
+GROUPS = 64
 DEFAULT_TIMEOUT_SECONDS = 600
 HEARTBEAT_SECONDS = 5
 

@@ -2,7 +2,8 @@
 
 Each processor keeps a few scalars per execution. Calling Python for a key costs milliseconds, so
 lines, numbers and heartbeats come in groups of many executions or blocks, each of which has an entry
-of its own in a map; a micro-batch reads and writes the entries of its own rows. Text work (escapes, trimming, patterns) stays
+of its own. So do reading and writing a value of the state, and small entries share one (`Entries`); a
+micro-batch reads and writes the entries of its own rows and few beside them. Text work (escapes, trimming, patterns) stays
 in Column expressions before the state; Python only compares neighbours. Times come and go as
 microseconds since the epoch, so neither the session's time zone nor a rounding touches them.
 Rows of one execution inside one micro-batch are ordered here, so bound the batch with the rate
@@ -11,7 +12,9 @@ limit of the source.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,74 @@ import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+class Entries:
+    """Small values by key within a group, many of which are one value of the state: a bucket of those
+    whose keys have one hash. When a bucket is over-full their number doubles, so that a call reads and
+    writes at most some FULL entries for each of its keys, however many the group has.
+
+    An entry is forgotten `keep_ms` after it was set; never if that is None. A call begins with `read`
+    and ends with `write`."""
+
+    FULL = 128
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, keep_ms: int | None = None) -> None:
+        self.keep_ms = keep_ms
+        # A bucket is kept as long as the last entry that was set in it.
+        self.buckets = handle.getMapState(name, "bucket int", "entries binary", keep_ms)
+        self.many = handle.getValueState(f"{name}_many", "many int")
+
+    def read(self, keys: Iterable, timerValues) -> None:
+        self.now = None if self.keep_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        known = self.many.get()
+        self.n, self.loaded, self.changed = known[0] if known else 1, {}, set()
+        for key in keys:
+            self._load(self._bucket(key))
+
+    def _bucket(self, key) -> int:
+        return zlib.crc32(repr(key).encode("utf-8", "surrogatepass")) % self.n
+
+    def _load(self, bucket: int) -> None:
+        if bucket not in self.loaded:
+            known = self.buckets.getValue((bucket,))
+            entries = pickle.loads(known[0]) if known else {}
+            if self.now is not None:
+                entries = {key: entry for key, entry in entries.items() if entry[0] + self.keep_ms > self.now}
+            self.loaded[bucket] = entries
+
+    def get(self, key):
+        entry = self.loaded[self._bucket(key)].get(key)
+        return None if entry is None else entry[1]
+
+    def set(self, key, value) -> None:
+        bucket = self._bucket(key)
+        self.loaded[bucket][key] = (self.now, value)
+        self.changed.add(bucket)
+
+    def remove(self, key) -> None:
+        bucket = self._bucket(key)
+        self.loaded[bucket].pop(key, None)
+        self.changed.add(bucket)
+
+    def write(self) -> None:
+        fullest = max((len(self.loaded[b]) for b in self.changed), default=0)
+        if fullest > self.FULL:
+            for bucket in range(self.n):
+                self._load(bucket)
+            before, entries = self.n, [entry for some in self.loaded.values() for entry in some.items()]
+            while self.n * self.FULL < 2 * len(entries) or self.n == before:
+                self.n *= 2
+            self.loaded = {bucket: {} for bucket in range(self.n)}
+            for key, entry in entries:
+                self.loaded[self._bucket(key)][key] = entry
+            self.changed = set(self.loaded)
+            self.many.update((self.n,))
+        for bucket in self.changed:
+            if self.loaded[bucket]:
+                self.buckets.updateValue((bucket,), (pickle.dumps(self.loaded[bucket]),))
+            elif self.buckets.containsKey((bucket,)):
+                self.buckets.removeKey((bucket,))
+
+
 class LastNumbers(StatefulProcessor):
     """Tells every block of an execution that has lines in a micro-batch the last number that the
     execution had before it. Only numbers come here; those that are missing have `has` unset.
@@ -31,7 +102,7 @@ class LastNumbers(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "who string", "number bigint", self.keep_ms)
+        self.last = Entries(handle, "last", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         parts = []
@@ -39,12 +110,14 @@ class LastNumbers(StatefulProcessor):
             numbers = chunk["number"].where(chunk["has"], self.NONE)
             parts.append(numbers.groupby([chunk["who"], chunk["block"]]).max().rename("number").reset_index())
         blocks = pd.concat(parts).groupby(["who", "block"], as_index=False)["number"].max()
-        floors = {}
-        for who, highest in blocks.groupby("who")["number"].max().items():
-            before = self.last.getValue((who,))
-            floors[who] = self.NONE if before is None else before[0]
+        floors, tops = {}, blocks.groupby("who")["number"].max()
+        self.last.read(tops.index, timerValues)
+        for who, highest in tops.items():
+            before = self.last.get(who)
+            floors[who] = self.NONE if before is None else before
             if highest > floors[who]:
-                self.last.updateValue((who,), (int(highest),))
+                self.last.set(who, int(highest))
+        self.last.write()
         yield blocks.assign(floor=[floors[who] for who in blocks["who"]])[["who", "block", "floor"]]
 
     def close(self) -> None:
@@ -64,7 +137,7 @@ class DedupeBlocks(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "who string, block bigint", "line string", self.keep_ms)
+        self.last = Entries(handle, "last", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True)
@@ -79,13 +152,16 @@ class DedupeBlocks(StatefulProcessor):
         kinds = np.full(len(fresh), self.ROW)
         firsts = np.flatnonzero(new)
         lasts = np.r_[firsts[1:], len(fresh)][: len(firsts)] - 1
-        for first, last, who, block in zip(firsts, lasts, fresh["who"].iloc[firsts], fresh["block"].iloc[firsts].tolist()):
-            before = self.last.getValue((who, block))
+        blocks = list(zip(fresh["who"].iloc[firsts], fresh["block"].iloc[firsts].tolist()))
+        self.last.read(blocks, timerValues)
+        for first, last, block in zip(firsts, lasts, blocks):
+            before = self.last.get(block)
             if before is None:
                 kinds[first] = self.HEAD
             else:
-                kept[first] = line[first] != before[0]
-            self.last.updateValue((who, block), (line[last],))
+                kept[first] = line[first] != before
+            self.last.set(block, line[last])
+        self.last.write()
         out = pd.concat(
             [
                 fresh.assign(late=False, kind=kinds)[kept],
@@ -108,7 +184,7 @@ class Borders(StatefulProcessor):
         self.keep_ms, self.groups = keep_ms, groups
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "who string", "line string", self.keep_ms)
+        self.last = Entries(handle, "last", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         columns = ["who", "number", "has", "line", "late"]
@@ -117,19 +193,20 @@ class Borders(StatefulProcessor):
                 yield chunk[columns]
             return
         ends = pd.concat(list(rows), ignore_index=True).sort_values(["who", "block", "kind"])
+        self.last.read(ends["who"].unique(), timerValues)
         kept, of, before = [], None, None
         for place, who, line, kind in zip(ends.index, ends["who"], ends["line"], ends["kind"]):
             if who != of:
                 if of is not None:
-                    self.last.updateValue((of,), (before,))
-                known = self.last.getValue((who,))
-                of, before = who, None if known is None else known[0]
+                    self.last.set(of, before)
+                of, before = who, self.last.get(who)
             if kind == DedupeBlocks.HEAD:
                 if line != before:
                     kept.append(place)
             else:
                 before = line
-        self.last.updateValue((of,), (before,))
+        self.last.set(of, before)
+        self.last.write()
         yield ends.loc[kept, columns]
 
     def close(self) -> None:
@@ -149,7 +226,8 @@ class RunLifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getMapState("run", "who string", "start_us bigint, closed boolean, last_no bigint")
+        # start_us, closed, last_no
+        self.run = Entries(handle, "run")
         self.due = handle.getMapState("due", "at_ms bigint", "who array<string>")
 
     def _closings(self, rows: list[tuple]) -> pd.DataFrame:
@@ -181,19 +259,21 @@ class RunLifecycle(StatefulProcessor):
                 if exit_at is None or at < exit_at:
                     seen[who] = (first, last_no, at, code)
         out, due = [], {}
+        self.run.read(seen, timerValues)
         for who, (first, last_no, exit_at, exit_code) in seen.items():
-            known = self.run.getValue((who,))
+            known = self.run.get(who)
             start_us, closed, before = known or (first, False, -1)
             if known is None:
                 due.setdefault(self._due(start_us + self.timeout_us), []).append(who)
             last_no = max(last_no, before)
             # The open timer stays: it clears the state of a closed run.
             ends = not closed and exit_at is not None
-            self.run.updateValue((who,), (start_us, closed or ends, last_no))
+            self.run.set(who, (start_us, closed or ends, last_no))
             if ends:
                 limit = start_us + self.timeout_us
                 overdue = exit_at > limit
                 out.append((who, start_us, limit if overdue else exit_at, self.TIMED_OUT if overdue else exit_code, overdue, last_no))
+        self.run.write()
         self._timers(due)
         if out:
             yield self._closings(out)
@@ -208,16 +288,18 @@ class RunLifecycle(StatefulProcessor):
         (names,) = self.due.getValue((at_ms,))
         self.due.removeKey((at_ms,))
         out, due = [], {}
+        self.run.read(names, timerValues)
         for who in names:
-            start_us, closed, last_no = self.run.getValue((who,))
+            start_us, closed, last_no = self.run.get(who)
             if closed:
-                self.run.removeKey((who,))
+                self.run.remove(who)
                 continue
             # Keep the closed mark for one more timeout, so that stragglers do not reopen the run.
-            self.run.updateValue((who,), (start_us, True, last_no))
+            self.run.set(who, (start_us, True, last_no))
             end_us = start_us + self.timeout_us
             due.setdefault(self._due(end_us + self.timeout_us), []).append(who)
             out.append((who, start_us, end_us, self.TIMED_OUT, True, last_no))
+        self.run.write()
         self._timers(due)
         if out:
             yield self._closings(out)
@@ -243,7 +325,7 @@ class HoldLines(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         # The values of a block are numbered; a closed block has CLOSED of them.
         self.held = handle.getMapState("held", "who string, block bigint, piece int", "lines binary")
-        self.pieces = handle.getMapState("pieces", "who string, block bigint", "pieces int")
+        self.pieces = Entries(handle, "pieces")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows), ignore_index=True)
@@ -256,9 +338,9 @@ class HoldLines(StatefulProcessor):
         blocks = zip(lines["who"].iloc[firsts], lines["block"].iloc[firsts])
         fresh = {of: table.slice(at, n) for of, at, n in zip(blocks, firsts, np.diff(firsts, append=len(lines)))}
         out, size = [], 0
+        self.pieces.read({**fresh, **closings}, timerValues)
         for of in {**fresh, **closings}:
-            known = self.pieces.getValue(of)
-            pieces = known[0] if known else 0
+            pieces = self.pieces.get(of) or 0
             if pieces == self.CLOSED:
                 continue
             if of not in closings:
@@ -266,7 +348,7 @@ class HoldLines(StatefulProcessor):
                 with pa.ipc.new_stream(data, self.SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_table(fresh[of])
                 self.held.updateValue((*of, pieces), (data.getvalue().to_pybytes(),))
-                self.pieces.updateValue(of, (pieces + 1,))
+                self.pieces.set(of, pieces + 1)
                 continue
             leaving = []
             for piece in range(pieces):
@@ -276,12 +358,13 @@ class HoldLines(StatefulProcessor):
                 self.held.removeKey((*of, piece))
             if of in fresh:
                 leaving.append(fresh[of])
-            self.pieces.updateValue(of, (self.CLOSED,))
+            self.pieces.set(of, self.CLOSED)
             out.append((of, leaving, closings[of]))
             size += sum(map(len, leaving))
             if size >= self.TOGETHER:
                 yield self._out(out)
                 out, size = [], 0
+        self.pieces.write()
         if out:
             yield self._out(out)
 

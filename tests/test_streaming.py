@@ -1,12 +1,14 @@
 """Streaming results equal batch results; late lines, timeouts and heartbeats."""
 
+import pickle
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from runsift.operators import clean
-from runsift.streaming import jobs
+from runsift.streaming import jobs, stateful
+from workload import streams
 
 SCHEMA = "exec_id string, line_no bigint, line string, ts timestamp, exit_code int"
 
@@ -179,3 +181,100 @@ def test_runs_and_held_lines_go_to_python_in_groups(spark, tmp_path, monkeypatch
     ends = [(r["exec_id"], r["exit_code"], r["timed_out"], r["end_us"] - r["start_us"]) for r in rows if r["line_no"] is None]
     want = [(e, 2, False, 5_000_000) for e in names[:6]] + [(e, -1, True, 15_000_000) for e in names[6:]]
     assert sorted(ends, key=repr) == sorted(want, key=repr)
+
+
+class Values(dict):
+    """A map or a value of a state, with the number of its reads and writes."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        return key in self
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Value:
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class Store:
+    def __init__(self):
+        self.values, self.many = Values(), Value()
+
+    def getMapState(self, name, key, value, keep_ms):
+        return self.values
+
+    def getValueState(self, name, value):
+        return self.many
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+@pytest.mark.parametrize("keep", [None, 50])
+def test_small_values_of_a_state_share_reads_and_writes(keep):
+    dice, store, want = random.Random(1), Store(), {}
+    for n in range(300):
+        store.now = 10 * n
+        # As in a new call, which may run in another process.
+        entries = stateful.Entries(store, "x", keep)
+        keys = dice.sample([("é", k) for k in range(3000)], 60)
+        entries.read(keys, store)
+        before = store.values.calls
+        for key in keys:
+            at, value = want.get(key, (None, None))
+            assert entries.get(key) == (None if at is None or keep and at + keep <= store.now else value)
+            if n % 3 == 2:
+                entries.remove(key)
+                want.pop(key, None)
+            else:
+                entries.set(key, n)
+                want[key] = store.now, n
+        assert store.values.calls == before
+        entries.write()
+    assert keep or len(store.values) > 8
+    sizes = [len(pickle.loads(some[0])) for some in store.values.values()]
+    assert max(sizes) <= stateful.Entries.FULL
+
+
+def test_stretches_of_time_arrive_one_by_one(spark, tmp_path, monkeypatch):
+    """No event is older than what came in an earlier micro-batch, and the session's number of
+    partitions is not the one of the state."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    spark.range(2400).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id * 60) AS ts", "id % 50 AS user_id", "'a' AS event_type", "1D AS value", "'' AS props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    arrivals = streams.replay(spark, str(tmp_path))
+    assert arrivals.files > 1
+    spans, states = [], []
+
+    def keep(batch, batch_id):
+        spans.append(batch.agg(F.min("ts"), F.max("ts"), F.count("*")).first())
+        states.append(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "77")
+    try:
+        streams.run(spark, streams.arriving(spark, arrivals).writeStream.foreachBatch(keep))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(spans) >= streams.PERIODS and sum(n for _, _, n in spans) == 2400 + 50
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert set(states) == {str(spark.sparkContext.defaultParallelism)}
