@@ -1,6 +1,7 @@
 """Rule index, path keys, history numbers and the history index against plain versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
