suggest_fixes: the lines near causes are stored once, not reduced again for each reader

Symptom: the reduced lines of all executions were sorted, grouped and searched for causes three times in one query.
Evidence: the plan held three copies of the reduction behind the exchange of runs; on 2,000,000 events (sf0.1 20 times with shifted keys, local, 4 cores) the two stages with these copies took 75 of 117 JVM CPU seconds.
Fix: error_intel stores the windows near causes (one row of a few lines for each execution that has a cause) in the shared folder; pieces, verification and the left join read these rows.
Effect: at 1 GB of input CPU 480 -> 378 s, shuffle 0.46 -> 0.46 GB, spill 0.00 -> 0.00 GB, read 0.11 -> 0.12 GB, longest task 10 -> 8 s, most memory of a task 437 -> 168 MB; at 6 GB of input CPU 1551 -> 1103 s, shuffle 3.30 -> 3.34 GB, spill 0.00 -> 0.00 GB, read 0.95 -> 0.96 GB, longest task 39 -> 24 s, most memory of a task 1848 -> 872 MB; with hot keys, at 1 GB of input CPU 457 -> 378 s, shuffle 0.43 -> 0.43 GB, spill 0.00 -> 0.00 GB, read 0.13 -> 0.13 GB, longest task 9 -> 7 s, most memory of a task 437 -> 168 MB.

@@ -13,6 +13,7 @@ from runsift.operators.blocks import EXEC
 from runsift.operators.digest import KEY_EVENTS, is_key_event
 from runsift.operators.reduce import IDX
 from runsift.operators.rules import matching
+from runsift.session import as_table
 
 # Fixed values, in order of precedence: priority, error type, pattern, text before the capture,
 # text after it, whether the capture is trimmed.
@@ -206,5 +207,8 @@ def with_changes(windows: DataFrame, changed_files: DataFrame) -> DataFrame:
 
 
 def error_intel(rows: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """exec_id, error_type, context, root_cause, correlated_changes."""
-    return with_changes(cause_windows(rows), changed_files)
+    """exec_id, error_type, context, root_cause, correlated_changes.
+
+    The search for changed files reads the windows twice and their causes once, so that they are
+    stored: a row of a few lines for each execution that has a cause."""
+    return with_changes(as_table(cause_windows(rows), "windows"), changed_files)

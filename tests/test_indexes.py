@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runsift.operators import detect, history, reduce, rootcause, rules as rules_of, suggest
@@ -146,3 +147,25 @@ def test_changed_files_send_no_lines(spark, tmp_path):
     found = rootcause.correlate_changes(windows, files)
     assert {r["exec_id"]: r["correlated_changes"] for r in found.collect()} == {1: ["rc", "src/file3.ts"], 2: ["src/file9.ts"]}
     assert "Broadcast" not in plan(found)
+
+
+def test_reduced_lines_are_read_once(spark):
+    """Windows near a cause are made once: what is added to them reads stored rows, and finds the same."""
+    logs = {
+        "a": ["ok", "Error: listen EADDRINUSE", "at src/a.ts", None, "bye"],
+        "b": ["Build failed: no space left", "", "lib/c.dart"],
+        "c": ["all is well"],
+        "d": [None, ""],
+        None: ["panic: src/a.ts"],
+    }
+    numbered = spark.createDataFrame([(e, k, x) for e, some in logs.items() for k, x in enumerate(some) for _ in range(1 + (e == "b"))], "exec_id string, idx bigint, line string")
+    by_line = Window.partitionBy("exec_id").orderBy("idx", "line")
+    rows = numbered.withColumn("idx", (F.row_number().over(by_line) - 1).cast("bigint"))
+    files = spark.createDataFrame([("a", "src/a.ts"), ("a", "src/a.ts"), ("a", None), ("a", ""), ("b", "lib/c.dart"), ("b", "x"), (None, "src/a.ts"), ("z", "ok")], "exec_id string, path string")
+    intel = rootcause.error_intel(rows, files)
+    assert "Window" not in plan(intel)
+    want = rootcause.with_changes(rootcause.cause_windows(rows), files)
+    assert intel.columns == want.columns
+    assert sorted(map(repr, intel.collect())) == sorted(map(repr, want.collect()))
+    assert {r["exec_id"]: r["correlated_changes"] for r in intel.collect()} == {"a": ["", "src/a.ts"], "b": ["lib/c.dart"], None: []}
+    assert rootcause.error_intel(rows.limit(0), files).count() == 0
