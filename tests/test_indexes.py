@@ -169,3 +169,21 @@ def test_reduced_lines_are_read_once(spark):
     assert sorted(map(repr, intel.collect())) == sorted(map(repr, want.collect()))
     assert {r["exec_id"]: r["correlated_changes"] for r in intel.collect()} == {"a": ["", "src/a.ts"], "b": ["lib/c.dart"], None: []}
     assert rootcause.error_intel(rows.limit(0), files).count() == 0
+
+
+def test_texts_and_rules_are_prepared_once(spark):
+    """Python sees a rule once, and a text is not put in lower case again for each of its places."""
+    texts = spark.createDataFrame([(1, "Disk FULL"), (1, "Disk FULL"), (2, None), (3, ""), (None, "disk full now"), (4, "a ſtale lock"), (5, "no")], "exec_id int, line string")
+    table = spark.createDataFrame([(0, "(?i)disk full"), (0, "(?i)disk full"), (1, None), (2, "(?i)stale|lock"), (3, "(?i)x?no"), (4, "FULL")], "ix int, pattern string")
+    index = rules_of.rule_index(table)
+    assert index.columns == ["ix", "pattern", "java_pattern", "piece"]
+    assert sorted((r["ix"], r["piece"]) for r in index.collect()) == [(0, "disk"), (0, "disk"), (1, ""), (2, "lock"), (2, "stal"), (3, ""), (4, "full")]
+    found = rules_of.matching(texts, "line", index)
+    want = [(1, "Disk FULL", k) for k in (0, 1, 4)] + [(3, "", 1)] + [(None, "disk full now", k) for k in (0, 1, 3)]
+    want += [(4, "a ſtale lock", k) for k in (1, 2)] + [(5, "no", k) for k in (1, 3)]
+    assert found.columns == ["exec_id", "line", "ix"]
+    rows = list(map(tuple, found.collect()))
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    nodes = plan(found)
+    assert nodes.count("BatchEvalPython") == 1
+    assert [line for line in nodes.splitlines() if "explode(" in line and "lower(" in line] == []
