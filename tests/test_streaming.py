@@ -3,6 +3,7 @@
 import pickle
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,63 @@ def test_stretches_of_time_arrive_one_by_one(spark, tmp_path, monkeypatch):
     assert len(spans) >= streams.PERIODS and sum(n for _, _, n in spans) == 2400 + 50
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     assert set(states) == {str(spark.sparkContext.defaultParallelism)}
+
+
+@pytest.mark.parametrize("keep", [None, 50])
+def test_keys_go_through_the_buckets_one_by_one(keep):
+    dice, store, want = random.Random(2), Store(), {}
+    for n in range(120):
+        store.now = 10 * n
+        entries = stateful.Entries(store, "x", keep)
+        # The first call has most keys, so that one bucket becomes many at once.
+        keys = dice.sample([("é", k) for k in range(3000)], 60 if n else 1500)
+        seen = []
+        for some in entries.parts(keys, store):
+            assert len(entries.loaded) == 1
+            for key in some:
+                at, value = want.get(key, (None, None))
+                assert entries.get(key) == (None if at is None or keep and at + keep <= store.now else value)
+                entries.set(key, n)
+                want[key] = store.now, n
+            seen += some
+        assert sorted(seen) == sorted(keys)
+        assert list(entries.parts([], store)) == []
+    known = {key: n for some in store.values.values() for key, (_, n) in pickle.loads(some[0]).items()}
+    assert known.items() <= {key: n for key, (_, n) in want.items()}.items() and (keep or len(known) == len(want))
+    assert max(len(pickle.loads(some[0])) for some in store.values.values()) <= 2 * stateful.Entries.FULL
+
+
+@pytest.mark.parametrize("keep", [None, 50_000])
+def test_beats_share_reads_and_writes(keep):
+    """Beats of many executions cost few calls of the state, and are those that a loop over the lines finds."""
+    dice, every = random.Random(3), 5_000_000
+    names = ["", "=", "=é", *(f"={k}" for k in range(600))]
+    store, lasts, want, found, rounds = Store(), {}, [], [], []
+    for n in range(6):
+        store.now = 40_000 * n
+        lines = [(0, who, (40 * n + dice.randrange(40)) * 1_000_000) for who in dice.sample(names, 400 if n % 2 else 603) for _ in range(dice.randrange(1, 6))]
+        lines += lines[:50]
+        dice.shuffle(lines)
+        for who, times in sorted((w, sorted(at for _, x, at in lines if x == w)) for w in {w for _, w, _ in lines}):
+            set_at, last = lasts.get(who, (None, None))
+            if last is None or keep and set_at + keep <= store.now:
+                last = times[0]
+            for at in times:
+                if at > last + every:
+                    want.append((who, at, (at - last) // 1000))
+                    last = at
+            lasts[who] = store.now, last
+        beat = stateful.Heartbeat(every, keep)
+        beat.init(store)
+        before = store.values.calls
+        chunks = [pd.DataFrame(lines[k : k + 500], columns=["part", "who", "at"]) for k in range(0, len(lines), 500)]
+        found += [row for out in beat.handleInputRows((0,), iter(chunks), store) for row in out.itertuples(index=False, name=None)]
+        rounds.append(store.values.calls - before)
+    assert sorted(found) == sorted(want) and len(want) > 1000
+    assert max(rounds) < 100
+    # Lines that bring no beat write nothing, unless a beat must be kept on.
+    before = store.values.calls
+    quiet = [(0, who, at) for who, (_, at) in lasts.items()]
+    assert list(beat.handleInputRows((0,), iter([pd.DataFrame(quiet, columns=["part", "who", "at"])]), store)) == []
+    calls = store.values.calls - before
+    assert (calls <= len(store.values)) == (keep is None)
